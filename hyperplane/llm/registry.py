@@ -47,6 +47,12 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .partenum import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import repetition_coverage
 
@@ -91,6 +97,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op4_jaccard_join": op4_jaccard_join,
         "op6_repetition_coverage": op6_repetition_coverage,
         "op7_token_files": op7_token_files,
         "op8_url_filters": op8_url_filters,
