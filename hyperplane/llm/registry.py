@@ -88,6 +88,12 @@ FROM u LEFT JOIN m USING (page_id)
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rff_quality import score_quality
 
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_repetition_coverage": op6_repetition_coverage,
         "op7_token_files": op7_token_files,
         "op8_url_filters": op8_url_filters,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
     }
 
