@@ -53,6 +53,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interpolated_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import repetition_coverage
 
@@ -104,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_language_model": op5_language_model,
         "op6_repetition_coverage": op6_repetition_coverage,
         "op7_token_files": op7_token_files,
         "op8_url_filters": op8_url_filters,

@@ -548,7 +548,7 @@ class Removal:
         self.sized = sized
         self.once = self.rows.where(f"doc_id is not null and octet_length(text) >= {K}").join(self.copies, "doc_id", "left_anti")
 
-        buckets, groups, shards = 2 * parts, 4 * parts + 1, 4 * parts
+        buckets, groups, shards = min(2 * parts, 1 << 16), 4 * parts + 1, 4 * parts
         dealt = self.once.mapInArrow(_anchor_buckets(buckets), PACKED).repartition(parts, "part")
         answers = dealt.mapInArrow(_repeated(buckets, groups), PACKED)
         texts = self.once.select(F.pmod("doc_id", F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("text").cast("binary").alias("data"), "doc_id")
