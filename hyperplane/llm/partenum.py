@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import BROADCAST_ROWS, written
 from .textbatch import Words, flat, mix, pieces, shingle_sets
 
 SHINGLE = 5
@@ -60,8 +60,6 @@ BLOCK = 4096
 SKETCH_BITS = 2048
 #: Signatures gathered by a worker before it deals them out.
 GATHER = 500_000
-#: Documents whose ids may be broadcast (8 bytes each); beyond, they are joined.
-BROADCAST_ROWS = 500_000
 SEEDS = 6
 
 

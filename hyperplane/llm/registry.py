@@ -47,6 +47,14 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_lattice import decode_ids, encode_topk
+
+    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    decoded = decode_ids(encode_topk(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .partenum import jaccard_components
 
@@ -109,6 +117,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_language_model": op5_language_model,
         "op6_repetition_coverage": op6_repetition_coverage,

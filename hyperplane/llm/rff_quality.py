@@ -229,3 +229,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where(remainder != held)
     scored = score(measured, fit(measured, known))
     return scored.select("doc_id", F.coalesce(remainder == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, held: int = 0) -> DataFrame:
+    """Rows of ``docs`` whose score reaches THRESHOLD, all columns unchanged; learns as ``score_quality`` does."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held)
+    model = fit(written(measure(docs, id_col, text_col), "quality-stats"), known)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = flat(batch.column(at))
+            for lo, hi, part, part_offs in pieces(buf, offs):
+                # Rounded as in the table of statistics, so that both ways judge alike.
+                stats = statistics(part, part_offs).astype(np.float32).astype(np.float64)
+                yield batch.slice(lo, hi - lo).filter(pa.array(predict(model, stats) >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -34,3 +34,16 @@ def dropped(df: DataFrame) -> None:
     for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of an id column that may be broadcast: 8 bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is not in ``ids`` (doc_id); the ids are broadcast if counted few, joined by a shuffle otherwise."""
+    from pyspark.sql import functions as F
+
+    ids = written(ids.select(F.col("doc_id").alias(id_col)).distinct(), "ids")
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(docs.columns)

@@ -37,15 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import BROADCAST_ROWS, without, written
 from .textbatch import flat, mix, pieces, spans
 
 K = 50
 Q = 24
 #: Segments of one anchor that a shard takes; above, the anchor is split by document.
 ANCHOR_ROWS = 4096
-#: Documents that may be broadcast by id.
-BROADCAST_ROWS = 500_000
 #: Bytes of packed entries that a worker gathers before it deals them out.
 GATHER = 16 << 20
 _LOW57 = np.uint64((1 << 57) - 1)
@@ -526,11 +524,25 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their ranges; bytes that a range cut out of a character go with it."""
-    for batch in batches:
-        texts = [b"".join(_cut(memoryview(text.as_buffer()), ranges.as_py())[2]).decode("utf-8", "ignore") for text, ranges in zip(batch.column(1), batch.column(2), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "kept"])
+def _without(at: int):
+    """Rows with their ranges last, to rows without the bytes of their ranges; bytes of a character that a range cut go with it, and emptied rows go."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = [], []
+            for text, ranges in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
+                if ranges.is_valid and text.is_valid:
+                    kept = b"".join(_cut(memoryview(text.as_buffer()), ranges.as_py())[2]).decode("utf-8", "ignore")
+                    keep.append(bool(kept.strip()))
+                else:
+                    kept = text.as_py()
+                    keep.append(True)
+                texts.append(kept)
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+
+    return cut
 
 
 class Removal:
@@ -577,3 +589,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` without what repeats: later copies of whole texts go, other texts lose their ranges, all else stays."""
+    r = Removal(docs, id_col, text_col)
+    ranges = r.ranges.select(F.col("doc_id").alias(id_col), F.col("ranges").alias("_removed_ranges"))
+    rest = without(docs, r.copies, id_col).join(ranges, id_col, "left").select(*docs.columns, "_removed_ranges")
+    return rest.mapInArrow(_without(docs.columns.index(text_col)), docs.schema)
