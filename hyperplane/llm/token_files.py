@@ -14,8 +14,11 @@ ids, so reading parts in order gives the corpus in ascending order of ids.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,43 +104,72 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def byte_bpe(path: str) -> Callable[[str], list[int]]:
+class ByteBpe:
     """Encoder of the byte-level BPE vocabulary at ``path``, special strings as ordinary text; remembers ids of words.
 
     The vocabulary's pattern never joins what stands before a single space to
     what follows it, unless white space surrounds the space: such texts are
-    encoded in one piece, others word by word with the space in front.
+    encoded in one piece, others word by word with the space in front.  Words
+    not yet known are encoded together, each on a line, and cut at the line feeds.
     """
-    import re
 
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    joined = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")
-    known: dict[str, list[int]] = {}
-    encode = tokenizer.encode
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
+        feed = self._plain(["\n"])[0]
+        self.feed = feed[0] if len(feed) == 1 else None
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of words with a space in front."""
+        simple = [w for w in words if w and not _SPACE.search(w)] if self.feed is not None else []
+        others = list(words.difference(simple))
+        out = dict(zip(others, (np.array(x, self.dtype).tobytes() for x in self._plain([" " + w for w in others])), strict=True))
+        if simple:
+            ids = np.array(self._plain(["\n".join([" " + w for w in simple])])[0])
+            feeds = np.flatnonzero(ids == self.feed).tolist()
+            if len(feeds) == len(simple) - 1:
+                packed, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+                for w, i, j in zip(simple, [0, *[x + 1 for x in feeds]], [*feeds, len(ids)], strict=True):
+                    out[w] = packed[width * i : width * j]
+            else:
+                out |= zip(simple, (np.array(x, self.dtype).tobytes() for x in self._plain([" " + w for w in simple])), strict=True)
+        return out
 
-    def ids(text: str) -> list[int]:
+    def __call__(self, text: str) -> np.ndarray:
         if not text:
-            return []
-        if joined.search(text):
-            return encode(text, add_special_tokens=False).ids
+            return np.zeros(0, np.uint32)
+        if _JOINED.search(text):
+            return np.array(self._plain([text])[0], np.uint32)
         words = text.split(" ")
-        out = encode(words[0], add_special_tokens=False).ids if words[0] else []
-        get = known.get
-        for w in words[1:]:
-            got = get(w)
-            if got is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                got = encode(" " + w, add_special_tokens=False).ids
-                if len(w) <= 40:
-                    known[w] = got
-            out += got
-        return out
+        first = np.array(self._plain([words[0]])[0] if words[0] else [], self.dtype).tobytes()
+        del words[0]
+        known = self.known
+        found = list(map(known.get, words))
+        if None in found:
+            fresh = self._learn({w for w, x in zip(words, found, strict=True) if x is None})
+            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            if len(known) + len(fresh) > MEMORY:
+                known.clear()
+            known |= {w: x for w, x in fresh.items() if len(w) <= 40}
+        return np.frombuffer(first + b"".join(found), self.dtype).astype(np.uint32)
+
+
+_JOINED = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")
+_SPACE = re.compile(r"\s")
+
 
-    return ids
+@cache
+def byte_bpe(path: str) -> ByteBpe:
+    """One encoder per worker, so that words stay known from task to task."""
+    return ByteBpe(path)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0, vocabulary: int = 50_257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,8 +199,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, vocabulary: int =
             ids = batch.column(0)
             texts = batch.column(1)
             for i in range(batch.num_rows):
-                got = encode(texts[i].as_py() or "")
-                got = np.array([*got, end_id], np.uint32)
+                got = np.append(encode(texts[i].as_py() or ""), np.uint32(end_id))
                 doc = ids[i].as_py()
                 doc_ids.append(-(1 << 63) if doc is None else doc)
                 counts.append(len(got))
