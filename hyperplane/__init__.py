@@ -1,0 +1 @@
+"""Kernel-machine analytics on Spark DataFrames."""
