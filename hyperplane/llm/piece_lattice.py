@@ -18,7 +18,8 @@ largest node is expanded next, so leaves come in order of their perturbed
 log-probabilities: the first k are k distinct segmentations sampled without
 replacement, and the next maximum is the threshold of their inclusion scores,
 1 - exp(-exp(log p - threshold)).  A text with fewer segmentations gives all of
-them, with inclusion 1.
+them, with inclusion 1; what has a share below 1e-12 together counts as nothing,
+as double precision can't tell it from rounding.
 
 All random numbers are hashes of (seed, row key, place), so a row's samples do
 not depend on partitions or on other rows.
