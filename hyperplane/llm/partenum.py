@@ -64,12 +64,12 @@ SEEDS = 6
 
 
 def _levels() -> list[tuple[int, int, int, int]]:
-    """(largest k, n1, n2, k2) of each band: subsets of two of three for small sets, single partitions for others."""
-    out = [(2 * n1 - 1, n1, 3, 1) for n1 in (1, 2, 3, 4, 6, 9, 13, 18)]
-    n1 = 44
+    """(largest k, n1, n2, k2) of each band: subsets of two of three for the smallest sets, single partitions for others."""
+    out = [(2 * n1 - 1, n1, 3, 1) for n1 in (1, 2, 3)]
+    n1 = 8
     while out[-1][0] < 1 << 40:
-        out.append((int(n1 * 0.92) - 1, n1, 1, 0))
-        n1 = int(n1 * 1.6)
+        out.append((min(n1 - 1, int(n1 * 0.94)), n1, 1, 0))
+        n1 = int(n1 * 1.5)
     return out
 
 
@@ -121,8 +121,8 @@ def signatures(grams: np.ndarray, offs: np.ndarray, percent: int = PERCENT) -> t
             sums = _sums(mix(g + salt), cell, len(todo) * parts).reshape(-1, n1, n2)
             some = (np.bincount(cell, minlength=len(todo) * parts) > 0).reshape(-1, n1, n2)
             empty = ((~some).sum(2) >= n2 - k2).sum(1)
-            # The partitions with at most k2 differences number n1 - k // (k2 + 1) at least.
-            poor = n1 - most // (k2 + 1) <= empty
+            # The partitions with at most k2 differences number n1 - k // (k2 + 1) at least, k being the most in any pair of this set.
+            poor = n1 - np.minimum(most, k_high[todo]) // (k2 + 1) <= empty
             for c, subset in enumerate(combinations(range(n2), n2 - k2)):
                 total = sums[:, :, subset].sum(2, dtype=np.uint64)
                 use = some[:, :, subset].any(2) | (poor & (seed == SEEDS - 1))[:, None]
@@ -408,6 +408,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches allow the similarity; most pairs that only share a passage end here, before their sets are moved."""
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                keep = apart <= difference(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+                yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    joined = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(allowed, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, number of shingles, and the smallest id that links reach from it."""
     spark = docs.sparkSession
@@ -426,7 +443,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     built = rows.join(keyed, "doc_id").select("node", "text").mapInArrow(_sets(n), "node long, n long, sketch binary, grams binary")
     sets = written(built, "jaccard-sets")
 
-    links = written(_verified(pairs.unionByName(_candidates(members, sets, None, percent)).distinct(), sets, percent), "jaccard-links")
+    likely = written(_sketched(pairs, sets, percent).unionByName(_candidates(members, sets, None, percent)).distinct(), "jaccard-likely")
+    links = written(_verified(likely, sets, percent), "jaccard-links")
     roots = components(links)
     if not members.isEmpty():
         more = written(_candidates(members, sets, roots, percent), "jaccard-more")
