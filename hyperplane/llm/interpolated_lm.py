@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, written, written_by_kind
 from .textbatch import LOWER, Words, flat, mix, pieces
 
 #: Bytes of text in a batch.
@@ -261,7 +261,8 @@ def _with_pairs(buckets: int):
             b = Batch(data)
             totals = np.concatenate([_counts(*x) for x in replies])
             _, of, _ = b.pairs(buckets)
-            yield _row(0, number, -1, pack(*b.parts, *_split(totals[of])))
+            # Hashes of words are not needed any more.
+            yield _row(0, number, -1, pack(*b.parts[:4], b.words[:0], *b.parts[5:], *_split(totals[of])))
 
     return emit
 
@@ -356,19 +357,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("doc_id", out.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
 
     def answered(sent: DataFrame, replies: DataFrame) -> DataFrame:
-        both = sent.where("kind = 0").unionByName(replies.where("kind = 2"))
+        both = sent.unionByName(replies.where("kind = 2"))
         return both.repartition(parts, "batch").sortWithinPartitions("batch", F.desc("kind"), "bucket")
 
-    tokens = written(rows.mapInArrow(_tokens(buckets), SENT), "lm-tokens")
-    counts = written(tokens.where("kind = 1").repartition(parts, "bucket").mapInArrow(_added(8), SENT), "lm-counts")
+    # Tables that are done with are dropped, and their shuffles let go, before the next is made: what lies on disk at a time stays a few times the tokens.
+    tokens, words = written_by_kind(rows.mapInArrow(_tokens(buckets), SENT), "lm-tokens", (0, 1))
+    counts = written(words.repartition(parts, "bucket").mapInArrow(_added(8), SENT), "lm-counts")
+    dropped(words)
     sums = np.array([unpack(r.data)[0] for r in counts.where("kind = 3").select("data").collect()] or [[0, 0]])
     n, v = (int(x) for x in sums.sum(0))
     train_docs = rows.select("held").where("not held").count()
-    pairs = written(answered(tokens, counts).mapInArrow(_bigrams(buckets), SENT), "lm-pairs")
+    known, pairs = written_by_kind(answered(tokens, counts).mapInArrow(_bigrams(buckets), SENT), "lm-pairs", (0, 1))
     dropped(tokens)
-    totals = written(pairs.where("kind = 1").repartition(parts, "bucket").mapInArrow(_added(5), SENT), "lm-totals")
-    full = written(answered(pairs, totals).mapInArrow(_with_pairs(buckets), SENT), "lm-full")
+    dropped(counts)
+    totals = written(pairs.repartition(parts, "bucket").mapInArrow(_added(5), SENT), "lm-totals")
     dropped(pairs)
+    full = written(answered(known, totals).mapInArrow(_with_pairs(buckets), SENT), "lm-full")
+    dropped(known)
     dropped(totals)
     cells = full.mapInArrow(_histogram(train_docs, n), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], np.float64), v)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +29,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` returned and nothing reads any more."""
+def written_by_kind(df: DataFrame, name: str, kinds: tuple[int, ...]) -> list[DataFrame]:
+    """df as one table per value of its column ``kind``, from one pass; each can be dropped by itself."""
     spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    rest = StructType([f for f in df.schema if f.name != "kind"])
+    fs, jvm_path = _file_system(spark, path)
+    out = []
+    for k in kinds:
+        # A kind without rows has no folder.
+        some = fs.exists(jvm_path(f"{path}/kind={k}"))
+        table = spark.read.schema(rest).parquet(f"{path}/kind={k}") if some else spark.createDataFrame([], rest)
+        out.append(table.selectExpr(f"int({k}) kind", "*"))
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` returned and nothing reads any more, and lets go of shuffles that nothing refers to."""
+    spark = df.sparkSession
     for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = _file_system(spark, folder)
+        fs.delete(at(folder), True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of an id column that may be broadcast: 8 bytes each.
