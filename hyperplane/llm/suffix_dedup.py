@@ -553,7 +553,9 @@ class Removal:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"coalesce(cast(`{text_col}` as string), '') text")
         sized = written(self.rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "suffix-sized")
+        # A table of its own, so that the join on the hash has plain shuffles on both sides and a large group of copies is split.
         first = sized.where(F.col("n_bytes") >= K).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        first = written(first, "suffix-firsts")
         copies = written(sized.where(F.col("n_bytes") >= K).join(first, "sha").where("doc_id > first").select("doc_id").distinct(), "suffix-copies")
         self.n_copies = copies.count()
         self.copies = F.broadcast(copies) if self.n_copies <= BROADCAST_ROWS else copies
