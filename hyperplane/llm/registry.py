@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotation import link_quotations
+
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -116,6 +122,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quotation_threads": op1_quotation_threads,
         "op2_decontaminate": op2_decontaminate,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_jaccard_join": op4_jaccard_join,
