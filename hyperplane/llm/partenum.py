@@ -19,10 +19,9 @@ each other both do so, hence no pair is lost.
 Plan: one pass over the texts emits packed signatures, dealt by hash to shuffle
 buckets, with equal sets of a worker merged before the shuffle.  Buckets find
 groups that share a signature.  A small group gives its pairs; a larger one is
-compared by odd sketches (a lower bound of the difference), and gives all pairs
-that pass when they are few for its size, else a cover by leaders; after the
-verified links are joined, larger groups still in several components give the
-pairs between those.  Candidates are verified on their sets.  Copies (equal
+compared by odd sketches (a lower bound of the difference), and gives a cover of
+the pairs that pass by leaders; after the verified links are joined, larger
+groups still in several components give all passing pairs between those.  Candidates are verified on their sets.  Copies (equal
 sets) are one node throughout, so thousands of copies cost one.
 
 Sets are compared by 64-bit hashes; nodes are 64-bit set fingerprints.
@@ -52,9 +51,7 @@ from .textbatch import Words, flat, mix, pieces, shingle_sets
 SHINGLE = 5
 PERCENT = 80
 #: Groups up to this size give all their pairs.
-SMALL = 6
-#: Candidate pairs per member that a larger group gives at once.
-PER_MEMBER = 8
+SMALL = 3
 #: Members of a larger group that are compared in one task; a larger one is dealt in pairs of blocks.
 BLOCK = 4096
 SKETCH_BITS = 2048
@@ -303,7 +300,7 @@ def _passing(n: np.ndarray, bits: np.ndarray, percent: int, apart: np.ndarray |
 def _compared(percent: int, everything: bool):
     """Candidate pairs of larger groups; rows: gid, block, other, node, n, sketch, root, sorted by (gid, block, other).
 
-    First turn: all passing pairs when few, else a cover by leaders.  Second
+    First turn: a cover of the passing pairs by leaders.  Second
     (``everything``): all passing pairs between different components.
     """
 
@@ -320,7 +317,8 @@ def _compared(percent: int, everything: bool):
             root = root[order] if root is not None else None
             m = int((home == block).sum())
             i, j = _passing(n, bits, percent, root) if block == other else _passing(n, bits, percent, root, slice(0, m), slice(m, None))
-            if not everything and len(i) > PER_MEMBER * len(node):
+            if not everything and len(i):
+                # Leaders in order of how many they may link with, by powers of two, then of node: groups of one cluster choose alike.
                 both = np.concatenate((i, j)), np.concatenate((j, i))
                 degree = np.bincount(both[0], minlength=len(node))
                 order = np.argsort(both[0], kind="stable")
@@ -328,10 +326,10 @@ def _compared(percent: int, everything: bool):
                 near = both[1][order]
                 bare = degree > 0
                 left, right = [], []
-                for x in np.argsort(-degree, kind="stable"):
+                for x in np.lexsort((node, -np.frexp(degree)[1])):
                     mine = near[cut[x] : cut[x + 1]]
-                    if bare[x] or bare[mine].any():
-                        fresh = mine[bare[mine]] if not bare[x] else mine
+                    fresh = mine[bare[mine]] if not bare[x] else mine
+                    if len(fresh):
                         left.append(np.full(len(fresh), x))
                         right.append(fresh)
                         bare[mine] = bare[x] = False
@@ -455,4 +453,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = documents.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = of.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     alone = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("smallest")), F.col("doc_id"))
+    # A table of its own, so that the join on the root has plain shuffles on both sides and a large component is split.
+    nodes = written(nodes, "jaccard-smallest")
     return of.join(nodes, "root", "left").select("doc_id", "n_shingles", alone.alias("component_id"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,7 +34,7 @@ BLOCK = 4096
 #: Ids in one token file at most, unless one document has more.
 FILE_IDS = 4_000_000
 #: Words whose ids a worker remembers.
-MEMORY = 300_000
+MEMORY = 500_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -109,8 +110,7 @@ class ByteBpe:
 
     The vocabulary's pattern never joins what stands before a single space to
     what follows it, unless white space surrounds the space: such texts are
-    encoded in one piece, others word by word with the space in front.  Words
-    not yet known are encoded together, each on a line, and cut at the line feeds.
+    encoded in one piece, others word by word with the space in front.
     """
 
     def __init__(self, path: str):
@@ -121,49 +121,90 @@ class ByteBpe:
         self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
-        feed = self._plain(["\n"])[0]
-        self.feed = feed[0] if len(feed) == 1 else None
+        self.tails: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.dtype == "<u2" else "I"
+        return [array(code, x).tobytes() for x in self._plain(texts)]
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of words of letters with a space in front: each is one piece of the pattern, so the model alone encodes it."""
+        tokenize, code = self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I"
+        space = _BYTE_CHARS[0x20]
+        spelled = (space + w if w.isascii() else (" " + w).encode().decode("latin-1").translate(_BYTE_CHARS) for w in words)
+        return {w: array(code, [t.id for t in tokenize(x)]).tobytes() for w, x in zip(words, spelled, strict=True)}
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Packed ids of words with a space in front."""
-        simple = [w for w in words if w and not _SPACE.search(w)] if self.feed is not None else []
-        others = list(words.difference(simple))
-        out = dict(zip(others, (np.array(x, self.dtype).tobytes() for x in self._plain([" " + w for w in others])), strict=True))
-        if simple:
-            ids = np.array(self._plain(["\n".join([" " + w for w in simple])])[0])
-            feeds = np.flatnonzero(ids == self.feed).tolist()
-            if len(feeds) == len(simple) - 1:
-                packed, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-                for w, i, j in zip(simple, [0, *[x + 1 for x in feeds]], [*feeds, len(ids)], strict=True):
-                    out[w] = packed[width * i : width * j]
+        """Packed ids of words with a space in front.
+
+        Letters and the marks after them are apart in the vocabulary's pattern
+        (but for what follows an apostrophe), so a word of both is its letters'
+        ids and its marks', each known on its own.
+        """
+        known, tails = self.known, self.tails
+        parts, letters, marks, others = [], set(), set(), []
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if not stem.isalpha():
+                others.append(w)
+            elif len(stem) == len(w):
+                letters.add(w)
             else:
-                out |= zip(simple, (np.array(x, self.dtype).tobytes() for x in self._plain([" " + w for w in simple])), strict=True)
+                tail = w[len(stem) :]
+                parts.append((w, stem, tail))
+                if stem not in known:
+                    letters.add(stem)
+                if tail not in tails:
+                    marks.add(tail)
+        out = self._letters(list(letters))
+        out |= zip(others, self._packed([" " + w for w in others]), strict=True)
+        if marks:
+            if len(tails) + len(marks) > MEMORY // 10:
+                held = {t for _, _, t in parts}
+                marks |= held
+                tails.clear()
+            tails |= zip(list(marks), self._packed(list(marks)), strict=True)
+        for w, stem, tail in parts:
+            out[w] = (out.get(stem) or known[stem]) + tails[tail]
         return out
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if _JOINED.search(text):
+        if _may_join(text) and _JOINED.search(text):
             return np.array(self._plain([text])[0], np.uint32)
-        words = text.split(" ")
-        first = np.array(self._plain([words[0]])[0] if words[0] else [], self.dtype).tobytes()
-        del words[0]
+        first, *words = text.split(" ")
+        head = self._packed([first])[0] if first else b""
         known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            fresh = self._learn({w for w, x in zip(words, found, strict=True) if x is None})
-            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            if len(known) + len(fresh) > MEMORY:
+        fresh = set(words).difference(known)
+        if fresh:
+            if len(known) + 2 * len(fresh) > MEMORY:
                 known.clear()
-            known |= {w: x for w, x in fresh.items() if len(w) <= 40}
-        return np.frombuffer(first + b"".join(found), self.dtype).astype(np.uint32)
+                fresh = set(words)
+            known |= self._learn(fresh)
+        out = np.frombuffer(head + b"".join(map(known.__getitem__, words)), self.dtype).astype(np.uint32)
+        for w in fresh:
+            if len(w) > 40:
+                del known[w]
+        return out
 
 
+def _may_join(text: str) -> bool:
+    """False only if no white space stands before a space."""
+    return not text.isascii() or text[0] == " " or any(x in text for x in _PAIRS)
+
+
+_PAIRS = [c + " " for c in map(chr, range(128)) if c.isspace()]
 _JOINED = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")
-_SPACE = re.compile(r"\s")
+#: The characters that byte-level BPE writes for bytes without a printable one of their own: from 256 on, in order.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+#: ASCII marks that the vocabulary's pattern takes together; the apostrophe is not among them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @cache
