@@ -74,11 +74,6 @@ def against(left: DataFrame, right: DataFrame, kernel: Kernel, extra: list[str],
         return left.select("id", "x", *left_extra).mapInArrow(run, schema)
 
     # Packed blocks of both sides meet pair by pair.
-    def packed(df: DataFrame, extras: list[str], name: str) -> DataFrame:
-        n = max(1, -(-df.count() // BLOCK_ROWS))
-        keyed = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name), F.struct("id", "x", *extras).alias("row"))
-        return keyed.groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows"))
-
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
@@ -86,11 +81,18 @@ def against(left: DataFrame, right: DataFrame, kernel: Kernel, extra: list[str],
                 got = partial(columns_of(mine, left_extra), columns_of(other, extra))
                 yield pa.RecordBatch.from_arrays([mine.column("id").combine_chunks(), *map(pa.array, got)], ["id", *names])
 
-    blocks = packed(left, left_extra, "a").join(packed(right, extra, "b"))
+    blocks = _packed(left, left_extra, "a").join(_packed(right, extra, "b"))
     parts = blocks.select("a_rows", "b_rows").repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(joined, schema)
     return parts.groupBy("id").agg(*(getattr(F, how)(n).alias(n) for n, (how, _) in results.items()))
 
 
+def _packed(df: DataFrame, extras: list[str], name: str) -> DataFrame:
+    """Rows of df in blocks of about BLOCK_ROWS."""
+    n = max(1, -(-df.count() // BLOCK_ROWS))
+    keyed = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name), F.struct("id", "x", *extras).alias("row"))
+    return keyed.groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows"))
+
+
 def row_sums(df: DataFrame, kernel: Kernel) -> DataFrame:
     """Of each row: the sum of its kernel row, and the largest value against another row (null with no other)."""
     others = lambda k, a, b: np.where(a["id"][:, None] == b["id"][None, :], -np.inf, k).max(1)
@@ -138,7 +140,17 @@ def most_similar(df: DataFrame, kernel: Kernel, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(mine_id, order.shape[1])[keep]), pa.array(ids[order].ravel()[keep]), pa.array(value.ravel()[keep])], ["id", "other", "k"])
 
     if theirs is None:
-        raise ValueError("more rows than a worker may hold; block the right side by id ranges and combine with topn()")
+        # Packed blocks meet pair by pair, as in ``against``; each gives n rows per row, and the best of all are taken after.
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                    mine, other = (pa.Table.from_struct_array(x.values) for x in (a, b))
+                    ids, x, to, z = mine.column("id").to_numpy(), matrix(mine.column("x")), other.column("id").to_numpy(), matrix(other.column("x"))
+                    for at in range(0, len(ids), 256):
+                        yield top(ids[at : at + 256], x[at : at + 256], to, z)
+
+        blocks = _packed(df, [], "a").join(_packed(df, [], "b")).select("a_rows", "b_rows").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return topn(blocks.mapInArrow(joined, "id long, other long, k double"), "id", n)
     shared = df.sparkSession.sparkContext.broadcast(theirs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,9 +62,11 @@ def test_blocks_agree_with_broadcast(problem, monkeypatch):
     """The join of packed blocks gives what the broadcast gives."""
     results = lambda: {r.id: (round(r.row_sum, 9), round(r.largest, 9)) for r in gram.row_sums(problem, K.RBF).collect()}
     want = results()
+    near = lambda: sorted((r.id, r.rank, r.other) for r in gram.most_similar(problem, K.RBF, 3).collect())
+    nearest = near()
     monkeypatch.setattr(gram, "BROADCAST_BYTES", 10)
     monkeypatch.setattr(gram, "BLOCK_ROWS", 50)
-    assert results() == want
+    assert results() == want and near() == nearest
 
 
 def test_state_steps(problem):
