@@ -57,6 +57,8 @@ BLOCK = 4096
 SKETCH_BITS = 2048
 #: Signatures gathered by a worker before it deals them out.
 GATHER = 500_000
+#: Sets of one signature among those from which on it is common: its members don't go to its bucket.
+COMMON = 512
 SEEDS = 6
 
 
@@ -142,7 +144,7 @@ def sketches(grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
 
 
-def _signed(buckets: int, n: int, percent: int):
+def _signed(buckets: int, n: int, percent: int, least_common: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         gathered, known = 0, set()
@@ -150,12 +152,24 @@ def _signed(buckets: int, n: int, percent: int):
 
         def deal() -> pa.RecordBatch:
             table = np.concatenate(held)
-            bucket = (table[:, 0] >> np.uint64(40)) % np.uint64(buckets)
+            table = table[np.argsort(table[:, 0])]
+            first = np.flatnonzero(np.concatenate(([True], table[1:, 0] != table[:-1, 0])))
+            runs = np.diff(np.concatenate((first, [len(table)])))
+            common = runs >= least_common
+            bucket_of = lambda sig: ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            blobs: list[tuple[int, int, bytes]] = []
+            if common.any():
+                # Members of a common signature go straight to its group, from any bucket; its own bucket hears that it is one.
+                for at, m in zip(first[common].tolist(), runs[common].tolist(), strict=True):
+                    blobs.append((int(table[at, 1] % np.uint64(buckets)), 4, table[at : at + m].tobytes()))
+                    blobs.append((int(bucket_of(table[at : at + 1, 0])[0]), 5, table[at : at + 1].tobytes()))
+                table = table[~np.repeat(common, runs)]
+            bucket = bucket_of(table[:, 0])
             order = np.argsort(bucket.astype(np.uint32), kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            some = np.flatnonzero(cut[1:] > cut[:-1])
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             table = table[order]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.zeros(len(some), np.int32)), pa.array([table[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "kind", "data"])
+            blobs += [(int(i), 0, table[cut[i] : cut[i + 1]].tobytes()) for i in np.flatnonzero(cut[1:] > cut[:-1])]
+            return pa.RecordBatch.from_arrays([pa.array([b[k] for b in blobs], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "data"])
 
         for batch in batches:
             buf, offs = flat(batch.column(1))
@@ -206,18 +220,24 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns += [np.zeros(n, np.int64)] * (4 - len(columns))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns)], ["kind", "a", "b", "c", "d"])
 
-    held = []
+    held, common = [], []
     for batch in batches:
         for kind, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             table = np.frombuffer(data.as_buffer(), np.uint64)
             if kind == 1:
                 table = table.reshape(-1, 4)
                 yield rows(1, *(table[:, k] for k in range(4)))
+            elif kind == 4:
+                table = table.reshape(-1, 2)
+                yield rows(3, table[:, 0], table[:, 1])
+            elif kind == 5:
+                common.append(table[0])
             else:
                 held.append(table.reshape(-1, 2).copy())
     if not held:
         return
     table = np.concatenate(held)
+    common = np.unique(np.array(common, np.uint64))
     held.clear()
     order = np.argsort(table[:, 0])
     sig = table[order, 0]
@@ -225,6 +245,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     multi = np.zeros(len(sig), bool)
     multi[1:] |= same
     multi[:-1] |= same
+    # What a bucket still has of a common signature joins the group that other workers' members form.
+    if len(common):
+        mine = np.isin(sig, common)
+        yield rows(3, sig[mine], table[order[mine], 1])
+        multi &= ~mine
     sig, node = sig[multi], table[order[multi], 1]
     del table, order
     order = np.lexsort((node, sig))
@@ -360,13 +385,15 @@ def _compared(percent: int, everything: bool):
     return compare
 
 
-def _by_blocks(members: DataFrame) -> DataFrame:
-    """Members (gid, node, ...) dealt to comparisons: one per group, or one per pair of blocks of a group above BLOCK."""
+def _by_blocks(members: DataFrame, everything: bool) -> DataFrame:
+    """Members (gid, node, ...) dealt to comparisons: one per group, or in a group above BLOCK one per block, and one of each with
+    the first block, so that their number is linear; with ``everything`` one per pair of blocks."""
     size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
     m = members.join(size, "gid").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     m = m.withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
     last = F.col("blocks").cast("long") - 1
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(F.least(k, "home").alias("block"), F.greatest(k, "home").alias("other")))
+    others = F.sequence(F.lit(0).cast("long"), last) if everything else F.when(F.col("home") == 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array(F.lit(0).cast("long"), "home"))
+    pair = F.transform(others, lambda k: F.struct(F.least(k, "home").alias("block"), F.greatest(k, "home").alias("other")))
     return m.withColumn("pair", F.explode(pair)).select("*", "pair.block", "pair.other").drop("pair", "m", "blocks")
 
 
@@ -380,7 +407,7 @@ def _candidates(members: DataFrame, sets: DataFrame, roots: DataFrame | None, pe
         m = m.join(open_, "gid", "left_semi")
     else:
         m = m.withColumn("root", F.col("node"))
-    m = _by_blocks(m).join(sets.select("node", "n", "sketch"), "node")
+    m = _by_blocks(m.distinct(), roots is not None).join(sets.select("node", "n", "sketch"), "node")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = m.repartition(parts, "gid", "block", "other").sortWithinPartitions("gid", "block", "other").select("gid", "block", "other", "node", "home", "n", "sketch", "root")
     return dealt.mapInArrow(_compared(percent, roots is not None), "a long, b long").distinct()
@@ -428,7 +455,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    signed = rows.mapInArrow(_signed(8 * parts, n, percent), "bucket int, kind int, data binary")
+    signed = rows.mapInArrow(_signed(8 * parts, n, percent, COMMON), "bucket int, kind int, data binary")
     found = written(signed.repartition(parts, "bucket").mapInArrow(_grouped, FOUND), "jaccard-found")
 
     documents = found.where("kind = 1").select(F.when(F.col("d") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))

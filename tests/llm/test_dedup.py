@@ -41,9 +41,11 @@ def test_jaccard_components(docs, rows):
     assert got == brute_components(rows)
 
 
-def test_jaccard_large_groups(spark, monkeypatch):
-    """Many distinct near copies of one text, and many texts that share half of theirs: groups above SMALL, dealt in blocks."""
+@pytest.mark.parametrize("common", [512, 2])
+def test_jaccard_large_groups(spark, monkeypatch, common):
+    """Many distinct near copies of one text, and many texts that share half of theirs: groups above SMALL, dealt in blocks, and common signatures."""
     monkeypatch.setattr(partenum, "BLOCK", 16)
+    monkeypatch.setattr(partenum, "COMMON", common)
     base = [f"b{i}" for i in range(120)]
     rows = []
     for k in range(60):
@@ -52,7 +54,7 @@ def test_jaccard_large_groups(spark, monkeypatch):
         rows.append((k, " ".join(t)))
     for k in range(60, 110):
         rows.append((k, " ".join([f"c{i}" for i in range(60)] + [f"d{k}x{i}" for i in range(60)])))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(tuple(r) for r in partenum.jaccard_components(docs).collect())
     assert got == brute_components(rows)
 
