@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written, written_by_kind
+from .shared import dropped, released, written, written_by_kind
 from .textbatch import LOWER, Words, flat, mix, pieces
 
 #: Bytes of text in a batch.
@@ -144,9 +144,10 @@ def _tokens(buckets: int):
 
 
 def _added(width: int):
-    """Rows (kind, batch, bucket, data) of a bucket, data = (hash, times): totals in the same order (kind 2), and sums of them (kind 3).
+    """Rows (kind, batch, bucket, data) of a bucket, data = (hash, times): totals in the same order, and sums of them (kind 3).
 
-    With width 5 hashes are five bytes each, kept as a low and a high part.
+    Totals of words are kind 2, with hashes of width 8.  Those of bigrams are
+    kind 4; their hashes are five bytes each, kept as a low and a high part.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +173,7 @@ def _added(width: int):
         del h, order
         at = 0
         for b, k, m in where:
-            yield _row(2, b, k, _small(of[at : at + m]) if width == 5 else pack(of[at : at + m]))
+            yield _row(4, b, k, _small(of[at : at + m])) if width == 5 else _row(2, b, k, pack(of[at : at + m]))
             at += m
 
     return add
@@ -225,25 +226,23 @@ class Batch:
         return np.add.reduceat(values, self.ends - self.counts) if len(values) else np.zeros(0)
 
 
-def _replied(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[list[np.ndarray]]]]:
-    """(batch, its row, replies in order of buckets) from rows sorted by (batch, kind descending, bucket)."""
-    replies: list[list[np.ndarray]] = []
+def _replied(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Batch, list[list[np.ndarray]]]]:
+    """(number, batch with word totals, replies about bigrams in order of buckets) from rows sorted by (batch, kind descending, bucket)."""
+    replies: dict[int, list[list[np.ndarray]]] = {2: [], 4: []}
     for batch in batches:
         for kind, number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
-            if kind == 2:
-                replies.append([x.copy() for x in unpack(data.as_buffer())])
+            if kind:
+                replies[kind].append([x.copy() for x in unpack(data.as_buffer())])
             else:
-                yield number, data.as_buffer(), replies
-                replies = []
+                yield number, Batch(data.as_buffer(), np.concatenate([x[0] for x in replies[2]])), replies[4]
+                replies = {2: [], 4: []}
 
 
 def _bigrams(buckets: int):
-    """Batches with word totals (kind 0), and their bigrams by bucket (kind 1)."""
+    """Bigrams of batches, by bucket (kind 1)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, data, replies in _replied(batches):
-            b = Batch(data, np.concatenate([x[0] for x in replies]))
-            yield _row(0, number, -1, pack(*b.parts, b.totals))
+        for number, b, _ in _replied(batches):
             h, _, times = b.pairs(buckets)
             bucket, rest = h % np.uint64(buckets), h // np.uint64(buckets)
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
@@ -254,15 +253,13 @@ def _bigrams(buckets: int):
 
 
 def _with_pairs(buckets: int):
-    """Batches with word totals and the total of each token's bigram."""
+    """Batches with word totals and the total of each token's bigram; hashes of words are not needed any more."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, data, replies in _replied(batches):
-            b = Batch(data)
+        for number, b, replies in _replied(batches):
             totals = np.concatenate([_counts(*x) for x in replies])
             _, of, _ = b.pairs(buckets)
-            # Hashes of words are not needed any more.
-            yield _row(0, number, -1, pack(*b.parts[:4], b.words[:0], *b.parts[5:], *_split(totals[of])))
+            yield _row(0, number, -1, pack(*b.parts[:4], b.words[:0], b.parts[5], b.totals, *_split(totals[of])))
 
     return emit
 
@@ -356,25 +353,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == held, F.lit(True))
     rows = rows.select("doc_id", out.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def answered(sent: DataFrame, replies: DataFrame) -> DataFrame:
-        both = sent.unionByName(replies.where("kind = 2"))
-        return both.repartition(parts, "batch").sortWithinPartitions("batch", F.desc("kind"), "bucket")
+    def answered(replies: DataFrame) -> DataFrame:
+        """Batches, each after its replies."""
+        return tokens.unionByName(replies.where("kind in (2, 4)")).repartition(parts, "batch").sortWithinPartitions("batch", F.desc("kind"), "bucket")
 
-    # Tables that are done with are dropped, and their shuffles let go, before the next is made: what lies on disk at a time stays a few times the tokens.
+    # Tables that are done with are dropped, and shuffles let go, before the next is made.
     tokens, words = written_by_kind(rows.mapInArrow(_tokens(buckets), SENT), "lm-tokens", (0, 1))
     counts = written(words.repartition(parts, "bucket").mapInArrow(_added(8), SENT), "lm-counts")
     dropped(words)
     sums = np.array([unpack(r.data)[0] for r in counts.where("kind = 3").select("data").collect()] or [[0, 0]])
     n, v = (int(x) for x in sums.sum(0))
     train_docs = rows.select("held").where("not held").count()
-    known, pairs = written_by_kind(answered(tokens, counts).mapInArrow(_bigrams(buckets), SENT), "lm-pairs", (0, 1))
-    dropped(tokens)
-    dropped(counts)
-    totals = written(pairs.repartition(parts, "bucket").mapInArrow(_added(5), SENT), "lm-totals")
-    dropped(pairs)
-    full = written(answered(known, totals).mapInArrow(_with_pairs(buckets), SENT), "lm-full")
-    dropped(known)
-    dropped(totals)
+    totals = written(answered(counts).mapInArrow(_bigrams(buckets), SENT).repartition(parts, "bucket").mapInArrow(_added(5), SENT), "lm-totals")
+    released(spark)
+    full = written(answered(counts.unionByName(totals)).mapInArrow(_with_pairs(buckets), SENT), "lm-full")
+    for table in (tokens, counts, totals):
+        dropped(table)
     cells = full.mapInArrow(_histogram(train_docs, n), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], np.float64), v)
     return full.mapInArrow(_scored(weights, train_docs, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

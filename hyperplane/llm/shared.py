@@ -52,11 +52,16 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` returned and nothing reads any more, and lets go of shuffles that nothing refers to."""
+    """Deletes the files of a table that ``written`` returned and nothing reads any more."""
     spark = df.sparkSession
     for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
         fs, at = _file_system(spark, folder)
         fs.delete(at(folder), True)
+    released(spark)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets go of the files of shuffles that nothing refers to any more, which Spark does only as the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
