@@ -100,7 +100,8 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
         before[r.part], total = total, total + r.n
     offset = F.element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), F.col("part")) if before else F.lit(0)
     ranked = ranged.withColumn("rank", (offset + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1).cast("long"))
-    starts = ranked.groupBy("conv_id").agg(F.min("rank").alias("start"))
+    # A table of its own, so that the join has plain shuffles on both sides and a large conversation is split.
+    starts = written(ranked.groupBy("conv_id").agg(F.min("rank").alias("start")), "quotation-starts")
     out = ranked.join(starts, "conv_id", "left")
     return out.select("conv_id", "turn", "role", "reply_to", "root", F.when(usable, F.col("rank") - F.col("start")).alias("position"), "n_quoted", F.col("deepest").cast("int").alias("deepest"), "body")
 
