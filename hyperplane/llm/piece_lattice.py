@@ -47,7 +47,7 @@ SPACE = "▁".encode()
 #: Zipf offset and exponent of piece weights by merge rank.
 ZIPF_SHIFT, ZIPF_POWER = 2.7, 1.0
 SEED = 17
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 SCHEMA = "doc_id long, sample int, n_ids long, log_prob double, perturbed double, inclusion double, ids binary"
 
 
@@ -88,20 +88,26 @@ class Vocabulary:
                     children.append({})
                 at = children[at][c]
             ends[at] = i, -ZIPF_POWER * np.log(rank + ZIPF_SHIFT) - norm
+        # States with children come first; all others share one row of the table, which leads nowhere.
         self.width = len(used) + 1
-        self.next = np.zeros(len(children) * self.width, np.int32)
-        for at, kids in enumerate(children):
-            for c, to in kids.items():
-                self.next[at * self.width + c] = to
+        parents = [at for at, kids in enumerate(children) if kids or at < 2]
+        self.inner = len(parents)
+        number = {at: k for k, at in enumerate(parents)}
+        for at in range(len(children)):
+            number.setdefault(at, len(number))
+        self.next = np.zeros((self.inner + 1) * self.width, np.int32)
+        for at in parents:
+            for c, to in children[at].items():
+                self.next[number[at] * self.width + c] = number[to]
         self.weight = np.full(len(children), -np.inf)
         self.id = np.zeros(len(children), np.int32)
         for at, (i, w) in ends.items():
-            self.weight[at], self.id[at] = w, i
+            self.weight[number[at]], self.id[number[at]] = w, i
         #: A byte weighs as the rarest piece would.
         self.byte_weight = float(self.weight[np.isfinite(self.weight)].min()) - np.log(2)
 
     def step(self, state: np.ndarray, byte_class: np.ndarray) -> np.ndarray:
-        return self.next[state * self.width + byte_class]
+        return self.next[np.minimum(state, self.inner) * self.width + byte_class]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids spell, without the space in front."""
