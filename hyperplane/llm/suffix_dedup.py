@@ -369,7 +369,7 @@ def _judged(groups: int, merges: int):
         border = np.concatenate(([0], np.flatnonzero(anchor[by][1:] != anchor[by][:-1]) + 1, [len(by)]))
         a = 0
         while a < len(border) - 1:
-            b = max(a + 1, int(np.searchsorted(total[border], total[border[a]] + (2 << 20), "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(total[border], total[border[a]] + (1 << 20), "right")) - 1)
             mine = by[border[a] : border[b]]
             yield from _judge_part(head[mine], body, offs[mine], groups, merges)
             a = b
