@@ -1,5 +1,7 @@
 """Quotation linking on threads written by hand."""
 
+import random
+
 import pytest
 from hyperplane.llm.quotation import conversation_text, link_quotations
 
@@ -50,3 +52,59 @@ def test_empty_and_format(spark, linked):
     assert link_quotations(spark.createDataFrame([], SCHEMA)).count() == 0
     first = conversation_text(linked.where("conv_id = 1 and position = 2")).first()
     assert first.formatted == "<|b|>\nA new topic\nwith two lines\n"
+
+
+PLAIN = "conv_id long, turn long, role string, text string"
+
+
+def test_passages_before_lines(spark):
+    """Lines that many messages hold do not outvote the passage, and each holder of a line is a candidate."""
+    rows = [
+        (1, 0, "a", "Hi all\nThanks for the update\nAlpha"),
+        (1, 1, "b", "Hi all\nThanks for the update\nBeta"),
+        (1, 2, "c", "> Hi all\n> Thanks for the update\n> Beta\nyes"),
+        (1, 3, "c", "> Hi all Thanks\n> for the update Alpha\nwrapped anew"),
+        (1, 4, "c", "> Hi all\n> Thanks for the update\nno first line tells them apart"),
+        (2, 0, "a", "same\ntext"), (2, 1, "b", "same\ntext"), (2, 2, "c", "> same\n> text\nof the latest"),
+    ]
+    got = {(r.conv_id, r.turn): r.reply_to for r in link_quotations(spark.createDataFrame(rows, PLAIN)).collect()}
+    assert got[1, 2] == 1 and got[1, 3] == 0 and got[1, 4] == 1 and got[2, 2] == 1
+
+
+def _runs(text):
+    out = []
+    for line in text.split("\n"):
+        level, body = (line.count(">"), line.lstrip("> ")) if line.startswith(">") else (0, line)
+        if out and out[-1][0] == level:
+            out[-1][1].append(body)
+        else:
+            out.append((level, [body]))
+    return out
+
+
+def _brute(messages):
+    """reply_to by comparing each message with all earlier ones."""
+    found = {}
+    for turn, text in messages.items():
+        scores = {}
+        earlier = {t: [x for level, x in _runs(messages[t]) if level == 0] for t in messages if t < turn}
+        for level, run in (x for x in _runs(text) if x[0]):
+            whole = [t for t, held in earlier.items() if any(" ".join(h) == " ".join(run) for h in held)]
+            credit = [(t, len(run)) for t in whole] or [(t, sum(any(line in h for h in held) for line in run)) for t, held in earlier.items()]
+            for t, n in credit:
+                near, total = scores.get(t, (0, 0))
+                scores[t] = (near + n * (level == 1), total + n)
+        best = max(((*s, t) for t, s in scores.items() if s[1]), default=(None,))
+        found[turn] = best[-1]
+    return found
+
+
+def test_replies_against_all_pairs(spark):
+    rng = random.Random(5)
+    convs = {}
+    for c in range(12):
+        convs[c] = {}
+        for t in range(25):
+            convs[c][t] = "\n".join("> " * rng.choice([0, 0, 1, 1, 2]) + f"w{int(rng.random() ** 2 * 9)}" for _ in range(rng.randrange(1, 9)))
+    got = {(r.conv_id, r.turn): r.reply_to for r in link_quotations(spark.createDataFrame([(c, t, "a", x) for c, m in convs.items() for t, x in m.items()], PLAIN)).collect()}
+    assert got == {(c, t): r for c, m in convs.items() for t, r in _brute(m).items()}
