@@ -45,7 +45,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = f"{TOKENIZERS}/piece_bpe_32k.model"
     decoded = decode_ids(encode_topk(docs, path), path)
-    return decoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
+    return decoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

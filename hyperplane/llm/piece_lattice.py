@@ -408,7 +408,7 @@ def encode_topk(docs: DataFrame, path: str, k: int = 2, seed: int = SEED, id_col
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
-    """The encoded rows with the texts their ids spell instead of the ids."""
+    """The encoded rows with the ids as arrays, their checksum, and the texts they spell."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
@@ -418,6 +418,8 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
                 ids = [np.frombuffer(x.as_buffer(), "<i4") for x in part.column(6)]
                 texts = [voc.decode(x).decode("utf-8", "replace") for x in ids]
                 crc = [zlib.crc32(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(crc, pa.int64()), pa.array(texts, pa.string())], [*part.schema.names[:6], "ids_crc32", "decoded"])
+                offs = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+                arrays = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], arrays, pa.array(crc, pa.int64()), pa.array(texts, pa.string())], [*part.schema.names[:6], "ids", "ids_crc32", "decoded"])
 
-    return encoded.mapInArrow(decode, SCHEMA.replace("ids binary", "ids_crc32 long, decoded string"))
+    return encoded.mapInArrow(decode, SCHEMA.replace("ids binary", "ids array<int>, ids_crc32 long, decoded string"))

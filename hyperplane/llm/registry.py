@@ -58,7 +58,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{TOKENIZERS}/piece_bpe_32k.model"
     decoded = decode_ids(encode_topk(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
+    return decoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,25 @@ def test_round_trip(docs, rows, empty, spark):
     assert P.encode_topk(empty, MODEL).count() == 0
 
 
+def test_results_hold_the_ids(spark, voc):
+    """The query and the pipeline's last stage give the ids themselves, which spell the text."""
+    import zlib
+
+    from hyperplane.llm import registry
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    at = "/root/testdata/sf0.001"
+    docs = registry.table(spark, at, "documents").limit(20)
+    texts = {r.doc_id: (r.text or "").replace("▁", " ").encode() for r in docs.collect()}
+    for out in (registry.op3_sentencepiece(spark, at), corpus_pipeline.tokens(spark, docs, at)):
+        some = [r for r in out.collect() if r.doc_id in texts]
+        assert {r.doc_id for r in some} == set(texts)
+        for r in some:
+            ids = np.array(r.ids, "<i4")
+            assert len(ids) == r.n_ids and zlib.crc32(ids.tobytes()) == r.ids_crc32
+            assert voc.decode(ids) == texts[r.doc_id] and zlib.crc32(texts[r.doc_id]) == r.text_crc32
+
+
 def test_pipeline(spark, tmp_path):
     import random
 
