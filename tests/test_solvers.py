@@ -104,3 +104,20 @@ def test_folds_and_grid(spark, problem):
     assert validation.power_range(-1, 3, 2.0, 2) == [0.5, 2.0, 8.0] and len(validation.power_range(*validation.GRID_C)) == 11
     found = validation.cross_validate(folds, validation.grid(spark, [0.5, 4.0], [0.1, 1.0]), "rbf", 5)
     assert found.count() == 4 and all(r.n == 120 for r in found.collect()) and validation.best(found).first().accuracy > 0.75
+
+
+def test_searches_cover_the_grid(spark, monkeypatch):
+    """Both searches try every C, and the RBF one every gamma, of the reference's grid."""
+    from hyperplane.plans import catalogue
+
+    tried = {}
+
+    def note(df, parameters, kernel, k):
+        tried[kernel] = sorted((r.c, r.gamma) for r in parameters.collect())
+        return spark.createDataFrame([(1.0, 1.0, 1, 1, 1.0)], "c double, gamma double, correct long, n long, accuracy double")
+
+    monkeypatch.setattr(validation, "cross_validate", note)
+    for name in ("grid_rbf", "grid_linear"):
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    every_c, every_gamma = validation.power_range(*validation.GRID_C), validation.power_range(*validation.GRID_GAMMA)
+    assert tried["rbf"] == sorted((c, g) for c in every_c for g in every_gamma) and [c for c, _ in tried["linear"]] == every_c
