@@ -45,7 +45,8 @@ from .textbatch import LOWER, Words, flat, mix, pieces
 
 #: Bytes of text in a batch.
 BATCH = 4 << 20
-CONTEXT_BUCKETS = 24
+#: One per power of two that a 64-bit count can reach.
+CONTEXT_BUCKETS = 64
 #: Histogram: tenths of decades of p2 and p1; bin 0 is zero.
 P2_BINS, P1_BINS = 82, 122
 ROUNDS = 60
@@ -168,8 +169,9 @@ def _added(width: int):
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         total = np.add.reduceat(n[order].astype(np.int64), first)
         yield _row(3, -1, -1, pack(np.array([total.sum(), (total > 0).sum()], np.int64)))
-        of = np.empty(len(h), np.uint32)
-        of[order] = np.minimum(np.repeat(total, np.diff(np.concatenate((first, [len(h)])))), 0xFFFFFFFF)
+        total = _narrow(total)
+        of = np.empty(len(h), total.dtype)
+        of[order] = np.repeat(total, np.diff(np.concatenate((first, [len(h)]))))
         del h, order
         at = 0
         for b, k, m in where:
@@ -179,8 +181,13 @@ def _added(width: int):
     return add
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all fit, in 64 otherwise."""
+    return n.astype(np.uint64 if len(n) and n.max() > 0xFFFFFFFF else np.uint32)
+
+
 def _counts(small: np.ndarray, at: np.ndarray, large: np.ndarray) -> np.ndarray:
-    out = small.astype(np.uint32)
+    out = small.astype(large.dtype)
     out[at] = large
     return out
 
@@ -188,7 +195,7 @@ def _counts(small: np.ndarray, at: np.ndarray, large: np.ndarray) -> np.ndarray:
 def _split(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts as single bytes, and places and values of those above 254."""
     at = np.flatnonzero(n > 254).astype(np.uint32)
-    return np.minimum(n, 255).astype(np.uint8), at, n[at].astype(np.uint32)
+    return np.minimum(n, 255).astype(np.uint8), at, _narrow(n[at])
 
 
 def _small(n: np.ndarray) -> bytes:

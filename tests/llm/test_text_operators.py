@@ -194,3 +194,18 @@ def test_isotonic():
     w, h = np.array([1.0, 0, 2, 1, 1, 0]), np.array([1.0, 0, 0, 1, 1, 0])
     curve = isotonic(w, h)
     assert (np.diff(curve) >= -1e-12).all() and abs(curve[0] - 1 / 3) < 0.34 and curve[-1] == 1
+
+
+def test_counts_beyond_32_bits():
+    """Totals of a token above 2**32 stay whole, in both forms, and contexts above 2**22 have buckets of their own."""
+    import types
+
+    from hyperplane.llm import interpolated_lm as lm
+
+    big, h = np.array([3 << 30], np.uint32), np.array([7], np.uint64)
+    for width, data in ((8, lm.pack(h, big)), (5, lm.pack(h.astype(np.uint32), np.zeros(1, np.uint8), *lm._split(big)))):
+        out = [x for x in lm._added(width)(iter([lm._rows(1, b, [(0, data)]) for b in (0, 1)])) if x.column(0)[0].as_py() != 3]
+        got = [lm.unpack(x.column(3)[0].as_buffer()) for x in out]
+        assert [int((x[0] if width == 8 else lm._counts(*x))[0]) for x in got] == [6 << 30] * 2
+    at = lambda n: int(lm.estimates(types.SimpleNamespace(parts=[None] * 7 + list(lm._split(np.array([1]))), totals=np.array([n]), token=np.array([0]), context=np.array([0])), 1, n, False)[0][0])
+    assert at(1 << 23) < at(1 << 30) < at(1 << 40) < lm.CONTEXT_BUCKETS
