@@ -368,14 +368,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens, words = written_by_kind(rows.mapInArrow(_tokens(buckets), SENT), "lm-tokens", (0, 1))
     counts = written(words.repartition(parts, "bucket").mapInArrow(_added(8), SENT), "lm-counts")
     dropped(words)
+    released(spark)
     sums = np.array([unpack(r.data)[0] for r in counts.where("kind = 3").select("data").collect()] or [[0, 0]])
     n, v = (int(x) for x in sums.sum(0))
     train_docs = rows.select("held").where("not held").count()
     totals = written(answered(counts).mapInArrow(_bigrams(buckets), SENT).repartition(parts, "bucket").mapInArrow(_added(5), SENT), "lm-totals")
     released(spark)
     full = written(answered(counts.unionByName(totals)).mapInArrow(_with_pairs(buckets), SENT), "lm-full")
-    for table in (tokens, counts, totals):
-        dropped(table)
+    dropped(tokens, counts, totals)
+    released(spark)
     cells = full.mapInArrow(_histogram(train_docs, n), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], np.float64), v)
     return full.mapInArrow(_scored(weights, train_docs, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,36 +2,49 @@
 
 Documents are sets of five-word shingle hashes; two link when their Jaccard
 similarity reaches the threshold, exactly.  Sets similar enough differ in at
-most ``k`` elements, where k follows from the larger set's size.  The feature
-domain is cut into ``n1`` first-level partitions, each into ``n2`` second-level
-ones; a set's signatures are the hashes of its elements in every subset of
-``n2 - k2`` second-level partitions of a first-level one.  With
-``n1 * (k2 + 1) > k`` some first-level partition holds at most k2 differences,
-and the subset without them is equal in both sets.  ``LEVELS`` are bands of k
-with one partitioning each; a set takes part in the bands of every size that may
-be its larger partner, so two similar sets always share one.
-
-A subset without elements says nothing.  A set that could share only such
-subsets (too many empty partitions) also signs under a second partitioning, and
-so on; the last partitioning signs empty subsets too.  Two sets that could miss
-each other both do so, hence no pair is lost.
+most ``k`` elements, where k follows from their sizes.  The feature domain is
+cut into ``n1`` first-level partitions, each into ``n2`` second-level ones; a
+set's signatures are the hashes of its elements in every subset of ``n2 - k2``
+second-level partitions of a first-level one.  Of two sets that differ in k
+elements, at most ``k // (k2 + 1)`` first-level partitions hold more than k2
+differences; in any other one, a subset without differences is equal in both.
+``LEVELS`` are bands of k with one partitioning each; a set takes part in the
+bands of every size that may be its larger partner.
+
+A set signs first-level partitions in their order until ``k // (k2 + 1) + 1`` of
+them are usable, k being the most for any partner in that band; one is usable if
+no subset of it is empty.  The shorter of two prefixes holds a usable partition
+with an equal subset, and the other set signs it too, so no pair is lost and
+none signs more than its own size asks for.  A set with too few usable
+partitions also signs under a second partitioning, and so on; the last one signs
+empty subsets too.
 
 Plan: one pass over the texts emits packed signatures, dealt by hash to shuffle
 buckets, with equal sets of a worker merged before the shuffle.  Buckets find
-groups that share a signature.  A small group gives its pairs; a larger one is
-compared by odd sketches (a lower bound of the difference), and gives a cover of
-the pairs that pass by leaders; after the verified links are joined, larger
-groups still in several components give all passing pairs between those.  Candidates are verified on their sets.  Copies (equal
-sets) are one node throughout, so thousands of copies cost one.
+groups that share a signature; groups with the same members are one group.
+Candidates come in three turns, and after each the verified links are joined,
+so that groups within one component fall out:
 
-Sets are compared by 64-bit hashes; nodes are 64-bit set fingerprints.
+  stars   each member with the smallest of its group
+  covers  each member with one member of another component
+  rest    all pairs between different components
+
+Pairs of the last two are formed inside a group's task and leave it only if odd
+sketches (a lower bound of the difference) allow them.  A group above ``LARGE``
+that is still open is cut by signatures of another partitioning, which every
+similar pair in it shares again; what stays above ``BLOCK`` is dealt in pairs of
+blocks.  Every candidate is verified on its sets.  Copies (equal sets) are one
+node throughout, so thousands of copies cost one.
+
+Shingles and sets are known by 64-bit hashes.  Signatures travel as 32 bits and
+their bucket, with 48 bits of the set's hash: both can only add candidates.
 
 Cases: a null or empty text, or one without words, has no shingles, links with
 nothing and is its own component.  Fewer than five words make one shingle.  Rows
 with equal ids are separate rows of one id; the component of rows is the
-smallest id reachable.  A row with a null id is carried through and gets the
-component of its copies; a text that only such rows hold links with nothing.  Only the named columns are read.  An empty table gives an
-empty result.
+smallest id reachable.  A row with a null id links like any other and gets the
+smallest id of its component, null if there is none.  Only the named columns
+are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,30 +58,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BROADCAST_ROWS, written
+from .shared import BROADCAST_ROWS, dropped, released, written, written_by_kind
 from .textbatch import Words, flat, mix, pieces, shingle_sets
 
 SHINGLE = 5
 PERCENT = 80
-#: Groups up to this size give all their pairs.
-SMALL = 3
-#: Members of a larger group that are compared in one task; a larger one is dealt in pairs of blocks.
+#: Members of a group that are compared in one task; of a larger one, pairs of blocks are dealt.
 BLOCK = 4096
-SKETCH_BITS = 2048
+#: Members from which on an open group is first cut by another partitioning.
+LARGE = 16384
+#: Bits of odd sketches, from a power of two above the set's size.
+SKETCH_BITS = (128, 1 << 16)
 #: Signatures gathered by a worker before it deals them out.
 GATHER = 500_000
 #: Sets of one signature among those from which on it is common: its members don't go to its bucket.
 COMMON = 512
-SEEDS = 6
+#: Partitionings that a set tries before it signs empty subsets.
+SEEDS = 4
+_NODE = np.uint64((1 << 48) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _levels() -> list[tuple[int, int, int, int]]:
-    """(largest k, n1, n2, k2) of each band: subsets of two of three for the smallest sets, single partitions for others."""
-    out = [(2 * n1 - 1, n1, 3, 1) for n1 in (1, 2, 3)]
-    n1 = 8
+    """(largest k, n1, n2, k2) of each band: subsets of two of four; for k = 1, of two of three."""
+    out = [(1, 1, 3, 1)]
+    need = 1
     while out[-1][0] < 1 << 40:
-        out.append((min(n1 - 1, int(n1 * 0.94)), n1, 1, 0))
-        n1 = int(n1 * 1.5)
+        out.append((3 * need - 1, need + (need > 1) + need // 8, 4, 2))
+        need = max(need + 1, int(need * 1.4))
     return out
 
 
@@ -85,7 +102,7 @@ def fingerprints(grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set."""
     total = np.zeros(len(grams) + 1, np.uint64)
     np.cumsum(mix(grams), out=total[1:])
-    return mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64) * _ODD)
 
 
 def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -95,95 +112,133 @@ def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def signatures(grams: np.ndarray, offs: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of every set, some sets under several partitionings."""
+def signatures(grams: np.ndarray, offs: np.ndarray, percent: int = PERCENT, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set number) of every set, some sets under several partitionings; each ``turn`` has partitionings of its own."""
     size = np.diff(offs)
-    k_low, k_high = difference(size, size, percent), difference(s := (100 * size) // percent, s, percent)
-    first = np.searchsorted(_MOST, np.maximum(k_low, 1))
-    last = np.searchsorted(_MOST, k_high)
+    partner = (100 * size) // percent
+    k_high = difference(size, partner, percent)
+    first = np.searchsorted(_MOST, np.maximum(difference(size, size, percent), 1))
+    last = np.searchsorted(_MOST, np.maximum(difference(partner, partner, percent), 1))
     out_sig, out_set = [], []
     for level in range(int(first.min()) if len(first) else 0, int(last.max()) + 1 if len(last) else 0):
         most, n1, n2, k2 = LEVELS[level]
-        todo = np.flatnonzero((first <= level) & (level <= last) & (k_high > 0) & (size > 0))
+        largest = ((most + 1) * (100 + percent) - 1) // (2 * (100 - percent))
+        todo = np.flatnonzero((first <= level) & (level <= last) & (k_high > 0))
         for seed in range(SEEDS):
             if not len(todo):
                 break
             n = size[todo]
+            need = difference(n, np.minimum(partner[todo], largest), percent) // (k2 + 1) + 1
             ends = np.cumsum(n)
-            at = np.repeat(offs[todo] - (ends - n), n) + np.arange(ends[-1])
-            g = grams[at]
-            salt = mix(np.array([level * 64 + seed + 1], np.uint64))[0]
-            h = mix(g ^ salt)
-            parts = n1 * n2
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cell = np.repeat(np.arange(len(todo)) * parts, n) + part.astype(np.int64)
-            sums = _sums(mix(g + salt), cell, len(todo) * parts).reshape(-1, n1, n2)
-            some = (np.bincount(cell, minlength=len(todo) * parts) > 0).reshape(-1, n1, n2)
-            empty = ((~some).sum(2) >= n2 - k2).sum(1)
-            # The partitions with at most k2 differences number n1 - k // (k2 + 1) at least, k being the most in any pair of this set.
-            poor = n1 - np.minimum(most, k_high[todo]) // (k2 + 1) <= empty
+            g = grams[np.repeat(offs[todo] - (ends - n), n) + np.arange(ends[-1])]
+            salt = mix(np.array([(turn * 64 + level) * 64 + seed + 1], np.uint64))[0]
+            cells = n1 * n2
+            cell = ((mix(g ^ salt) >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+            cell = np.repeat(np.arange(len(todo)) * cells, n) + cell.astype(np.int64)
+            sums = _sums(mix(g + salt), cell, len(todo) * cells).reshape(-1, n1, n2)
+            some = (np.bincount(cell, minlength=len(todo) * cells) > 0).reshape(-1, n1, n2)
+            usable = (~some).sum(2) < n2 - k2
+            so_far = np.cumsum(usable, 1)
+            poor = so_far[:, -1] < need
+            # The last partitioning of a poor set signs all it has, empty subsets too.
+            every = poor & (seed == SEEDS - 1)
+            row, part = np.nonzero((so_far - usable < need[:, None]) | every[:, None])
+            sums, some, every = sums[row, part], some[row, part], every[row]
             for c, subset in enumerate(combinations(range(n2), n2 - k2)):
-                total = sums[:, :, subset].sum(2, dtype=np.uint64)
-                use = some[:, :, subset].any(2) | (poor & (seed == SEEDS - 1))[:, None]
-                label = np.arange(n1, dtype=np.uint64) * np.uint64(8) + np.uint64(c)
-                sig = mix(total ^ mix(label * np.uint64(0x9E3779B97F4A7C15) ^ salt)[None, :])
-                row = np.broadcast_to(todo[:, None], use.shape)
-                out_sig.append(sig[use])
-                out_set.append(row[use])
+                use = some[:, subset].any(1) | every
+                label = (part[use].astype(np.uint64) * np.uint64(64) + np.uint64(c)) * _ODD
+                out_sig.append(mix(sums[use][:, subset].sum(1, dtype=np.uint64) ^ mix(label ^ salt)))
+                out_set.append(todo[row[use]])
             todo = todo[poor]
     if not out_sig:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
-def sketches(grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Odd sketches, one row of SKETCH_BITS bits per set: two differ in at most as many bits as their sets in elements."""
-    n = len(offs) - 1
-    bit = (mix(grams * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(np.repeat(np.arange(n), np.diff(offs)) * SKETCH_BITS + bit, minlength=n * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+def sketches(grams: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Odd sketches: those of two sets, folded to equal length, differ in at most as many bits as the sets in elements."""
+    h = mix(grams * np.uint64(0xC2B2AE3D27D4EB4F))
+    out = []
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        bits = min(max(SKETCH_BITS[0], 1 << (b - a - 1).bit_length()), SKETCH_BITS[1])
+        odd = np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return out
+
+
+def _folded(rows: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the length of the shortest."""
+    words = min(map(len, rows)) // 8
+    out = np.empty((len(rows), words), np.uint64)
+    length = np.array([len(x) // 8 for x in rows])
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero(length == n)
+        # Folds of a few rows at a time, for long sketches.
+        for some in np.array_split(at, max(1, len(at) * n >> 20)):
+            whole = np.frombuffer(b"".join(rows[i] for i in some), np.uint64).reshape(len(some), n // words, words)
+            out[some] = np.bitwise_xor.reduce(whole, 1)
+    return out
+
+
+def _packed(low: np.ndarray, node: np.ndarray) -> bytes:
+    """Ascending 32-bit signatures as steps, byte plane by byte plane, then 48 bits of each node."""
+    steps = np.diff(low, prepend=np.uint32(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes() + np.ascontiguousarray(node.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw) // 10
+    steps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).ravel()
+    node = np.zeros((n, 8), np.uint8)
+    node[:, :6] = raw[4 * n :].reshape(n, 6)
+    return np.cumsum(steps, dtype=np.uint32), node.view(np.uint64).ravel()
 
 
 def _signed(buckets: int, n: int, percent: int, least_common: int):
+    """Rows (key, whether the id is null, text) to packed rows of documents (kind 1), signatures of a bucket (0), members of a common signature (4), and its name (5)."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         gathered, known = 0, set()
-        turn = 0
+
+        def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b[k] for b in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "data"])
 
         def deal() -> pa.RecordBatch:
             table = np.concatenate(held)
-            table = table[np.argsort(table[:, 0])]
-            first = np.flatnonzero(np.concatenate(([True], table[1:, 0] != table[:-1, 0])))
-            runs = np.diff(np.concatenate((first, [len(table)])))
+            held.clear()
+            sig = table[:, 0]
+            sig = ((sig >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(32) | (sig & np.uint64(0xFFFFFFFF))
+            order = np.argsort(sig)
+            sig, node = sig[order], table[order, 1] & _NODE
+            del table, order
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            runs = np.diff(np.concatenate((first, [len(sig)])))
             common = runs >= least_common
-            bucket_of = lambda sig: ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            blobs: list[tuple[int, int, bytes]] = []
+            out: list[tuple[int, int, bytes]] = []
             if common.any():
                 # Members of a common signature go straight to its group, from any bucket; its own bucket hears that it is one.
                 for at, m in zip(first[common].tolist(), runs[common].tolist(), strict=True):
-                    blobs.append((int(table[at, 1] % np.uint64(buckets)), 4, table[at : at + m].tobytes()))
-                    blobs.append((int(bucket_of(table[at : at + 1, 0])[0]), 5, table[at : at + 1].tobytes()))
-                table = table[~np.repeat(common, runs)]
-            bucket = bucket_of(table[:, 0])
-            order = np.argsort(bucket.astype(np.uint32), kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            table = table[order]
-            blobs += [(int(i), 0, table[cut[i] : cut[i + 1]].tobytes()) for i in np.flatnonzero(cut[1:] > cut[:-1])]
-            return pa.RecordBatch.from_arrays([pa.array([b[k] for b in blobs], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "data"])
+                    out.append((int(node[at] % np.uint64(buckets)), 4, np.stack((sig[at : at + m], node[at : at + m]), 1).tobytes()))
+                    out.append((int(sig[at] >> np.uint64(32)), 5, sig[at : at + 1].tobytes()))
+                rare = ~np.repeat(common, runs)
+                sig, node = sig[rare], node[rare]
+            bucket = sig >> np.uint64(32)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            low = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            return blobs(out + [(int(i), 0, _packed(low[cut[i] : cut[i + 1]], node[cut[i] : cut[i + 1]])) for i in np.flatnonzero(cut[1:] > cut[:-1])])
 
         for batch in batches:
-            buf, offs = flat(batch.column(1))
-            ids = batch.column(0)
-            null = np.asarray(ids.is_null())
-            ids = ids.fill_null(0).to_numpy()
+            buf, offs = flat(batch.column(2))
+            keys = batch.column(0).to_numpy()
+            null = np.asarray(batch.column(1)).astype(np.uint64)
             for lo, hi, part, part_offs in pieces(buf, offs):
                 grams, _, cut = shingle_sets(Words(part, part_offs), n)
                 size = np.diff(cut)
                 fp = fingerprints(grams, cut)
-                # Rows of documents travel along: id, size, fingerprint, whether the id is null.
-                docs = np.stack((ids[lo:hi].view(np.uint64), size.astype(np.uint64), fp, null[lo:hi].astype(np.uint64)), 1)
-                turn += 1
-                yield pa.RecordBatch.from_arrays([pa.array([int(fp[0] % np.uint64(buckets))], pa.int32()), pa.array([1], pa.int32()), pa.array([np.ascontiguousarray(docs).tobytes()], pa.binary())], ["bucket", "kind", "data"])
+                docs = np.stack((keys[lo:hi].view(np.uint64), size.astype(np.uint64), fp, null[lo:hi]), 1)
+                yield blobs([(int(fp[0] % np.uint64(buckets)), 1, np.ascontiguousarray(docs).tobytes())])
                 fresh = [i for i, x in enumerate(fp.tolist()) if size[i] and x not in known and not known.add(x)]
                 if not fresh:
                     continue
@@ -200,7 +255,7 @@ def _signed(buckets: int, n: int, percent: int, least_common: int):
                 if gathered >= GATHER or len(known) > 200_000:
                     if gathered:
                         yield deal()
-                    held.clear(), known.clear()
+                    known.clear()
                     gathered = 0
         if gathered:
             yield deal()
@@ -212,7 +267,7 @@ FOUND = "kind int, a long, b long, c long, d long"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: rows of documents (1), distinct pairs of small groups (2), members of larger groups (3)."""
+    """Of buckets: rows of documents (1), stars of groups (2), members of groups of three and more (3), members of common signatures (4)."""
 
     def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
         n = len(columns[0])
@@ -222,63 +277,59 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, common = [], []
     for batch in batches:
-        for kind, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            table = np.frombuffer(data.as_buffer(), np.uint64)
+        for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            data = data.as_buffer()
             if kind == 1:
-                table = table.reshape(-1, 4)
+                table = np.frombuffer(data, np.uint64).reshape(-1, 4)
                 yield rows(1, *(table[:, k] for k in range(4)))
             elif kind == 4:
-                table = table.reshape(-1, 2)
-                yield rows(3, table[:, 0], table[:, 1])
+                table = np.frombuffer(data, np.uint64).reshape(-1, 2)
+                yield rows(4, mix(table[:, 0]), table[:, 1])
             elif kind == 5:
-                common.append(table[0])
+                common.append(np.frombuffer(data, np.uint64)[0])
             else:
-                held.append(table.reshape(-1, 2).copy())
+                low, node = _unpacked(data)
+                held.append((np.uint64(bucket << 32) | low.astype(np.uint64), node))
     if not held:
         return
-    table = np.concatenate(held)
-    common = np.unique(np.array(common, np.uint64))
+    sig, node = (np.concatenate([x[k] for x in held]) for k in (0, 1))
     held.clear()
-    order = np.argsort(table[:, 0])
-    sig = table[order, 0]
+    order = np.argsort(sig)
+    sig = sig[order]
     same = sig[1:] == sig[:-1]
     multi = np.zeros(len(sig), bool)
     multi[1:] |= same
     multi[:-1] |= same
     # What a bucket still has of a common signature joins the group that other workers' members form.
-    if len(common):
-        mine = np.isin(sig, common)
-        yield rows(3, sig[mine], table[order[mine], 1])
+    if common:
+        mine = np.isin(sig, np.unique(np.array(common, np.uint64)))
+        if mine.any():
+            yield rows(4, mix(sig[mine]), node[order[mine]])
         multi &= ~mine
-    sig, node = sig[multi], table[order[multi], 1]
-    del table, order
+    sig, node = sig[multi], node[order[multi]]
+    del order, same, multi
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
     sig, node = sig[new], node[new]
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+    if not len(sig):
+        return
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     count = np.diff(np.concatenate((first, [len(sig)])))
-    left, right = [], []
-    for n in range(2, SMALL + 1):
-        at = first[count == n]
-        for i, j in combinations(range(n), 2):
-            left.append(node[at + i])
-            right.append(node[at + j])
-    if left and sum(map(len, left)):
-        a, b = np.concatenate(left), np.concatenate(right)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        yield rows(2, a[new], b[new])
-    # Larger groups with the same members say the same: one of them is enough.
-    said = set()
-    for at, n in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
-        members = node[at : at + n]
-        if (key := members.tobytes() if n < 64 else hash(members.tobytes())) not in said:
-            said.add(key)
-            yield rows(3, np.full(n, sig[at], np.uint64), members)
+    # A group is named by its members, so that groups with the same ones are one.
+    name = mix(np.add.reduceat(mix(node), first) + count.astype(np.uint64))
+    _, once = np.unique(name, return_index=True)
+    once = once[count[once] > 1]
+    if not len(once):
+        return
+    n = count[once]
+    at = np.repeat(first[once] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    leader, member, gid = np.repeat(node[first[once]], n), node[at], np.repeat(name[once], n)
+    pair = np.unique(np.stack((leader, member), 1)[leader != member], axis=0)
+    yield rows(2, pair[:, 0], pair[:, 1])
+    more = np.repeat(n > 2, n)
+    yield rows(3, gid[more], member[more])
 
 
 def _sets(n: int):
@@ -290,82 +341,57 @@ def _sets(n: int):
             for lo, hi, part, part_offs in pieces(buf, offs):
                 grams, _, cut = shingle_sets(Words(part, part_offs), n)
                 blobs = [grams[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                bits = [x.tobytes() for x in sketches(grams, cut)]
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut)), pa.array(bits, pa.binary()), pa.array(blobs, pa.binary())], ["node", "n", "sketch", "grams"])
-                # Of several rows with one id and different texts, only those of the node count.
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut)), pa.array(sketches(grams, cut), pa.binary()), pa.array(blobs, pa.binary())], ["node", "n", "sketch", "grams"])
+                # Of several rows with one key and different texts, only those of the node count.
                 yield out.filter(pa.array(out.column(0).to_numpy() == fingerprints(grams, cut).view(np.int64)))
 
     return build
 
 
-def _passing(n: np.ndarray, bits: np.ndarray, percent: int, apart: np.ndarray | None, rows: slice = slice(None), columns: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i < j, of members whose sizes and sketches allow the similarity and whose components differ."""
+def _passing(n: np.ndarray, bits: np.ndarray, root: np.ndarray, m: int, within: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j) of members whose components differ and whose sizes and sketches allow the similarity: i < j for pairs ``within``, or i < m <= j."""
     size = n.astype(np.int64)
-    left, right = [], []
-    high = columns.indices(len(n))[1]
-    start = columns.indices(len(n))[0]
-    for i in range(*rows.indices(len(n))):
-        a = max(i + 1, start)
-        if a >= high:
-            continue
-        s, t = size[i], size[a:high]
-        ok = (100 * np.minimum(s, t) >= percent * np.maximum(s, t))
-        if apart is not None:
-            ok &= apart[a:high] != apart[i]
-        j = np.flatnonzero(ok) + a
+    for i in range(m):
+        low = i + 1 if within else m
+        ok = (root[low:] != root[i]) & (100 * np.minimum(size[i], size[low:]) >= percent * np.maximum(size[i], size[low:]))
+        j = np.flatnonzero(ok) + low
         if len(j):
-            bound = difference(s, size[j], percent)
-            apart_bits = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-            j = j[apart_bits <= bound]
-            left.append(np.full(len(j), i))
-            right.append(j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            j = j[np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= difference(size[i], size[j], percent)]
+            if len(j):
+                yield i, j
 
 
-def _compared(percent: int, everything: bool):
-    """Candidate pairs of larger groups; rows: gid, block, other, node, n, sketch, root, sorted by (gid, block, other).
+def _compared(percent: int, cover: bool):
+    """Candidates between components of groups; rows: gid, block, other, node, home, n, sketch, root, sorted by (gid, block, other).
 
-    First turn: a cover of the passing pairs by leaders.  Second
-    (``everything``): all passing pairs between different components.
+    With ``cover``, each member gives one pair: with the smallest node that it may link with.
     """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(part: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            t = pa.Table.from_batches(part)
-            node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
-            home = t.column("home").to_numpy()
-            block, other = t.column("block")[0].as_py(), t.column("other")[0].as_py()
-            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
-            root = t.column("root").to_numpy() if everything else None
-            order = np.lexsort((node, home != block))
-            node, n, bits = node[order], n[order], bits[order]
-            root = root[order] if root is not None else None
-            m = int((home == block).sum())
-            i, j = _passing(n, bits, percent, root) if block == other else _passing(n, bits, percent, root, slice(0, m), slice(m, None))
-            if not everything and len(i):
-                # Leaders in order of how many they may link with, by powers of two, then of node: groups of one cluster choose alike.
-                both = np.concatenate((i, j)), np.concatenate((j, i))
-                degree = np.bincount(both[0], minlength=len(node))
-                order = np.argsort(both[0], kind="stable")
-                cut = np.searchsorted(both[0][order], np.arange(len(node) + 1))
-                near = both[1][order]
-                bare = degree > 0
-                left, right = [], []
-                for x in np.lexsort((node, -np.frexp(degree)[1])):
-                    mine = near[cut[x] : cut[x + 1]]
-                    fresh = mine[bare[mine]] if not bare[x] else mine
-                    if len(fresh):
-                        left.append(np.full(len(fresh), x))
-                        right.append(fresh)
-                        bare[mine] = bare[x] = False
-                    if not bare.any():
-                        break
-                i, j = np.concatenate(left), np.concatenate(right)
-            if not len(i):
-                return None
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def pairs(t: pa.Table) -> pa.RecordBatch | None:
+        node, n, home, root = (t.column(k).to_numpy() for k in ("node", "n", "home", "root"))
+        block, other = t.column("block")[0].as_py(), t.column("other")[0].as_py()
+        order = np.lexsort((node, home != block))
+        bits = _folded(t.column("sketch").to_pylist())[order]
+        node, n, root = node[order], n[order], root[order]
+        m = int((home == block).sum())
+        left, right = [], []
+        best = np.full(len(node), len(node))
+        for i, j in _passing(n, bits, root, m, block == other, percent):
+            if cover:
+                best[i] = min(best[i], j[0])
+                best[j] = np.minimum(best[j], i)
+            else:
+                left.append(np.full(len(j), i))
+                right.append(j)
+        if cover:
+            left, right = [np.flatnonzero(best < len(node))], [best[best < len(node)]]
+        if not left or not len(left[0]):
+            return None
+        x, y = node[np.concatenate(left)], node[np.concatenate(right)]
+        pair = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -374,43 +400,62 @@ def _compared(percent: int, everything: bool):
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 mine = tuple(key[a].tolist())
                 if held and mine != last:
-                    if (out := pairs(held)) is not None:
+                    if (out := pairs(pa.Table.from_batches(held))) is not None:
                         yield out
                     held = []
                 last = mine
                 held.append(batch.slice(a, b - a))
-        if held and (out := pairs(held)) is not None:
+        if held and (out := pairs(pa.Table.from_batches(held))) is not None:
             yield out
 
     return compare
 
 
-def _by_blocks(members: DataFrame, everything: bool) -> DataFrame:
-    """Members (gid, node, ...) dealt to comparisons: one per group, or in a group above BLOCK one per block, and one of each with
-    the first block, so that their number is linear; with ``everything`` one per pair of blocks."""
-    size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
-    m = members.join(size, "gid").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+def _by_blocks(members: DataFrame) -> DataFrame:
+    """Members (gid, node, m, ...) dealt to comparisons: one per group, or in a group above BLOCK one per pair of blocks."""
+    m = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     m = m.withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
-    last = F.col("blocks").cast("long") - 1
-    others = F.sequence(F.lit(0).cast("long"), last) if everything else F.when(F.col("home") == 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array(F.lit(0).cast("long"), "home"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
     pair = F.transform(others, lambda k: F.struct(F.least(k, "home").alias("block"), F.greatest(k, "home").alias("other")))
     return m.withColumn("pair", F.explode(pair)).select("*", "pair.block", "pair.other").drop("pair", "m", "blocks")
 
 
-def _candidates(members: DataFrame, sets: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) to verify, from members (gid, node) of larger groups."""
-    m = members
-    if roots is not None:
-        m = m.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # Groups within one component have nothing left to find.
-        open_ = m.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gid")
-        m = m.join(open_, "gid", "left_semi")
-    else:
-        m = m.withColumn("root", F.col("node"))
-    m = _by_blocks(m.distinct(), roots is not None).join(sets.select("node", "n", "sketch"), "node")
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (gid, node, m, root) of groups that lie in several components."""
+    m = members.select("gid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = m.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
+    return m.join(groups.where("x <> y").select("gid", "m"), "gid")
+
+
+def _cut(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (gid, node) of large groups by signatures of another partitioning, which similar pairs share again."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gid, node = (batch.column(k).to_numpy() for k in (0, 1))
+            # A few sets at a time: each has about as many signatures as elements.
+            size = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
+            bounds = np.concatenate(([0], np.cumsum(size)))
+            for some in np.split(np.arange(len(size)), np.flatnonzero(np.diff(bounds[:-1] >> 17)) + 1):
+                if len(some):
+                    grams = np.concatenate([np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64) for i in some])
+                    offs = np.concatenate(([0], np.cumsum(size[some])))
+                    sig, of = signatures(grams, offs, percent, 1)
+                    fine = mix(sig + mix(gid[some].view(np.uint64))[of])
+                    yield pa.RecordBatch.from_arrays([pa.array(fine.view(np.int64)), pa.array(node[some][of])], ["gid", "node"])
+
+    found = members.select("gid", "node").join(sets.select("node", "grams"), "node").select("gid", "node", "grams").mapInArrow(split, "gid long, node long").distinct()
+    found = written(found, "jaccard-cut")
+    some = found.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gid")
+    return found.join(some, "gid")
+
+
+def _candidates(members: DataFrame, sets: DataFrame, percent: int, cover: bool) -> DataFrame:
+    """Distinct pairs (a, b) to verify, from members (gid, node, m, root) of open groups."""
+    m = _by_blocks(members).join(sets.select("node", "n", "sketch"), "node")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = m.repartition(parts, "gid", "block", "other").sortWithinPartitions("gid", "block", "other").select("gid", "block", "other", "node", "home", "n", "sketch", "root")
-    return dealt.mapInArrow(_compared(percent, roots is not None), "a long, b long").distinct()
+    return dealt.mapInArrow(_compared(percent, cover), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -433,20 +478,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow the similarity; most pairs that only share a passage end here, before their sets are moved."""
+def _sketched(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes, from stars of 48-bit nodes, whose sizes and sketches allow the similarity."""
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                keep = apart <= difference(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-                yield batch.filter(pa.array(keep)).select(["a", "b"])
+                most = difference(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+                apart = [int(np.bitwise_count(np.bitwise_xor.reduce(_folded([x, y]), 0)).sum()) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+                yield batch.filter(pa.array(np.array(apart) <= most)).select(["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    left = sets.select(F.col("part").alias("s"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("part").alias("t"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    joined = stars.join(left, "s").join(right, "t").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(allowed, "a long, b long")
 
 
@@ -455,28 +499,68 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
+    # Rows without an id are found again by the hash of their text.
+    rows = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.col("doc_id").isNull().alias("bare"), "text")
     signed = rows.mapInArrow(_signed(8 * parts, n, percent, COMMON), "bucket int, kind int, data binary")
-    found = written(signed.repartition(parts, "bucket").mapInArrow(_grouped, FOUND), "jaccard-found")
-
-    documents = found.where("kind = 1").select(F.when(F.col("d") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
-    pairs = written(found.where("kind = 2").select("a", "b").distinct(), "jaccard-pairs")
-    members = found.where("kind = 3").select(F.col("a").alias("gid"), F.col("b").alias("node"))
-    # Only nodes of some pair or group need their sets; each comes from the text of its first document.
-    live = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    first = written(documents.where("n_shingles > 0").join(live, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-live")
-    keyed = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
-    built = rows.join(keyed, "doc_id").select("node", "text").mapInArrow(_sets(n), "node long, n long, sketch binary, grams binary")
-    sets = written(built, "jaccard-sets")
-
-    likely = written(_sketched(pairs, sets, percent).unionByName(_candidates(members, sets, None, percent)).distinct(), "jaccard-likely")
+    found, stars, members, common = written_by_kind(signed.repartition(parts, "bucket").mapInArrow(_grouped, FOUND), "jaccard-found", (1, 2, 3, 4))
+    released(spark)
+    documents = found.select(F.when(F.col("d") == 0, F.col("a")).alias("doc_id"), F.col("a").alias("key"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
+    groups = members.select(F.col("a").alias("gid"), F.col("b").alias("part")).unionByName(common.select(F.col("a").alias("gid"), F.col("b").alias("part"))).distinct()
+    least = common.groupBy(F.col("a").alias("a")).agg(F.min("b").alias("s"))
+    stars = stars.select(F.col("a").alias("s"), F.col("b").alias("t")).unionByName(common.join(least, "a").select("s", F.col("b").alias("t")).where("s <> t"))
+    stars = written(stars.distinct(), "jaccard-stars")
+
+    # Only nodes of some pair need their sets; each comes from the text of its first document.
+    live = stars.select(F.explode(F.array("s", "t")).alias("part")).distinct()
+    held = documents.where("n_shingles > 0").withColumn("part", F.col("node").bitwiseAND(int(_NODE)))
+    first = written(held.join(live, "part", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "jaccard-live")
+    n_live = first.count()
+    keyed = F.broadcast(first) if n_live <= BROADCAST_ROWS else first
+    sets = written(rows.join(keyed, "key").select("node", "text").mapInArrow(_sets(n), "node long, n long, sketch binary, grams binary"), "jaccard-sets")
+    dropped(first)
+    if sets.count() > n_live:
+        again, sets = sets, written(sets.dropDuplicates(["node"]), "jaccard-sets")
+        dropped(again)
+    sets = sets.withColumn("part", F.col("node").bitwiseAND(int(_NODE)))
+
+    likely = written(_sketched(stars, sets, percent).distinct(), "jaccard-likely")
+    dropped(stars)
     links = written(_verified(likely, sets, percent), "jaccard-links")
+    dropped(likely)
     roots = components(links)
-    if not members.isEmpty():
-        more = written(_candidates(members, sets, roots, percent), "jaccard-more")
-        if not more.isEmpty():
-            extra = written(_verified(more, sets, percent), "jaccard-links")
-            if not extra.isEmpty():
-                roots = components(links.unionByName(extra))
+    dropped(links)
+    # What is open after the stars; later turns only read this.
+    whole = groups.join(sets.select("part", "node"), "part").select("gid", "node")
+    left = written(_open(whole, roots), "jaccard-open")
+    dropped(members, common)
+    released(spark)
+    large = left.where(F.col("m") > LARGE)
+    if not large.isEmpty():
+        fine = _cut(large, sets, percent)
+        rest, left = left, written(_open(left.where(F.col("m") <= LARGE).select("gid", "node").unionByName(fine), roots), "jaccard-open")
+        dropped(rest)
+    for cover in (True, False):
+        if left.isEmpty():
+            break
+        likely = written(_candidates(left, sets, percent, cover), "jaccard-likely")
+        links = written(_verified(likely, sets, percent), "jaccard-links")
+        dropped(likely)
+        if not links.isEmpty():
+            ends = links.join(roots.withColumnRenamed("node", "a").withColumnRenamed("root", "x"), "a", "left").join(roots.withColumnRenamed("node", "b").withColumnRenamed("root", "y"), "b", "left")
+            merged = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+            # Roots that were joined, and single nodes that now have one.
+            onward = merged.select(F.col("node").alias("root"), F.col("root").alias("last"))
+            old = roots.join(onward, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+            new = merged.join(roots.select("node"), "node", "left_anti")
+            before, roots = roots, written(old.unionByName(new.select("node", "root")), "jaccard-roots")
+            if cover:
+                rest, left = left, written(_open(left, roots), "jaccard-open")
+                dropped(rest)
+            dropped(before)
+        dropped(links)
+        released(spark)
+    dropped(left, sets)
+    released(spark)
     of = documents.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = of.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     alone = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("smallest")), F.col("doc_id"))

@@ -51,13 +51,12 @@ def _file_system(spark: SparkSession, path: str):
     return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` returned and nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        fs, at = _file_system(spark, folder)
-        fs.delete(at(folder), True)
-    released(spark)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` returned and nothing reads any more."""
+    for df in tables:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            fs, at = _file_system(df.sparkSession, folder)
+            fs.delete(at(folder), True)
 
 
 def released(spark: SparkSession) -> None:

@@ -41,11 +41,13 @@ def test_jaccard_components(docs, rows):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("common", [512, 2])
-def test_jaccard_large_groups(spark, monkeypatch, common):
-    """Many distinct near copies of one text, and many texts that share half of theirs: groups above SMALL, dealt in blocks, and common signatures."""
+@pytest.mark.parametrize(("common", "large", "broadcast"), [(512, 16, 500_000), (2, 16384, 0), (3, 8, 0)])
+def test_jaccard_large_groups(spark, monkeypatch, common, large, broadcast):
+    """Many distinct near copies of one text, and many texts that share half of theirs: groups dealt in blocks or cut again, and common signatures."""
     monkeypatch.setattr(partenum, "BLOCK", 16)
     monkeypatch.setattr(partenum, "COMMON", common)
+    monkeypatch.setattr(partenum, "LARGE", large)
+    monkeypatch.setattr(partenum, "BROADCAST_ROWS", broadcast)
     base = [f"b{i}" for i in range(120)]
     rows = []
     for k in range(60):
@@ -59,11 +61,22 @@ def test_jaccard_large_groups(spark, monkeypatch, common):
     assert got == brute_components(rows)
 
 
-def test_signatures_never_miss():
+def test_jaccard_without_ids(spark):
+    """Rows without an id link like others; a component takes the smallest id it has."""
+    base = [f"b{i}" for i in range(40)]
+    near = [*base[:39], "z"]
+    rows = [(None, " ".join(base)), (None, " ".join(base)), (9, " ".join(near)), (None, "alone here"), (4, "q w e r t y"), (4, "other text"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id is not None, r.doc_id, r.n_shingles, r.component_id) for r in partenum.jaccard_components(docs).collect())
+    assert got == [(False, None, 0, None), (False, None, 1, None), (False, None, 36, 9), (False, None, 36, 9), (True, 4, 1, 4), (True, 4, 2, 4), (True, 9, 36, 9)]
+
+
+@pytest.mark.parametrize("turn", [0, 1])
+def test_signatures_never_miss(turn):
     """Any two sets at the threshold share a signature."""
     rng = np.random.default_rng(5)
-    for n in [1, 2, 3, 4, 5, 6, 8, 11, 19, 37, 80, 163, 400, 1500]:
-        for _ in range(40 if n < 100 else 6):
+    for n in [1, 2, 3, 4, 5, 6, 8, 11, 19, 27, 37, 52, 80, 163, 229, 400, 1500, 9000]:
+        for _ in range(60 if n < 100 else 10):
             a = rng.integers(0, 1 << 63, n).astype(np.uint64)
             m = rng.integers(0, n // 4 + 1)
             add = rng.integers(0, n // 4 + 1)
@@ -72,15 +85,18 @@ def test_signatures_never_miss():
             if not len(b) or 100 * both < 80 * (n + len(b) - both) or (m == 0 and add == 0):
                 continue
             grams = np.concatenate((np.sort(a), np.sort(b)))
-            sig, of = partenum.signatures(grams, np.array([0, n, n + len(b)]))
+            sig, of = partenum.signatures(grams, np.array([0, n, n + len(b)]), turn=turn)
             assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (n, m, add)
 
 
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     a, extra = rng.integers(0, 1 << 63, 300).astype(np.uint64), rng.integers(0, 1 << 63, 40).astype(np.uint64)
-    s = partenum.sketches(np.concatenate((a, a[20:], extra)), np.array([0, 300, 620]))
+    s = partenum._folded(partenum.sketches(np.concatenate((a, a[20:], extra, a[:250])), np.array([0, 300, 620, 870])))
+    assert s.shape == (3, 4)
     assert np.bitwise_count(s[0] ^ s[1]).sum() <= 60
+    assert np.bitwise_count(s[0] ^ s[2]).sum() <= 50
+    assert np.bitwise_count(s[1] ^ s[2]).sum() > 60
 
 
 @pytest.mark.parametrize("links", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(50, 51), (51, 52), (7, 7)]])
