@@ -7,23 +7,23 @@ c(v), are learned by expectation-maximisation on held-out counts: each training
 token is deleted from the counts that predict it (leave one out).
 
 Tokens travel in *batches*, one binary row for a few megabytes of text: its
-documents, its distinct words' hashes in order of (bucket, hash), and its tokens
-as word numbers.  Counting is a scatter and a reply: a batch sends each bucket
-the distinct words (then bigrams) it has and how often training documents have
+documents, its distinct words' hashes in order, and its tokens as word numbers.
+Counting is a scatter and a reply: a batch sends each bucket of hashes the
+distinct words and bigrams it has and how often its training documents have
 them; the bucket adds up and replies with totals in the same order.  Rows in
 shuffles are so few and large that the JVM only moves them.
 
-  tokens  batches and their words, one pass over the texts
-  counts  totals of words, back to batches -> base scores, bigrams out
-  pairs   totals of bigrams, back to batches
-  weights expectation-maximisation on a histogram of (bucket, p2, p1) of fixed size
-  score   one pass over the batches
+  tokens   batches, one pass over the texts
+  totals   words and bigrams to buckets, which reply
+  full     batches with the totals of their words and of their tokens' bigrams
+  weights  expectation-maximisation on a histogram of (bucket, p2, p1) of fixed size
+  score    one pass over the batches
 
 What is gathered grows with the distinct words and bigrams of batches; only
-N, V and the histogram (under 200,000 cells at any size) reach the driver.
+N, V and the histogram (under 700,000 cells at any size) reach the driver.  A
+cell of the histogram stands for the geometric means of its tokens' p2 and p1.
 
-Words and bigrams are known by 64-bit hashes; of a bigram's, 40 bits beside the
-bucket travel.
+Words and bigrams are known by 64-bit hashes.
 
 Cases: a null or empty text has the end token alone.  A row with a null id is
 held out.  Without training documents N = V = 0, every estimate is uniform, and
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, released, written, written_by_kind
+from .shared import dropped, released, written
 from .textbatch import LOWER, Words, flat, mix, pieces
 
 #: Bytes of text in a batch.
@@ -49,7 +49,8 @@ BATCH = 4 << 20
 CONTEXT_BUCKETS = 64
 #: Histogram: tenths of decades of p2 and p1; bin 0 is zero.
 P2_BINS, P1_BINS = 82, 122
-ROUNDS = 60
+#: Expectation-maximisation ends when no weight moves by more, or after so many rounds.
+STILL, ROUNDS = 1e-7, 2000
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 START_HASH = np.uint64(0x14057B7EF767814F)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -84,17 +85,18 @@ def unpack(data) -> list[np.ndarray]:
 SENT = "kind int, batch long, bucket int, data binary"
 
 
-def _row(kind: int, batch: int, bucket: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["kind", "batch", "bucket", "data"])
-
-
 def _rows(kind: int, batch: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     n = len(parts)
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([batch] * n, pa.int64()), pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["kind", "batch", "bucket", "data"])
 
 
-def _tokens(buckets: int):
-    """Rows (id, held, text) to batches (kind 0) and their words by bucket (kind 1)."""
+def _bounds(buckets: int) -> np.ndarray:
+    """First hash of each bucket: equal ranges, so that the order of hashes is the order of buckets."""
+    return np.array([-(-(i << 64) // buckets) for i in range(buckets)], np.uint64)
+
+
+def _tokens(most: int):
+    """Rows (id, held, text) to batches (kind 0) of ``most`` bytes and more."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -103,19 +105,11 @@ def _tokens(buckets: int):
         held: list[tuple] = []
         size = 0
 
-        def deal() -> Iterator[pa.RecordBatch]:
+        def batch_of() -> pa.RecordBatch:
             ids, null, out, counts = (np.concatenate([x[k] for x in held]) for k in range(4))
-            h = np.concatenate([x[4] for x in held])
-            # Order of words: by bucket, then hash; both follow from one sort of a rotated hash.
-            key = ((h % np.uint64(buckets)) << np.uint64(48)) | (h >> np.uint64(16))
-            _, first, token = np.unique(key, return_index=True, return_inverse=True)
-            words = h[first]
-            train = np.repeat(~out, counts)
-            times = np.bincount(token[train], minlength=len(words)).astype(np.uint32)
-            bucket = words % np.uint64(buckets)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            yield _row(0, number, -1, pack(ids, null, out, counts.astype(np.uint32), words, token.astype(np.uint32)))
-            yield _rows(1, number, [(int(i), pack(words[cut[i] : cut[i + 1]], times[cut[i] : cut[i + 1]])) for i in np.flatnonzero(cut[1:] > cut[:-1])])
+            words, token = np.unique(np.concatenate([x[4] for x in held]), return_inverse=True)
+            held.clear()
+            return _rows(0, number, [(-1, pack(ids, null, out, counts.astype(np.uint32), words, token.astype(np.uint32)))])
 
         for batch in batches:
             buf, offs = flat(batch.column(2))
@@ -134,51 +128,75 @@ def _tokens(buckets: int):
                 h[~last] = w.hashes(LOWER)
                 held.append((ids[lo:hi], null[lo:hi], out[lo:hi], counts, h))
                 size += len(part)
-                if size >= BATCH:
-                    yield from deal()
-                    held.clear()
+                if size >= most:
+                    yield batch_of()
                     size, number = 0, number + 1
         if held:
-            yield from deal()
+            yield batch_of()
 
     return emit
 
 
-def _added(width: int):
-    """Rows (kind, batch, bucket, data) of a bucket, data = (hash, times): totals in the same order, and sums of them (kind 3).
+def _steps(h: np.ndarray) -> np.ndarray:
+    """Ascending hashes as differences, whose high bytes are mostly zero."""
+    return np.diff(h, prepend=np.uint64(0))
+
 
-    Totals of words are kind 2, with hashes of width 8.  Those of bigrams are
-    kind 4; their hashes are five bytes each, kept as a low and a high part.
-    """
+def _sent(buckets: int):
+    """Batches to their distinct words and bigrams, with training counts, by bucket (kind 1)."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, hashes, times = [], [], []
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = _bounds(buckets)
         for batch in batches:
-            for b, k, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                got = unpack(data.as_buffer())
-                h = got[0] if width == 8 else got[0].astype(np.uint64) | (got[1].astype(np.uint64) << np.uint64(32)) | (np.uint64(k) << np.uint64(40))
-                where.append((b, k, len(h)))
-                hashes.append(h)
-                times.append(_counts(*got[-3:]) if width == 5 else got[1])
-        if not where:
-            return
-        h, n = np.concatenate(hashes), np.concatenate(times)
-        hashes.clear(), times.clear()
-        order = np.argsort(h)
-        h = h[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        total = np.add.reduceat(n[order].astype(np.int64), first)
-        yield _row(3, -1, -1, pack(np.array([total.sum(), (total > 0).sum()], np.int64)))
-        total = _narrow(total)
-        of = np.empty(len(h), total.dtype)
-        of[order] = np.repeat(total, np.diff(np.concatenate((first, [len(h)]))))
-        del h, order
-        at = 0
-        for b, k, m in where:
-            yield _row(4, b, k, _small(of[at : at + m])) if width == 5 else _row(2, b, k, pack(of[at : at + m]))
-            at += m
-
-    return add
+            for number, data in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
+                b = Batch(data.as_buffer())
+                h, _, times = b.pairs()
+                word_times = np.bincount(b.token[b.train], minlength=len(b.words))
+                cut, word_cut = (np.append(np.searchsorted(x, bounds), len(x)).tolist() for x in (h, b.words))
+                parts = []
+                for i, (a, z, c, e) in enumerate(zip(cut[:-1], cut[1:], word_cut[:-1], word_cut[1:], strict=True)):
+                    if z > a or e > c:
+                        parts.append((i, pack(_steps(b.words[c:e]), *_split(word_times[c:e]), _steps(h[a:z]), *_split(times[a:z]))))
+                yield _rows(1, number, parts)
+
+    return emit
+
+
+def _summed(h: list[np.ndarray], times: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
+    """Totals of equal hashes, in the order of what came in, their sum, and how many are above 0."""
+    h_all, n = np.concatenate(h), np.concatenate(times)
+    if not len(h_all):
+        return [n] * len(h), 0, 0
+    order = np.argsort(h_all)
+    h_all = h_all[order]
+    first = np.flatnonzero(np.concatenate(([True], h_all[1:] != h_all[:-1])))
+    total = np.add.reduceat(n[order].astype(np.int64), first)
+    of = np.empty(len(h_all), np.int64)
+    of[order] = np.repeat(total, np.diff(np.append(first, len(h_all))))
+    return np.split(of, np.cumsum([len(x) for x in h])[:-1]), int(total.sum()), int((total > 0).sum())
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: totals in the order of the words and bigrams that each batch sent (kind 2), and sums over words (kind 3)."""
+
+    def replies(bucket: int, got: list[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        words, n, v = _summed([np.cumsum(x[0], dtype=np.uint64) for _, x in got], [_counts(*x[1:4]) for _, x in got])
+        pairs, _, _ = _summed([np.cumsum(x[4], dtype=np.uint64) for _, x in got], [_counts(*x[5:8]) for _, x in got])
+        yield _rows(3, -1, [(bucket, pack(np.array([n, v], np.int64)))])
+        for (number, _), w, p in zip(got, words, pairs, strict=True):
+            yield _rows(2, number, [(bucket, pack(*_split(w), *_split(p)))])
+
+    held: list[tuple[int, list[np.ndarray]]] = []
+    last = None
+    for batch in batches:
+        for number, bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if held and bucket != last:
+                yield from replies(last, held)
+                held = []
+            last = bucket
+            held.append((number, unpack(data.as_buffer())))
+    if held:
+        yield from replies(last, held)
 
 
 def _narrow(n: np.ndarray) -> np.ndarray:
@@ -198,14 +216,10 @@ def _split(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.minimum(n, 255).astype(np.uint8), at, _narrow(n[at])
 
 
-def _small(n: np.ndarray) -> bytes:
-    return pack(*_split(n))
-
-
 class Batch:
-    """A batch's tokens with word totals; contexts are the tokens before, or the start of the document (number -1)."""
+    """A batch's tokens; contexts are the tokens before, or the start of the document (number -1).  ``full`` ones have totals too."""
 
-    def __init__(self, data, totals: np.ndarray | None = None):
+    def __init__(self, data):
         self.parts = unpack(data)
         self.ids, self.null, self.out, counts, self.words, token = self.parts[:6]
         self.counts, self.token = counts.astype(np.int64), token.astype(np.int64)
@@ -213,70 +227,55 @@ class Batch:
         self.context = np.empty(len(self.token), np.int64)
         self.context[1:] = self.token[:-1]
         self.context[self.ends - self.counts] = -1
-        self.totals = totals if totals is not None else self.parts[6]
 
-    def pairs(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct bigrams' hashes in order of (bucket, hash), number of each token's bigram, training count of each)."""
+    @property
+    def train(self) -> np.ndarray:
+        """Whether each token is of a training document."""
+        return np.repeat(~self.out, self.counts)
+
+    @property
+    def totals(self) -> np.ndarray:
+        return _counts(*self.parts[6:9])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct bigrams' hashes in order, number of each token's bigram, training count of each)."""
         key = (self.context + 1) * (len(self.words) + 1) + self.token
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
         v, w = self.context[first], self.token[first]
         left = np.where(v < 0, START_HASH, self.words[v])
         h = mix(mix(left) * _PAIR + self.words[w])
-        order = np.argsort(((h % np.uint64(buckets)) << np.uint64(40)) | ((h // np.uint64(buckets)) & np.uint64((1 << 40) - 1)))
+        order = np.argsort(h)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         of = back[of]
-        train = np.repeat(~self.out, self.counts)
-        return h[order], of, np.bincount(of[train], minlength=len(h))
+        return h[order], of, np.bincount(of[self.train], minlength=len(h))
 
     def per_doc(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.ends - self.counts) if len(values) else np.zeros(0)
 
 
-def _replied(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Batch, list[list[np.ndarray]]]]:
-    """(number, batch with word totals, replies about bigrams in order of buckets) from rows sorted by (batch, kind descending, bucket)."""
-    replies: dict[int, list[list[np.ndarray]]] = {2: [], 4: []}
+def _with_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (batch, kind descending, bucket), replies before their batch: batches with totals of words and of each token's bigram instead of hashes."""
+    replies: list[list[np.ndarray]] = []
     for batch in batches:
         for kind, number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
             if kind:
-                replies[kind].append([x.copy() for x in unpack(data.as_buffer())])
-            else:
-                yield number, Batch(data.as_buffer(), np.concatenate([x[0] for x in replies[2]])), replies[4]
-                replies = {2: [], 4: []}
-
-
-def _bigrams(buckets: int):
-    """Bigrams of batches, by bucket (kind 1)."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b, _ in _replied(batches):
-            h, _, times = b.pairs(buckets)
-            bucket, rest = h % np.uint64(buckets), h // np.uint64(buckets)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            low, high = (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((rest >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
-            yield _rows(1, number, [(int(i), pack(low[a:z], high[a:z], *_split(times[a:z]))) for i, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a])
-
-    return emit
-
-
-def _with_pairs(buckets: int):
-    """Batches with word totals and the total of each token's bigram; hashes of words are not needed any more."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b, replies in _replied(batches):
-            totals = np.concatenate([_counts(*x) for x in replies])
-            _, of, _ = b.pairs(buckets)
-            yield _row(0, number, -1, pack(*b.parts[:4], b.words[:0], b.parts[5], b.totals, *_split(totals[of])))
-
-    return emit
+                replies.append([x.copy() for x in unpack(data.as_buffer())])
+                continue
+            b = Batch(data.as_buffer())
+            words, pairs = (np.concatenate([_counts(*x[k : k + 3]) for x in replies]) for k in (0, 3))
+            replies = []
+            _, of, _ = b.pairs()
+            yield _rows(0, number, [(-1, pack(*b.parts[:4], b.words[:0], b.parts[5], *_split(words), *_split(pairs[of])))])
 
 
 def estimates(b: Batch, train_docs: int, n: int, deleted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context bucket, p2, p1) of each token; ``deleted`` leaves the token itself out of all counts."""
     less = 1.0 if deleted else 0.0
-    pair = _counts(*b.parts[7:10]).astype(np.float64) - less
-    word = b.totals[b.token].astype(np.float64) - less
-    context = np.where(b.context < 0, train_docs, b.totals[b.context]).astype(np.float64) - less
+    totals = b.totals
+    pair = _counts(*b.parts[9:12]).astype(np.float64) - less
+    word = totals[b.token].astype(np.float64) - less
+    context = np.where(b.context < 0, train_docs, totals[b.context]).astype(np.float64) - less
     p2 = np.where(context > 0, pair / np.maximum(context, 1), 0)
     p1 = word / max(n - less, 1)
     bucket = np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64) + 1, CONTEXT_BUCKETS - 1), 0)
@@ -287,28 +286,36 @@ def _bins(p: np.ndarray, n: int) -> np.ndarray:
     return np.where(p > 0, np.clip(np.rint(-10 * np.log10(np.maximum(p, 1e-300))) + 1, 1, n - 1), 0).astype(np.int64)
 
 
+def _beside(p: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Millionths of decades from the middle of its bin, whole numbers, so that sums don't depend on their order."""
+    return np.where(bins > 0, np.rint((np.log10(np.maximum(p, 1e-300)) + (bins - 1) / 10) * 1e6), 0)
+
+
 def _histogram(train_docs: int, n: int):
+    """Tokens of training documents by (context bucket, p2, p1): their number, and how far both lie from the middles of their bins in all."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXT_BUCKETS * P2_BINS * P1_BINS, np.int64)
         for batch in batches:
             for data in batch.column(3):
                 b = Batch(data.as_buffer())
-                train = np.repeat(~b.out, b.counts)
-                if train.any():
-                    bucket, p2, p1 = (x[train] for x in estimates(b, train_docs, n, True))
-                    total += np.bincount((bucket * P2_BINS + _bins(p2, P2_BINS)) * P1_BINS + _bins(p1, P1_BINS), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+                train = b.train
+                if not train.any():
+                    continue
+                bucket, p2, p1 = (x[train] for x in estimates(b, train_docs, n, True))
+                b2, b1 = _bins(p2, P2_BINS), _bins(p1, P1_BINS)
+                some, of = np.unique((bucket * P2_BINS + b2) * P1_BINS + b1, return_inverse=True)
+                sums = [np.bincount(of, w, len(some)).astype(np.int64) for w in (None, _beside(p2, b2), _beside(p1, b1))]
+                yield pa.RecordBatch.from_arrays([pa.array(some), *map(pa.array, sums)], ["cell", "n", "off2", "off1"])
 
     return count
 
 
-def learn_weights(cells: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
+def learn_weights(cells: np.ndarray, n: np.ndarray, off2: np.ndarray, off1: np.ndarray, v: int) -> np.ndarray:
     """Weights of p2, p1, p0 by context bucket: expectation-maximisation; a bucket without tokens takes those of the next below with some."""
     bucket, rest = np.divmod(cells, P2_BINS * P1_BINS)
     b2, b1 = np.divmod(rest, P1_BINS)
-    value = lambda x: np.where(x > 0, 10 ** (-(x - 1) / 10.0), 0)
-    p = np.stack((value(b2), value(b1), np.full(len(cells), 1 / (v + 1))), 1)
+    value = lambda b, off: np.where(b > 0, 10 ** (off / n / 1e6 - (b - 1) / 10), 0)
+    p = np.stack((value(b2, off2), value(b1, off1), np.full(len(cells), 1 / (v + 1))), 1)
     weights = np.tile([0.0, 0.5, 0.5], (CONTEXT_BUCKETS, 1))
     for k in range(CONTEXT_BUCKETS):
         mine = bucket == k
@@ -316,11 +323,14 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
             if k > 0:
                 weights[k] = weights[k - 1]
             continue
+        own, times = p[mine], n[mine, None] / n[mine].sum()
         w = np.array([1 / 3, 1 / 3, 1 / 3])
         for _ in range(ROUNDS):
-            share = p[mine] * w
+            share = own * w
             share /= share.sum(1, keepdims=True)
-            w = (share * n[mine, None]).sum(0) / n[mine].sum()
+            before, w = w, (share * times).sum(0)
+            if np.abs(w - before).max() < STILL:
+                break
         weights[k] = np.maximum(w, 1e-6)
         weights[k] /= weights[k].sum()
     # A context never seen has no p2.
@@ -355,28 +365,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: tokens, known tokens, add-one base score, and the model's log10 probability of the text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(2 * parts, 1 << 16)
+    buckets = min(4 * parts, 1 << 16)
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == held, F.lit(True))
     rows = rows.select("doc_id", out.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def answered(replies: DataFrame) -> DataFrame:
-        """Batches, each after its replies."""
-        return tokens.unionByName(replies.where("kind in (2, 4)")).repartition(parts, "batch").sortWithinPartitions("batch", F.desc("kind"), "bucket")
-
-    # Tables that are done with are dropped, and shuffles let go, before the next is made.
-    tokens, words = written_by_kind(rows.mapInArrow(_tokens(buckets), SENT), "lm-tokens", (0, 1))
-    counts = written(words.repartition(parts, "bucket").mapInArrow(_added(8), SENT), "lm-counts")
-    dropped(words)
+    tokens = written(rows.mapInArrow(_tokens(BATCH), SENT), "lm-tokens")
+    sent = tokens.mapInArrow(_sent(buckets), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    totals = written(sent.mapInArrow(_added, SENT), "lm-totals")
+    del sent
     released(spark)
-    sums = np.array([unpack(r.data)[0] for r in counts.where("kind = 3").select("data").collect()] or [[0, 0]])
+    sums = np.array([unpack(r.data)[0] for r in totals.where("kind = 3").select("data").collect()] or [[0, 0]])
     n, v = (int(x) for x in sums.sum(0))
     train_docs = rows.select("held").where("not held").count()
-    totals = written(answered(counts).mapInArrow(_bigrams(buckets), SENT).repartition(parts, "bucket").mapInArrow(_added(5), SENT), "lm-totals")
-    released(spark)
-    full = written(answered(counts.unionByName(totals)).mapInArrow(_with_pairs(buckets), SENT), "lm-full")
-    dropped(tokens, counts, totals)
+    # Batches, each after its replies.
+    answered = tokens.unionByName(totals.where("kind = 2")).repartition(parts, "batch").sortWithinPartitions("batch", F.desc("kind"), "bucket")
+    full = written(answered.mapInArrow(_with_totals, SENT), "lm-full")
+    dropped(tokens, totals)
+    del answered
     released(spark)
-    cells = full.mapInArrow(_histogram(train_docs, n), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], np.float64), v)
+    cells = full.mapInArrow(_histogram(train_docs, n), "cell long, n long, off2 long, off1 long").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "off2", "off1"))).orderBy("cell").toArrow()
+    cell, *sums = (cells.column(c).to_numpy() for c in ("cell", "n", "off2", "off1"))
+    weights = learn_weights(cell, *(x.astype(np.float64) for x in sums), v)
     return full.mapInArrow(_scored(weights, train_docs, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

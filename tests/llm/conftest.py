@@ -21,6 +21,7 @@ def corpus():
         texts.append(" ".join(t))
     texts += [words(rng, 40) + " " + passage + "\n" + words(rng, 30) for _ in range(8)]
     texts += [None, "", " \n\t ", "one", "Été déjà vu 日本語 ▁ — ok", "a b c d", "A B c D", "x" * 300, words(rng, 30_000), "line one here\n" * 40, "   double  spaces \n here"]
+    texts += [words(rng, 230_000, 50_000), texts[12], words(rng, 20)]  # above a piece of 1 MiB, with texts behind it
     rows = [(i, t) for i, t in enumerate(texts)]
     rows += [(5, texts[5]), (5, texts[5])]
     return rows

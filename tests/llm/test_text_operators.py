@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hyperplane.llm import decontaminate, registry, token_files
+from hyperplane.llm import decontaminate, interpolated_lm, registry, token_files
 from hyperplane.llm.interpolated_lm import score_documents
 from hyperplane.llm.repetition import repetition_coverage
 from hyperplane.llm.rff_quality import filter_quality, isotonic, score_quality
@@ -141,19 +141,51 @@ def test_url_rules_in_blocks(spark, monkeypatch):
     assert sorted(judge_urls(pages, registry.URL_RULES).collect()) == sorted(whole)
 
 
-def test_language_model(docs, rows, empty, spark):
+@pytest.mark.parametrize("batch", [4 << 20, 20_000])
+def test_language_model(docs, rows, empty, spark, monkeypatch, batch):
+    """Counts and base score exactly; the score against a plain mixture whose weights come from unrounded probabilities, to 0.1 percent."""
+    monkeypatch.setattr(interpolated_lm, "BATCH", batch)
     got = {}
     for r in score_documents(docs).collect():
         got.setdefault(r.doc_id, r)
     tokens = [(i, [*(t or "").encode().translate(LOWER).split(), None]) for i, t in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    train = [ws for i, ws in tokens if not held(i)]
+    c = collections.Counter(w for ws in train for w in ws)
+    pairs = collections.Counter(p for ws in train for p in zip(["start", *ws], ws, strict=False))
     n, v = sum(c.values()), len(c)
+    context = lambda u, first: len(train) if first else c[u]
+
+    def parts(ws, less):
+        for k, w in enumerate(ws):
+            u = ws[k - 1] if k else "start"
+            m = context(u, not k) - less
+            yield (m.bit_length() if m > 0 else 0, (pairs[u, w] - less) / m if m > 0 else 0.0, (c[w] - less) / (n - less))
+
+    buckets = collections.defaultdict(list)
+    for ws in train:
+        for b, p2, p1 in parts(ws, 1):
+            buckets[b].append((p2, p1, 1 / (v + 1)))
+    weights = {}
+    for b, p in buckets.items():
+        p, w = np.array(p), np.ones(3) / 3
+        for _ in range(3000):
+            share = p * w
+            share /= share.sum(1, keepdims=True)
+            w = share.mean(0)
+        weights[b] = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
+    if 0 in weights:
+        weights[0] = np.array([0, *weights[0][1:]]) / weights[0][1:].sum()
+    else:
+        weights[0] = np.array([0, 0.5, 0.5])
+    for b in range(1, 40):
+        weights.setdefault(b, weights[b - 1])
     for i, ws in tokens:
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert r.score < 0
+        want = sum(math.log10(np.dot(weights[b], (p2, p1, 1 / (v + 1)))) for b, p2, p1 in parts(ws, 0))
+        assert math.isclose(r.score, want, rel_tol=1e-3), i
     long_held = [r for r in got.values() if r.held_out and r.n_tokens > 30]
     assert sum(r.score for r in long_held) > sum(r.base_score for r in long_held)
     assert score_documents(empty).count() == 0
@@ -166,7 +198,7 @@ def test_language_model_sums_to_one():
     from hyperplane.llm.interpolated_lm import P1_BINS, P2_BINS, learn_weights
 
     cells = np.array([(2 * P2_BINS + 5) * P1_BINS + 40, (2 * P2_BINS + 0) * P1_BINS + 30, 12])
-    w = learn_weights(cells, np.array([10.0, 20.0, 3.0]), 100)
+    w = learn_weights(cells, np.array([10.0, 20.0, 3.0]), np.zeros(3), np.zeros(3), 100)
     assert np.allclose(w.sum(1), 1) and w[0, 0] == 0 and w[2, 0] > 0.1
 
 
@@ -200,12 +232,12 @@ def test_counts_beyond_32_bits():
     """Totals of a token above 2**32 stay whole, in both forms, and contexts above 2**22 have buckets of their own."""
     import types
 
-    from hyperplane.llm import interpolated_lm as lm
-
+    lm = interpolated_lm
     big, h = np.array([3 << 30], np.uint32), np.array([7], np.uint64)
-    for width, data in ((8, lm.pack(h, big)), (5, lm.pack(h.astype(np.uint32), np.zeros(1, np.uint8), *lm._split(big)))):
-        out = [x for x in lm._added(width)(iter([lm._rows(1, b, [(0, data)]) for b in (0, 1)])) if x.column(0)[0].as_py() != 3]
-        got = [lm.unpack(x.column(3)[0].as_buffer()) for x in out]
-        assert [int((x[0] if width == 8 else lm._counts(*x))[0]) for x in got] == [6 << 30] * 2
-    at = lambda n: int(lm.estimates(types.SimpleNamespace(parts=[None] * 7 + list(lm._split(np.array([1]))), totals=np.array([n]), token=np.array([0]), context=np.array([0])), 1, n, False)[0][0])
+    data = lm.pack(h, *lm._split(big), h, *lm._split(big))
+    out = [x for x in lm._added(iter([lm._rows(1, b, [(0, data)]) for b in (0, 1)])) if x.column(0)[0].as_py() != 3]
+    for x in out:
+        got = lm.unpack(x.column(3)[0].as_buffer())
+        assert int(lm._counts(*got[:3])[0]) == int(lm._counts(*got[3:])[0]) == 6 << 30
+    at = lambda n: int(lm.estimates(types.SimpleNamespace(parts=[None] * 9 + list(lm._split(np.array([1]))), totals=np.array([n]), token=np.array([0]), context=np.array([0])), 1, n, False)[0][0])
     assert at(1 << 23) < at(1 << 30) < at(1 << 40) < lm.CONTEXT_BUCKETS
