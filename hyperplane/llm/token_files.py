@@ -8,12 +8,15 @@ its ids in the fewest bits that hold the vocabulary, least significant bit first
 and padded to whole bytes, so any id or range is read by unpacking only the
 blocks that hold it.
 
-Files are rows of a Parquet table (``part``, ``data``): parts follow document
-ids, so reading parts in order gives the corpus in ascending order of ids.
+Files are rows of a Parquet table: ``part``, the number of a range of document
+ids and of the file within it, so that reading parts in order gives the corpus
+in ascending order of ids; ``span``, the range; ``first`` and ``n``, ids of the
+range before the file and in it; and ``data``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -33,6 +36,8 @@ MAGIC = b"HPTK"
 BLOCK = 4096
 #: Ids in one token file at most, unless one document has more.
 FILE_IDS = 4_000_000
+#: Characters of text that are encoded together.
+GROUP = 200_000
 #: Words whose ids a worker remembers.
 MEMORY = 500_000
 
@@ -106,11 +111,13 @@ class TokenFile:
 
 
 class ByteBpe:
-    """Encoder of the byte-level BPE vocabulary at ``path``, special strings as ordinary text; remembers ids of words.
+    """The encoder of the vocabulary at ``path``, as its library encodes without adding special tokens; remembers ids of words.
 
-    The vocabulary's pattern never joins what stands before a single space to
-    what follows it, unless white space surrounds the space: such texts are
-    encoded in one piece, others word by word with the space in front.
+    The known pattern (``_KNOWN``) never joins what stands before a single space
+    to what follows it, unless white space surrounds the space: such texts, and
+    those that hold an added token's string, are encoded in one piece, others
+    word by word with the space in front.  Texts of a vocabulary with another
+    pattern or normalizer all go through the library as they are.
     """
 
     def __init__(self, path: str):
@@ -118,7 +125,9 @@ class ByteBpe:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_words = all(spec.get(k) == v for k, v in _KNOWN.items()) and all(spec["model"].get(k) == v for k, v in _KNOWN_MODEL.items())
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -172,20 +181,28 @@ class ByteBpe:
         return out
 
     def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if _may_join(text) and _JOINED.search(text):
-            return np.array(self._plain([text])[0], np.uint32)
-        first, *words = text.split(" ")
-        head = self._packed([first])[0] if first else b""
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        whole, split = [], []
+        for i, text in enumerate(texts):
+            if not self.by_words or any(x in text for x in self.added) or _may_join(text) and _JOINED.search(text):
+                whole.append(i)
+            else:
+                split.append((i, text.split(" ")))
+        for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
+            out[i] = np.array(ids, np.uint32)
+        heads = self._packed([words.pop(0) for _, words in split])
         known = self.known
-        fresh = set(words).difference(known)
-        if fresh:
-            if len(known) + 2 * len(fresh) > MEMORY:
-                known.clear()
-                fresh = set(words)
-            known |= self._learn(fresh)
-        out = np.frombuffer(head + b"".join(map(known.__getitem__, words)), self.dtype).astype(np.uint32)
+        fresh = set().union(*(words for _, words in split)).difference(known)
+        if len(known) + 2 * len(fresh) > MEMORY:
+            known.clear()
+            fresh = set().union(*(words for _, words in split))
+        known |= self._learn(fresh)
+        for (i, words), head in zip(split, heads, strict=True):
+            out[i] = np.frombuffer(head + b"".join(map(known.__getitem__, words)), self.dtype).astype(np.uint32)
         for w in fresh:
             if len(w) > 40:
                 del known[w]
@@ -194,7 +211,7 @@ class ByteBpe:
 
 def _may_join(text: str) -> bool:
     """False only if no white space stands before a space."""
-    return not text.isascii() or text[0] == " " or any(x in text for x in _PAIRS)
+    return not text.isascii() or text[:1] == " " or any(x in text for x in _PAIRS)
 
 
 _PAIRS = [c + " " for c in map(chr, range(128)) if c.isspace()]
@@ -207,75 +224,78 @@ _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: The parts of a vocabulary file under which words are encoded apart.
+_KNOWN = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None, "truncation": None, "padding": None}
+_KNOWN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
 @cache
 def byte_bpe(path: str) -> ByteBpe:
     """One encoder per worker, so that words stay known from task to task."""
     return ByteBpe(path)
 
 
+FILES = "part long, span long, first long, n long, data binary"
+
+
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0, vocabulary: int = 50_257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every text, appends ``end_id``, and writes token files in ascending order of ids; returns their table (part, data).
+    """Encodes every text, appends ``end_id``, and writes token files in ascending order of ids; returns their table.
 
-    Documents are dealt to ranges of ids; a part is the number of its range and
-    of the file within it.  A null text is empty: one end id.  Rows with a null
-    id come first, as id -1 << 63.
+    Documents are dealt to ranges of ids.  A null text is empty: one end id.
+    Rows with a null id come first, as id -1 << 63; rows with equal ids follow
+    each other in no set order.  Only the named columns are read.  An empty
+    table gives an empty table.
     """
     bits = max(1, int(vocabulary - 1).bit_length())
+    file_ids, group = FILE_IDS, GROUP
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = byte_bpe(path)
-        part, n_file = TaskContext.get().partitionId(), 0
+        span, n_file, before, size = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int] = []
         counts: list[int] = []
         held: list[np.ndarray] = []
-        size = 0
 
         def file() -> pa.RecordBatch:
             data = encode_file(np.array(doc_ids, np.int64), np.array(counts, np.int64), np.concatenate(held), bits)
-            return pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + n_file]), pa.array([data])], ["part", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([span * 1_000_000 + n_file]), pa.array([span]), pa.array([before]), pa.array([size]), pa.array([data])], ["part", "span", "first", "n", "data"])
 
         for batch in batches:
-            ids = batch.column(0)
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                got = np.append(encode(texts[i].as_py() or ""), np.uint32(end_id))
-                doc = ids[i].as_py()
-                doc_ids.append(-(1 << 63) if doc is None else doc)
-                counts.append(len(got))
-                held.append(got)
-                size += len(got)
-                if size >= FILE_IDS:
-                    yield file()
-                    n_file, size = n_file + 1, 0
-                    doc_ids.clear(), counts.clear(), held.clear()
+            ids = batch.column(0).fill_null(-(1 << 63)).to_pylist()
+            length = batch.column(1).fill_null("").to_pandas().str.len().to_numpy()
+            for some in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(np.cumsum(length) // group)) + 1):
+                texts = [batch.column(1)[i].as_py() or "" for i in some.tolist()]
+                for i, got in zip(some.tolist(), encode.many(texts), strict=True):
+                    got = np.append(got, np.uint32(end_id))
+                    doc_ids.append(ids[i])
+                    counts.append(len(got))
+                    held.append(got)
+                    size += len(got)
+                    if size >= file_ids:
+                        yield file()
+                        n_file, before, size = n_file + 1, before + size, 0
+                        doc_ids.clear(), counts.clear(), held.clear()
         if doc_ids:
             yield file()
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(files, "part long, data binary"), "token-files")
+    return written(ordered.mapInArrow(files, FILES), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """doc_id, start (ids before it in the corpus), n_tokens, ids_crc32 of each document, from token files alone.
 
-    One count per file reaches the driver, for the starts of the files.
+    The starts of the ranges, of which there are as many as shuffle partitions
+    when the files were written, are broadcast.
     """
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(np.frombuffer(x.as_py(), "<u8", 1, 20)[0]) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["part", "n"])
-
-    counts = sorted(tuple(r) for r in files.mapInArrow(sizes, "part long, n long").collect())
-    before = dict(zip([p for p, _ in counts], np.concatenate(([0], np.cumsum([n for _, n in counts])[:-1])).tolist() if counts else [], strict=True))
-
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 f = TokenFile(data.as_py())
                 crc, n = [], len(f.doc_ids)
                 for a in range(0, n, 256):
@@ -283,6 +303,9 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     ids, at = f.ids(int(f.starts[a]), int(f.starts[b])), f.starts[a : b + 1] - f.starts[a]
                     crc += [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
                 doc = pa.array(f.doc_ids, mask=f.doc_ids == -(1 << 63))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(f.starts[:-1] + before[part]), pa.array(np.diff(f.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(f.starts[:-1] + start), pa.array(np.diff(f.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = files.groupBy("span").agg(F.sum("n").alias("n")).select("span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = files.join(F.broadcast(spans), "span").select((F.col("before") + F.col("first")).alias("start"), "data")
+    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

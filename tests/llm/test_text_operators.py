@@ -86,35 +86,56 @@ def test_pack_round_trip():
     assert (f.ids(4000, 4200) == ids[4000:4200]).all() and (f.document(2) == ids[6000:]).all() and not len(f.document(1)) and f.doc_ids.tolist() == [4, 9, 11]
 
 
-@pytest.mark.parametrize("per_file", [4_000_000, 50])
-def test_token_files(docs, rows, empty, monkeypatch, per_file):
+@pytest.mark.parametrize(("per_file", "group"), [(4_000_000, 200_000), (50, 300)])
+def test_token_files(spark, docs, rows, empty, monkeypatch, per_file, group):
+    """The library's own ids, special strings in the text included; files and groups that end between documents."""
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_files, "FILE_IDS", per_file)
+    monkeypatch.setattr(token_files, "GROUP", group)
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
+    special = [(1000, "hi <|endoftext|> there"), (1001, "<|endoftext|>"), (1002, "a <|endoftext|"), (None, "no id")]
+    whole = docs.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string"))
     at, want = 0, []
-    for i, text in sorted(rows, key=lambda r: r[0]):
+    for i, text in sorted(rows + special, key=lambda r: (r[0] is not None, r[0])):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = sorted(tuple(r) for r in token_files.read_tokens(token_files.write_tokens(docs, BPE)).collect())
-    assert got == sorted(want)
+    got = sorted((tuple(r) for r in token_files.read_tokens(token_files.write_tokens(whole, BPE)).collect()), key=lambda r: r[1])
+    assert got == want
     assert token_files.read_tokens(token_files.write_tokens(empty, BPE)).count() == 0
 
 
-def test_encoder_matches_library():
+def _random_texts():
     import random
 
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", " \n", " ", " ", "a", "b's", "é", "12", "!!", "<|endoftext|>", "don't", "x.y", "日本", 'ab,."', "_", "²", "́", "q...", "'", "s", "ª"]
+    return ["".join(rng.choices(parts, k=rng.randrange(10))) for _ in range(4000)]
+
+
+def test_encoder_matches_library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    encode, rng = token_files.ByteBpe(BPE), random.Random(1)
-    parts = [" ", "  ", "\n", "\t", " \n", " ", " ", "a", "b's", "é", "12", "!!", "<|endoftext|>", "don't", "x.y", "日本", 'ab,."', "_", "²", "́", "q...", "'", "s", "ª"]
-    for _ in range(4000):
-        x = "".join(rng.choices(parts, k=rng.randrange(10)))
-        assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids, x
+    t, texts = Tokenizer.from_file(BPE), _random_texts()
+    for x, ids in zip(texts, token_files.ByteBpe(BPE).many(texts), strict=True):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_other_patterns_go_through_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Tokenizer.from_file(BPE).to_str())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    path = str(tmp_path / "other.json")
+    t, texts = Tokenizer.from_file(path), _random_texts()[:300]
+    encoder = token_files.ByteBpe(path)
+    assert not encoder.by_words
+    for x, ids in zip(texts, encoder.many(texts), strict=True):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
 def test_url_rules(spark):
