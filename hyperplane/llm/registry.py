@@ -103,7 +103,7 @@ m AS (
   FROM u JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id
 )
 SELECT u.page_id, u.host, u.path, m.best[3] AS rule,
-       coalesce(m.best[4], CASE WHEN list_has_any(string_split(u.host, '.') || string_split(u.path, '/'), ['casino', 'porn', 'xxx', 'viagra', 'betting', 'torrent', 'warez']) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(m.best[4], 'allow') AS verdict
 FROM u LEFT JOIN m USING (page_id)
 """
 

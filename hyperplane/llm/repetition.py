@@ -1,8 +1,9 @@
 """Quality rules: repetition coverage from rolling n-gram hashes.
 
-For each document the operator measures which share of its characters lies in
-n-grams that occur twice or more in that document (several n), and in repeated
-lines, beside plain counts.  All work is per document: one pass, no shuffle.
+For each document the operator measures which share of its word characters lies
+in n-grams that an earlier place of that document holds too (several n), and how
+much of its lines repeats earlier ones, beside plain counts.  First occurrences
+are not duplicates, so a passage that stands twice counts once.  All work is per document: one pass, no shuffle.
 
 Cases: a null or empty text has no words and no lines, all counts are 0 and it
 is not kept.  Rows are independent, so repeated rows give repeated results and
@@ -20,9 +21,8 @@ from pyspark.sql import DataFrame
 
 from .textbatch import SAME, Words, flat, inside, mix, ngrams, pieces, spans
 
-#: Highest share of a document's characters inside duplicated n-grams, by n: three times the published Gopher limits,
-#: which count the first occurrence too here and must let one repeated paragraph pass.
-MAX_NGRAM_SHARE = {5: 0.45, 6: 0.42, 7: 0.39, 8: 0.36, 9: 0.33, 10: 0.30}
+#: Highest share of a document's word characters inside duplicated n-grams, by n (fixed values: the published Gopher limits).
+MAX_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Highest share of lines, and of characters in lines, that repeat an earlier line (the published limits), from two such lines on.
 MAX_LINE_SHARE = 0.30
 MAX_LINE_CHAR_SHARE = 0.20
@@ -42,27 +42,34 @@ SCHEMA = (
 )
 
 
-def _repeated(key: np.ndarray) -> np.ndarray:
-    """True where the key occurs more than once."""
+def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose key occurs more than once, in order, and whether the key occurs before each."""
     s = np.sort(key)
     twice = s[1:][s[1:] == s[:-1]]
     if not len(twice):
-        return np.zeros(len(key), bool)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     at = np.searchsorted(twice, key)
     at[at == len(twice)] = 0
-    return twice[at] == key
+    at = np.flatnonzero(twice[at] == key)
+    order = np.argsort(key[at], kind="stable")
+    again = np.zeros(len(at), bool)
+    again[order[1:]] = key[at][order[1:]] == key[at][order[:-1]]
+    return at, again
+
+
+def _inside(first: np.ndarray, n: int, n_words: int) -> np.ndarray:
+    """True for the words inside n-word windows that begin at the given words."""
+    step = np.zeros(n_words + 1, np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, first + n, -1)
+    return np.cumsum(step[:-1]) > 0
 
 
-def _covered(w: Words, h: np.ndarray, salt: np.ndarray, n: int) -> np.ndarray:
-    """True for the words inside an n-word window that its document holds twice or more."""
+def _covered(w: Words, h: np.ndarray, salt: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """True for the words inside an n-word window that its document holds twice or more, and inside one that it holds before."""
     at, counts = inside(w.doc, n)
-    if not len(at):
-        return np.zeros(len(w), bool)
-    twice = at[_repeated(mix(ngrams(h, n)[at] ^ np.repeat(salt, counts)))]
-    step = np.zeros(len(w) + 1, np.int32)
-    np.add.at(step, twice, 1)
-    np.add.at(step, twice + n, -1)
-    return np.cumsum(step[:-1]) > 0
+    twice, again = _repeated(mix(ngrams(h, n)[at] ^ np.repeat(salt, counts))) if len(at) else (at, np.zeros(0, bool))
+    return _inside(at[twice], n, len(w)), _inside(at[twice[again]], n, len(w))
 
 
 def _per_doc(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -107,10 +114,10 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
     shares = []
     for n in MAX_NGRAM_SHARE:
-        covered = _covered(w, h, salt, n)
-        shares.append(_per_doc(w.doc, np.where(covered, size, 0)) / np.maximum(word_chars, 1))
+        twice, again = _covered(w, h, salt, n)
+        shares.append(_per_doc(w.doc, np.where(again, size, 0)) / np.maximum(word_chars, 1))
         if n == WINDOW:
-            n_repeat = _per_doc(w.doc, covered)
+            n_repeat = _per_doc(w.doc, twice)
     shares = np.array(shares)
     n_words = w.counts
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)

@@ -1,8 +1,9 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule has a host, a path and a verdict and compiles to one regular expression
-over ``host path``.  Its literal tokens are the labels of the host and the whole
-segments of the path.  Token frequencies over the judged URLs choose the rarest
+over ``host path``; ``*`` in either stands for any characters of it.  Its literal
+tokens are the labels of the host and the whole segments of the path, as far as
+they have no ``*``.  Token frequencies over the judged URLs choose the rarest
 token of each rule as its index key; a URL fetches the rules keyed by one of its
 tokens, and only those rules are matched.  Rules without any literal token are
 keyed by the empty token, which every URL has.  Everything on the main path is
@@ -11,8 +12,11 @@ DataFrame code.
 Rules are given as a list on the driver and travel with the plan as one constant
 map, ``MAX_RULES`` at a time.
 
+The verdict is that of the longest rule that fits, stars not counted; where none
+fits it is the one given as default.
+
 Cases: a null URL, or one without ``://``, has an empty host and path, which no
-rule fits, and gets the default verdict.  Equal rows give equal results.  A rule
+rule with a host fits, and gets the default verdict.  Equal rows give equal results.  A rule
 listed twice counts once; of rules that fit with equal length the smaller text
 wins, and block before allow.  Only the two named columns are read.
 """
@@ -28,9 +32,6 @@ from pyspark.sql import functions as F
 #: Rules in one constant map; a rule takes under 1 kB.
 MAX_RULES = 20_000
 
-#: Spam words whose presence as a whole token makes a URL suspicious when no listed rule fits (fixed values).
-SPAM_TOKENS = ("casino", "porn", "xxx", "viagra", "betting", "torrent", "warez")
-
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased."""
@@ -53,9 +54,14 @@ def rule_row(rule: tuple[str, str, str]) -> tuple[str, str, str, list[str], int]
     verdict, host, path = rule
     # The last segment of the path may go on in the URL, so it is a whole token only if a slash follows.
     whole = [x for x in path.split("/")[:-1] if x]
-    tokens = sorted({*(x for x in host.split(".") if x), *whole})
-    pattern = rf"(?s)^(?:[^/]*\.)?{re.escape(host)}\x00{re.escape(path)}"
-    return host + path, verdict, pattern, tokens or [""], len(host) + len(path)
+    tokens = sorted({x for x in (*host.split("."), *whole) if x and "*" not in x})
+    pattern = rf"(?s)^(?:[^/]*\.)?{_any(host)}\x00{_any(path)}"
+    return host + path, verdict, pattern, tokens or [""], len((host + path).replace("*", ""))
+
+
+def _any(text: str) -> str:
+    """Text as a pattern in which each star stands for any characters of the host or path."""
+    return r"[^\x00]*".join(map(re.escape, text.split("*")))
 
 
 RULE_SCHEMA = "rule string, verdict string, pattern string, tokens array<string>, length int"
@@ -93,12 +99,12 @@ def candidates(tokens: Column, lookup: Column) -> Column:
     return F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(lookup, t)), lambda x: x.isNotNull()))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule (null if none fits) and verdict.
 
-    Without a fitting rule the verdict is ``block`` if a token of the URL is one
-    of ``SPAM_TOKENS``, else ``allow``.  Rules beyond ``MAX_RULES`` are matched
-    in blocks of that many, in the same pass over the pages.
+    Without a fitting rule the verdict is ``default``.  Rules beyond
+    ``MAX_RULES`` are matched in blocks of that many, in the same pass over the
+    pages.
     """
     url = F.col("url")
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -112,6 +118,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
         hits.append(f"hit{at}")
         judged = judged.withColumn(hits[-1], F.array_min(fits))
     hit = F.array_min(F.array(*map(F.col, hits))) if hits else F.lit(None).cast("struct<rule: string, verdict: string>")
-    spam = F.arrays_overlap("tokens", F.array(*map(F.lit, SPAM_TOKENS)))
-    otherwise = F.when(spam, "block").otherwise("allow")
-    return judged.withColumn("hit", hit).select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), otherwise).alias("verdict"))
+    return judged.withColumn("hit", hit).select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict"))
