@@ -26,7 +26,7 @@ Candidates come in three turns, and after each the verified links are joined,
 so that groups within one component fall out:
 
   stars   each member with the smallest of its group
-  covers  each member with one member of another component
+  covers  of each component in a group, one pair with another
   rest    all pairs between different components
 
 Pairs of the last two are formed inside a group's task and leave it only if odd
@@ -67,7 +67,7 @@ PERCENT = 80
 BLOCK = 4096
 #: Members from which on an open group is first cut by another partitioning.
 LARGE = 16384
-#: Bits of odd sketches, from a power of two above the set's size.
+#: Bits of odd sketches: twice a power of two not below the size of the set, within these.
 SKETCH_BITS = (128, 1 << 16)
 #: Signatures gathered by a worker before it deals them out.
 GATHER = 500_000
@@ -160,7 +160,7 @@ def sketches(grams: np.ndarray, offs: np.ndarray) -> list[bytes]:
     h = mix(grams * np.uint64(0xC2B2AE3D27D4EB4F))
     out = []
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-        bits = min(max(SKETCH_BITS[0], 1 << (b - a - 1).bit_length()), SKETCH_BITS[1])
+        bits = min(max(SKETCH_BITS[0], 2 << (b - a - 1).bit_length()), SKETCH_BITS[1])
         odd = np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8)).tobytes())
     return out
@@ -364,7 +364,7 @@ def _passing(n: np.ndarray, bits: np.ndarray, root: np.ndarray, m: int, within:
 def _compared(percent: int, cover: bool):
     """Candidates between components of groups; rows: gid, block, other, node, home, n, sketch, root, sorted by (gid, block, other).
 
-    With ``cover``, each member gives one pair: with the smallest node that it may link with.
+    With ``cover``, each component in a group gives one pair, the first in order of nodes.
     """
 
     def pairs(t: pa.Table) -> pa.RecordBatch | None:
@@ -375,16 +375,19 @@ def _compared(percent: int, cover: bool):
         node, n, root = node[order], n[order], root[order]
         m = int((home == block).sum())
         left, right = [], []
-        best = np.full(len(node), len(node))
+        roots, root_of = np.unique(root, return_inverse=True)
+        bare = np.ones(len(roots), bool)
         for i, j in _passing(n, bits, root, m, block == other, percent):
             if cover:
-                best[i] = min(best[i], j[0])
-                best[j] = np.minimum(best[j], i)
-            else:
-                left.append(np.full(len(j), i))
-                right.append(j)
-        if cover:
-            left, right = [np.flatnonzero(best < len(node))], [best[best < len(node)]]
+                _, once = np.unique(root_of[j], return_index=True)
+                want = bare[root_of[j[once]]]
+                want[0] |= bare[root_of[i]]
+                j = j[once[want]]
+                bare[root_of[i]] = bare[root_of[j]] = False
+            left.append(np.full(len(j), i))
+            right.append(j)
+            if cover and not bare.any():
+                break
         if not left or not len(left[0]):
             return None
         x, y = node[np.concatenate(left)], node[np.concatenate(right)]

@@ -93,7 +93,7 @@ def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     a, extra = rng.integers(0, 1 << 63, 300).astype(np.uint64), rng.integers(0, 1 << 63, 40).astype(np.uint64)
     s = partenum._folded(partenum.sketches(np.concatenate((a, a[20:], extra, a[:250])), np.array([0, 300, 620, 870])))
-    assert s.shape == (3, 4)
+    assert s.shape == (3, 8)
     assert np.bitwise_count(s[0] ^ s[1]).sum() <= 60
     assert np.bitwise_count(s[0] ^ s[2]).sum() <= 50
     assert np.bitwise_count(s[1] ^ s[2]).sum() > 60
