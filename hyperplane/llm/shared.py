@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,12 @@ def dropped(*tables: DataFrame) -> None:
 def released(spark: SparkSession) -> None:
     """Lets go of the files of shuffles that nothing refers to any more, which Spark does only as the driver collects its garbage."""
     gc.collect()
+    # What Python has let go of is passed on by a thread that looks for it once a second.
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    until = time.monotonic() + 3
+    while waiting and time.monotonic() < until:
+        time.sleep(0.05)
+    time.sleep(0.05)
     spark.sparkContext._jvm.System.gc()
 
 
