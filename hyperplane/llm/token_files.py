@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ BLOCK = 4096
 FILE_IDS = 4_000_000
 #: Characters of text that are encoded together.
 GROUP = 200_000
-#: Words whose ids a worker remembers.
-MEMORY = 500_000
+#: Words whose ids a worker remembers, and as many from before it last had too many.
+MEMORY = 400_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -128,9 +129,11 @@ class ByteBpe:
         spec = json.loads(self.tokenizer.to_str())
         self.by_words = all(spec.get(k) == v for k, v in _KNOWN.items()) and all(spec["model"].get(k) == v for k, v in _KNOWN_MODEL.items())
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.short: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -139,46 +142,41 @@ class ByteBpe:
         code = "H" if self.dtype == "<u2" else "I"
         return [array(code, x).tobytes() for x in self._plain(texts)]
 
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Packed ids of words of letters with a space in front: each is one piece of the pattern, so the model alone encodes it."""
-        tokenize, code = self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I"
-        space = _BYTE_CHARS[0x20]
-        spelled = (space + w if w.isascii() else (" " + w).encode().decode("latin-1").translate(_BYTE_CHARS) for w in words)
-        return {w: array(code, [t.id for t in tokenize(x)]).tobytes() for w, x in zip(words, spelled, strict=True)}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Packed ids of words with a space in front.
-
-        Letters and the marks after them are apart in the vocabulary's pattern
-        (but for what follows an apostrophe), so a word of both is its letters'
-        ids and its marks', each known on its own.
-        """
-        known, tails = self.known, self.tails
-        parts, letters, marks, others = [], set(), set(), []
-        for w in words:
-            stem = w.rstrip(_MARKS)
-            if not stem.isalpha():
-                others.append(w)
-            elif len(stem) == len(w):
-                letters.add(w)
-            else:
-                tail = w[len(stem) :]
-                parts.append((w, stem, tail))
-                if stem not in known:
-                    letters.add(stem)
-                if tail not in tails:
-                    marks.add(tail)
-        out = self._letters(list(letters))
-        out |= zip(others, self._packed([" " + w for w in others]), strict=True)
-        if marks:
-            if len(tails) + len(marks) > MEMORY // 10:
-                held = {t for _, _, t in parts}
-                marks |= held
-                tails.clear()
-            tails |= zip(list(marks), self._packed(list(marks)), strict=True)
-        for w, stem, tail in parts:
-            out[w] = (out.get(stem) or known[stem]) + tails[tail]
-        return out
+    def _by_pieces(self, text: str) -> Iterator[tuple[str, bytes]]:
+        """The pattern's pieces of a text of plain characters, each with its ids: the model alone encodes a piece."""
+        tokenize, code, short = self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I", self.short
+        pieces = _PATTERN.findall(text)
+        spelled = _BYTE_CHARS[np.frombuffer("\x00".join(pieces).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\x00")
+        known = self.known
+        for piece, x in zip(pieces, spelled, strict=True):
+            ids = short.get(piece) if len(x) < 3 else known.get(piece[1:]) if piece[0] == " " else None
+            if ids is None:
+                ids = array(code, [t.id for t in tokenize(x)]).tobytes()
+                if len(x) < 3:
+                    short[piece] = ids
+            yield piece, ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words with a space in front."""
+        others = [w for w in words if not _PLAIN_WORD(w)]
+        self.known |= zip(others, self._packed([" " + w for w in others]), strict=True)
+        if others:
+            words = [w for w in words if _PLAIN_WORD(w)]
+        if words:
+            out: list[bytes] = []
+            for piece, ids in self._by_pieces(" " + " ".join(words)):
+                if piece[0] == " ":
+                    out.append(ids)
+                else:
+                    out[-1] += ids
+            self.known |= zip(words, out, strict=True)
+
+    def _heads(self, words: list[str]) -> list[bytes]:
+        """Ids of words at the beginning of a text."""
+        out = {w: b"".join(ids for _, ids in self._by_pieces(w)) if w else b"" for w in set(words) if not w or _PLAIN_WORD(w)}
+        others = list(set(words).difference(out))
+        out |= zip(others, self._packed(others), strict=True)
+        return [out[w] for w in words]
 
     def __call__(self, text: str) -> np.ndarray:
         return self.many([text])[0]
@@ -194,13 +192,15 @@ class ByteBpe:
                 split.append((i, text.split(" ")))
         for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
             out[i] = np.array(ids, np.uint32)
-        heads = self._packed([words.pop(0) for _, words in split])
-        known = self.known
-        fresh = set().union(*(words for _, words in split)).difference(known)
-        if len(known) + 2 * len(fresh) > MEMORY:
-            known.clear()
-            fresh = set().union(*(words for _, words in split))
-        known |= self._learn(fresh)
+        heads = self._heads([words.pop(0) for _, words in split])
+        words = set().union(*(words for _, words in split))
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > MEMORY:
+            self.known, self.before, fresh = {}, self.known, words
+        known, before = self.known, self.before
+        known |= [(w, before[w]) for w in fresh if w in before]
+        fresh = fresh.difference(known)
+        self._learn(list(fresh))
         for (i, words), head in zip(split, heads, strict=True):
             out[i] = np.frombuffer(head + b"".join(map(known.__getitem__, words)), self.dtype).astype(np.uint32)
         for w in fresh:
@@ -211,18 +211,21 @@ class ByteBpe:
 
 def _may_join(text: str) -> bool:
     """False only if no white space stands before a space."""
-    return not text.isascii() or text[:1] == " " or any(x in text for x in _PAIRS)
+    return text[:1] == " " or any(x in text for x in (_PAIRS[:10] if text.isascii() else _PAIRS))
 
 
-_PAIRS = [c + " " for c in map(chr, range(128)) if c.isspace()]
+#: White space before a space; the first ten are of ASCII.
+_PAIRS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 _JOINED = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")
-#: The characters that byte-level BPE writes for bytes without a printable one of their own: from 256 on, in order.
-_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-
-#: ASCII marks that the vocabulary's pattern takes together; the apostrophe is not among them.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
+#: Fixed value: the published pattern of byte-level BPE.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words whose characters are of one class in every version of Unicode, with single line feeds inside.
+_PLAIN_WORD = re.compile("[!-~\u00c0-\u024f]+(?:\n[!-~\u00c0-\u024f]+)*").fullmatch
+#: The characters that byte-level BPE writes for bytes without a printable one of their own: from 256 on, in order.  Zero separates pieces.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = np.zeros(256, "<u4")
+_BYTE_CHARS[_PRINTABLE] = _PRINTABLE
+_BYTE_CHARS[sorted({*range(1, 256)} - {*_PRINTABLE})] = np.arange(257, 257 + 255 - len(_PRINTABLE))
 
 #: The parts of a vocabulary file under which words are encoded apart.
 _KNOWN = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None, "truncation": None, "padding": None}
