@@ -13,8 +13,9 @@ equal windows have equal anchors at equal offsets.
    Larsson-Sadakane refinement, takes common prefixes by Kasai's method, and so
    finds classes of equal windows and the smallest document of each.
 5. Segments of a very common anchor are split over shards by document.  Such a
-   shard decides what is not its own first; the firsts of each window, one
-   document per shard, are merged across shards by binary search.
+   shard decides what is not its own first; its firsts leave in the order of
+   its suffix array, as sorted runs of windows, which are merged across shards
+   by binary search, byte by byte.
 6. Removed ranges go back to their documents, and the rest is hashed.
 
 What a task holds is bounded by the number of partitions, which follows
@@ -47,26 +48,25 @@ ANCHOR_ROWS = 4096
 #: Bytes of packed entries that a worker gathers before it deals them out.
 GATHER = 16 << 20
 _LOW57 = np.uint64((1 << 57) - 1)
+_LOW32 = np.uint64((1 << 32) - 1)
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, k: int = K, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
     """(window start, anchor position) of every window of k bytes within a document."""
-    n = len(buf)
     size = np.diff(offs)
     count = np.maximum(size - k + 1, 0)
     if not count.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     w = gram_hashes(buf, q)
-    # Position in the low bits: leftmost of equal hashes.
-    bits = np.uint64(max(1, n.bit_length()))
-    v = ((w >> bits) << bits) | np.arange(len(w), dtype=np.uint64)
+    # Half of the hash, whatever the length of the buffer, and the position below it: leftmost of equal hashes.
+    v = (w & ~_LOW32) | np.arange(len(w), dtype=np.uint64)
     span, have = k - q + 1, 1
     while have < span:
         step = min(have, span - have)
         v = np.minimum(v[:-step], v[step:])
         have += step
     start = np.repeat(offs[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return start, (v[start] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    return start, (v[start] & _LOW32).astype(np.int64)
 
 
 def gram_hashes(buf: np.ndarray, q: int = Q) -> np.ndarray:
@@ -191,6 +191,8 @@ def _repeated(buckets: int, groups: int):
     return find
 
 
+#: A window that is the first of its shard.  Windows have one length, so that order by bytes holds for them with zeros at the end too.
+_FIRST = np.dtype([("window", f"S{K}"), ("doc", "<i8"), ("place", "<i8")])
 #: A segment's entry before its bytes: anchor, document, start, length.
 _SEGMENT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u2")])
 
@@ -428,13 +430,15 @@ def _judge_part(head: np.ndarray, body: np.ndarray, offs: np.ndarray, groups: in
     shared = (head["anchor"] >> np.uint64(58)) > 0
     own = np.flatnonzero(~later & shared[owner])
     if len(own):
-        # Firsts of a split anchor's windows: two hashes of the window, document and place.
+        # Firsts of a split anchor's windows, in the order of the suffix array: bytes, document and place.
         text_at = start[text_of[owner[own]]] + at[own]
-        low, high = spans(text, text_at, text_at + K), gram_hashes(text, 48)[text_at]
-        place = head["start"][owner[own]].astype(np.int64) + at[own]
-        table = np.stack((low, high, head["doc"][owner[own]].view(np.uint64), place.view(np.uint64)), 1)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        yield _rows(_blobs((table[:, 0] % np.uint64(merges)).astype(np.int64), merges, table), 1)
+        order = np.argsort(rank[text_at])
+        own, text_at = own[order], text_at[order]
+        table = np.empty(len(own), _FIRST)
+        table["window"] = text[text_at[:, None] + np.arange(K)].view(f"S{K}")[:, 0]
+        table["doc"] = head["doc"][owner[own]]
+        table["place"] = head["start"][owner[own]].astype(np.int64) + at[own]
+        yield _rows(_blobs((gram_hashes(text, 48)[text_at] % np.uint64(merges)).astype(np.int64), merges, table), 1)
 
 
 def _compact(body: np.ndarray, offs: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -443,30 +447,28 @@ def _compact(body: np.ndarray, offs: np.ndarray, size: np.ndarray) -> tuple[np.n
     return body[np.repeat(offs - start, size) + np.arange(int(stop[-1]))], start, stop
 
 
+def merged_runs(runs: list[np.ndarray]) -> np.ndarray:
+    """Sorted runs of windows as one: of two, the shorter's places in the longer are found by binary search."""
+    while len(runs) > 1:
+        runs.sort(key=len)
+        joined = [np.insert(b, np.searchsorted(b["window"], a["window"]), a) for a, b in zip(runs[::2], runs[1::2], strict=False)]
+        runs = joined + ([runs[-1]] if len(runs) % 2 else [])
+    return runs[0]
+
+
 def _merged(groups: int):
-    """Windows of split anchors, one sorted run per shard: runs join by binary search, and later documents lose the window."""
+    """Windows of split anchors, one sorted run per shard: later documents lose the window."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 4).copy() for batch in batches for x in batch.column(2)]
+        runs = [np.frombuffer(x.as_buffer(), _FIRST).copy() for batch in batches for x in batch.column(2)]
         if not runs:
             return
-        while len(runs) > 1:  # pairs of runs, the shorter placed into the longer
-            runs.sort(key=len)
-            joined = []
-            for a, b in zip(runs[::2], runs[1::2], strict=False):
-                at = np.searchsorted(b[:, 0], a[:, 0])
-                joined.append(np.insert(b, at, a, axis=0))
-            runs = joined + ([runs[-1]] if len(runs) % 2 else [])
-        table = runs[0]
-        order = np.lexsort((table[:, 2].view(np.int64), table[:, 1], table[:, 0]))
-        table = table[order]
-        new = np.ones(len(table), bool)
-        new[1:] = (table[1:, :2] != table[:-1, :2]).any(1)
-        doc = table[:, 2].view(np.int64)
-        first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        late = doc > first
-        place = table[:, 3].view(np.int64)[late]
-        found = np.stack((doc[late], place, place + K), 1)
+        table = merged_runs(runs)
+        runs.clear()
+        first = np.flatnonzero(np.concatenate(([True], table["window"][1:] != table["window"][:-1])))
+        least = np.repeat(np.minimum.reduceat(table["doc"], first), np.diff(np.append(first, len(table))))
+        late = table[table["doc"] > least]
+        found = np.stack((late["doc"], late["place"], late["place"] + K), 1)
         if len(found):
             yield _rows(_blobs(np.mod(found[:, 0], groups), groups, found), 0)
 

@@ -144,6 +144,32 @@ def test_suffix_dedup_splits_common_anchors(docs, rows, monkeypatch):
     assert got == brute_removal(rows)
 
 
+def test_anchors_follow_the_window_alone():
+    """Equal windows choose the same gram in pieces of any length, at any place."""
+    rng = np.random.default_rng(7)
+    passage = rng.integers(97, 99, 400).astype(np.uint8)
+    found = []
+    for before, after in ((0, 0), (13, 70_000), (300_000, 5)):
+        text = np.concatenate((rng.integers(97, 99, before), passage, rng.integers(97, 99, after))).astype(np.uint8)
+        start, at = suffix_dedup.anchors(text, np.array([0, len(text)]))
+        mine = (start >= before) & (start <= before + 350)
+        found.append((at - start)[mine].tolist())
+    assert len(found[0]) == 351 and found[0] == found[1] == found[2]
+
+
+def test_merged_runs():
+    rng = np.random.default_rng(3)
+    runs = []
+    for n in (7, 1, 30, 12):
+        run = np.zeros(n, suffix_dedup._FIRST)
+        run["window"] = np.sort(np.array([bytes(rng.integers(0, 2, 50, np.uint8)[:3]) + b"x" * 46 + bytes([rng.integers(0, 2)]) for _ in range(n)], "S50"))
+        run["doc"] = rng.integers(0, 9, n)
+        runs.append(run)
+    merged = suffix_dedup.merged_runs(list(runs))
+    assert merged["window"].tolist() == sorted(x for r in runs for x in r["window"].tolist())
+    assert sorted(merged.tolist()) == sorted(x for r in runs for x in r.tolist())
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 99, 300).astype(np.uint8)
