@@ -62,6 +62,8 @@ def dropped(*tables: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets go of the files of shuffles that nothing refers to any more, which Spark does only as the driver collects its garbage."""
+    # The last query is held by the thread that told listeners of it, until there is another one.
+    spark.range(1).collect()
     gc.collect()
     # What Python has let go of is passed on by a thread that looks for it once a second.
     waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
