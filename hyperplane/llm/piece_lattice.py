@@ -381,8 +381,26 @@ def sample(voc: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int, seed:
     return out
 
 
-def encode_topk(docs: DataFrame, path: str, k: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Up to k rows per row of ``docs``: sample number from 1, ids (little-endian 32-bit), log-probability, perturbed one, inclusion score."""
+DECODED = SCHEMA.replace("ids binary", "ids array<int>, ids_crc32 long, decoded string")
+
+
+def _decoded(voc: Vocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Encoded rows with the ids as arrays, their checksum, and the texts they spell."""
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        ids = [np.frombuffer(x.as_buffer(), "<i4") for x in part.column(6)]
+        texts = [voc.decode(x).decode("utf-8", "replace") for x in ids]
+        crc = [zlib.crc32(x) for x in ids]
+        offs = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        arrays = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        yield pa.RecordBatch.from_arrays([*part.columns[:6], arrays, pa.array(crc, pa.int64()), pa.array(texts, pa.string())], [*part.schema.names[:6], "ids", "ids_crc32", "decoded"])
+
+
+def encode_topk(docs: DataFrame, path: str, k: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """Up to k rows per row of ``docs``: sample number from 1, ids (little-endian 32-bit), log-probability, perturbed one, inclusion score.
+
+    With ``decode`` the rows are those that ``decode_ids`` makes of them, in the same pass.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
@@ -396,30 +414,27 @@ def encode_topk(docs: DataFrame, path: str, k: int = 2, seed: int = SEED, id_col
                 found = sample(voc, texts, mine.fill_null(0).to_numpy(), k, seed)
                 rows = [(i, n + 1, *x) for i, many in enumerate(found) for n, x in enumerate(many)]
                 which = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [
                         mine.take(which), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()),
                         pa.array([r[4] for r in rows], pa.float64()), pa.array([r[5] for r in rows], pa.float64()), pa.array([r[2].astype("<i4").tobytes() for r in rows], pa.binary()),
                     ],
                     ["doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids"],
                 )
+                if decode:
+                    yield from _decoded(voc, out)
+                else:
+                    yield out
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(encode, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(encode, DECODED if decode else SCHEMA)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """The encoded rows with the ids as arrays, their checksum, and the texts they spell."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.frombuffer(x.as_buffer(), "<i4") for x in part.column(6)]
-                texts = [voc.decode(x).decode("utf-8", "replace") for x in ids]
-                crc = [zlib.crc32(x) for x in ids]
-                offs = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                arrays = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], arrays, pa.array(crc, pa.int64()), pa.array(texts, pa.string())], [*part.schema.names[:6], "ids", "ids_crc32", "decoded"])
-
-    return encoded.mapInArrow(decode, SCHEMA.replace("ids binary", "ids array<int>, ids_crc32 long, decoded string"))
+            yield from _decoded(voc, batch)
+
+    return encoded.mapInArrow(spell, DECODED)

@@ -54,11 +54,10 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .piece_lattice import decode_ids, encode_topk
+    from .piece_lattice import encode_topk
 
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
-    decoded = decode_ids(encode_topk(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
+    encoded = encode_topk(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", decode=True)
+    return encoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
