@@ -5,6 +5,11 @@ near copies    one document, the smallest id, of each group of near copies stays
 repeats        strings of 50 bytes that an earlier document holds are cut out
 contamination  documents that hold benchmark windows beyond the limit go
 tokens         two segmentations of each text are sampled, with inclusion scores
+
+In every stage a null text is an empty one, an empty table gives an empty table,
+and columns of any name stay as they are.  Rows with equal ids are one document:
+they stay or go together.  Rows without an id are never dropped as copies or
+contaminated, as nothing names them.  Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hyperplane.llm.decontaminate import contamination
 from hyperplane.llm.partenum import jaccard_components
-from hyperplane.llm.piece_lattice import decode_ids, encode_topk
+from hyperplane.llm.piece_lattice import encode_topk
 from hyperplane.llm.registry import TOKENIZERS, table
 from hyperplane.llm.rff_quality import filter_quality
 from hyperplane.llm.shared import without, written
@@ -24,28 +29,34 @@ from hyperplane.llm.suffix_dedup import drop_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score is at least 0.3.  Empty and null texts are scored like any other.  Without labels all rows stay; labels of
+    one kind only decide for all rows."""
     return filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of the smallest id of each component.  Texts without words link with nothing and stay; ties don't occur, as ids differ."""
     found = written(jaccard_components(docs), "pipeline-components")
     return without(docs, found.where("doc_id <> component_id"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that a smaller id holds; rows left without a word, and later copies of whole texts, go.
+    Texts that were empty before stay."""
     kept = drop_repeats(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which benchmark windows cover less than a twentieth; without benchmark items, all rows."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.where("contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
-    decoded = decode_ids(encode_topk(docs, path), path)
-    return decoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
+    """Two samples of each row, one where a text has a single segmentation; an empty text has one sample without ids."""
+    encoded = encode_topk(docs, f"{TOKENIZERS}/piece_bpe_32k.model", decode=True)
+    return encoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
