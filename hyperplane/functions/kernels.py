@@ -1,25 +1,41 @@
-"""Kernels: one definition with three backends, a Column expression, DuckDB SQL for the oracle, and NumPy blocks.
+"""Kernels: one definition with three backends, a Column expression, DuckDB SQL for the oracle, and NumPy blocks, dense or sparse.
 
 Chi-square kernels are for non-negative vectors; a place where both are zero adds nothing.
+
+Operators take any object with ``block(x, z)``, the values of all rows of x
+against all of z; those that work on columns also call ``expr(x, z)``.  Own
+kernels are classes with these, or ``Custom``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sparse import SparseRows
 from .vectors import dot, self_dot
 
+#: Cells of the tables that dense chi-square blocks go through.
+TILE = 1 << 18
+
+
+def _ratio(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """u v / (u + v), 0 where the sum is 0."""
+    total = u + v
+    return np.divide(u * v, total, out=np.zeros_like(total), where=total != 0)
 
-def _chi2_blocks(x: np.ndarray, z: np.ndarray, term) -> np.ndarray:
-    """Sum over features of term(u, v) by rows of x, so that only one row's table is held."""
-    out = np.empty((len(x), len(z)))
-    for i, row in enumerate(x):
-        total = row + z
-        out[i] = np.divide(term(row, z), total, out=np.zeros_like(z), where=total != 0).sum(1)
+
+def _chi2_blocks(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Sum over features of u v / (u + v), a few features at a time over tiles of rows."""
+    out = np.zeros((len(x), len(z)))
+    step = max(1, TILE // max(len(z), 1))
+    for a in range(0, len(x), step):
+        for k in range(x.shape[1]):
+            out[a : a + step] += _ratio(x[a : a + step, k, None], z[None, :, k])
     return out
 
 
@@ -64,19 +80,56 @@ class Kernel:
         distance = over("((p[1] - p[2]) * (p[1] - p[2]))")
         return f"(1 - 0.5::double * {distance})" if self.name == "chi2" else f"exp(-{self.gamma}::double * {distance})"
 
-    def block(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    def block(self, x: np.ndarray | SparseRows, z: np.ndarray | SparseRows) -> np.ndarray:
         """Kernel values of all rows of x against all rows of z."""
+        sparse = isinstance(x, SparseRows)
+        if self.histogram:
+            ratio = x.common(z, _ratio) if sparse else _chi2_blocks(x, z)
+            if self.name == "nchi2":
+                return ratio
+            # (u - v)**2 / (u + v) = u + v - 4 u v / (u + v)
+            sums = [m.sums() if sparse else m.sum(1) for m in (x, z)]
+            distance = sums[0][:, None] + sums[1][None, :] - 4 * ratio
+            return 1 - 0.5 * distance if self.name == "chi2" else np.exp(-self.gamma * distance)
+        products = x.common(z) if sparse else x @ z.T
         if self.name == "linear":
-            return x @ z.T
-        if self.name == "rbf":
-            d = (x * x).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * (x @ z.T)
-            return np.exp(-self.gamma * np.maximum(d, 0))
+            return products
         if self.name == "poly":
-            return (self.gamma * (x @ z.T) + self.coef) ** self.degree
-        if self.name == "nchi2":
-            return _chi2_blocks(x, z, lambda u, v: u * v)
-        distance = _chi2_blocks(x, z, lambda u, v: (u - v) ** 2)
-        return 1 - 0.5 * distance if self.name == "chi2" else np.exp(-self.gamma * distance)
+            return (self.gamma * products + self.coef) ** self.degree
+        squares = [m.squares() if sparse else (m * m).sum(1) for m in (x, z)]
+        return np.exp(-self.gamma * np.maximum(squares[0][:, None] + squares[1][None, :] - 2 * products, 0))
+
+
+@dataclass(frozen=True)
+class Custom:
+    """A kernel of one's own: ``of`` gives the values of a block of rows against another, ``column`` those of two columns."""
+
+    of: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    column: Callable[[Column, Column], Column] | None = None
+
+    def block(self, x: np.ndarray | SparseRows, z: np.ndarray | SparseRows) -> np.ndarray:
+        return self.of(x, z)
+
+    def expr(self, x: Column, z: Column) -> Column:
+        if self.column is None:
+            raise ValueError("this kernel has no form for columns")
+        return self.column(x, z)
+
+
+@dataclass(frozen=True)
+class Mahalanobis:
+    """x' M z with a full matrix M, the inverse of a covariance."""
+
+    inverse: tuple[tuple[float, ...], ...]
+
+    def block(self, x: np.ndarray | SparseRows, z: np.ndarray | SparseRows) -> np.ndarray:
+        m = np.array(self.inverse)
+        x, z = (v.dense(len(m)) if isinstance(v, SparseRows) else v for v in (x, z))
+        return premultiplied(x, m) @ z.T
+
+    def expr(self, x: Column, z: Column) -> Column:
+        rows = F.array(*[F.array(*map(F.lit, r)) for r in self.inverse])
+        return dot(x, F.transform(rows, lambda r: dot(r, z)))
 
 
 LINEAR, RBF, POLY = Kernel("linear"), Kernel("rbf"), Kernel("poly")
@@ -84,6 +137,13 @@ CHI2, NCHI2, EXPCHI2 = Kernel("chi2"), Kernel("nchi2"), Kernel("expchi2")
 ALL = (LINEAR, RBF, POLY, CHI2, NCHI2, EXPCHI2)
 
 
+def kernel_of(name: str, gamma: float = 0.5, degree: float = 2.0, coef: float = 1.0) -> Kernel:
+    """The kernel of a name, with its parameters."""
+    if name not in {k.name for k in ALL}:
+        raise ValueError(f"no kernel {name!r}")
+    return Kernel(name, gamma, degree, coef)
+
+
 def mahalanobis(x: Column, z: Column, inverse_diagonal: Column) -> Column:
     """x' D z for a diagonal inverse covariance; a full one pre-multiplies the rows (``premultiplied``)."""
     return dot(F.zip_with(x, inverse_diagonal, lambda u, d: u * d), z)

@@ -70,3 +70,32 @@ def densified(long: DataFrame, dim: int, id_col: str = "id") -> DataFrame:
     """(id, x) from the long form; missing indices are zero."""
     entries = long.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "val"))).alias("m"))
     return entries.select(id_col, F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
+
+
+def long_dot(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, value): products of rows with equal ids of two long forms (id, idx, val), over the indices both have."""
+    return a.join(b.select("id", "idx", F.col("val").alias("other")), ["id", "idx"]).groupBy("id").agg(F.sum(F.col("val") * F.col("other")).alias("value"))
+
+
+def _long_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, idx, u, v) over the indices of either side, of ids that both sides have."""
+    both = a.select("id", "idx", F.col("val").alias("u")).join(b.select("id", "idx", F.col("val").alias("v")), ["id", "idx"], "full_outer").na.fill(0.0, ["u", "v"])
+    common = a.select("id").distinct().join(b.select("id").distinct(), "id", "left_semi")
+    return both.join(common, "id", "left_semi")
+
+
+def long_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, idx, val): differences of rows with equal ids, without zeros."""
+    return _long_both(a, b).select("id", "idx", (F.col("u") - F.col("v")).alias("val")).where("val <> 0")
+
+
+def long_chi2(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, value): chi-square distances of rows with equal ids; a place whose sum is 0 adds nothing."""
+    term = F.when(F.col("u") + F.col("v") == 0, 0.0).otherwise(F.pow(F.col("u") - F.col("v"), F.lit(2.0)) / (F.col("u") + F.col("v")))
+    return _long_both(a, b).groupBy("id").agg(F.sum(term).alias("value"))
+
+
+def sparse(long: DataFrame) -> DataFrame:
+    """(id, x) from the long form, x an array of (idx, val) in order of index."""
+    entry = F.struct(F.col("idx").cast("int").alias("idx"), F.col("val").cast("double").alias("val"))
+    return long.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("x"))

@@ -2,49 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
 from . import smo
-from .gram import against, scores
+from .gram import against, matrix, scores
 
-MODEL_SCHEMA = "problem long, sv_id long, x array<double>, y int, alpha double, rho double, objective double, gap double, iterations long"
-#: Rows of one training problem, which one worker solves.
-MAX_ROWS = 100_000
 
+def model_schema(x_type: str) -> str:
+    return f"problem long, sv_id long, x {x_type}, y int, alpha double, rho double, objective double, gap double, iterations long"
 
-def train_problems(rows: DataFrame, kernel: Kernel, c: float, pairs: str = "second") -> DataFrame:
-    """Support rows of each ``problem`` in rows (problem, id, x, y in +1 and -1); one row with a null id if there are none."""
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > MAX_ROWS:
-            raise ValueError(f"a problem of {len(part)} rows is beyond one worker; use the linear solvers")
-        part = part.sort_values("id")
-        s = smo.solve(np.stack(part["x"].to_numpy()), part["y"].to_numpy(), kernel, c, pairs)
-        some = s.alpha > 0
-        out = part.loc[some, ["problem", "id", "x", "y"]].rename(columns={"id": "sv_id"}) if some.any() else pd.DataFrame({"problem": part["problem"].iloc[:1], "sv_id": None, "x": None, "y": None})
-        out["alpha"] = s.alpha[some] if some.any() else 0.0
-        return out.assign(rho=s.rho, objective=s.objective, gap=s.gap, iterations=s.iterations)
+def train_problems(rows: DataFrame, kernel: Kernel, c: float, pairs: str = "second", solver: Callable[..., smo.Solution] | None = None) -> DataFrame:
+    """Support rows of each ``problem`` in rows (problem, id, x, y in +1 and -1, and weight, which scales C by row, if there is one).
 
-    return rows.select("problem", "id", "x", "y").groupBy("problem").applyInPandas(fit, MODEL_SCHEMA)
+    A problem without support rows gives one row with a null id.  ``solver`` is a
+    function like ``smo.solve``: (x, y, kernel, c, pairs=, weights=) to a
+    Solution.  A problem is one worker's: it holds the rows and a bounded cache
+    of kernel rows; ``decomposition.train`` has no such bound.
+    """
+    columns = ["problem", "id", "x", "y", *(["weight"] if "weight" in rows.columns else [])]
+    run = solver or smo.solve
+    schema = model_schema(rows.schema["x"].dataType.simpleString())
+
+    def fit(part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        weights = part.column("weight").to_numpy().astype(np.float64) if "weight" in columns else None
+        s = run(matrix(part.column("x")), part.column("y").to_numpy(), kernel, c, pairs=pairs, weights=weights)
+        some = np.flatnonzero(s.alpha > 0)
+        n = max(len(some), 1)
+        kept = part.take(pa.array(some if len(some) else [0]))
+        mask = np.full(n, not len(some))
+        column = lambda name, kind: pc.if_else(pa.array(mask), pa.scalar(None, kind), kept.column(name).combine_chunks().cast(kind))
+        return pa.table(
+            {
+                "problem": kept.column("problem"), "sv_id": column("id", pa.int64()), "x": kept.column("x") if len(some) else pa.nulls(1, part.schema.field("x").type), "y": column("y", pa.int32()),
+                "alpha": s.alpha[some] if len(some) else np.zeros(1), "rho": np.full(n, s.rho), "objective": np.full(n, s.objective), "gap": np.full(n, s.gap), "iterations": np.full(n, s.iterations),
+            }
+        )
+
+    return rows.select(*columns).groupBy("problem").applyInArrow(fit, schema)
+
+
+def weighted(rows: DataFrame, class_weights: dict[int, float]) -> DataFrame:
+    """Rows (label, ...) with ``weight``: the weight of the label, 1 for labels that are not listed; a label that no row has is an error."""
+    known = {r.label for r in rows.select("label").distinct().collect()}
+    if missing := set(class_weights) - known:
+        raise ValueError(f"no row has the labels {sorted(missing)}")
+    pairs = [F.when(F.col("label") == k, F.lit(float(w))) for k, w in class_weights.items()]
+    return rows.withColumn("weight", F.coalesce(*pairs, F.lit(1.0)))
 
 
 @dataclass
 class KernelSVC:
     """Binary C-SVC, or one problem per class against the rest; labels of any integers, mapped back in predictions.
 
-    A problem has up to ``MAX_ROWS`` rows.  The model is a DataFrame of support
-    rows (see MODEL_SCHEMA) that ``save`` and ``load`` keep as Parquet.
+    The model is a DataFrame of support rows (see ``model_schema``) that ``save``
+    and ``load`` keep as Parquet.  ``class_weights`` scale C by the row's label.
     """
 
     kernel: Kernel = field(default_factory=lambda: Kernel("rbf"))
     c: float = 1.0
     pairs: str = "second"
+    class_weights: dict[int, float] = field(default_factory=dict)
+    solver: Callable[..., smo.Solution] | None = None
     model: DataFrame | None = None
     classes: list[int] = field(default_factory=list)
 
@@ -53,20 +81,19 @@ class KernelSVC:
         self.classes = sorted(r.label for r in df.select("label").distinct().collect())
         targets = self.classes[1:] if len(self.classes) == 2 else self.classes
         each = F.explode(F.array(*[F.lit(int(t)).cast("long") for t in targets]))
-        rows = df.withColumn("problem", each).withColumn("y", F.when(F.col("label") == F.col("problem"), 1).otherwise(-1))
-        self.model = train_problems(rows, self.kernel, self.c, self.pairs)
+        rows = weighted(df, self.class_weights) if self.class_weights else df
+        rows = rows.withColumn("problem", each).withColumn("y", F.when(F.col("label") == F.col("problem"), 1).otherwise(-1))
+        self.model = train_problems(rows, self.kernel, self.c, self.pairs, self.solver)
         return self
 
     def decision(self, df: DataFrame) -> DataFrame:
-        """(id, problem, score) of each row and problem."""
-        model = self.model.persist()
-        heads = model.groupBy("problem").agg(F.first("rho").alias("rho")).collect()
-        out = None
-        for h in heads:
-            support = model.where((F.col("problem") == h.problem) & F.col("sv_id").isNotNull()).select(F.col("sv_id").alias("id"), "x", "y", "alpha")
-            part = scores(df, support, self.kernel, h.rho).select("id", F.lit(h.problem).alias("problem"), "score")
-            out = part if out is None else out.unionByName(part)
-        return out
+        """(id, problem, score) of each row and problem; one pass for all problems."""
+        rho = {r.problem: r.rho for r in self.model.groupBy("problem").agg(F.first("rho").alias("rho")).collect()}
+        support = self.model.where("sv_id is not null").select(F.col("sv_id").alias("id"), "x", "y", "alpha", "problem")
+        results = {f"p{n}": ("sum", lambda k, a, b, p=p: k @ (b["alpha"] * b["y"] * (b["problem"] == p))) for n, p in enumerate(rho)}
+        wide = against(df, support, self.kernel, ["y", "alpha", "problem"], results)
+        each = F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("problem"), (F.col(f"p{n}") - r).alias("score")) for n, (p, r) in enumerate(rho.items())])).alias("e")
+        return wide.select("id", each).select("id", "e.*")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(id, pred): by sign for two classes, zero counting as the second class; else the class with the greatest score, ties by the smallest."""
@@ -96,4 +123,4 @@ def primal_scores(df: DataFrame, w: DataFrame) -> DataFrame:
     return df.join(F.broadcast(w)).select("id", dot(F.col("w"), F.slice("x", F.lit(1), F.size("w"))).alias("score"))
 
 
-__all__ = ["KernelSVC", "against", "primal_scores", "summary", "train_problems"]
+__all__ = ["KernelSVC", "model_schema", "primal_scores", "scores", "summary", "train_problems", "weighted"]

@@ -9,20 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _running(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Sum of ``value`` over the rows with smaller keys.
-
-    Keys are dealt to ranges; each range is summed in itself, and offsets of
-    ranges (one row each) are added, so no task holds all keys.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()).persist()
-    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
-    offsets = totals.alias("a").join(totals.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._total"), F.lit(0)).alias("_offset"))
-    w = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("_sum", F.coalesce(F.sum(value).over(w), F.lit(0)))
-    return inside.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_sum") + F.col("_offset")).cast("long")).drop("_part", "_sum", "_offset")
+from .ranks import ranked, running
 
 
 def row_lengths(long: DataFrame, rows: DataFrame) -> DataFrame:
@@ -32,20 +19,24 @@ def row_lengths(long: DataFrame, rows: DataFrame) -> DataFrame:
 
 def csr_offsets(long: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, nnz, start): entries before each row."""
-    return _running(row_lengths(long, rows), "id", "nnz", "start")
+    return running(row_lengths(long, rows), "id", {"nnz": "start"})
 
 
 def csc_offsets(long: DataFrame, dim: int) -> DataFrame:
     """(idx, nnz, start) of columns 1 to dim, empty ones included."""
     columns = long.sparkSession.range(1, dim + 1).select(F.col("id").cast("int").alias("idx"))
     counts = columns.join(long.groupBy("idx").agg(F.count(F.lit(1)).alias("nnz")), "idx", "left").select("idx", F.coalesce("nnz", F.lit(0)).alias("nnz"))
-    return _running(counts, "idx", "nnz", "start")
+    return running(counts, "idx", {"nnz": "start"})
+
+
+def csr_entries(long: DataFrame) -> DataFrame:
+    """(pos, id, idx, val) in row order: the values and indices of the compressed rows."""
+    return ranked(long.select("id", "idx", "val"), [], ["id", "idx"], "pos").select("pos", "id", "idx", "val")
 
 
 def csc_entries(long: DataFrame, dim: int) -> DataFrame:
-    """(pos, idx, id, val) in column order."""
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy("id")) - 1
-    return long.withColumn("r", rank).join(csc_offsets(long, dim).select("idx", "start"), "idx").select((F.col("start") + F.col("r")).alias("pos"), "idx", "id", "val")
+    """(pos, idx, id, val) in column order, of columns 1 to dim."""
+    return ranked(long.select("id", "idx", "val").where(F.col("idx").between(1, dim)), [], ["idx", "id"], "pos").select("pos", "idx", "id", "val")
 
 
 def _slots(long: DataFrame) -> DataFrame:
@@ -76,7 +67,7 @@ def slice_starts(lengths: DataFrame, slice_rows: int, threads: int, prefetch: in
     align = -(-slice_rows * threads // unit) * unit
     widths = lengths.groupBy(F.floor(F.col("id") / slice_rows).cast("long").alias("slice")).agg(F.max(F.ceil(F.col("nnz") / step)).cast("long").alias("units"))
     sized = widths.select("slice", (F.col("units") * prefetch).alias("width"), (F.col("units") * prefetch * align).alias("cells"))
-    return _running(sized, "slice", "cells", "start").drop("cells")
+    return running(sized, "slice", {"cells": "start"}).drop("cells")
 
 
 def sliced(long: DataFrame, lengths: DataFrame, slice_rows: int, threads: int, prefetch: int = 1, unit: int = 64) -> DataFrame:

@@ -1,6 +1,7 @@
 """Kernel-matrix operators: sums and extremes over all pairs of two tables, in NumPy blocks.
 
-The right side is packed into blocks of ``BLOCK_ROWS`` rows.  Up to
+Vectors are arrays of doubles, or sparse: arrays of structs (idx, val) or maps
+from index to value.  The right side is packed into blocks of ``BLOCK_ROWS`` rows.  Up to
 ``BROADCAST_BYTES`` it is sent to the workers, and each partition of the left
 side meets it without a shuffle.  Beyond, both sides are packed and pairs of
 blocks are joined, so no task holds more than two blocks; partial results are
@@ -17,22 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
+from ..functions.sparse import matrix
 
 BLOCK_ROWS = 2048
 BROADCAST_BYTES = 64 << 20
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an array column of equal lengths."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def fetched(df: DataFrame, columns: list[str]) -> dict[str, np.ndarray] | None:
     """Columns of a table of bounded size on the driver, sorted by id; None if it is larger than BROADCAST_BYTES."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
-    if not row.n or row.n * (row.d + len(columns)) * 8 > BROADCAST_BYTES:
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size("x"), F.lit(0))).alias("d")).first()
+    if not row.n or (2 * row.d + row.n * len(columns)) * 8 > BROADCAST_BYTES:
         return None if row.n else {c: np.zeros((0, 0)) if c == "x" else np.zeros(0) for c in ["id", *columns]}
     t = df.select("id", *columns).toArrow().sort_by("id")
     return {c: matrix(t.column(c)) if c == "x" else t.column(c).to_numpy() for c in ["id", *columns]}

@@ -1,20 +1,26 @@
-"""Linear classifiers with squared hinge loss, trained over partitions.
+"""Linear classifiers without a bias, trained over partitions; vectors are dense or sparse.
 
-Minimises |w|**2 / 2 + sum C_i max(0, 1 - y_i w.x_i)**2 without a bias.  Each
-iteration is one pass that sums, per partition, a vector as long as the number
-of features; only those reach the driver.
+The objective is |w|**2 / 2 + sum C_i loss(y_i w.x_i), with the squared hinge
+(``l2``) or the hinge (``l1``).  For the squared hinge each iteration is one
+pass that sums, per partition, a vector as long as the number of features, for
+all classes at once; only those reach the driver.  The input is read once and
+kept for the passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .gram import matrix
+from ..functions.sparse import SparseRows, matrix
+
+#: Cells of the curvature matrices of all classes up to which Newton steps are solved on the driver; beyond, by conjugate gradients.
+CURVATURE_CELLS = 1 << 20
 
 
 @dataclass
@@ -26,14 +32,14 @@ class LinearModel:
     iterations: int
 
 
-def _summed(df: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """Sum of f(x, y) over partitions, through at most 32 groups of partial sums."""
+def _summed(df: DataFrame, f: Callable[..., np.ndarray], size: int) -> np.ndarray:
+    """Sum of f(x, y, weight) over partitions, through at most 32 groups of partial sums."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                total += f(matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+                total += f(matrix(batch.column(0)), *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,69 +49,229 @@ def _summed(df: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], si
                 total += np.frombuffer(x.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
 
-    rows = df.select("x", "y").mapInArrow(part, "total binary")
+    rows = df.mapInArrow(part, "total binary")
     if df.rdd.getNumPartitions() > 64:
         rows = rows.repartition(32).mapInArrow(joined, "total binary")
     return np.sum([np.frombuffer(r.total) for r in rows.collect()], axis=0)
 
 
-def fit_squared_hinge(df: DataFrame, dim: int, c: float = 1.0, tol: float = 1e-4, max_iter: int = 60) -> LinearModel:
-    """Newton's method on the primal: df (x, y in +1 and -1); each pass gives loss, gradient, and the curvature of the active rows."""
-    w, turn = np.zeros(dim), 0
-    objective, gradient, dual = np.inf, np.zeros(dim), 0.0
-
-    def passed(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float, np.ndarray]:
-        def f(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            slack = np.maximum(0, 1 - y * (x @ w))
-            active = x[slack > 0]
-            alpha = 2 * c * slack
-            return np.concatenate(([c * (slack**2).sum(), (alpha - alpha**2 / (4 * c)).sum()], x.T @ (alpha * y), (active.T @ active).ravel()))
-
-        s = _summed(df, f, 2 + dim + dim * dim)
-        v = s[2 : 2 + dim]
-        return w @ w / 2 + s[0], w - v, np.eye(dim) + 2 * c * s[2 + dim :].reshape(dim, dim), s[1] - v @ v / 2, v
-
-    objective, gradient, curvature, dual, _ = passed(w)
-    while turn < max_iter and np.abs(gradient).max(initial=0) > tol:
-        step = np.linalg.solve(curvature, -gradient)
-        size, found = 1.0, None
-        while size > 1e-6:
-            found = passed(w + size * step)
-            if found[0] <= objective + 1e-4 * size * (gradient @ step):
-                break
-            size /= 2
-        w = w + size * step
-        objective, gradient, curvature, dual, _ = found
-        turn += 1
-    return LinearModel(w, float(objective), float(np.abs(gradient).max(initial=0)), float(objective - dual), turn)
-
-
-def fit_barzilai_borwein(df: DataFrame, dim: int, c: float = 1.0, tol: float = 1e-3, max_iter: int = 300) -> LinearModel:
-    """Gradient steps of Barzilai-Borwein length on the primal, with a non-monotone line search over the last ten objectives."""
-    w, turn = np.zeros(dim), 0
-
-    def passed(w: np.ndarray) -> tuple[float, np.ndarray, float]:
-        def f(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            slack = np.maximum(0, 1 - y * (x @ w))
-            alpha = 2 * c * slack
-            return np.concatenate(([c * (slack**2).sum(), (alpha - alpha**2 / (4 * c)).sum()], x.T @ (alpha * y)))
-
-        s = _summed(df, f, 2 + dim)
-        return w @ w / 2 + s[0], w - s[2:], s[1] - s[2:] @ s[2:] / 2
-
-    objective, gradient, dual = passed(w)
-    recent, size = [objective], 1.0 / max(1.0, np.abs(gradient).max(initial=1))
-    while turn < max_iter and np.abs(gradient).max(initial=0) > tol:
-        while True:
-            found = passed(w - size * gradient)
-            if found[0] <= max(recent[-10:]) - 1e-4 * size * (gradient @ gradient) or size < 1e-12:
+def _times(x: np.ndarray | SparseRows, w: np.ndarray) -> np.ndarray:
+    if isinstance(x, SparseRows):
+        return x.times(w)
+    n = min(x.shape[1], len(w))
+    return x[:, :n] @ w[:n]
+
+
+def _weighted(x: np.ndarray | SparseRows, v: np.ndarray, dim: int) -> np.ndarray:
+    if isinstance(x, SparseRows):
+        return x.weighted(v, dim)
+    out = np.zeros((dim, *v.shape[1:]))
+    n = min(x.shape[1], dim)
+    out[:n] = x[:, :n].T @ v
+    return out
+
+
+def _sides(y: np.ndarray, targets: list[float]) -> np.ndarray:
+    return np.where(y[:, None] == np.array(targets)[None, :], 1.0, -1.0)
+
+
+class _Problems:
+    """The problems of some classes against the rest over rows (x, y, weight): y is the label, or +1 and -1 without classes."""
+
+    def __init__(self, df: DataFrame, dim: int, c: float, targets: list[float] | None):
+        weight = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
+        self.rows = df.select("x", F.col("y").cast("double").alias("y"), weight.alias("weight")).persist()
+        self.dim, self.c, self.targets = dim, c, [1.0] if targets is None else [float(t) for t in targets]
+
+    def passed(self, w: np.ndarray, curvature: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Of each problem: objective, gradient, dual objective, and if asked for the curvature, at the columns of w (dim, problems)."""
+        dim, k, c, targets = self.dim, w.shape[1], self.c, self.targets
+
+        def f(x, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            side, box = _sides(y, targets), c * weight[:, None]
+            slack = np.maximum(0, 1 - side * _times(x, w))
+            alpha = 2 * box * slack
+            parts = [(box * slack**2).sum(0), (alpha - np.divide(alpha**2, 4 * box, out=np.zeros_like(alpha), where=box > 0)).sum(0), _weighted(x, alpha * side, dim).ravel()]
+            if curvature:
+                dense = x.dense(dim) if isinstance(x, SparseRows) else x
+                parts += [((dense * (2 * box[:, 0] * (slack[:, j] > 0))[:, None]).T @ dense).ravel() for j in range(k)]
+            return np.concatenate(parts)
+
+        s = _summed(self.rows, f, 2 * k + dim * k + (k * dim * dim if curvature else 0))
+        v = s[2 * k : 2 * k + dim * k].reshape(dim, k)
+        bend = np.eye(dim) + s[2 * k + dim * k :].reshape(k, dim, dim) if curvature else None
+        return (w**2).sum(0) / 2 + s[:k], w - v, s[k : 2 * k] - (v**2).sum(0) / 2, bend
+
+    def bent(self, w: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Products of the curvature at w with the columns of d."""
+        dim, c, targets = self.dim, self.c, self.targets
+
+        def f(x, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            active = _sides(y, targets) * _times(x, w) < 1
+            return _weighted(x, 2 * c * weight[:, None] * active * _times(x, d), dim).ravel()
+
+        return d + _summed(self.rows, f, dim * d.shape[1]).reshape(dim, -1)
+
+    def solved(self, w: np.ndarray, gradient: np.ndarray, bend: np.ndarray | None, most: int = 50) -> np.ndarray:
+        """Newton steps of all problems: on the driver from curvature matrices, or by conjugate gradients, all problems in step."""
+        if bend is not None:
+            return np.stack([np.linalg.solve(b, -g) for b, g in zip(bend, gradient.T, strict=True)], 1)
+        step, r = np.zeros_like(w), -gradient
+        d, rr = r.copy(), (r**2).sum(0)
+        enough = 0.01 * rr
+        for _ in range(most):
+            go = rr > enough
+            if not go.any():
                 break
-            size /= 2
-        s = -size * gradient
-        d = found[1] - gradient
-        w = w + s
-        objective, gradient, dual = found
-        recent.append(objective)
-        size = float(s @ s / max(s @ d, 1e-12))
-        turn += 1
-    return LinearModel(w, float(objective), float(np.abs(gradient).max(initial=0)), float(objective - dual), turn)
+            hd = self.bent(w, d)
+            size = np.where(go, rr / np.maximum((d * hd).sum(0), 1e-300), 0)
+            step, r = step + size * d, r - size * hd
+            before, rr = rr, (r**2).sum(0)
+            d = r + np.where(go, rr / np.maximum(before, 1e-300), 0) * d
+        return step
+
+    def newton(self, tol: float, max_iter: int, conjugate: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        w, turn = np.zeros((self.dim, len(self.targets))), 0
+        whole = not conjugate and len(self.targets) * self.dim**2 <= CURVATURE_CELLS
+        objective, gradient, dual, bend = self.passed(w, whole)
+        while turn < max_iter and (left := np.abs(gradient).max(0, initial=0) > tol).any():
+            step = self.solved(w, gradient, bend) * left
+            size, slope = np.ones(len(left)), (gradient * step).sum(0)
+            while True:
+                found = self.passed(w + size * step, whole)
+                short = left & (found[0] > objective + 1e-4 * size * slope + 1e-12 * np.abs(objective)) & (size > 1e-6)
+                if not short.any():
+                    break
+                size = np.where(short, size / 2, size)
+            w = w + size * step
+            objective, gradient, dual, bend = found
+            turn += 1
+        return w, objective, gradient, dual, turn
+
+    def barzilai_borwein(self, tol: float, max_iter: int, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        w, turn = np.zeros((self.dim, len(self.targets))), 0
+        objective, gradient, dual, _ = self.passed(w)
+        recent = [objective]
+        size = 1.0 / np.maximum(1.0, np.abs(gradient).max(0, initial=1))
+        while turn < max_iter and (left := np.abs(gradient).max(0, initial=0) > tol).any():
+            while True:
+                found = self.passed(w - size * left * gradient)
+                short = left & (found[0] > np.max(recent[-10:], axis=0) - 1e-4 * size * (gradient**2).sum(0)) & (size >= 1e-12)
+                if not short.any():
+                    break
+                size = np.where(short, size / 2, size)
+            s = -size * left * gradient
+            d = found[1] - gradient
+            w = w + s
+            objective, gradient, dual, _ = found
+            recent.append(objective)
+            ss, sd, dd = (s**2).sum(0), np.maximum((s * d).sum(0), 1e-300), np.maximum((d**2).sum(0), 1e-300)
+            first = rule == "bb1" or rule == "both" and turn % 2 == 0
+            size = np.where(left & (ss > 0), np.clip(ss / sd if first else sd / dd, 1e-12, 1e12), size)
+            turn += 1
+        return w, objective, gradient, dual, turn
+
+    def done(self) -> None:
+        self.rows.unpersist()
+
+
+def _binary(df: DataFrame, dim: int, c: float, run: Callable[[_Problems], tuple]) -> LinearModel:
+    problems = _Problems(df, dim, c, None)
+    try:
+        w, objective, gradient, dual, turn = run(problems)
+    finally:
+        problems.done()
+    return LinearModel(w[:, 0], float(objective[0]), float(np.abs(gradient).max(initial=0)), float(objective[0] - dual[0]), turn)
+
+
+def fit_squared_hinge(df: DataFrame, dim: int, c: float = 1.0, tol: float = 1e-4, max_iter: int = 60) -> LinearModel:
+    """Newton's method on the primal: df (x, y in +1 and -1, and weight if there is one)."""
+    return _binary(df, dim, c, lambda p: p.newton(tol, max_iter))
+
+
+def fit_conjugate_gradient(df: DataFrame, dim: int, c: float = 1.0, tol: float = 1e-4, max_iter: int = 60) -> LinearModel:
+    """As ``fit_squared_hinge``, with Newton steps by conjugate gradients on products with the curvature, whatever the dimension."""
+    return _binary(df, dim, c, lambda p: p.newton(tol, max_iter, True))
+
+
+def fit_barzilai_borwein(df: DataFrame, dim: int, c: float = 1.0, tol: float = 1e-3, max_iter: int = 300, rule: str = "bb1") -> LinearModel:
+    """Gradient steps of Barzilai-Borwein length (``bb1``, ``bb2``, or ``both`` in turn), with a non-monotone line search over the last ten objectives."""
+    return _binary(df, dim, c, lambda p: p.barzilai_borwein(tol, max_iter, rule))
+
+
+def fit_hinge(df: DataFrame, dim: int, c: float = 1.0, tol: float = 1e-6, max_iter: int = 500) -> LinearModel:
+    """The hinge loss by Spark's own ``LinearSVC``, whose objective is this one over the total weight and C."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    weight = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
+    dense = densified(df.select("x", "y", weight.alias("weight")), dim)
+    rows = dense.select(array_to_vector("x").alias("features"), (F.col("y") > 0).cast("double").alias("label"), "weight").persist()
+    try:
+        total = rows.agg(F.sum("weight")).first()[0] or 0.0
+        if not total:
+            return LinearModel(np.zeros(dim), 0.0, 0.0, 0.0, 0)
+        found = LinearSVC(regParam=1 / (c * total), fitIntercept=False, standardization=False, weightCol="weight", tol=tol, maxIter=max_iter).fit(rows)
+    finally:
+        rows.unpersist()
+    w = found.coefficients.toArray()
+    loss = _summed(dense.select("x", F.col("y").cast("double"), "weight"), lambda x, y, r: np.array([(r * np.maximum(0, 1 - y * _times(x, w))).sum()]), 1)[0]
+    return LinearModel(w, float(w @ w / 2 + c * loss), float("nan"), float("nan"), found.summary().totalIterations if found.hasSummary else 0)
+
+
+def densified(df: DataFrame, dim: int) -> DataFrame:
+    """df with x as an array of ``dim`` doubles; arrays of doubles stay."""
+    kind = df.schema["x"].dataType.simpleString()
+    if kind.startswith("array<double"):
+        return df
+    pairs = F.col("x") if kind.startswith("map") else F.map_from_entries(F.col("x"))
+    return df.withColumn("x", F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.coalesce(F.try_element_at(pairs, i.cast("int")), F.lit(0.0))))
+
+
+@dataclass
+class LinearClassifier:
+    """Two classes by the sign of w.x, above 0 being the class whose first row comes first; more by one problem per class against
+    the rest, the greatest value deciding and the earlier class winning ties.  ``class_weights`` scale C by the row's label."""
+
+    c: float = 1.0
+    solver: str = "newton"
+    class_weights: dict[int, float] = field(default_factory=dict)
+    tol: float = 1e-4
+    max_iter: int = 300
+    classes: list[int] = field(default_factory=list)
+    w: np.ndarray | None = None
+
+    def fit(self, df: DataFrame, dim: int) -> LinearClassifier:
+        """df: id, x, label."""
+        from .estimator import weighted
+
+        rows = weighted(df, self.class_weights) if self.class_weights else df
+        self.classes = [r.label for r in df.groupBy("label").agg(F.min("id").alias("first")).orderBy("first").collect()]
+        targets = self.classes[:1] if len(self.classes) == 2 else self.classes
+        problems = _Problems(rows.withColumn("y", F.col("label")), dim, self.c, targets)
+        try:
+            run = {"newton": lambda: problems.newton(self.tol, self.max_iter), "cg": lambda: problems.newton(self.tol, self.max_iter, True), "bb": lambda: problems.barzilai_borwein(self.tol, self.max_iter, "both")}
+            self.w = run[self.solver]()[0]
+        finally:
+            problems.done()
+        return self
+
+    def decision(self, df: DataFrame) -> DataFrame:
+        """(id, scores): one value per problem; features beyond those of the training are dropped."""
+        w = self.w
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                value = _times(matrix(batch.column(1)), w) if batch.num_rows else np.zeros((0, w.shape[1]))
+                ends = pa.array(np.arange(len(value) + 1) * w.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(value.ravel(), pa.float64()))], ["id", "scores"])
+
+        return df.select(F.col("id").cast("long"), "x").mapInArrow(score, "id long, scores array<double>")
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(id, pred)."""
+        found = self.decision(df)
+        if len(self.classes) == 2:
+            return found.select("id", F.when(F.col("scores")[0] > 0, self.classes[0]).otherwise(self.classes[1]).alias("pred"))
+        names = F.array(*map(F.lit, self.classes))
+        return found.select("id", F.element_at(names, F.array_position("scores", F.array_max("scores")).cast("int")).alias("pred"))

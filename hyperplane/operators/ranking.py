@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import subtract
+from .linear import LinearModel, fit_squared_hinge
+from .ranks import running
 
 
 def difference_pairs(df: DataFrame) -> DataFrame:
@@ -22,3 +24,40 @@ def pair_labels(df: DataFrame) -> DataFrame:
     b = df.select(F.col("id").alias("j"), F.col("rank").alias("rj"))
     pairs = a.join(b, F.col("j") < F.col("i"))
     return pairs.groupBy(F.col("ri").alias("rank")).agg(F.sum((F.col("ri") >= F.col("rj")).cast("long")).alias("n_pos"), F.sum((F.col("ri") < F.col("rj")).cast("long")).alias("n_neg"))
+
+
+def concordance(scored: DataFrame) -> DataFrame:
+    """(concordant, discordant, tied, pairwise_accuracy, tau) over pairs of scored (score, rank) whose ranks differ.
+
+    Counts per score and rank, of few ranks, and running sums in order of score:
+    linear in the rows.  A pair of equal scores counts half as right; ``tau`` is
+    Kendall's, over the pairs whose ranks differ.
+    """
+    ranks = sorted(r[0] for r in scored.select("rank").distinct().collect() if r[0] is not None)
+    counts = scored.where("rank is not null").groupBy("score").agg(*(F.count(F.when(F.col("rank") == r, 1)).alias(f"n{k}") for k, r in enumerate(ranks)), F.count(F.lit(1)).alias("n"))
+    below = running(counts, "score", {f"n{k}": f"b{k}" for k in range(len(ranks))} or {"n": "b"})
+    total = lambda terms: F.sum(sum(terms, F.lit(0))).cast("long")
+    pairs = [(i, j) for i in range(len(ranks)) for j in range(i)]
+    out = below.agg(
+        F.coalesce(total([F.col(f"n{i}") * F.col(f"b{j}") for i, j in pairs]), F.lit(0)).alias("concordant"),
+        F.coalesce(total([F.col(f"n{j}") * F.col(f"b{i}") for i, j in pairs]), F.lit(0)).alias("discordant"),
+        F.coalesce(total([F.col(f"n{i}") * F.col(f"n{j}") for i, j in pairs]), F.lit(0)).alias("tied"),
+    )
+    n = F.col("concordant") + F.col("discordant") + F.col("tied")
+    return out.select("*", ((F.col("concordant") + F.col("tied") / 2) / F.nullif(n, F.lit(0))).alias("pairwise_accuracy"), ((F.col("concordant") - F.col("discordant")) / F.nullif(n, F.lit(0))).alias("tau"))
+
+
+def rank_experiment(train: DataFrame, test: DataFrame, dim: int, c: float = 1.0) -> tuple[LinearModel, DataFrame]:
+    """A linear ranker of the difference pairs of ``train``, and its concordance on ``test``; both id, x, rank."""
+    from .gram import matrix
+
+    model = fit_squared_hinge(difference_pairs(train).select("x", "y"), dim, c)
+
+    def score(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(matrix(batch.column(0)) @ model.w if batch.num_rows else []), batch.column(1)], ["score", "rank"])
+
+    kind = test.schema["rank"].dataType.simpleString()
+    return model, concordance(test.select("x", "rank").mapInArrow(score, f"score double, rank {kind}"))

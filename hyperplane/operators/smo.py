@@ -3,7 +3,10 @@
 The dual: minimise a'Qa / 2 - sum a with 0 <= a <= C and y'a = 0.  Each
 iteration moves one pair along (y_i, -y_j) by the analytic step clipped to the
 box.  Pairs are chosen by second-order gain, as the maximal violating pair, or
-at random with a seed; all end at the same optimum within the gap.
+at random with a seed; all end at the same optimum within the gap.  ``platt``
+keeps errors of all rows and lets each violating row in turn step with the rows
+whose errors are farthest from its own; ``partners`` says how many of them a
+row steps with before the next.
 """
 
 from __future__ import annotations
@@ -13,12 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 
 from ..functions.kernels import Kernel
+from ..functions.sparse import SparseRows
 
 EPS = 1e-3
 FLOOR = 1e-12
-#: Rows up to which the whole kernel matrix is held (8 bytes a cell); beyond, a cache of rows.
+#: Rows up to which the whole kernel matrix is held (8 bytes a cell); beyond, the rows used last, in so many bytes.
 WHOLE = 6000
-CACHED_ROWS = 512
+CACHED_BYTES = 256 << 20
 
 
 @dataclass
@@ -31,11 +35,12 @@ class Solution:
     iterations: int
 
 
-class _Rows:
+class Rows:
     """Rows of the kernel matrix, whole or the last used."""
 
-    def __init__(self, x: np.ndarray, kernel: Kernel):
+    def __init__(self, x: np.ndarray | SparseRows, kernel: Kernel):
         self.x, self.kernel = x, kernel
+        self.most = max(2, CACHED_BYTES // (8 * len(x)))
         self.whole = kernel.block(x, x) if len(x) <= WHOLE else None
         self.kept: dict[int, np.ndarray] = {}
 
@@ -44,7 +49,7 @@ class _Rows:
             return self.whole[i]
         row = self.kept.pop(i, None)
         if row is None:
-            if len(self.kept) >= CACHED_ROWS:
+            if len(self.kept) >= self.most:
                 self.kept.pop(next(iter(self.kept)))
             row = self.kernel.block(self.x[i : i + 1], self.x)[0]
         self.kept[i] = row
@@ -63,13 +68,18 @@ def _best(value: np.ndarray, allowed: np.ndarray, tie: str) -> int:
     return at if v[at] > -np.inf else -1
 
 
-def solve(x: np.ndarray, y: np.ndarray, kernel: Kernel, c: float, pairs: str = "second", tie: str = "first", eps: float = EPS, max_iter: int = 1_000_000, seed: int = 0, weights: np.ndarray | None = None) -> Solution:
-    """Trains on rows x with labels +1 and -1; ``weights`` scale C by row.  One class only gives alpha 0."""
+def solve(
+    x: np.ndarray | SparseRows, y: np.ndarray, kernel: Kernel, c: float, pairs: str = "second", tie: str = "first", eps: float = EPS, max_iter: int = 1_000_000, seed: int = 0,
+    weights: np.ndarray | None = None, start: tuple[np.ndarray, np.ndarray] | None = None, rows: Rows | None = None,
+) -> Solution:
+    """Trains on rows x with labels +1 and -1; ``weights`` scale C by row; ``start`` are alphas and gradients to go on from, ``rows`` kernel rows that are known.  One class only gives alpha 0."""
+    if pairs == "platt":
+        return solve_platt(x, y, kernel, c, eps, max_iter, seed, weights)
     n = len(y)
     y = np.asarray(y, np.float64)
     box = np.full(n, float(c)) * (1 if weights is None else weights)
-    alpha, g = np.zeros(n), -np.ones(n)
-    rows = _Rows(x, kernel) if n else None
+    alpha, g = (np.zeros(n), -np.ones(n)) if start is None else (start[0].copy(), start[1].copy())
+    rows = rows or (Rows(x, kernel) if n else None)
     diag = rows.diagonal() if n else np.zeros(0)
     rng = np.random.default_rng(seed)
     gap, turn = np.inf, 0
@@ -105,6 +115,11 @@ def solve(x: np.ndarray, y: np.ndarray, kernel: Kernel, c: float, pairs: str = "
             alpha[at] = (box[at] if sign > 0 else 0.0) if t >= room else alpha[at] + sign * t
         g += y * (ki - kj) * t
         turn += 1
+    return _solution(y, box, alpha, g, float(gap), turn)
+
+
+def _solution(y: np.ndarray, box: np.ndarray, alpha: np.ndarray, g: np.ndarray, gap: float, turn: int) -> Solution:
+    """The bias is the mean of y g over free rows, or else the middle of what rows at the bounds allow."""
     free = (alpha > 0) & (alpha < box)
     yg = y * g
     if free.any():
@@ -114,9 +129,80 @@ def solve(x: np.ndarray, y: np.ndarray, kernel: Kernel, c: float, pairs: str = "
         under = yg[np.where(y > 0, alpha >= box, alpha <= 0)]
         ends = [*([high.min()] if len(high) else []), *([under.max()] if len(under) else [])]
         rho = float(np.mean(ends)) if ends else 0.0
-    return Solution(alpha, g, rho, float((alpha * (g - 1)).sum() / 2), float(gap), turn)
+    return Solution(alpha, g, rho, float((alpha * (g - 1)).sum() / 2), gap, turn)
+
+
+def _gap(y: np.ndarray, box: np.ndarray, alpha: np.ndarray, g: np.ndarray) -> float:
+    v = -y * g
+    up, low = np.where(y > 0, alpha < box, alpha > 0), np.where(y > 0, alpha > 0, alpha < box)
+    return float(v[up].max() - v[low].min()) if up.any() and low.any() else 0.0
+
+
+def solve_platt(
+    x: np.ndarray | SparseRows, y: np.ndarray, kernel: Kernel, c: float, tol: float = 0.01, max_iter: int = 1_000_000, seed: int = 0, weights: np.ndarray | None = None, partners: int = 1
+) -> Solution:
+    """Platt's way: sweeps over all rows, then over free rows until these rest, then over all again.
+
+    A row whose error breaks its conditions by more than ``tol`` steps with the
+    rows of the most different errors, up to ``partners`` of them; if none of
+    these moves, with free rows and then all rows from a random place on.
+    """
+    n = len(y)
+    y = np.asarray(y, np.float64)
+    box = np.full(n, float(c)) * (1 if weights is None else weights)
+    alpha, g = np.zeros(n), -np.ones(n)
+    if not n:
+        return _solution(y, box, alpha, g, 0.0, 0)
+    rows, rng, turn = Rows(x, kernel), np.random.default_rng(seed), 0
+    diag = rows.diagonal()
+    bias = 0.0
+
+    def step(i: int, j: int) -> bool:
+        """Moves alphas i and j along (y_i, -y_j) to the least of the objective, if that is far enough."""
+        nonlocal bias, turn
+        if i == j:
+            return False
+        ki, kj = rows[i], rows[j]
+        q = max(diag[i] + diag[j] - 2 * ki[j], FLOOR)
+        t = (y[j] * g[j] - y[i] * g[i]) / q
+        low = max(-alpha[i] if y[i] > 0 else alpha[i] - box[i], alpha[j] - box[j] if y[j] > 0 else -alpha[j])
+        high = min(box[i] - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else box[j] - alpha[j])
+        t = min(max(t, low), high)
+        if abs(t) < 1e-10 * (box[i] + 1):
+            return False
+        for at, sign in ((i, y[i]), (j, -y[j])):
+            moved = alpha[at] + sign * t
+            alpha[at] = 0.0 if moved < 1e-12 * box[at] else box[at] if moved > box[at] * (1 - 1e-12) else moved
+        g[:] += y * (ki - kj) * t
+        # The new bias makes the error of a free one of the two zero.
+        free = [at for at in (i, j) if 0 < alpha[at] < box[at]]
+        bias = float(np.mean([y[at] * g[at] for at in free or (i, j)]))
+        turn += 1
+        return True
+
+    def examine(i: int) -> bool:
+        slack = g[i] - y[i] * bias
+        if not (slack < -tol and alpha[i] < box[i] or slack > tol and alpha[i] > 0):
+            return False
+        error = y * g
+        free = np.flatnonzero((alpha > 0) & (alpha < box))
+        pool = free if len(free) > 1 else np.arange(n)
+        far = pool[np.argsort(-np.abs(error[pool] - error[i]), kind="stable")[:partners]]
+        if sum([step(i, int(j)) for j in far]):
+            return True
+        return any(step(i, int(j)) for pool in (free, np.arange(n)) if len(pool) for j in np.roll(pool, -int(rng.integers(len(pool)))))
+
+    every, moved = True, True
+    while (moved or every) and turn < max_iter:
+        todo = range(n) if every else np.flatnonzero((alpha > 0) & (alpha < box))
+        moved = sum(examine(int(i)) for i in todo) > 0
+        # Free rows rest: all rows once more; those rest as well: done.
+        if every and not moved:
+            break
+        every = not moved
+    return _solution(y, box, alpha, g, _gap(y, box, alpha, g), turn)
 
 
-def decide(x: np.ndarray, support: np.ndarray, coefficients: np.ndarray, kernel: Kernel, rho: float) -> np.ndarray:
+def decide(x: np.ndarray | SparseRows, support: np.ndarray | SparseRows, coefficients: np.ndarray, kernel: Kernel, rho: float) -> np.ndarray:
     """Decision values of rows x: sum of coefficients (alpha y) times kernel values, less rho."""
     return (kernel.block(x, support) @ coefficients if len(support) else np.zeros(len(x))) - rho

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.kernels import Kernel
 from .gram import against
 
-Y, A, G, ID = F.col, F.col, F.col, F.col
 EPS = 1e-3
 FLOOR = 1e-12
 
@@ -46,6 +45,24 @@ def dual_gradient(df: DataFrame, kernel: Kernel) -> DataFrame:
     return df.join(sums, "id").withColumn("g", F.col("y") * F.col("f") - 1).drop("f")
 
 
+def reconstructed(df: DataFrame, kernel: Kernel, bounded: DataFrame, c: float) -> DataFrame:
+    """(id, g) of the rows at a bound, from the part of the gradient that rows at C give them (``bounded``: id, f) and from the free rows.
+
+    While shrunk rows stay at their bounds, ``bounded`` holds, so that only free rows are met again.
+    """
+    free = df.where((F.col("alpha") > 0) & (F.col("alpha") < c)).select("id", "x", "y", "alpha")
+    rest = df.where((F.col("alpha") <= 0) | (F.col("alpha") >= c))
+    sums = against(rest, free, kernel, ["y", "alpha"], {"f": ("sum", lambda k, a, b: k @ (b["alpha"] * b["y"]))})
+    both = rest.select("id", "y").join(sums, "id").join(bounded.select("id", F.col("f").alias("held")), "id")
+    return both.select("id", (F.col("y") * (F.col("f") + F.col("held")) - 1).alias("g"))
+
+
+def bounded_part(df: DataFrame, kernel: Kernel, c: float) -> DataFrame:
+    """(id, f): sums of alpha y K over the rows at C."""
+    top = df.where(F.col("alpha") >= c).select("id", "x", "y", "alpha")
+    return against(df, top, kernel, ["y", "alpha"], {"f": ("sum", lambda k, a, b: k @ (b["alpha"] * b["y"]))})
+
+
 def _ordered(value: Column, tie: str) -> Column:
     return F.struct(value.alias("v"), (-F.col("id") if tie == "first" else F.col("id")).alias("t"))
 

@@ -1,14 +1,20 @@
-"""Stratified folds, cross-validation and grid search; every (fold, parameters) is one grouped task."""
+"""Stratified folds, validation, cross-validation, searches and sweeps; every (fold, gamma) is one grouped task."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Kernel
+from ..functions.kernels import Kernel, kernel_of
 from . import smo
+from .estimator import KernelSVC, summary
+from .gram import matrix
+from .ranks import ranked
 
 
 def shuffled(id_col: str = "id") -> F.Column:
@@ -17,14 +23,10 @@ def shuffled(id_col: str = "id") -> F.Column:
 
 
 def stratified_folds(df: DataFrame, k: int) -> DataFrame:
-    """df (id, y, ...) with ``fold`` from 0: rows of each side dealt round-robin in shuffled order.
-
-    Ranks within a side come from a window over it, dealt to shuffled buckets
-    first: folds of a bucket are dealt from its own start, so sizes differ by
-    at most one per bucket.
-    """
-    w = Window.partitionBy(F.col("y") > 0).orderBy(shuffled(), "id")
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """df (id, y, ...) with ``fold`` from 0: rows of each side dealt round-robin in shuffled order, so sizes of a side differ by one at most."""
+    rows = df.withColumn("_side", F.col("y") > 0).withColumn("_at", shuffled())
+    dealt = ranked(rows, ["_side"], ["_at", "id"], "_rank")
+    return dealt.select(*df.columns, (F.col("_rank") % k).cast("int").alias("fold"))
 
 
 def power_range(low: int, high: int, base: float = 2.0, step: int = 1) -> list[float]:
@@ -34,27 +36,40 @@ def power_range(low: int, high: int, base: float = 2.0, step: int = 1) -> list[f
 
 GRID_C = (-5, 15, 2.0, 2)
 GRID_GAMMA = (-15, 3, 2.0, 2)
+#: C of the search over a list (fixed values).
+C_LIST = [0.125, 0.025, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0]
 
 
 def grid(spark: SparkSession, c: list[float], gamma: list[float]) -> DataFrame:
     return spark.createDataFrame([(a, b) for a in c for b in gamma], "c double, gamma double")
 
 
-def cross_validate(df: DataFrame, parameters: DataFrame, kernel: str, k: int) -> DataFrame:
-    """(c, gamma, correct, n, accuracy) pooled over folds; df: id, x, y, fold.  The grid and folds are few and multiply the rows."""
-    tasks = parameters.withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    rows = df.select("id", "x", "y", "fold").join(F.broadcast(tasks))
+def cross_validate(df: DataFrame, parameters: DataFrame, kernel: str | Callable[[float], Kernel], k: int) -> DataFrame:
+    """(c, gamma, correct, n, accuracy) pooled over folds; df: id, x, y, fold.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        c, gamma, test = part["c"].iloc[0], part["gamma"].iloc[0], part["test"].iloc[0]
-        x, y, held = np.stack(part["x"].to_numpy()), part["y"].to_numpy(), (part["fold"] == test).to_numpy()
-        kern = Kernel(kernel, gamma=gamma)
-        s = smo.solve(x[~held], y[~held], kern, c)
-        value = smo.decide(x[held], x[~held], s.alpha * y[~held], kern, s.rho)
-        return pd.DataFrame({"c": [c], "gamma": [gamma], "correct": [int((np.where(value < 0, -1, 1) == y[held]).sum())], "n": [int(held.sum())]})
+    ``kernel`` is a name, or a function of gamma that gives a kernel.  Rows go
+    once to each fold and gamma; all C of a gamma share the kernel values there.
+    """
+    make = (lambda gamma: kernel_of(kernel, gamma)) if isinstance(kernel, str) else kernel
+    tasks = parameters.groupBy("gamma").agg(F.array_sort(F.collect_set("c")).alias("cs")).withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rows = df.select("id", "x", "y", "fold").join(F.broadcast(tasks))
 
-    parts = rows.groupBy("c", "gamma", "test").applyInPandas(run, "c double, gamma double, correct long, n long")
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        gamma, test, cs = part.column("gamma")[0].as_py(), part.column("test")[0].as_py(), part.column("cs")[0].as_py()
+        x, y = matrix(part.column("x")), part.column("y").to_numpy().astype(np.float64)
+        held = part.column("fold").to_numpy() == test
+        kern, mine, theirs = make(gamma), x[~held], x[held]
+        rows = smo.Rows(mine, kern) if len(mine) else None
+        correct = []
+        for c in cs:
+            s = smo.solve(mine, y[~held], kern, c, rows=rows)
+            some = s.alpha > 0
+            value = smo.decide(theirs, mine[some], s.alpha[some] * y[~held][some], kern, s.rho)
+            correct.append(int((np.where(value < 0, -1, 1) == y[held]).sum()))
+        return pa.table({"c": cs, "gamma": [gamma] * len(cs), "correct": correct, "n": [int(held.sum())] * len(cs)})
+
+    parts = rows.groupBy("gamma", "test").applyInArrow(run, "c double, gamma double, correct long, n long")
     return parts.groupBy("c", "gamma").agg(F.sum("correct").alias("correct"), F.sum("n").alias("n")).withColumn("accuracy", F.col("correct") / F.col("n"))
 
 
@@ -63,5 +78,39 @@ def best(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("accuracy"), "c", "gamma").limit(1)
 
 
+def search_c(df: DataFrame, kernel: str | Callable[[float], Kernel] = "linear", k: int = 5, c: list[float] | None = None) -> DataFrame:
+    """Cross-validated accuracy of each C of a list, ``C_LIST`` by default; df: id, x, y."""
+    return cross_validate(stratified_folds(df, k), grid(df.sparkSession, C_LIST if c is None else c, [1.0]), kernel, k)
+
+
 def accuracy(predictions: DataFrame, label: str = "y", pred: str = "pred") -> DataFrame:
     return predictions.agg(F.sum((F.col(label) == F.col(pred)).cast("long")).alias("correct"), F.count(F.lit(1)).alias("n"), F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
+
+
+def train_and_test(model, train: DataFrame, test: DataFrame, **fit) -> DataFrame:
+    """(correct, n, accuracy) on ``test`` of an estimator fitted to ``train``; both id, x, label."""
+    return accuracy(model.fit(train, **fit).predict(test).join(test.select("id", "label"), "id"), "label")
+
+
+def sweep(datasets: dict[str, tuple[DataFrame, DataFrame]], kernels: dict[str, Kernel], solvers: list[str], c: float = 4.0, repeats: int = 1) -> DataFrame:
+    """One row per data set (train and test: id, x, label), kernel and solver: mean seconds of training and prediction over the
+    repeats, iterations, objective, support rows and accuracy."""
+    out, spark = [], None
+    for name, (train, test) in datasets.items():
+        spark = train.sparkSession
+        for kernel_name, kernel in kernels.items():
+            for pairs in solvers:
+                times = []
+                for _ in range(max(repeats, 1)):
+                    began = time.perf_counter()
+                    svc = KernelSVC(kernel, c, pairs).fit(train)
+                    svc.model = svc.model.persist()
+                    head = summary(svc.model).agg(F.sum("iterations").alias("iterations"), F.sum("objective").alias("objective"), F.sum("n_sv").alias("n_sv")).first()
+                    trained = time.perf_counter()
+                    got = accuracy(svc.predict(test).join(test.select("id", "label"), "id"), "label").first()
+                    times.append((trained - began, time.perf_counter() - trained))
+                    svc.model.unpersist()
+                seconds = np.mean(times, axis=0)
+                out.append((name, kernel_name, pairs, float(seconds[0]), float(seconds[1]), head.iterations, head.objective, head.n_sv, got.accuracy))
+    schema = "dataset string, kernel string, solver string, train_s double, predict_s double, iterations long, objective double, n_sv long, accuracy double"
+    return (spark or SparkSession.getActiveSession()).createDataFrame(out, schema)

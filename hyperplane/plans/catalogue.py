@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import vectors as V
-from ..operators import formats, gram, ranking, transforms, validation
+from ..operators import decomposition, formats, gram, linear, ranking, ranks, transforms, validation
 from ..operators import solver_steps as S
 from ..operators.estimator import KernelSVC, summary, train_problems
-from ..operators.linear import fit_barzilai_borwein, fit_squared_hinge
+from ..operators.linear import LinearClassifier, fit_barzilai_borwein, fit_conjugate_gradient, fit_squared_hinge
+from ..sources.tables import stored
 
 C = 1.0
 DIM = 64
@@ -116,11 +117,15 @@ query("vec_pair_subtract_norm", f"SELECT a.id, {sql_round('list_sum(list_transfo
 )
 
 
+def _shifted(r: DataFrame) -> DataFrame:
+    """Each row under the id before its own."""
+    return r.withColumn("id", F.col("id") - 1)
+
+
 @query("sparse_dot_long", f"SELECT a.id, {sql_round('sum(a.val * b.val)')} AS value FROM r a JOIN r b ON b.id = a.id + 1 AND a.idx = b.idx GROUP BY a.id")
 def _(spark, d):
     r = event_long(spark, d)
-    z = r.select((F.col("id") - 1).alias("id"), "idx", F.col("val").alias("z"))
-    return r.join(z, ["id", "idx"]).groupBy("id").agg(rounded(F.sum(F.col("val") * F.col("z"))).alias("value"))
+    return V.long_dot(r, _shifted(r)).select("id", rounded(F.col("value")).alias("value"))
 
 
 @query(
@@ -130,10 +135,7 @@ SELECT id, {sql_round("sum(pow(coalesce(val, 0) - coalesce(z, 0), 2) / (coalesce
 )
 def _(spark, d):
     r = event_long(spark, d)
-    z = r.select((F.col("id") - 1).alias("id"), "idx", F.col("val").alias("z"))
-    both = r.join(z, ["id", "idx"], "full_outer").na.fill(0.0, ["val", "z"])
-    per = both.groupBy("id").agg(F.sum(F.pow(F.col("val") - F.col("z"), F.lit(2.0)) / (F.col("val") + F.col("z"))).alias("value"), F.max("val").alias("a"), F.max("z").alias("b"))
-    return per.where("a > 0 and b > 0").select("id", rounded(F.col("value")).alias("value"))
+    return V.long_chi2(r, _shifted(r)).select("id", rounded(F.col("value")).alias("value"))
 
 
 @query(
@@ -143,18 +145,15 @@ SELECT id, count(*)::bigint AS nnz, {sql_round("sum(coalesce(val, 0) - coalesce(
 )
 def _(spark, d):
     r = event_long(spark, d)
-    z = r.select((F.col("id") - 1).alias("id"), "idx", F.col("val").alias("z"))
-    both = r.join(z, ["id", "idx"], "full_outer").na.fill(0.0, ["val", "z"])
-    common = r.select("id").distinct().join(z.select("id").distinct(), "id", "left_semi")
-    diff = (F.col("val") - F.col("z")).alias("diff")
-    return both.join(common, "id", "left_semi").select("id", diff).where("diff <> 0").groupBy("id").agg(F.count(F.lit(1)).alias("nnz"), rounded(F.sum("diff")).alias("total"))
+    return V.long_subtract(r, _shifted(r)).groupBy("id").agg(F.count(F.lit(1)).alias("nnz"), rounded(F.sum("val")).alias("total"))
 
 
 # Transforms.
 
 for _p in (1, 2):
-    query(f"transform_lp_norm{_p}", f"SELECT id, {sql_round(('x[1] / list_sum(list_transform(x, lambda e: abs(e)))' if _p == 1 else 'x[1] / sqrt(list_dot_product(x, x))'))} AS first FROM v")(
-        lambda spark, d, p=_p: transforms.lp_norm(problem(spark, d), p).select("id", rounded(F.col("x")[0]).alias("first"))
+    _n = "list_sum(list_transform(x, lambda e: abs(e)))" if _p == 1 else "sqrt(list_dot_product(x, x))"
+    query(f"transform_lp_norm{_p}", f"SELECT id, i::int AS idx, {sql_round(f'x[i] / {_n}')} AS val FROM v, (SELECT unnest(range(1, 65)) AS i)")(
+        lambda spark, d, p=_p: transforms.lp_norm(problem(spark, d), p).select("id", F.posexplode("x").alias("pos", "val")).select("id", (F.col("pos") + 1).alias("idx"), rounded(F.col("val")).alias("val"))
     )
 query("transform_identity", f"SELECT id, {sql_round('list_sum(x)')} AS value FROM v")(lambda spark, d: transforms.identity(problem(spark, d)).select("id", rounded(V.value_sum(F.col("x"))).alias("value")))
 query("transform_min_max", f"WITH e AS (SELECT idx, min(val) AS low, max(val) AS high FROM (SELECT id, i AS idx, x[i] AS val FROM v, (SELECT unnest(range(1, 65)) AS i)) GROUP BY idx) SELECT v.id, {sql_round('sum(CASE WHEN high = low THEN 0 ELSE (v.x[e.idx] - low) / (high - low) END)')} AS value FROM v, e GROUP BY v.id")(
@@ -231,9 +230,8 @@ query("class_counts", "SELECT label, count(*)::bigint AS n, min(id) AS first FRO
 @query("class_group_perm", "WITH c AS (SELECT label, min(id) AS first, count(*) AS n FROM v GROUP BY label), s AS (SELECT a.label, coalesce(sum(b.n), 0) AS start FROM c a LEFT JOIN c b ON b.first < a.first GROUP BY a.label) SELECT id, (start + row_number() OVER (PARTITION BY label ORDER BY id) - 1)::bigint AS pos FROM v JOIN s USING (label)")
 def _(spark, d):
     p = problem(spark, d).select("id", "label")
-    starts = formats._running(p.groupBy("label").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "first", "n", "start").select("label", "start")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1
-    return p.withColumn("r", rank).join(F.broadcast(starts), "label").select("id", (F.col("start") + F.col("r")).cast("long").alias("pos"))
+    starts = ranks.running(p.groupBy("label").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "first", {"n": "start"}).select("label", "start")
+    return ranks.ranked(p, ["label"], ["id"], "r").join(starts, "label").select("id", (F.col("start") + F.col("r")).cast("long").alias("pos"))
 
 
 @query("class_weights", "SELECT label, round(0.5::double * (1 + label * 0.25::double), 6) AS c, count(*)::bigint AS n FROM v GROUP BY label")
@@ -250,7 +248,8 @@ PAIR = f", w AS (SELECT (SELECT id FROM s WHERE {UP} ORDER BY round(-y * g, 9) D
 
 
 def state(spark: SparkSession, d: str) -> DataFrame:
-    return S.dual_gradient(problem(spark, d), K.RBF)
+    """The state of the fixed model, computed once for all that a query asks of it."""
+    return stored(S.dual_gradient(problem(spark, d), K.RBF), "state")
 
 
 query("dual_gradient", STATE + f" SELECT id, {sql_round('g')} AS g FROM s")(lambda spark, d: state(spark, d).select("id", rounded(F.col("g")).alias("g")))
@@ -271,7 +270,7 @@ query("widest_error", STATE + f", f AS (SELECT y * g AS e1 FROM s ORDER BY id LI
 )
 query("shrink_candidates", STATE + PAIR + " SELECT id FROM s, w WHERE (alpha >= 1 AND CASE WHEN y = 1 THEN -g > m ELSE -g > mm END) OR (alpha <= 0 AND CASE WHEN y = 1 THEN g > mm ELSE g > m END)")(lambda spark, d: S.shrink_candidates(state(spark, d), C).select("id"))
 query("gradient_reconstruct", STATE + f" SELECT id, {sql_round('g')} AS g FROM s WHERE alpha <= 0 OR alpha >= 1")(
-    lambda spark, d: S.dual_gradient(problem(spark, d), K.RBF).where((F.col("alpha") <= 0) | (F.col("alpha") >= C)).select("id", rounded(F.col("g")).alias("g"))
+    lambda spark, d: S.reconstructed(p := problem(spark, d), K.RBF, S.bounded_part(p, K.RBF, C), C).select("id", rounded(F.col("g")).alias("g"))
 )
 
 STEP = f"""{STATE}{PAIR}, t AS (
@@ -459,3 +458,98 @@ for _name, _fit, _tol in (("train_linear_l2", fit_squared_hinge, 1e-4), ("train_
     query(_name, "SELECT true AS gradient_ok, true AS gap_ok", view=False)(
         lambda spark, d, f=_fit, tol=_tol: (lambda m: spark.createDataFrame([(bool(m.gradient_norm <= tol), bool(-1e-6 <= m.duality_gap <= 1e-2 * max(1.0, abs(m.objective))))], "gradient_ok boolean, gap_ok boolean"))(f(problem(spark, d).select("x", "y"), DIM, C))
     )
+
+# Sparse vectors: event counts per user as (idx, val) pairs, against the users with ids divisible by 50.
+
+SPARSE = "WITH u AS (SELECT DISTINCT id FROM r), z AS (SELECT u.id, list(coalesce(r.val, 0) ORDER BY i) AS x FROM u CROSS JOIN (SELECT unnest(range(1, 6)) AS i) LEFT JOIN r ON r.id = u.id AND r.idx = i GROUP BY u.id)"
+
+
+def sparse_problem(spark: SparkSession, d: str) -> DataFrame:
+    """(id, x, y, alpha): counts per type over ten; y by whether the user has more views than clicks."""
+    long = event_long(spark, d).withColumn("val", F.col("val") / 10)
+    side = long.groupBy("id").agg((F.coalesce(F.max(F.when(F.col("idx") == 5, F.col("val"))), F.lit(0.0)) > F.coalesce(F.max(F.when(F.col("idx") == 1, F.col("val"))), F.lit(0.0))).alias("more"))
+    rows = V.sparse(long).join(side, "id")
+    return rows.select("id", "x", F.when(F.col("more"), 1).otherwise(-1).alias("y"), (((F.col("id") * 7919) % 11) * F.lit(0.1)).alias("alpha"))
+
+
+SPARSE_V = SPARSE + ", s AS (SELECT id, list_transform(x, lambda e: e / 10) AS x, CASE WHEN x[5] > x[1] THEN 1 ELSE -1 END AS y, ((id * 7919) % 11) * 0.1::double AS alpha FROM z)"
+
+for _k in K.ALL:
+    query(
+        f"sparse_score_{_k.name}",
+        SPARSE_V + f", c AS (SELECT a.id, sum(b.alpha * b.y * {_k.sql('a.x', 'b.x')}) AS score FROM s a, s b WHERE b.id % 50 = 0 GROUP BY a.id) SELECT id, {sql_round('score')} AS score, CASE WHEN score < 0 THEN -1 ELSE 1 END AS pred FROM c",
+    )(lambda spark, d, k=_k: gram.scores(p := sparse_problem(spark, d), p.where("id % 50 = 0"), k).select("id", rounded(F.col("score")).alias("score"), "pred"))
+
+
+@query("sparse_linear_gradient", SPARSE_V + f", w AS (SELECT i AS idx, sum(alpha * y * x[i]) AS w FROM s, (SELECT unnest(range(1, 6)) AS i) GROUP BY i) SELECT idx::int AS idx, {sql_round('w')} AS w FROM w")
+def _(spark, d):
+    p = sparse_problem(spark, d)
+    rows = p.where("alpha <> 0").select((F.col("alpha") * F.col("y")).alias("s"), F.inline("x")).groupBy("idx").agg(F.sum(F.col("s") * F.col("val")).alias("w"))
+    return rows.select("idx", rounded(F.col("w")).alias("w"))
+
+
+query("csr_entries", "SELECT (row_number() OVER (ORDER BY id, idx) - 1)::bigint AS pos, id, idx, val FROM r")(lambda spark, d: formats.csr_entries(event_long(spark, d)))
+query("kernel_mahalanobis_full", f"WITH m AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: CASE WHEN i = j THEN 1 ELSE 0.5::double / (i + 2 * j) END)) AS m) SELECT a.id, {sql_round('list_dot_product(a.x, list_transform(m.m, lambda q: list_dot_product(q, b.x)))')} AS value FROM v a JOIN v b ON b.id = a.id + 1, m")(
+    lambda spark, d: neighbours(problem(spark, d)).select("id", rounded(K.Mahalanobis(_mixed()).expr(F.col("x"), F.col("z"))).alias("value"))
+)
+
+
+def _mixed() -> tuple[tuple[float, ...], ...]:
+    """A full matrix that is not symmetric."""
+    return tuple(tuple(1.0 if i == j else 0.5 / (i + 2 * j) for j in range(1, DIM + 1)) for i in range(1, DIM + 1))
+
+
+query("ranking_concordance", """WITH p AS (SELECT a.x[1] - b.x[1] AS s, a.label > b.label AS more FROM v a JOIN v b ON a.label > b.label), t AS (SELECT sum((s > 0)::int)::bigint AS concordant, sum((s < 0)::int)::bigint AS discordant, sum((s = 0)::int)::bigint AS tied FROM p)
+SELECT concordant, discordant, tied, round((concordant + tied / 2.0) / (concordant + discordant + tied), 6) AS pairwise_accuracy, round((concordant - discordant)::double / (concordant + discordant + tied), 6) AS tau FROM t""")(
+    lambda spark, d: ranking.concordance(problem(spark, d).select(F.col("x")[0].alias("score"), F.col("label").alias("rank"))).select("concordant", "discordant", "tied", F.round("pairwise_accuracy", 6).alias("pairwise_accuracy"), F.round("tau", 6).alias("tau"))
+)
+
+
+@query("train_rank", None)
+def _(spark, d):
+    few = problem(spark, d).withColumn("rank", F.col("label"))
+    return ranking.rank_experiment(few.where("id % 5 <> 0"), few.where("id % 5 = 0"), DIM)[1]
+
+
+@query("train_linear_multiclass", None)
+def _(spark, d):
+    p = problem(spark, d).select("id", "x", "label")
+    return validation.train_and_test(LinearClassifier(1.0), p, p, dim=DIM)
+
+
+@query("train_linear_weights", None)
+def _(spark, d):
+    p = problem(spark, d).select("id", "x", F.col("y").alias("label"))
+    return validation.train_and_test(LinearClassifier(1.0, class_weights={1: 2.0}), p, p, dim=DIM)
+
+
+query("train_linear_sparse", None)(lambda spark, d: (lambda m: spark.createDataFrame([(round(m.objective, 3), bool(m.duality_gap < 1e-2 * max(1.0, m.objective)))], "objective double, gap_ok boolean"))(fit_squared_hinge(sparse_problem(spark, d), 5, C)))
+query("train_linear_hinge", None)(lambda spark, d: (lambda m: spark.createDataFrame([(round(m.objective, 2),)], "objective double"))(linear.fit_hinge(problem(spark, d), DIM, C)))
+
+
+@query("train_decomposed_rbf", None)
+def _(spark, d):
+    found = decomposition.train(problem(spark, d), K.RBF, C)
+    return spark.createDataFrame([(round(found.objective, 2), found.gap < 1e-3)], "objective double, gap_ok boolean")
+
+
+@query("train_platt_rbf", None)
+def _(spark, d):
+    p = problem(spark, d).withColumn("problem", F.lit(0).cast("long"))
+    return summary(train_problems(p, K.RBF, C, "platt")).select("problem", "n_sv", F.round("objective", 1).alias("objective"))
+
+
+query("search_c_list", None)(lambda spark, d: validation.search_c(problem(spark, d), "rbf"))
+query("train_test", None)(lambda spark, d: (lambda p: validation.train_and_test(KernelSVC(K.RBF, C), p.where("id % 5 <> 0"), p.where("id % 5 = 0")))(problem(spark, d).select("id", "x", F.col("y").alias("label"))))
+
+
+@query("solver_sweep", None)
+def _(spark, d):
+    p = problem(spark, d).select("id", "x", F.col("y").alias("label"))
+    found = validation.sweep({"embeddings": (p.where("id % 5 <> 0"), p.where("id % 5 = 0"))}, {"linear": K.LINEAR, "rbf": K.RBF}, ["second", "first"], C)
+    return found.drop("train_s", "predict_s")
+
+
+query("train_linear_cg", "SELECT true AS gradient_ok, true AS gap_ok", view=False)(
+    lambda spark, d: (lambda m: spark.createDataFrame([(bool(m.gradient_norm <= 1e-4), bool(-1e-6 <= m.duality_gap <= 1e-2 * max(1.0, abs(m.objective))))], "gradient_ok boolean, gap_ok boolean"))(fit_conjugate_gradient(problem(spark, d).select("x", "y"), DIM, C))
+)

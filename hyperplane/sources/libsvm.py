@@ -11,15 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 
 def read_libsvm(spark: SparkSession, path: str, dim: int = 0) -> tuple[DataFrame, int]:
     """(rows (id, label, features map<int, double>), dimension): the greater of ``dim`` and the greatest index.
 
-    Ids ascend with place in a file; they come from the line's own file and
-    offset order as read, so the same files give the same ids.
+    Ids run from 0 in order of file and line, however files are split.
     """
-    line = F.trim(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r"\s+", " "))
-    lines = spark.read.text(path).select(line.alias("line"), F.monotonically_increasing_id().alias("id")).where("line <> '' and not startswith(line, '#')")
+    line = F.trim(F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\s+", " "))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select(line.alias("line"), *place).where("line <> '' and not startswith(line, '#')")
+    lines = ranked(lines, [], ["file", "block", "at"], "id").select("id", "line")
     parts = F.split("line", " ")
     pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.split(p, ":")[0].cast("int").alias("idx"), F.split(p, ":")[1].cast("double").alias("val")))
     rows = lines.select("id", parts[0].cast("double").alias("label"), pairs.alias("pairs"))

@@ -39,7 +39,7 @@ def test_smo_edges(monkeypatch):
     x, y = toy(40)
     whole = smo.solve(x, y, K.RBF, 1)
     monkeypatch.setattr(smo, "WHOLE", 5)
-    monkeypatch.setattr(smo, "CACHED_ROWS", 3)
+    monkeypatch.setattr(smo, "CACHED_BYTES", 0)
     assert np.allclose(whole.alpha, smo.solve(x, y, K.RBF, 1).alpha)
 
 
