@@ -131,3 +131,48 @@ def test_pipeline(spark, tmp_path):
     assert names["dirty"] not in seen["contamination"] and set(seen["contamination"]) == set(seen["repeats"]) - {names["dirty"]}
     assert set(seen["tokens"]) == set(seen["contamination"])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == set(seen["tokens"])
+
+
+ODD = "text string, doc_id long, lang string, source string, n_chars long, node long, stats string, score double, ranges string, part int, label int, component_id long"
+
+
+def _odd_rows():
+    """Null ids and texts, empty and blank texts, repeated rows, one id with two texts, a long text, and columns with the operators' own names."""
+    import random
+
+    rng = random.Random(2)
+    clean = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+    same = clean(60)
+    rows = [(1, None), (2, ""), (3, " \n "), (None, None), (None, ""), (None, same), (None, same), (5, same), (5, same), (6, clean(30)), (6, clean(30)), (7, clean(30_000)), (8, "x"), (9, "x")]
+    return [(t, i, None, "s", 0, 7, "stats", 0.1, "r", 3, 1, 4) for i, t in rows], same
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_stages_on_odd_rows(spark, tmp_path, monkeypatch, broadcast):
+    """Every stage keeps columns and order of columns, and does as its docstring says with odd rows and with empty tables."""
+    from hyperplane.llm import partenum, shared, suffix_dedup
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for module in (shared, partenum, suffix_dedup):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast)
+    rows, same = _odd_rows()
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    spark.createDataFrame([(5, None), (6, None), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, 1, 1), (same[:200], 2, 2)], "text string, item_id long, doc_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out, at = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        if name != "tokens":
+            assert found.schema == docs.schema
+        out[name] = [(r.doc_id, r["text"] if name != "tokens" else r["sample"]) for r in found.collect()]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    given = [(r[1], r[0]) for r in rows]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, str(r[1])[:99])
+    # Without labels nobody is rejected.
+    assert sorted(out["quality"], key=key) == sorted(given, key=key)
+    # The short text "x" is a copy of that of id 8; rows without an id stay.
+    assert sorted(out["near copies"], key=key) == sorted((r for r in given if r[0] != 9), key=key)
+    # Equal rows of one id don't remove from each other, and no id is smaller than 5 that holds their text.
+    assert sorted(out["repeats"], key=key) == sorted(given, key=key)
+    assert sorted(out["contamination"], key=key) == sorted((r for r in given if r[0] != 5), key=key)
+    assert {i for i, _ in out["tokens"]} == {i for i, _ in given} and out["tokens"].count((2, 1)) == 1 and (2, 2) not in out["tokens"]

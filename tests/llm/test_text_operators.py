@@ -301,3 +301,52 @@ def test_counts_beyond_32_bits():
         assert int(lm._counts(*got[:3])[0]) == int(lm._counts(*got[3:])[0]) == 6 << 30
     at = lambda n: int(lm.estimates(types.SimpleNamespace(parts=[None] * 9 + list(lm._split(np.array([1]))), totals=np.array([n]), token=np.array([0]), context=np.array([0])), 1, n, False)[0][0])
     assert at(1 << 23) < at(1 << 30) < at(1 << 40) < lm.CONTEXT_BUCKETS
+
+
+def test_contamination_with_clashing_columns(spark):
+    """Benchmark and documents with columns of the operator's own names, repeated rows, and an item twice."""
+    rows = [(1, "one two three"), (1, "one two three"), (2, None), (None, "one two three"), (3, "zero one two three four")]
+    docs = spark.createDataFrame([(t, i, 5, "w", 1) for i, t in rows], "text string, doc_id long, item_id long, words string, n_words int")
+    bench = spark.createDataFrame([("One, two", 4, 1, "x"), ("One, two", 4, 2, "y"), (None, 6, 3, "z")], "text string, item_id long, doc_id long, hit string")
+    got = sorted((r.doc_id is not None, r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [(False, None, 3, 2, 1, True), (True, 1, 3, 2, 1, True), (True, 1, 3, 2, 1, True), (True, 2, 0, 0, 0, False), (True, 3, 5, 2, 1, True)]
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_quality_on_odd_rows(spark):
+    """Columns with the operator's own names, repeated rows, a label twice, null ids, a long text."""
+    import random
+
+    rng = random.Random(8)
+    text = lambda i: " ".join("".join(rng.choices("abcd" if i % 2 else "#$%!", k=4)) for _ in range(30))
+    rows = [(i, text(i)) for i in range(200)]
+    rows += [rows[0], (None, text(1)), (900, None), (901, ""), (902, text(1) * 12_000)]
+    docs = spark.createDataFrame([(t, i, 0.1, 1, "s", 3) for i, t in rows], "text string, doc_id long, score double, label int, stats string, quality int")
+    labels = spark.createDataFrame([("n", i, i % 2) for i in range(200)] + [("n", 4, 0), ("n", None, 1), ("n", 5, None)], "text string, doc_id long, quality int")
+    got = score_quality(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 0}) == 1
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 200)
+    kept = filter_quality(docs, labels)
+    assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 200) == list(range(1, 200, 2))
+
+
+def test_isotonic_against_least_squares():
+    """The curve goes through the centres of the blocks that merging violators pair by pair leaves."""
+    rng = np.random.default_rng(3)
+    w = rng.integers(1, 9, 12).astype(float)
+    h = np.round(w * np.clip(np.linspace(0, 1, 12) + rng.normal(0, 0.3, 12), 0, 1))
+    curve = isotonic(w, h)
+    assert (np.diff(curve) >= -1e-12).all()
+    blocks = [[b, a] for a, b in zip(w, h)]
+    merged = [(x[0], x[1], 1) for x in blocks]
+    k = 0
+    while k < len(merged) - 1:
+        if merged[k][0] * merged[k + 1][1] >= merged[k + 1][0] * merged[k][1]:  # equal shares are one block too
+            merged[k : k + 2] = [tuple(p + q for p, q in zip(merged[k], merged[k + 1]))]
+            k = max(k - 1, 0)
+        else:
+            k += 1
+    ends = np.cumsum([m[2] for m in merged])
+    weight_at = [np.average(np.arange(e - m[2], e), weights=w[e - m[2] : e]) for m, e in zip(merged, ends)]
+    assert np.allclose(curve, np.interp(np.arange(12), weight_at, [m[0] / m[1] for m in merged]))
