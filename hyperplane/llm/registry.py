@@ -23,6 +23,46 @@ def op1_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(table(spark, sf_dir, "conversations"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations
+), cut AS (
+  SELECT rid, conv_id, turn, i, ls[i] AS line, regexp_extract(ls[i], '^[ \t]*(?:>[ \t]?)+') AS marks FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM m)
+), levels AS (
+  SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS own, substr(line, length(marks) + 1) AS body FROM cut
+), lines AS (
+  SELECT *, CASE WHEN own = 0 AND lead(own, 1, 0) OVER (PARTITION BY rid ORDER BY i) > 0
+    AND regexp_matches(body, '(?i)^[\x09-\x0D\x20]*(on\s.{1,200}\swrote\s?:|le\s.{1,200}\sa écrit\s?:|am\s.{1,200}\sschrieb\s.{0,80}:|el\s.{1,200}\sescribió\s?:|-+ ?original message ?-+)[\x09-\x0D\x20]*$') THEN -1 ELSE own END AS level FROM levels
+), bodies AS (
+  SELECT rid, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS body, count(*) FILTER (WHERE level > 0) AS n_quoted, greatest(max(level), 0) AS deepest FROM lines GROUP BY rid
+), kept AS (
+  SELECT rid, conv_id, turn, i, level, norm, row_number() OVER (PARTITION BY rid ORDER BY i) - row_number() OVER (PARTITION BY rid, level ORDER BY i) AS run
+  FROM (SELECT *, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g')) AS norm FROM lines WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE norm <> ''
+), passages AS (
+  SELECT row_number() OVER () AS pid, conv_id, turn, level, string_agg(norm, ' ' ORDER BY i) AS whole, list(norm ORDER BY i) AS parts FROM kept GROUP BY rid, conv_id, turn, level, run
+), holders AS (
+  SELECT DISTINCT conv_id, turn AS original, whole FROM passages WHERE level = 0
+), line_holders AS (
+  SELECT DISTINCT conv_id, turn AS original, norm FROM kept WHERE level = 0
+), whole_credit AS (
+  SELECT pid, p.conv_id, p.turn, level, original, len(parts) AS n FROM passages p JOIN holders h ON h.conv_id = p.conv_id AND h.whole = p.whole AND original < p.turn WHERE level > 0
+), line_credit AS (
+  SELECT q.conv_id, q.turn, level, original, 1 AS n FROM (SELECT conv_id, turn, level, unnest(parts) AS norm FROM passages WHERE level > 0 AND pid NOT IN (SELECT pid FROM whole_credit)) q
+  JOIN line_holders h ON h.conv_id = q.conv_id AND h.norm = q.norm AND original < q.turn
+), credit AS (
+  SELECT conv_id, turn, original, sum(CASE WHEN level = 1 THEN n ELSE 0 END) AS near, sum(n) AS every
+  FROM (SELECT conv_id, turn, level, original, n FROM whole_credit UNION ALL SELECT * FROM line_credit) GROUP BY ALL
+), links AS (
+  SELECT conv_id, turn, arg_max(original, (near, every, original)) AS reply_to FROM credit GROUP BY ALL
+), roots AS (
+  SELECT DISTINCT conv_id, turn, turn AS root FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND (conv_id, turn) NOT IN (SELECT conv_id, turn FROM links)
+  UNION ALL SELECT l.conv_id, l.turn, r.root FROM links l JOIN roots r ON l.conv_id = r.conv_id AND l.reply_to = r.turn
+)
+SELECT m.conv_id, m.turn, m.role, reply_to, root, CASE WHEN root IS NOT NULL THEN row_number() OVER (PARTITION BY m.conv_id ORDER BY root NULLS FIRST, m.turn NULLS FIRST, body) - 1 END AS position, n_quoted, deepest::int AS deepest, body
+FROM m JOIN bodies USING (rid) LEFT JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn LEFT JOIN roots r ON r.conv_id = m.conv_id AND r.turn = m.turn
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -135,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op8_url_filters": OP8_SQL}
+    return {"op1_quotation_threads": OP1_SQL, "op2_decontaminate": OP2_SQL, "op8_url_filters": OP8_SQL}

@@ -108,3 +108,46 @@ def test_replies_against_all_pairs(spark):
             convs[c][t] = "\n".join("> " * rng.choice([0, 0, 1, 1, 2]) + f"w{int(rng.random() ** 2 * 9)}" for _ in range(rng.randrange(1, 9)))
     got = {(r.conv_id, r.turn): r.reply_to for r in link_quotations(spark.createDataFrame([(c, t, "a", x) for c, m in convs.items() for t, x in m.items()], PLAIN)).collect()}
     assert got == {(c, t): r for c, m in convs.items() for t, r in _brute(m).items()}
+
+
+def _threads(spark):
+    """Conversations in which quotes are whole, cut short, wrapped anew, nested, and introduced; with a null id, a null text, and two texts of one turn."""
+    rng = random.Random(11)
+    rows = []
+    for c in range(15):
+        said = []
+        for t in range(30):
+            own = [" ".join(rng.choice(["alpha", "Beta", "gamma", "delta", "x"]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 5))]
+            lines = []
+            for _ in range(rng.randrange(0, 3) if said else 0):
+                source = rng.choice(said)
+                some = source[rng.randrange(len(source)) :] if rng.random() < 0.3 else " ".join(source).split(" ") if rng.random() < 0.3 else source
+                level = rng.choice([1, 1, 2])
+                lines += [*(["On Monday, someone wrote:"] if rng.random() < 0.3 else []), *(rng.choice(["> ", ">"]) * level + (x.upper() if rng.random() < 0.2 else x.replace(" ", "  ")) for x in some)]
+                lines += rng.choice([[], [""], ["ok"]])
+            said.append(own)
+            rows.append((c, t, "a", "\n".join(lines + own)))
+    rows += [(0, 3, "b", "> alpha\nsecond text of a turn"), (None, 1, "x", "> alpha"), (1, 90, "x", None), (1, 91, "x", "")]
+    return spark.createDataFrame(rows, PLAIN).repartition(4)
+
+
+def test_threads_against_sql(spark):
+    import duckdb
+    from hyperplane.llm.registry import OP1_SQL
+
+    messages = _threads(spark)
+    con = duckdb.connect()
+    con.register("conversations", messages.toPandas().astype({"conv_id": "Int64"}))
+    names = ["conv_id", "turn", "role", "reply_to", "root", "position", "n_quoted", "deepest", "body"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({OP1_SQL})").fetchall()
+    got = [tuple(r) for r in link_quotations(messages).select(*names).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(r[3] is not None for r in got) > 150 and sum(r[3] is None for r in got) > 30
+
+
+def test_very_long_message(spark):
+    """A message of a megabyte is quoted whole, and in part, by later ones."""
+    lines = [f"line {i} of a long message with some words" for i in range(25_000)]
+    rows = [(1, 0, "a", "\n".join(lines)), (1, 1, "b", "\n".join("> " + x for x in lines) + "\nyes"), (1, 2, "c", "> line 7 of a long message with some words\n> line 9 of a long message with some words\nno")]
+    got = {r.turn: r for r in link_quotations(spark.createDataFrame(rows, PLAIN)).collect()}
+    assert got[1].reply_to == 0 and got[1].n_quoted == 25_000 and got[1].body == "yes" and got[2].reply_to == 0 and len(got[0].body) == len(rows[0][3])
