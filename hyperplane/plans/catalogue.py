@@ -234,6 +234,13 @@ def _(spark, d):
     return ranks.ranked(p, ["label"], ["id"], "r").join(starts, "label").select("id", (F.col("start") + F.col("r")).cast("long").alias("pos"))
 
 
+@query("sign_group_perm", "SELECT id, (row_number() OVER (ORDER BY y DESC, id) - 1)::bigint AS pos FROM v")
+def _(spark, d):
+    p = problem(spark, d).select("id", F.col("y").alias("side"))
+    above = p.where("side > 0").count()
+    return ranks.ranked(p, ["side"], ["id"], "r").select("id", (F.col("r") + F.when(F.col("side") > 0, 0).otherwise(above)).alias("pos"))
+
+
 @query("class_weights", "SELECT label, round(0.5::double * (1 + label * 0.25::double), 6) AS c, count(*)::bigint AS n FROM v GROUP BY label")
 def _(spark, d):
     weights = spark.createDataFrame([(i, 1 + i * 0.25) for i in range(10)], "label int, weight double")
@@ -268,7 +275,19 @@ query("opt_gap", STATE + PAIR + f" SELECT {sql_round('m + mm')} AS gap, m + mm <
 query("widest_error", STATE + f", f AS (SELECT y * g AS e1 FROM s ORDER BY id LIMIT 1) SELECT id, {sql_round('abs(y * g - e1)')} AS gap FROM s, f WHERE alpha > 0 AND alpha < 1 ORDER BY round(abs(y * g - e1), 9) DESC, id LIMIT 1")(
     lambda spark, d: S.widest_error(state(spark, d), C).select("id", rounded(F.col("gap")).alias("gap"))
 )
-query("shrink_candidates", STATE + PAIR + " SELECT id FROM s, w WHERE (alpha >= 1 AND CASE WHEN y = 1 THEN -g > m ELSE -g > mm END) OR (alpha <= 0 AND CASE WHEN y = 1 THEN g > mm ELSE g > m END)")(lambda spark, d: S.shrink_candidates(state(spark, d), C).select("id"))
+#: A state with rows to shrink: the negative side at C, every fiftieth of the other free.
+SETTLED = "v2 AS (SELECT id, x, y, CASE WHEN y = -1 THEN 1::double WHEN id % 50 = 0 THEN 0.5::double ELSE 0::double END AS alpha FROM v), "
+
+
+def settled(spark: SparkSession, d: str) -> DataFrame:
+    alpha = F.when(F.col("y") == -1, 1.0).when(F.col("id") % 50 == 0, 0.5).otherwise(0.0)
+    return stored(S.dual_gradient(problem(spark, d).withColumn("alpha", alpha), K.RBF), "state")
+
+
+query(
+    "shrink_candidates",
+    "WITH " + SETTLED + STATE[5:].replace("FROM v a, v b", "FROM v2 a, v2 b") + PAIR + " SELECT id FROM s, w WHERE (alpha >= 1 AND CASE WHEN y = 1 THEN -g > m ELSE -g > mm END) OR (alpha <= 0 AND CASE WHEN y = 1 THEN g > mm ELSE g > m END)",
+)(lambda spark, d: S.shrink_candidates(settled(spark, d), C).select("id"))
 query("gradient_reconstruct", STATE + f" SELECT id, {sql_round('g')} AS g FROM s WHERE alpha <= 0 OR alpha >= 1")(
     lambda spark, d: S.reconstructed(p := problem(spark, d), K.RBF, S.bounded_part(p, K.RBF, C), C).select("id", rounded(F.col("g")).alias("g"))
 )
