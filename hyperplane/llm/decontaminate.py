@@ -42,6 +42,7 @@ WINDOW = 13
 SHINGLE = 3
 BLOCK_WORDS = 1_000_000
 
+
 def item_words(text: str | None) -> list[bytes]:
     buf = np.frombuffer((text or "").encode(), np.uint8)
     w = Words(buf, np.array([0, len(buf)]), ALNUM_WORDS)
@@ -51,8 +52,8 @@ def item_words(text: str | None) -> list[bytes]:
 class Block:
     """Vocabulary, shingles and windows of some items.
 
-    Words are known by 64-bit hashes; a false window takes a collision in each
-    of its words.  A shingle is a tuple of word numbers; ``windows`` are (item, shingle
+    Words are known by 64-bit hashes: a word of a document counts as the item's
+    if their hashes are equal.  A shingle is a tuple of word numbers; ``windows`` are (item, shingle
     size, shingle numbers in order).
     """
 
@@ -225,8 +226,8 @@ def _document_counts(found: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["number", "n"])
 
     out = np.zeros(n, np.int64)
-    for row in found.select("found").mapInArrow(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect():
-        out[row.number] = row.n
+    some = found.select("found").mapInArrow(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    out[some.column("number").to_numpy()] = some.column("n").to_numpy()
     return out
 
 
