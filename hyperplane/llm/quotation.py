@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines that introduce a quote (fixed values).
@@ -73,14 +73,14 @@ def passages(lines: Column) -> Column:
 _KEY = ["conv_id", "kind", "hash", "size"]
 
 
-def _best_before(asked: DataFrame, scored: DataFrame) -> DataFrame:
+def _best_before(asked: DataFrame, scored: DataFrame, keep) -> DataFrame:
     """conv_id, turn, best: the greatest (near, all, original) of the message's class (conv_id, class) with original < turn."""
     row = ["conv_id", "class", "at", "candidate", "best"]
     best = F.struct("near", "all", "original")
     both = scored.select("conv_id", "class", F.col("original").alias("at"), F.lit(1).alias("candidate"), best.alias("best"))
     both = both.unionByName(asked.select("conv_id", "class", F.col("turn").alias("at"), F.lit(0).alias("candidate"), F.lit(None).cast(both.schema["best"].dataType).alias("best")))
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(both.repartitionByRange(parts, *row[:4]).withColumn("part", F.spark_partition_id()), "quotation-candidates")
+    ranged = keep(both.repartitionByRange(parts, *row[:4]).withColumn("part", F.spark_partition_id()), "quotation-candidates")
     # What the last class of a partition hands to the next: one row per partition.
     key = F.struct("conv_id", "class")
     last = ranged.groupBy("part", "conv_id", "class").agg(F.max("best").alias("best")).groupBy("part").agg(F.max(key).alias("key"), F.max_by("best", key).alias("best"))
@@ -96,16 +96,16 @@ def _best_before(asked: DataFrame, scored: DataFrame) -> DataFrame:
     return out.select("conv_id", F.col("at").alias("turn"), F.greatest("best", "carried").alias("best"))
 
 
-def _replies(kept: DataFrame) -> DataFrame:
-    """conv_id, turn, reply_to of the messages for whose quotes an original is found."""
+def _replies(kept: DataFrame, keep) -> DataFrame:
+    """conv_id, turn, reply_to of the messages for whose quotes an original is found; ``keep`` writes a table that can go once this is computed."""
     each = kept.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*")
     keys = F.concat(F.array(F.struct(F.lit(0).alias("kind"), "hash", "size")), F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(1).alias("kind"), x["hash"].alias("hash"), x["size"].alias("size"))))
     keyed = lambda df: df.select("conv_id", "turn", F.explode(keys).alias("k")).select("conv_id", "turn", "k.*")
 
     # Passages and lines (kinds 0 and 1) that somebody quotes are few; only their holders are kept, but all of them.
-    quoted = written(each.where("level > 0"), "quotation-quoted")
+    quoted = keep(each.where("level > 0"), "quotation-quoted")
     holders = keyed(each.where("level = 0")).join(keyed(quoted).select(_KEY).distinct(), _KEY, "left_semi")
-    holders = written(holders.select(*_KEY, F.col("turn").alias("original")).distinct(), "quotation-holders")
+    holders = keep(holders.select(*_KEY, F.col("turn").alias("original")).distinct(), "quotation-holders")
     known = holders.groupBy(_KEY).agg(F.min("original").alias("first"), F.count(F.lit(1)).alias("holders"))
     whole = quoted.join(known.where("kind = 0").select("conv_id", "hash", "size", "first"), ["conv_id", "hash", "size"], "left")
     asks = F.when(F.col("first") < F.col("turn"), F.array(F.struct(F.lit(0).alias("kind"), "hash", "size", F.size("lines").cast("long").alias("n")))).otherwise(
@@ -114,7 +114,7 @@ def _replies(kept: DataFrame) -> DataFrame:
     items = whole.select("conv_id", "turn", "level", F.explode(asks).alias("i")).select("conv_id", "turn", "level", "i.*").join(known, _KEY).where("first < turn")
     items = items.groupBy("turn", "holders", *_KEY).agg(F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("near"), F.sum("n").alias("all"))
     asked = items.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("holders", "kind", "hash", "size", "near", "all"))).alias("items"))
-    asked = written(asked.withColumn("class", F.xxhash64("items")), "quotation-asked")
+    asked = keep(asked.withColumn("class", F.xxhash64("items")), "quotation-asked")
 
     def parts(of: DataFrame) -> DataFrame:
         return of.dropDuplicates(["conv_id", "class"]).select("conv_id", "class", F.posexplode("items").alias("pos", "i")).select("conv_id", "class", "pos", "i.*").drop("holders")
@@ -124,12 +124,12 @@ def _replies(kept: DataFrame) -> DataFrame:
 
     some = parts(asked)
     rare = some.where("pos = 0").join(holders, _KEY).select("conv_id", "class", "original")
-    first = _best_before(asked, summed(rare.join(some, ["conv_id", "class"]).join(holders, [*_KEY, "original"])))
+    first = _best_before(asked, summed(rare.join(some, ["conv_id", "class"]).join(holders, [*_KEY, "original"])), keep)
     # Who holds the rarest part not at all has the rest at most.
     rest = F.aggregate(F.slice("items", 2, F.size("items")), F.struct(F.lit(0).cast("long").alias("near"), F.lit(0).cast("long").alias("all")), lambda a, x: F.struct((a["near"] + x["near"]).alias("near"), (a["all"] + x["all"]).alias("all")))
-    first = written(asked.join(first, ["conv_id", "turn"]).withColumn("sure", F.struct("best.near", "best.all") > rest), "quotation-first")
+    first = keep(asked.join(first, ["conv_id", "turn"]).withColumn("sure", F.struct("best.near", "best.all") > rest), "quotation-first")
     open_ = first.where("not sure").drop("best")
-    second = _best_before(open_, summed(parts(open_).join(holders, _KEY)))
+    second = _best_before(open_, summed(parts(open_).join(holders, _KEY)), keep)
     return first.where("sure").select("conv_id", "turn", "best").unionByName(second).select("conv_id", "turn", F.col("best.original").alias("reply_to"))
 
 
@@ -146,13 +146,24 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     # Of its lines a message keeps the hashes.
     norm = F.filter(F.transform(lines, lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("norm"))), lambda x: x["norm"] != "")
     kept = written(parsed.withColumn("lines", norm).withColumn("passages", passages(F.col("lines"))).drop("lines"), "quotation-parsed")
-    links = written(_replies(kept), "quotation-links")
+    done: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        done.append(written(df, name))
+        return done[-1]
+
+    links = written(_replies(kept, keep), "quotation-links")
+    dropped(*done)
 
     # Roots by pointer doubling: after k rounds a pointer spans 2**k replies.
     roots = links.select("conv_id", "turn", F.col("reply_to").alias("root"))
+    before = None
     while True:
         ahead = roots.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"))
         roots = written(roots.join(ahead, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "quotation-roots")
+        if before is not None:
+            dropped(before)
+        before = roots
         if roots.where("moved").isEmpty():
             break
         roots = roots.drop("moved")
@@ -165,6 +176,7 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     order = ["conv_id", "root", "turn", "body"]
     parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(linked.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "quotation-ranges")
+    dropped(kept, links, roots)
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
     before, total = {}, 0
     for r in sorted(sizes):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 from .textbatch import SAME, Words, flat, pieces, spans
 
 FEATURES = 256
@@ -169,6 +169,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> dict:
     moments = _sums(train, lambda x, y, _: np.concatenate(([len(y), y.sum()], x.sum(0), (x * x).sum(0))), 2 + 2 * d)
     n, ones = moments[:2]
     if n == 0 or ones in (0, n):
+        dropped(train)
         return {"constant": float(ones / n) if n else 0.5}
     shift = moments[2 : 2 + d] / n
     scale = np.maximum(np.sqrt(np.maximum(moments[2 + d :] / n - shift**2, 0)), 1e-6)
@@ -189,6 +190,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> dict:
         return np.concatenate((np.bincount(bins(raw), minlength=BINS), np.bincount(bins(raw), y, minlength=BINS)))
 
     table = _sums(train, binned, 2 * BINS)
+    dropped(train)
     return {"shift": shift, "scale": scale, "weights": solve(total), "curve": isotonic(table[:BINS], table[BINS:])}
 
 
@@ -234,7 +236,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, held: int = 0) -> DataFrame:
     """Rows of ``docs`` whose score reaches THRESHOLD, all columns unchanged; learns as ``score_quality`` does."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held)
-    model = fit(written(measure(docs, id_col, text_col), "quality-stats"), known)
+    measured = written(measure(docs, id_col, text_col), "quality-stats")
+    model = fit(measured, known)
+    dropped(measured)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

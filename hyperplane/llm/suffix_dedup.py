@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, without, written
+from .shared import BROADCAST_ROWS, dropped, released, without, written
 from .textbatch import flat, mix, pieces, spans
 
 K = 50
@@ -574,7 +574,9 @@ class Removal:
         judged = written(segments.mapInArrow(_judged(groups, shards), PACKED), "suffix-judged")
         merged = judged.where("kind = 1").repartition(parts, "part").mapInArrow(_merged(groups), PACKED)
         all_ranges = judged.where("kind = 0").unionByName(merged).repartition(parts, "part")
+        released(spark)
         self.ranges = written(all_ranges.mapInArrow(_ranges_of, "doc_id long, ranges binary"), "suffix-ranges")
+        dropped(judged, first)
 
     def cut(self) -> DataFrame:
         """(doc_id, text as binary, ranges) of rows that lose a part."""
