@@ -24,7 +24,7 @@ from hyperplane.llm.partenum import jaccard_components
 from hyperplane.llm.piece_lattice import encode_topk
 from hyperplane.llm.registry import TOKENIZERS, table
 from hyperplane.llm.rff_quality import filter_quality
-from hyperplane.llm.shared import without, written
+from hyperplane.llm.shared import dropped, without, written
 from hyperplane.llm.suffix_dedup import drop_repeats
 
 
@@ -37,7 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of the smallest id of each component.  Texts without words link with nothing and stay; ties don't occur, as ids differ."""
     found = written(jaccard_components(docs), "pipeline-components")
-    return without(docs, found.where("doc_id <> component_id"))
+    kept = without(docs, found.where("doc_id <> component_id"))
+    dropped(found)
+    return kept
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
