@@ -31,16 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textbatch import flat
+from .textbatch import flat, mix, spans
 
 MAGIC = b"HPTK"
 BLOCK = 4096
 #: Ids in one token file at most, unless one document has more.
 FILE_IDS = 4_000_000
 #: Characters of text that are encoded together.
-GROUP = 200_000
-#: Words whose ids a worker remembers, and as many from before it last had too many.
-MEMORY = 400_000
+GROUP = 800_000
+#: Words whose ids a worker remembers, and pieces of words.
+MEMORY = 2_000_000
+PIECES = 200_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -131,9 +132,11 @@ class ByteBpe:
         self.added = [t["content"] for t in spec["added_tokens"]]
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.short: dict[str, bytes] = {}
+        # Known words by the hash of their bytes, ascending: where their ids are in the pool, how many, and when they were last met.
+        self.hash, self.at, self.size, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, self.dtype)
+        self.turn = 0
+        self.pieces: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -144,39 +147,52 @@ class ByteBpe:
 
     def _by_pieces(self, text: str) -> Iterator[tuple[str, bytes]]:
         """The pattern's pieces of a text of plain characters, each with its ids: the model alone encodes a piece."""
-        tokenize, code, short = self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I", self.short
+        tokenize, code, known = self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I", self.pieces
+        if len(known) > PIECES:
+            known.clear()
         pieces = _PATTERN.findall(text)
         spelled = _BYTE_CHARS[np.frombuffer("\x00".join(pieces).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\x00")
-        known = self.known
         for piece, x in zip(pieces, spelled, strict=True):
-            ids = short.get(piece) if len(x) < 3 else known.get(piece[1:]) if piece[0] == " " else None
+            ids = known.get(piece)
             if ids is None:
-                ids = array(code, [t.id for t in tokenize(x)]).tobytes()
-                if len(x) < 3:
-                    short[piece] = ids
+                ids = known[piece] = array(code, [t.id for t in tokenize(x)]).tobytes()
             yield piece, ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words with a space in front."""
-        others = [w for w in words if not _PLAIN_WORD(w)]
-        self.known |= zip(others, self._packed([" " + w for w in others]), strict=True)
-        if others:
-            words = [w for w in words if _PLAIN_WORD(w)]
-        if words:
-            out: list[bytes] = []
-            for piece, ids in self._by_pieces(" " + " ".join(words)):
+    def _encoded(self, words: list[str], n_heads: int) -> list[bytes]:
+        """Ids of words, the first ``n_heads`` as they are, the others with a space in front."""
+        out = dict.fromkeys(range(len(words)), b"")
+        others = [k for k, w in enumerate(words) if (w or k >= n_heads) and not _PLAIN_WORD(w)]
+        out |= zip(others, self._packed([words[k] if k < n_heads else " " + words[k] for k in others]), strict=True)
+        for k in set(range(n_heads)).difference(others):
+            out[k] = b"".join(ids for _, ids in self._by_pieces(words[k])) if words[k] else b""
+        other = set(others)
+        plain = [k for k in range(n_heads, len(words)) if k not in other] if others else range(n_heads, len(words))
+        if plain:
+            found: list[bytes] = []
+            for piece, ids in self._by_pieces(" " + " ".join([words[k] for k in plain])):
                 if piece[0] == " ":
-                    out.append(ids)
+                    found.append(ids)
                 else:
-                    out[-1] += ids
-            self.known |= zip(words, out, strict=True)
-
-    def _heads(self, words: list[str]) -> list[bytes]:
-        """Ids of words at the beginning of a text."""
-        out = {w: b"".join(ids for _, ids in self._by_pieces(w)) if w else b"" for w in set(words) if not w or _PLAIN_WORD(w)}
-        others = list(set(words).difference(out))
-        out |= zip(others, self._packed(others), strict=True)
-        return [out[w] for w in words]
+                    found[-1] += ids
+            out |= zip(plain, found, strict=True)
+        return [out[k] for k in range(len(words))]
+
+    def _learn(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Adds words by their ascending hashes; of too many, those met least lately go."""
+        if len(self.hash) + len(hashes) > MEMORY and len(self.hash):
+            late = self.met >= np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]
+            if late.sum() > 0.75 * len(late):
+                late = self.met == self.turn
+            at, size = self.at[late], self.size[late]
+            self.pool = self.pool[_spread(at, size)]
+            self.hash, self.met, self.size = self.hash[late], self.met[late], size
+            self.at = np.cumsum(size, dtype=np.int64) - size
+        new = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.array([len(x) // new.itemsize for x in ids], np.int32)
+        place = np.searchsorted(self.hash, hashes)
+        self.at = np.insert(self.at, place, len(self.pool) + np.cumsum(size, dtype=np.int64) - size)
+        self.hash, self.size, self.met = np.insert(self.hash, place, hashes), np.insert(self.size, place, size), np.insert(self.met, place, self.turn)
+        self.pool = np.concatenate((self.pool, new))
 
     def __call__(self, text: str) -> np.ndarray:
         return self.many([text])[0]
@@ -186,34 +202,59 @@ class ByteBpe:
         out: list[np.ndarray | None] = [None] * len(texts)
         whole, split = [], []
         for i, text in enumerate(texts):
-            if not self.by_words or any(x in text for x in self.added) or _may_join(text) and _JOINED.search(text):
-                whole.append(i)
-            else:
-                split.append((i, text.split(" ")))
+            apart = self.by_words and not any(x in text for x in self.added) and not (_may_join(text) and _JOINED.search(text))
+            (split if apart else whole).append(i)
         for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
             out[i] = np.array(ids, np.uint32)
-        heads = self._heads([words.pop(0) for _, words in split])
-        words = set().union(*(words for _, words in split))
-        fresh = words.difference(self.known)
-        if len(self.known) + len(fresh) > MEMORY:
-            self.known, self.before, fresh = {}, self.known, words
-        known, before = self.known, self.before
-        known |= [(w, before[w]) for w in fresh if w in before]
-        fresh = fresh.difference(known)
-        self._learn(list(fresh))
-        for (i, words), head in zip(split, heads, strict=True):
-            out[i] = np.frombuffer(head + b"".join(map(known.__getitem__, words)), self.dtype).astype(np.uint32)
-        for w in fresh:
-            if len(w) > 40:
-                del known[w]
+        if not split:
+            return out
+        raw = [texts[i].encode() for i in split]
+        data = b" ".join(raw)
+        buf = np.frombuffer(data, np.uint8)
+        gaps = np.flatnonzero(buf == 0x20)
+        start, end = np.concatenate(([0], gaps + 1)), np.append(gaps, len(buf))
+        size = np.array([len(x) for x in raw], np.int64)
+        head = np.searchsorted(start, np.cumsum(size + 1) - size - 1)
+        h = spans(buf, start, end)
+        h[head] = mix(h[head] ^ _HEAD)
+        words, one, of = np.unique(h, return_index=True, return_inverse=True)
+        self.turn += 1
+        place = np.searchsorted(self.hash, words)
+        known = np.zeros(len(words), bool)
+        inside = np.flatnonzero(place < len(self.hash))
+        known[inside] = self.hash[place[inside]] == words[inside]
+        self.met[place[known]] = self.turn
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            is_head = np.zeros(len(start), bool)
+            is_head[head] = True
+            fresh = fresh[np.argsort(~is_head[one[fresh]], kind="stable")]
+            spelled = [data[a:b].decode() for a, b in zip(start[one[fresh]].tolist(), end[one[fresh]].tolist(), strict=True)]
+            ids = self._encoded(spelled, int(is_head[one[fresh]].sum()))
+            order = np.argsort(words[fresh])
+            self._learn(words[fresh[order]], [ids[k] for k in order.tolist()])
+            place = np.searchsorted(self.hash, words)
+        at, size = self.at[place][of], self.size[place][of]
+        found = self.pool[_spread(at, size)].astype(np.uint32)
+        bounds = np.append((np.cumsum(size, dtype=np.int64) - size)[head], len(found))
+        for i, a, b in zip(split, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = found[a:b]
         return out
 
 
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places at, at + 1, ... of each of some runs, one run after another."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def _may_join(text: str) -> bool:
     """False only if no white space stands before a space."""
     return text[:1] == " " or any(x in text for x in (_PAIRS[:10] if text.isascii() else _PAIRS))
 
 
+#: Tells a word at the beginning of a text from one behind a space.
+_HEAD = np.uint64(0x9E3779B97F4A7C15)
 #: White space before a space; the first ten are of ASCII.
 _PAIRS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 _JOINED = re.compile(r"\s (?:\s|$)|^ (?:\s|$)")

@@ -151,6 +151,21 @@ def test_encoder_matches_library():
         assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_encoder_forgets(monkeypatch):
+    """With room for few words and pieces, those met lately stay, and the ids are the same."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "MEMORY", 60)
+    monkeypatch.setattr(token_files, "PIECES", 20)
+    t, texts = Tokenizer.from_file(BPE), _random_texts()
+    encoder = token_files.ByteBpe(BPE)
+    for at in range(0, len(texts), 40):
+        some = texts[at : at + 40]
+        for x, ids in zip(some, encoder.many(some), strict=True):
+            assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
+    assert len(encoder.hash) < 500 and (np.diff(encoder.hash.astype(object)) > 0).all()
+
+
 def test_other_patterns_go_through_the_library(tmp_path):
     import json
 
