@@ -219,6 +219,21 @@ def test_searches(spark, sparse_problem):
     assert [r.solver for r in swept] == ["second", "platt"] and all(r.accuracy > 0.8 and r.train_s > 0 and r.n_sv > 0 for r in swept)
 
 
+def test_searches_start_from_the_solution_before(spark, sparse_problem):
+    """Every C of a gamma gets the accuracy of a fit of its own."""
+    df, x, y = sparse_problem
+    folds = validation.stratified_folds(df, 3)
+    fold = {r.id: r.fold for r in folds.collect()}
+    held = [np.array([fold[i] == k for i in range(150)]) for k in range(3)]
+    for r in validation.cross_validate(folds, validation.grid(spark, [0.5, 8.0, 512.0], [0.3]), "rbf", 3).collect():
+        kern = K.Kernel("rbf", 0.3)
+        right = 0
+        for h in held:
+            s = smo.solve(x[~h], y[~h], kern, r.c)
+            right += int((np.where(smo.decide(x[h], x[~h], s.alpha * y[~h], kern, s.rho) < 0, -1, 1) == y[h]).sum())
+        assert abs(r.correct - right) <= 1
+
+
 def test_csr_and_csc_entries(spark):
     rows = [(i, j, float(10 * i + j)) for i in range(7) for j in range(1, 9) if (i * j) % 3 != 1 and (i or j < 3)]
     long = spark.createDataFrame(rows, "id long, idx int, val double").repartition(4)
