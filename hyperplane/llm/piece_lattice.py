@@ -191,24 +191,30 @@ class Lattice:
                 acc[lone] = q
                 open_[lone] = u[lone] >= q
             row = np.flatnonzero(open_)
-            state = np.ones(len(row), np.int64)
+            here, state = p[row], np.ones(len(row), np.int64)
             k = 0
             while len(row):
-                state = voc.step(state, self.cls[p[row] + k])
+                state = voc.step(state, self.cls[here])
                 live = np.flatnonzero(state)
-                row, state = row[live], state[live]
+                if len(live) < len(row):
+                    row, state, here = row[live], state[live], here[live]
+                here = here + 1
                 w = voc.weight[state]
-                some = np.flatnonzero(np.isfinite(w))
+                some = np.flatnonzero(w > -np.inf)
                 if len(some):
-                    r = row[some]
-                    q = np.exp(w[some] + self.beta[p[r] + k + 1] - base[r])
-                    use = q > 0
-                    r, q, some = r[use], q[use], some[use]
-                    got[r], to[r], share[r], before[r] = voc.id[state[some]], p[r] + k + 1, q, acc[r]
-                    acc[r] += q
-                    done = np.zeros(len(row), bool)
-                    done[some] = u[r] < acc[r]
-                    row, state = row[~done], state[~done]
+                    r, next_ = row[some], here[some]
+                    q = np.exp(w[some] + self.beta[next_] - base[r])
+                    if not q.all():
+                        use = q > 0
+                        r, q, some, next_ = r[use], q[use], some[use], next_[use]
+                    past = acc[r]
+                    got[r], to[r], share[r], before[r] = voc.id[state[some]], next_, q, past
+                    acc[r] = past = past + q
+                    found = u[r] < past
+                    if found.any():
+                        left = np.ones(len(row), bool)
+                        left[some] = ~found
+                        row, state, here = row[left], state[left], here[left]
                 k += 1
             # Rounding may leave a number beyond the last edge; that edge takes it.
             t[todo] = np.clip((u - before) / share, 0, 1 - 2**-53)
@@ -381,25 +387,26 @@ def sample(voc: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int, seed:
     return out
 
 
-DECODED = SCHEMA.replace("ids binary", "ids array<int>, ids_crc32 long, decoded string")
+DECODED = SCHEMA + ", ids_crc32 long, decoded string"
+CHECKED = SCHEMA + ", ids_crc32 long, text_crc32 long"
 
 
-def _decoded(voc: Vocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Encoded rows with the ids as arrays, their checksum, and the texts they spell."""
+def _decoded(voc: Vocabulary, batch: pa.RecordBatch, texts: bool = True) -> Iterator[pa.RecordBatch]:
+    """Encoded rows with the checksum of the ids, and the texts they spell, or only their checksums."""
     for at in range(0, batch.num_rows, 256):
         part = batch.slice(at, 256)
-        ids = [np.frombuffer(x.as_buffer(), "<i4") for x in part.column(6)]
-        texts = [voc.decode(x).decode("utf-8", "replace") for x in ids]
-        crc = [zlib.crc32(x) for x in ids]
-        offs = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-        arrays = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-        yield pa.RecordBatch.from_arrays([*part.columns[:6], arrays, pa.array(crc, pa.int64()), pa.array(texts, pa.string())], [*part.schema.names[:6], "ids", "ids_crc32", "decoded"])
+        ids = [x.as_buffer() for x in part.column(6)]
+        spelled = [voc.decode(np.frombuffer(x, "<i4")) for x in ids]
+        last = pa.array([x.decode("utf-8", "replace") for x in spelled], pa.string()) if texts else pa.array([zlib.crc32(x) for x in spelled], pa.int64())
+        names = [*part.schema.names, "ids_crc32", "decoded" if texts else "text_crc32"]
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array([zlib.crc32(x) for x in ids], pa.int64()), last], names)
 
 
-def encode_topk(docs: DataFrame, path: str, k: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+def encode_topk(docs: DataFrame, path: str, k: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", checked: bool = False) -> DataFrame:
     """Up to k rows per row of ``docs``: sample number from 1, ids (little-endian 32-bit), log-probability, perturbed one, inclusion score.
 
-    With ``decode`` the rows are those that ``decode_ids`` makes of them, in the same pass.
+    If ``checked``, the ids are decoded in the same pass, and rows also have the
+    checksums of the ids and of the text that they spell.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,16 +428,16 @@ def encode_topk(docs: DataFrame, path: str, k: int = 2, seed: int = SEED, id_col
                     ],
                     ["doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids"],
                 )
-                if decode:
-                    yield from _decoded(voc, out)
+                if checked:
+                    yield from _decoded(voc, out, False)
                 else:
                     yield out
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(encode, DECODED if decode else SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(encode, CHECKED if checked else SCHEMA)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
-    """The encoded rows with the ids as arrays, their checksum, and the texts they spell."""
+    """The encoded rows with the checksum of the ids, and the texts they spell."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)

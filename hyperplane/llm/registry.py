@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -96,8 +95,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_lattice import encode_topk
 
-    encoded = encode_topk(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", decode=True)
-    return encoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
+    return encode_topk(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", checked=True)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,10 @@ def test_round_trip(docs, rows, empty, spark):
     key = lambda r: (r.doc_id, r["sample"], r.ids_crc32, r.n_ids)
     assert sorted(map(key, out)) == sorted(map(key, again))
     assert P.encode_topk(empty, MODEL).count() == 0
+    import zlib
+
+    checked = {(r.doc_id, r["sample"], r.n_ids, r.ids_crc32, r.text_crc32) for r in P.encode_topk(docs, MODEL, 2, checked=True).collect()}
+    assert checked == {(r.doc_id, r["sample"], r.n_ids, r.ids_crc32, zlib.crc32(r.decoded.encode())) for r in out}
 
 
 def test_results_hold_the_ids(spark, voc):
@@ -95,7 +99,7 @@ def test_results_hold_the_ids(spark, voc):
         some = [r for r in out.collect() if r.doc_id in texts]
         assert {r.doc_id for r in some} == set(texts)
         for r in some:
-            ids = np.array(r.ids, "<i4")
+            ids = np.frombuffer(r.ids, "<i4")
             assert len(ids) == r.n_ids and zlib.crc32(ids.tobytes()) == r.ids_crc32
             assert voc.decode(ids) == texts[r.doc_id] and zlib.crc32(texts[r.doc_id]) == r.text_crc32
 
