@@ -57,8 +57,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two samples of each row, one where a text has a single segmentation; an empty text has one sample without ids."""
-    encoded = encode_topk(docs, f"{TOKENIZERS}/piece_bpe_32k.model", decode=True)
-    return encoded.select("doc_id", "sample", "n_ids", "log_prob", "perturbed", "inclusion", "ids", "ids_crc32", F.crc32("decoded").alias("text_crc32"))
+    return encode_topk(docs, f"{TOKENIZERS}/piece_bpe_32k.model", checked=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
