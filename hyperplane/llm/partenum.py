@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import BROADCAST_ROWS, dropped, released, written, written_by_kind
-from .textbatch import Words, flat, mix, pieces, shingle_sets
+from .textbatch import Words, flat, lean, mix, pieces, shingle_sets
 
 SHINGLE = 5
 PERCENT = 80
@@ -267,7 +267,7 @@ FOUND = "kind int, a long, b long, c long, d long"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of buckets: rows of documents (1), stars of groups (2), members of groups of three and more (3), members of common signatures (4)."""
+    """Of rows sorted by bucket: rows of documents (1), stars of groups (2), members of groups of three and more (3), members of common signatures (4)."""
 
     def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
         n = len(columns[0])
@@ -275,9 +275,53 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns += [np.zeros(n, np.int64)] * (4 - len(columns))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, columns)], ["kind", "a", "b", "c", "d"])
 
-    held, common = [], []
+    def groups(held: list[tuple[np.ndarray, np.ndarray]], common: list[np.uint64]) -> Iterator[pa.RecordBatch]:
+        sig, node = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        held.clear()
+        order = np.argsort(sig)
+        sig = sig[order]
+        same = sig[1:] == sig[:-1]
+        multi = np.zeros(len(sig), bool)
+        multi[1:] |= same
+        multi[:-1] |= same
+        # What a bucket still has of a common signature joins the group that other workers' members form.
+        if common:
+            mine = np.isin(sig, np.unique(np.array(common, np.uint64)))
+            if mine.any():
+                yield rows(4, mix(sig[mine]), node[order[mine]])
+            multi &= ~mine
+        sig, node = sig[multi], node[order[multi]]
+        del order, same, multi
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[new], node[new]
+        if not len(sig):
+            return
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        count = np.diff(np.concatenate((first, [len(sig)])))
+        # A group is named by its members, so that groups with the same ones are one.
+        name = mix(np.add.reduceat(mix(node), first) + count.astype(np.uint64))
+        _, once = np.unique(name, return_index=True)
+        once = once[count[once] > 1]
+        if not len(once):
+            return
+        n = count[once]
+        at = np.repeat(first[once] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        leader, member, gid = np.repeat(node[first[once]], n), node[at], np.repeat(name[once], n)
+        pair = np.unique(np.stack((leader, member), 1)[leader != member], axis=0)
+        yield rows(2, pair[:, 0], pair[:, 1])
+        more = np.repeat(n > 2, n)
+        yield rows(3, gid[more], member[more])
+
+    held, common, last = [], [], None
     for batch in batches:
         for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if bucket != last:
+                if held:
+                    yield from groups(held, common)
+                held, common, last = [], [], bucket
             data = data.as_buffer()
             if kind == 1:
                 table = np.frombuffer(data, np.uint64).reshape(-1, 4)
@@ -290,46 +334,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 low, node = _unpacked(data)
                 held.append((np.uint64(bucket << 32) | low.astype(np.uint64), node))
-    if not held:
-        return
-    sig, node = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-    held.clear()
-    order = np.argsort(sig)
-    sig = sig[order]
-    same = sig[1:] == sig[:-1]
-    multi = np.zeros(len(sig), bool)
-    multi[1:] |= same
-    multi[:-1] |= same
-    # What a bucket still has of a common signature joins the group that other workers' members form.
-    if common:
-        mine = np.isin(sig, np.unique(np.array(common, np.uint64)))
-        if mine.any():
-            yield rows(4, mix(sig[mine]), node[order[mine]])
-        multi &= ~mine
-    sig, node = sig[multi], node[order[multi]]
-    del order, same, multi
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[new], node[new]
-    if not len(sig):
-        return
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    count = np.diff(np.concatenate((first, [len(sig)])))
-    # A group is named by its members, so that groups with the same ones are one.
-    name = mix(np.add.reduceat(mix(node), first) + count.astype(np.uint64))
-    _, once = np.unique(name, return_index=True)
-    once = once[count[once] > 1]
-    if not len(once):
-        return
-    n = count[once]
-    at = np.repeat(first[once] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    leader, member, gid = np.repeat(node[first[once]], n), node[at], np.repeat(name[once], n)
-    pair = np.unique(np.stack((leader, member), 1)[leader != member], axis=0)
-    yield rows(2, pair[:, 0], pair[:, 1])
-    more = np.repeat(n > 2, n)
-    yield rows(3, gid[more], member[more])
+    if held:
+        yield from groups(held, common)
 
 
 def _sets(n: int):
@@ -447,7 +453,7 @@ def _cut(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     fine = mix(sig + mix(gid[some].view(np.uint64))[of])
                     yield pa.RecordBatch.from_arrays([pa.array(fine.view(np.int64)), pa.array(node[some][of])], ["gid", "node"])
 
-    found = members.select("gid", "node").join(sets.select("node", "grams"), "node").select("gid", "node", "grams").mapInArrow(split, "gid long, node long").distinct()
+    found = members.select("gid", "node").join(sets.select("node", "grams"), "node").select("gid", "node", "grams").mapInArrow(lean(split), "gid long, node long").distinct()
     found = written(found, "jaccard-cut")
     some = found.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gid")
     return found.join(some, "gid")
@@ -458,7 +464,7 @@ def _candidates(members: DataFrame, sets: DataFrame, percent: int, cover: bool)
     m = _by_blocks(members).join(sets.select("node", "n", "sketch"), "node")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = m.repartition(parts, "gid", "block", "other").sortWithinPartitions("gid", "block", "other").select("gid", "block", "other", "node", "home", "n", "sketch", "root")
-    return dealt.mapInArrow(_compared(percent, cover), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(_compared(percent, cover)), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -478,7 +484,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return joined.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long")
 
 
 def _sketched(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -494,7 +500,7 @@ def _sketched(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("part").alias("s"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     right = sets.select(F.col("part").alias("t"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     joined = stars.join(left, "s").join(right, "t").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(allowed, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(lean(allowed), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -504,8 +510,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     # Rows without an id are found again by the hash of their text.
     rows = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.col("doc_id").isNull().alias("bare"), "text")
-    signed = rows.mapInArrow(_signed(8 * parts, n, percent, COMMON), "bucket int, kind int, data binary")
-    found, stars, members, common = written_by_kind(signed.repartition(parts, "bucket").mapInArrow(_grouped, FOUND), "jaccard-found", (1, 2, 3, 4))
+    signed = rows.mapInArrow(lean(_signed(8 * parts, n, percent, COMMON)), "bucket int, kind int, data binary")
+    # What is known of a bucket's common signatures comes before its members.
+    dealt = signed.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("kind"))
+    found, stars, members, common = written_by_kind(dealt.mapInArrow(lean(_grouped), FOUND), "jaccard-found", (1, 2, 3, 4))
     released(spark)
     documents = found.select(F.when(F.col("d") == 0, F.col("a")).alias("doc_id"), F.col("a").alias("key"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
     groups = members.select(F.col("a").alias("gid"), F.col("b").alias("part")).unionByName(common.select(F.col("a").alias("gid"), F.col("b").alias("part"))).distinct()
@@ -519,7 +527,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = written(held.join(live, "part", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "jaccard-live")
     n_live = first.count()
     keyed = F.broadcast(first) if n_live <= BROADCAST_ROWS else first
-    sets = written(rows.join(keyed, "key").select("node", "text").mapInArrow(_sets(n), "node long, n long, sketch binary, grams binary"), "jaccard-sets")
+    sets = written(rows.join(keyed, "key").select("node", "text").mapInArrow(lean(_sets(n)), "node long, n long, sketch binary, grams binary"), "jaccard-sets")
     dropped(first)
     if sets.count() > n_live:
         again, sets = sets, written(sets.dropDuplicates(["node"]), "jaccard-sets")
