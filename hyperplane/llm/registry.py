@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -157,6 +158,95 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_common_lines
+
+    return drop_common_lines(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
+OP11_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, ls[i] AS line, len(ls) AS n_lines, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), common AS (
+  SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT l.*, last IS NOT NULL AND doc_id < last AS gone FROM l LEFT JOIN common USING (key)
+)
+SELECT doc_id, n_lines::bigint AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id, n_lines
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle_fill import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    text = restored(F.col("output"), F.col("form"))
+    return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(text, 256)}).drop("output")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || doc_id) AS x FROM documents
+), h AS (
+  SELECT doc_id, text, w, len(w) AS n, ('0x' || x[1:8])::ubigint AS h1, ('0x' || x[9:16])::ubigint AS h2, ('0x' || x[17:24])::ubigint AS h3, ('0x' || x[25:32])::ubigint AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest(table(spark, sf_dir, "documents"), presented={"n_chars": F.col("n_chars") + 1}, where=tampered).drop("proof", "sides")
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::varchar) || ':' || {0} END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang")) + ", {0}, " + _FIELD.format("text") + "))"
+#: CRC-32 of the decimal id, byte by byte and bit by bit.
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)), "
+    "lambda r, c: list_reduce([xor(r, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"
+)
+OP13_SQL = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, coalesce(':' || lang, '') AS g, {_LEAF.format(_FIELD.format("n_chars"))} AS leaf,
+    CASE WHEN {_CRC32} % 7 = 0 THEN {_LEAF.format(_FIELD.format("(n_chars + 1)"))} END AS changed FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM rows
+), tree AS (
+  SELECT 0 AS level, g, i, n, leaf AS digest FROM leaves
+  UNION ALL SELECT level + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY level, g, i // 2, n
+), subroots AS (
+  SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1
+), crown AS (
+  SELECT 100 AS level, i, n, digest FROM subroots
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM crown WHERE n > 1 GROUP BY level, i // 2, n
+), folded AS (
+  SELECT 0 AS level, g, i AS leaf_i, i, n, coalesce(changed, leaf) AS digest, '' AS proof FROM leaves
+  UNION ALL SELECT f.level + 1, f.g, leaf_i, f.i // 2, (f.n + 1) // 2,
+    sha256(CASE WHEN f.i % 2 = 1 THEN s.digest || f.digest ELSE f.digest || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
+  FROM folded f LEFT JOIN tree s ON s.level = f.level AND s.g = f.g AND s.i = xor(f.i, 1) WHERE f.n > 1
+), up AS (
+  SELECT 100 AS level, f.g, leaf_i, s.i, s.n, f.digest, f.proof FROM folded f JOIN subroots s USING (g) WHERE f.n = 1
+  UNION ALL SELECT f.level + 1, f.g, leaf_i, f.i // 2, (f.n + 1) // 2,
+    sha256(CASE WHEN f.i % 2 = 1 THEN s.digest || f.digest ELSE f.digest || coalesce(s.digest, '') END), f.proof || coalesce(s.digest, '')
+  FROM up f LEFT JOIN crown s ON s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(u.proof) AS proof_sha256, u.digest AS folded_root, u.digest = r.digest AS verified
+FROM leaves l JOIN subroots s USING (g) JOIN up u ON u.g = l.g AND u.leaf_i = l.i AND u.n = 1, (SELECT digest FROM crown WHERE n = 1) r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quotation_threads": op1_quotation_threads,
@@ -169,8 +259,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_quality": op10_quality,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_threads": OP1_SQL, "op2_decontaminate": OP2_SQL, "op8_url_filters": OP8_SQL}
+    return {"op1_quotation_threads": OP1_SQL, "op2_decontaminate": OP2_SQL, "op8_url_filters": OP8_SQL, "op11_line_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
