@@ -10,8 +10,9 @@ document with the largest id.  All work is DataFrame code.
    can be common; all others end here, after one shuffle of hashes.
 2. Lines of these keys are taken out as (document, position, key), and documents
    are counted by distinct ids, which spreads a key over all tasks first.
-3. Positions to drop meet their texts by (id, hash of the text), and a text is
-   joined again from the positions that stay.
+3. Positions to drop meet their texts by (id, hash of the text) in a shuffle that
+   moves each text once, whatever the size; a text is joined again from the
+   positions that stay.
 
 Tables of keys are broadcast if counted small.  Otherwise keys are met by a
 shuffle in which those that hold more than 1 / ``HOT`` of the lines, fewer than
@@ -86,7 +87,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     """One row per row of ``docs``: id, n_lines (before dropping), n_dropped and the text of the lines that stay."""
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gone = dropped_positions(docs, min_chars, min_docs)
-    texts = docs.withColumn("t", F.xxhash64("text")).join(gone, ["id", "t"], "left").withColumn("lines", F.split("text", "\n", -1))
+    texts = docs.withColumn("t", F.xxhash64("text")).join(gone.hint("shuffle_hash"), ["id", "t"], "left").withColumn("lines", F.split("text", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
     return texts.select(
