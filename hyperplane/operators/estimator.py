@@ -1,4 +1,8 @@
-"""Kernel classifiers: training problems run in parallel, one grouped worker each; models are tables."""
+"""Kernel classifiers: training problems run in parallel; models are tables.
+
+Up to ``ONE_TASK_ROWS`` rows each problem is one worker's.  Beyond, all problems
+are trained over partitions (``decomposition.train_many``).
+"""
 
 from __future__ import annotations
 
@@ -12,10 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
-from . import smo
+from . import decomposition, smo
 from .gram import against, matrix, scores
 
 
+#: Rows of a table up to which a worker takes a problem whole.
+ONE_TASK_ROWS = 10_000
+
+
 def model_schema(x_type: str) -> str:
     return f"problem long, sv_id long, x {x_type}, y int, alpha double, rho double, objective double, gap double, iterations long"
 
@@ -26,7 +34,7 @@ def train_problems(rows: DataFrame, kernel: Kernel, c: float, pairs: str = "seco
     A problem without support rows gives one row with a null id.  ``solver`` is a
     function like ``smo.solve``: (x, y, kernel, c, pairs=, weights=) to a
     Solution.  A problem is one worker's: it holds the rows and a bounded cache
-    of kernel rows; ``decomposition.train`` has no such bound.
+    of kernel rows; ``train_apart`` has no such bound.
     """
     columns = ["problem", "id", "x", "y", *(["weight"] if "weight" in rows.columns else [])]
     run = solver or smo.solve
@@ -51,6 +59,22 @@ def train_problems(rows: DataFrame, kernel: Kernel, c: float, pairs: str = "seco
     return rows.select(*columns).groupBy("problem").applyInArrow(fit, schema)
 
 
+def train_apart(rows: DataFrame, targets: list[int], kernel: Kernel, c: float, pairs: str = "second", working: int = 1000) -> DataFrame:
+    """The model of ``train_problems`` for each target against the rest, trained over partitions; rows: id, x, label, and weight if there is one."""
+    names = F.array(*[F.lit(int(t)).cast("long") for t in targets])
+    sides = F.transform(names, lambda t: F.when(F.col("label") == t, 1).otherwise(-1))
+    extra = ["weight"] if "weight" in rows.columns else []
+    found = decomposition.train_many(rows.select("id", "x", sides.alias("y"), *extra), [kernel] * len(targets), [c] * len(targets), working, pairs=pairs)
+    schema = model_schema(rows.schema["x"].dataType.simpleString())
+    numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])[F.col("p")]
+    each = found.state.select("id", "x", "y", F.posexplode("alpha").alias("p", "alpha"))
+    head = [numbers(found.rho).alias("rho"), numbers(found.objective).alias("objective"), numbers(found.gap).alias("gap"), F.lit(found.rounds).cast("long").alias("iterations")]
+    model = each.where("alpha > 0").select(names[F.col("p")].alias("problem"), F.col("id").alias("sv_id"), "x", F.col("y")[F.col("p")].cast("int").alias("y"), "alpha", *head)
+    having = {r.problem for r in model.select("problem").distinct().collect()}
+    bare = [(int(t), None, None, None, 0.0, float(found.rho[p]), float(found.objective[p]), float(found.gap[p]), found.rounds) for p, t in enumerate(targets) if t not in having]
+    return model.unionByName(rows.sparkSession.createDataFrame(bare, schema)) if bare else model
+
+
 def weighted(rows: DataFrame, class_weights: dict[int, float]) -> DataFrame:
     """Rows (label, ...) with ``weight``: the weight of the label, 1 for labels that are not listed; a label that no row has is an error."""
     known = {r.label for r in rows.select("label").distinct().collect()}
@@ -82,6 +106,9 @@ class KernelSVC:
         targets = self.classes[1:] if len(self.classes) == 2 else self.classes
         each = F.explode(F.array(*[F.lit(int(t)).cast("long") for t in targets]))
         rows = weighted(df, self.class_weights) if self.class_weights else df
+        if self.solver is None and df.count() > ONE_TASK_ROWS:
+            self.model = train_apart(rows, targets, self.kernel, self.c, self.pairs)
+            return self
         rows = rows.withColumn("problem", each).withColumn("y", F.when(F.col("label") == F.col("problem"), 1).otherwise(-1))
         self.model = train_problems(rows, self.kernel, self.c, self.pairs, self.solver)
         return self

@@ -33,13 +33,14 @@ class LinearModel:
 
 
 def _summed(df: DataFrame, f: Callable[..., np.ndarray], size: int) -> np.ndarray:
-    """Sum of f(x, y, weight) over partitions, through at most 32 groups of partial sums."""
+    """Sum of f(x, other columns) over partitions, through at most 32 groups of partial sums."""
+    others = range(1, len(df.columns))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                total += f(matrix(batch.column(0)), *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 2)))
+                total += f(matrix(batch.column(0)), *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in others))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,30 +72,43 @@ def _weighted(x: np.ndarray | SparseRows, v: np.ndarray, dim: int) -> np.ndarray
     return out
 
 
-def _sides(y: np.ndarray, targets: list[float]) -> np.ndarray:
-    return np.where(y[:, None] == np.array(targets)[None, :], 1.0, -1.0)
-
-
 class _Problems:
-    """The problems of some classes against the rest over rows (x, y, weight): y is the label, or +1 and -1 without classes."""
+    """Problems over rows (x, y, weight, fold), all in the same passes: y is the label, or +1 and -1 without classes.
 
-    def __init__(self, df: DataFrame, dim: int, c: float, targets: list[float] | None):
+    Problem p holds class targets[p] against the rest, with c[p], over the rows
+    whose fold is not tests[p]; without tests, over all rows.
+    """
+
+    def __init__(self, df: DataFrame, dim: int, c: float | list[float], targets: list[float] | None, tests: list[int] | None = None):
         weight = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
-        self.rows = df.select("x", F.col("y").cast("double").alias("y"), weight.alias("weight")).persist()
-        self.dim, self.c, self.targets = dim, c, [1.0] if targets is None else [float(t) for t in targets]
+        fold = F.col("fold") if tests is not None else F.lit(-1)
+        self.rows = df.select("x", F.col("y").cast("double").alias("y"), weight.alias("weight"), fold.alias("fold")).persist()
+        n = len(targets or tests or [1])
+        self.dim, self.targets = dim, np.array(targets if targets is not None else [1.0] * n, np.float64)
+        self.c, self.tests = np.broadcast_to(np.asarray(c, np.float64), n), None if tests is None else np.asarray(tests)
+
+    def sides(self) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """A function to (side, C) of rows in each problem; C is 0 where a row is held out."""
+        targets, tests, c = self.targets, self.tests, self.c
+
+        def f(y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            box = c * weight[:, None]
+            return np.where(y[:, None] == targets, 1.0, -1.0), box if tests is None else box * (fold[:, None] != tests)
+
+        return f
 
     def passed(self, w: np.ndarray, curvature: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         """Of each problem: objective, gradient, dual objective, and if asked for the curvature, at the columns of w (dim, problems)."""
-        dim, k, c, targets = self.dim, w.shape[1], self.c, self.targets
+        dim, k, sides = self.dim, w.shape[1], self.sides()
 
-        def f(x, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-            side, box = _sides(y, targets), c * weight[:, None]
+        def f(x, *row: np.ndarray) -> np.ndarray:
+            side, box = sides(*row)
             slack = np.maximum(0, 1 - side * _times(x, w))
             alpha = 2 * box * slack
             parts = [(box * slack**2).sum(0), (alpha - np.divide(alpha**2, 4 * box, out=np.zeros_like(alpha), where=box > 0)).sum(0), _weighted(x, alpha * side, dim).ravel()]
             if curvature:
                 dense = x.dense(dim) if isinstance(x, SparseRows) else x
-                parts += [((dense * (2 * box[:, 0] * (slack[:, j] > 0))[:, None]).T @ dense).ravel() for j in range(k)]
+                parts += [((dense * (2 * box[:, j] * (slack[:, j] > 0))[:, None]).T @ dense).ravel() for j in range(k)]
             return np.concatenate(parts)
 
         s = _summed(self.rows, f, 2 * k + dim * k + (k * dim * dim if curvature else 0))
@@ -104,11 +118,11 @@ class _Problems:
 
     def bent(self, w: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Products of the curvature at w with the columns of d."""
-        dim, c, targets = self.dim, self.c, self.targets
+        dim, sides = self.dim, self.sides()
 
-        def f(x, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-            active = _sides(y, targets) * _times(x, w) < 1
-            return _weighted(x, 2 * c * weight[:, None] * active * _times(x, d), dim).ravel()
+        def f(x, *row: np.ndarray) -> np.ndarray:
+            side, box = sides(*row)
+            return _weighted(x, 2 * box * (side * _times(x, w) < 1) * _times(x, d), dim).ravel()
 
         return d + _summed(self.rows, f, dim * d.shape[1]).reshape(dim, -1)
 
@@ -130,10 +144,11 @@ class _Problems:
             d = r + np.where(go, rr / np.maximum(before, 1e-300), 0) * d
         return step
 
-    def newton(self, tol: float, max_iter: int, conjugate: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    def newton(self, tol: float, max_iter: int, conjugate: bool = False, relative: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
         w, turn = np.zeros((self.dim, len(self.targets))), 0
         whole = not conjugate and len(self.targets) * self.dim**2 <= CURVATURE_CELLS
         objective, gradient, dual, bend = self.passed(w, whole)
+        tol = tol * np.maximum(1, np.abs(gradient).max(0, initial=0)) if relative else tol
         while turn < max_iter and (left := np.abs(gradient).max(0, initial=0) > tol).any():
             step = self.solved(w, gradient, bend) * left
             size, slope = np.ones(len(left)), (gradient * step).sum(0)
@@ -171,6 +186,16 @@ class _Problems:
             turn += 1
         return w, objective, gradient, dual, turn
 
+    def right(self, w: np.ndarray) -> np.ndarray:
+        """Of each problem: rows of its held-out fold whose side is told right (a value of 0 counts as -1), and all of them."""
+        targets, tests = self.targets, self.tests
+
+        def f(x, y: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> np.ndarray:
+            held = fold[:, None] == tests
+            return np.concatenate([(held & ((_times(x, w) > 0) == (y[:, None] == targets))).sum(0), held.sum(0)]).astype(np.float64)
+
+        return _summed(self.rows, f, 2 * w.shape[1]).reshape(2, -1).astype(np.int64)
+
     def done(self) -> None:
         self.rows.unpersist()
 
@@ -199,6 +224,22 @@ def fit_barzilai_borwein(df: DataFrame, dim: int, c: float = 1.0, tol: float = 1
     return _binary(df, dim, c, lambda p: p.barzilai_borwein(tol, max_iter, rule))
 
 
+def cross_validated(df: DataFrame, dim: int, c: list[float], k: int, tol: float = 1e-3, max_iter: int = 100) -> list[tuple[float, int, int]]:
+    """(C, rows told right, rows) of each C, pooled over the k folds of df (x, y in +1 and -1, fold, and weight if there is one).
+
+    Fits of all C and folds move in the same passes, one column of w each, with
+    the squared hinge; a last pass counts what the held-out folds get right.
+    ``tol`` is times the gradient at 0, as C spans many powers.
+    """
+    pairs = [(x, test) for x in c for test in range(k)]
+    problems = _Problems(df, dim, [x for x, _ in pairs], None, [t for _, t in pairs])
+    try:
+        correct, n = problems.right(problems.newton(tol, max_iter, relative=True)[0])
+    finally:
+        problems.done()
+    return [(x, int(correct[at : at + k].sum()), int(n[at : at + k].sum())) for x, at in zip(c, range(0, len(pairs), k), strict=True)]
+
+
 def fit_hinge(df: DataFrame, dim: int, c: float = 1.0, tol: float = 1e-6, max_iter: int = 500) -> LinearModel:
     """The hinge loss by Spark's own ``LinearSVC``, whose objective is this one over the total weight and C."""
     from pyspark.ml.classification import LinearSVC

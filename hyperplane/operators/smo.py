@@ -74,7 +74,7 @@ def solve(
 ) -> Solution:
     """Trains on rows x with labels +1 and -1; ``weights`` scale C by row; ``start`` are alphas and gradients to go on from, ``rows`` kernel rows that are known.  One class only gives alpha 0."""
     if pairs == "platt":
-        return solve_platt(x, y, kernel, c, eps, max_iter, seed, weights)
+        return solve_platt(x, y, kernel, c, eps, max_iter, seed, weights, start=start)
     n = len(y)
     y = np.asarray(y, np.float64)
     box = np.full(n, float(c)) * (1 if weights is None else weights)
@@ -139,8 +139,9 @@ def _gap(y: np.ndarray, box: np.ndarray, alpha: np.ndarray, g: np.ndarray) -> fl
 
 
 def solve_platt(
-    x: np.ndarray | SparseRows, y: np.ndarray, kernel: Kernel, c: float, tol: float = 0.01, max_iter: int = 1_000_000, seed: int = 0, weights: np.ndarray | None = None, partners: int = 1
-) -> Solution:
+    x: np.ndarray | SparseRows, y: np.ndarray, kernel: Kernel, c: float, tol: float = 0.01, max_iter: int = 1_000_000, seed: int = 0, weights: np.ndarray | None = None, partners: int = 1,
+    start: tuple[np.ndarray, np.ndarray] | None = None,
+) -> Solution:
     """Platt's way: sweeps over all rows, then over free rows until these rest, then over all again.
 
     A row whose error breaks its conditions by more than ``tol`` steps with the
@@ -150,12 +151,12 @@ def solve_platt(
     n = len(y)
     y = np.asarray(y, np.float64)
     box = np.full(n, float(c)) * (1 if weights is None else weights)
-    alpha, g = np.zeros(n), -np.ones(n)
+    alpha, g = (np.zeros(n), -np.ones(n)) if start is None else (start[0].copy(), start[1].copy())
     if not n:
         return _solution(y, box, alpha, g, 0.0, 0)
     rows, rng, turn = Rows(x, kernel), np.random.default_rng(seed), 0
     diag = rows.diagonal()
-    bias = 0.0
+    bias = 0.0 if start is None else _solution(y, box, alpha, g, 0.0, 0).rho
 
     def step(i: int, j: int) -> bool:
         """Moves alphas i and j along (y_i, -y_j) to the least of the objective, if that is far enough."""

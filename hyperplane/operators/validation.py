@@ -1,4 +1,8 @@
-"""Stratified folds, validation, cross-validation, searches and sweeps; every (fold, gamma) is one grouped task."""
+"""Stratified folds, validation, cross-validation, searches and sweeps.
+
+Up to ``estimator.ONE_TASK_ROWS`` rows every (fold, gamma) is one grouped task;
+beyond, all folds, gammas and C are trained over partitions at once.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel, kernel_of
-from . import smo
+from . import decomposition, estimator, linear, smo
 from .estimator import KernelSVC, summary
 from .gram import matrix
 from .ranks import ranked
@@ -50,8 +54,11 @@ def cross_validate(df: DataFrame, parameters: DataFrame, kernel: str | Callable[
     ``kernel`` is a name, or a function of gamma that gives a kernel.  Rows go
     once to each fold and gamma; all C of a gamma share the kernel values there,
     and each C after the first starts from the solution before, times the ratio.
+    Tables above ``estimator.ONE_TASK_ROWS`` go to ``cross_validate_apart``.
     """
     make = (lambda gamma: kernel_of(kernel, gamma)) if isinstance(kernel, str) else kernel
+    if df.count() > estimator.ONE_TASK_ROWS:
+        return cross_validate_apart(df, parameters, make, k)
     tasks = parameters.groupBy("gamma").agg(F.array_sort(F.collect_set("c")).alias("cs")).withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     rows = df.select("id", "x", "y", "fold").join(F.broadcast(tasks))
 
@@ -76,6 +83,40 @@ def cross_validate(df: DataFrame, parameters: DataFrame, kernel: str | Callable[
     return parts.groupBy("c", "gamma").agg(F.sum("correct").alias("correct"), F.sum("n").alias("n")).withColumn("accuracy", F.col("correct") / F.col("n"))
 
 
+def cross_validate_apart(df: DataFrame, parameters: DataFrame, make: Callable[[float], Kernel], k: int, working: int = 1000) -> DataFrame:
+    """``cross_validate`` without a task that holds the table: every (C, gamma, fold) is a problem of one training over partitions.
+
+    Held-out rows get their decision values in the passes of the training.
+    """
+    pairs = sorted((r.c, r.gamma) for r in parameters.select("c", "gamma").distinct().collect())
+    kernels = {gamma: make(gamma) for _, gamma in pairs}
+    problems = [(c, gamma, test) for c, gamma in pairs for test in range(k)]
+    sides = F.transform(F.array(*[F.lit(t) for _, _, t in problems]), lambda t: F.when(F.col("fold") == t, 0).otherwise(F.col("side")))
+    rows = df.select("id", "x", F.col("y").cast("int").alias("side"), "fold").withColumn("y", sides)
+    found = decomposition.train_many(rows, [kernels[g] for _, g, _ in problems], [c for c, _, _ in problems], working)
+    tests, rho, n = np.array([t for _, _, t in problems]), found.rho, len(problems)
+
+    def counted(batches):
+        total = np.zeros((2, n), np.int64)
+        for batch in batches:
+            f = batch.column("f").flatten().to_numpy().reshape(-1, n)
+            held = batch.column("fold").to_numpy()[:, None] == tests
+            right = np.where(f - rho < 0, -1, 1) == batch.column("side").to_numpy()[:, None]
+            total += np.stack([(held & right).sum(0), held.sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) // k), *map(pa.array, total)], ["pair", "correct", "n"])
+
+    parts = found.state.select("f", "fold", "side").mapInArrow(counted, "pair long, correct long, n long").groupBy("pair").agg(F.sum("correct").alias("correct"), F.sum("n").alias("n"))
+    names = df.sparkSession.createDataFrame([(at, float(c), float(g)) for at, (c, g) in enumerate(pairs)], "pair long, c double, gamma double")
+    return parts.join(F.broadcast(names), "pair").select("c", "gamma", "correct", "n").withColumn("accuracy", F.col("correct") / F.col("n"))
+
+
+def cross_validate_linear(df: DataFrame, c: list[float], k: int, dim: int) -> DataFrame:
+    """(c, gamma, correct, n, accuracy) of linear classifiers with the squared hinge and no bias, all C and folds in the same passes; df: x, y, fold."""
+    found = linear.cross_validated(df, dim, c, k)
+    rows = [(float(x), 1.0, correct, n, correct / n if n else None) for x, correct, n in found]
+    return df.sparkSession.createDataFrame(rows, "c double, gamma double, correct long, n long, accuracy double")
+
+
 def best(results: DataFrame) -> DataFrame:
     """The greatest accuracy; ties by the smallest C, then gamma."""
     return results.orderBy(F.desc("accuracy"), "c", "gamma").limit(1)

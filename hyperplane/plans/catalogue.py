@@ -568,8 +568,9 @@ def _cv(spark, d, c, gamma):
 query("cv_rbf", None)(lambda spark, d: _cv(spark, d, [1.0], [0.5]))
 query("grid_rbf", None)(lambda spark, d: validation.best(_cv(spark, d, validation.power_range(*validation.GRID_C),
     validation.power_range(*validation.GRID_GAMMA))))
-query("grid_linear", None)(lambda spark, d: validation.best(validation.cross_validate(validation.stratified_folds(problem(spark, d), 5),
-    validation.grid(spark, validation.power_range(*validation.GRID_C), [1.0]), "linear", 5)))
+query("grid_linear", None)(
+    lambda spark, d: validation.best(validation.cross_validate_linear(validation.stratified_folds(problem(spark, d), 5), validation.power_range(*validation.GRID_C), 5, DIM))
+)
 
 for _name, _fit, _tol in (("train_linear_l2", fit_squared_hinge, 1e-4), ("train_linear_bb", fit_barzilai_borwein, 1e-3)):
     query(_name, "SELECT true AS gradient_ok, true AS gap_ok", view=False)(

@@ -117,6 +117,7 @@ def test_searches_cover_the_grid(spark, monkeypatch):
         return spark.createDataFrame([(1.0, 1.0, 1, 1, 1.0)], "c double, gamma double, correct long, n long, accuracy double")
 
     monkeypatch.setattr(validation, "cross_validate", note)
+    monkeypatch.setattr(validation, "cross_validate_linear", lambda df, c, k, dim: note(df, validation.grid(spark, c, [1.0]), "linear", k))
     for name in ("grid_rbf", "grid_linear"):
         catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     every_c, every_gamma = validation.power_range(*validation.GRID_C), validation.power_range(*validation.GRID_GAMMA)
