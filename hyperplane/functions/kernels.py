@@ -3,7 +3,7 @@
 Chi-square kernels are for non-negative vectors; a place where both are zero adds nothing.
 
 Operators take any object with ``block(x, z)``, the values of all rows of x
-against all of z; those that work on columns also call ``expr(x, z)``.  Own
+against all of z; those that work on columns also call ``expr(x, z, sparse)``.  Own
 kernels are classes with these, or ``Custom``.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .sparse import SparseRows
-from .vectors import dot, self_dot
+from .vectors import common, dot, self_dot, value_sum, values
 
 #: Cells of the tables that dense chi-square blocks go through.
 TILE = 1 << 18
@@ -52,18 +52,32 @@ class Kernel:
     def histogram(self) -> bool:
         return self.name in ("chi2", "nchi2", "expchi2")
 
-    def expr(self, x: Column, z: Column) -> Column:
-        """The kernel of two array columns."""
+    def expr(self, x: Column, z: Column, sparse: bool = False) -> Column:
+        """The kernel of two columns of arrays of doubles, or of arrays of (idx, val)."""
+        if sparse:
+            return self._sparse_expr(x, z)
         over = lambda f: F.aggregate(F.zip_with(x, z, lambda u, v: F.when(u + v == 0, F.lit(0.0)).otherwise(f(u, v) / (u + v))), F.lit(0.0), lambda a, v: a + v)
-        if self.name == "linear":
-            return dot(x, z)
-        if self.name == "rbf":
-            return F.exp(-self.gamma * F.greatest(F.lit(0.0), self_dot(x) + self_dot(z) - 2 * dot(x, z)))
-        if self.name == "poly":
-            return F.pow(self.gamma * dot(x, z) + self.coef, F.lit(self.degree))
         if self.name == "nchi2":
             return over(lambda u, v: u * v)
-        distance = over(lambda u, v: (u - v) * (u - v))
+        if self.histogram:
+            return self._of_distance(over(lambda u, v: (u - v) * (u - v)))
+        return self._of_products(dot(x, z), self_dot(x), self_dot(z))
+
+    def _sparse_expr(self, x: Column, z: Column) -> Column:
+        if not self.histogram:
+            return self._of_products(common(x, z, lambda u, v: u * v), self_dot(values(x)), self_dot(values(z)))
+        ratio = common(x, z, lambda u, v: F.when(u + v == 0, F.lit(0.0)).otherwise(u * v / (u + v)))
+        # (u - v)**2 / (u + v) = u + v - 4 u v / (u + v)
+        return ratio if self.name == "nchi2" else self._of_distance(value_sum(values(x)) + value_sum(values(z)) - 4 * ratio)
+
+    def _of_products(self, xz: Column, xx: Column, zz: Column) -> Column:
+        if self.name == "linear":
+            return xz
+        if self.name == "poly":
+            return F.pow(self.gamma * xz + self.coef, F.lit(self.degree))
+        return F.exp(-self.gamma * F.greatest(F.lit(0.0), xx + zz - 2 * xz))
+
+    def _of_distance(self, distance: Column) -> Column:
         return 1 - 0.5 * distance if self.name == "chi2" else F.exp(-self.gamma * distance)
 
     def sql(self, x: str, z: str) -> str:
@@ -110,7 +124,7 @@ class Custom:
     def block(self, x: np.ndarray | SparseRows, z: np.ndarray | SparseRows) -> np.ndarray:
         return self.of(x, z)
 
-    def expr(self, x: Column, z: Column) -> Column:
+    def expr(self, x: Column, z: Column, sparse: bool = False) -> Column:
         if self.column is None:
             raise ValueError("this kernel has no form for columns")
         return self.column(x, z)
@@ -127,7 +141,9 @@ class Mahalanobis:
         x, z = (v.dense(len(m)) if isinstance(v, SparseRows) else v for v in (x, z))
         return premultiplied(x, m) @ z.T
 
-    def expr(self, x: Column, z: Column) -> Column:
+    def expr(self, x: Column, z: Column, sparse: bool = False) -> Column:
+        if sparse:
+            raise ValueError("a full matrix takes dense columns; blocks take sparse rows as well")
         rows = F.array(*[F.array(*map(F.lit, r)) for r in self.inverse])
         return dot(x, F.transform(rows, lambda r: dot(r, z)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,42 @@ def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
 
+def is_sparse(df: DataFrame, x_col: str = "x") -> bool:
+    """Whether a column holds sparse vectors: arrays of (idx, val), or maps from index to value."""
+    kind = df.schema[x_col].dataType.simpleString()
+    return kind.startswith(("map<", "array<struct<"))
+
+
+def entries(df: DataFrame, x_col: str = "x") -> DataFrame:
+    """df with maps from index to value as arrays of (idx, val); other vectors stay."""
+    if not df.schema[x_col].dataType.simpleString().startswith("map<"):
+        return df
+    pairs = F.transform(F.map_entries(x_col), lambda e: F.struct(e["key"].cast("int").alias("idx"), e["value"].cast("double").alias("val")))
+    return df.withColumn(x_col, pairs)
+
+
+def values(x: Column) -> Column:
+    """The values of a sparse vector."""
+    return F.transform(x, lambda e: e["val"])
+
+
+def common(x: Column, z: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """Sum of f(u, v), the same both ways, over the indices that two arrays of (idx, val) share; indices of a side differ.
+
+    Both are merged in order of index, where entries that share one stand side by side.
+    """
+    none = F.struct(F.lit(None).cast("long").alias("idx"), F.lit(0.0).alias("val"), F.lit(0.0).alias("total"))
+    tagged = lambda side, n: F.transform(side, lambda e: F.struct(e["idx"].cast("long").alias("idx"), F.lit(n).alias("side"), e["val"].cast("double").alias("val")))
+    merged = F.array_sort(F.concat(tagged(x, 0), tagged(z, 1)))
+    both = lambda a, e: a["total"] + F.when(e["idx"] == a["idx"], f(a["val"], e["val"])).otherwise(F.lit(0.0))
+    return F.aggregate(merged, none, lambda a, e: F.struct(e["idx"].alias("idx"), e["val"].alias("val"), both(a, e).alias("total")), lambda a: a["total"])
+
+
+def weighed(x: Column, w: Column) -> Column:
+    """Product of an array of (idx, val) with an array of weights by index; indices beyond it are dropped."""
+    return F.aggregate(x, F.lit(0.0), lambda a, e: a + e["val"] * F.coalesce(F.get(w, (e["idx"] - 1).cast("int")), F.lit(0.0)))
+
+
 def dot(x: Column, z: Column) -> Column:
     return _sum(F.zip_with(x, z, lambda u, v: u * v))
 

@@ -145,8 +145,10 @@ def summary(model: DataFrame) -> DataFrame:
 
 def primal_scores(df: DataFrame, w: DataFrame) -> DataFrame:
     """(id, score) of x against one row of weights; features beyond the weights are dropped."""
-    from ..functions.vectors import dot
+    from ..functions.vectors import dot, entries, is_sparse, weighed
 
+    if is_sparse(df):
+        return entries(df).join(F.broadcast(w)).select("id", weighed(F.col("x"), F.col("w")).alias("score"))
     return df.join(F.broadcast(w)).select("id", dot(F.col("w"), F.slice("x", F.lit(1), F.size("w"))).alias("score"))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
 from ..functions.sparse import matrix
+from ..functions.vectors import entries, is_sparse
 
 BLOCK_ROWS = 2048
 BROADCAST_BYTES = 64 << 20
@@ -97,12 +98,13 @@ def row_sums(df: DataFrame, kernel: Kernel) -> DataFrame:
 
 def q_rows(df: DataFrame, ids: DataFrame, kernel: Kernel) -> DataFrame:
     """(i, id, q) with q = y_i y K(x_i, x) of the rows i in ``ids`` against every row: a broadcast join, one side a few rows."""
+    df, sparse = entries(df), is_sparse(df)
     few = df.join(F.broadcast(ids), "id", "left_semi").select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
-    return df.join(F.broadcast(few)).select("i", "id", (F.col("yi") * F.col("y") * kernel.expr(F.col("xi"), F.col("x"))).alias("q"))
+    return df.join(F.broadcast(few)).select("i", "id", (F.col("yi") * F.col("y") * kernel.expr(F.col("xi"), F.col("x"), sparse)).alias("q"))
 
 
 def diagonal(df: DataFrame, kernel: Kernel) -> DataFrame:
-    return df.select("id", kernel.expr(F.col("x"), F.col("x")).alias("k"))
+    return entries(df).select("id", kernel.expr(F.col("x"), F.col("x"), is_sparse(df)).alias("k"))
 
 
 def upper_stats(df: DataFrame, kernel: Kernel) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
+from ..functions.vectors import dot, entries, is_sparse
 from .gram import against
 
 EPS = 1e-3
@@ -82,10 +83,12 @@ def optimality_gap(state: DataFrame, c: float) -> DataFrame:
 
 def second_order_pair(state: DataFrame, c: float, kernel: Kernel, tie: str = "first") -> DataFrame:
     """i as in the first order; j with the greatest second-order gain d**2 / q, d = m + y g, of those that may fall with d > 0.  state has x."""
+    state, sparse = entries(state), is_sparse(state)
     i = working_pair(state, c, tie).select(F.col("i").alias("id"), "m")
     row = state.join(F.broadcast(i), "id").select(F.col("id").alias("i"), "m", F.col("x").alias("xi"))  # one row
     d = F.col("m") + F.col("y") * F.col("g")
-    q = kernel.expr(F.col("xi"), F.col("xi")) + kernel.expr(F.col("x"), F.col("x")) - 2 * kernel.expr(F.col("xi"), F.col("x"))
+    k = lambda a, b: kernel.expr(F.col(a), F.col(b), sparse)
+    q = k("xi", "xi") + k("x", "x") - 2 * k("xi", "x")
     gain = d * d / F.when(q <= 0, FLOOR).otherwise(q)
     use = in_low(c) & (d > 0)
     scored = state.join(F.broadcast(row)).select("i", "m", "id", F.when(use, gain).alias("gain"))
@@ -154,7 +157,10 @@ def support_vectors(state: DataFrame) -> DataFrame:
 
 def weights_of(df: DataFrame) -> DataFrame:
     """(idx, w): w = sum alpha y x by feature index, from the long form; partial sums before the shuffle."""
-    rows = df.where("alpha <> 0").select((F.col("alpha") * F.col("y")).alias("s"), F.posexplode("x").alias("pos", "val"))
+    s = (F.col("alpha") * F.col("y")).alias("s")
+    if is_sparse(df):
+        return entries(df).where("alpha <> 0").select(s, F.inline("x")).groupBy("idx").agg(F.sum(F.col("s") * F.col("val")).alias("w"))
+    rows = df.where("alpha <> 0").select(s, F.posexplode("x").alias("pos", "val"))
     return rows.groupBy((F.col("pos") + 1).alias("idx")).agg(F.sum(F.col("s") * F.col("val")).alias("w"))
 
 
@@ -164,11 +170,17 @@ def weight_vector(w: DataFrame) -> DataFrame:
 
 
 def linear_gradient(df: DataFrame, c: float) -> DataFrame:
-    """df (id, x, y, alpha) with g = y w.x + alpha / (2 C) - 1; the weights, as many as features, are broadcast."""
-    from ..functions.vectors import dot
+    """df (id, x, y, alpha) with g = y w.x + alpha / (2 C) - 1.
 
+    Of dense rows, the weights, as many as features, are broadcast; sparse rows
+    meet theirs by index, so that neither side has to fit a worker.
+    """
+    rest = F.col("alpha") / (2 * c) - 1
+    if is_sparse(df):
+        products = entries(df).select("id", F.inline("x")).join(weights_of(df), "idx").groupBy("id").agg(F.sum(F.col("w") * F.col("val")).alias("_wx"))
+        return df.join(products, "id", "left").withColumn("g", F.col("y") * F.coalesce("_wx", F.lit(0.0)) + rest).drop("_wx")
     w = weight_vector(weights_of(df))
-    return df.join(F.broadcast(w)).withColumn("g", F.col("y") * dot(F.col("w"), F.col("x")) + F.col("alpha") / (2 * c) - 1).drop("w")
+    return df.join(F.broadcast(w)).withColumn("g", F.col("y") * dot(F.col("w"), F.col("x")) + rest).drop("w")
 
 
 def linear_objective(df: DataFrame, c: float) -> DataFrame:
