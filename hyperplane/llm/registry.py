@@ -118,9 +118,11 @@ def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from .token_files import read_tokens, write_tokens
 
-    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json"))))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

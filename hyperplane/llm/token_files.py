@@ -47,6 +47,8 @@ PIECES = 200_000
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """ids in ``bits`` bits each, least significant first."""
     ids = np.ascontiguousarray(ids, np.uint32)
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} does not fit in {bits} bits")
     if bits == 16:
         return ids.astype("<u2").tobytes()
     spread = (ids[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
@@ -279,18 +281,27 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def id_bits(path: str, end_id: int) -> int:
+    """Bits that hold every id of the vocabulary at ``path``, added tokens included, and the end id."""
+    from tokenizers import Tokenizer
+
+    most = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+    return max(1, max(most, end_id).bit_length())
+
+
 FILES = "part long, span long, first long, n long, data binary"
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int = 0, vocabulary: int = 50_257, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, end_id: int = 0, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends ``end_id``, and writes token files in ascending order of ids; returns their table.
 
     Documents are dealt to ranges of ids.  A null text is empty: one end id.
     Rows with a null id come first, as id -1 << 63; rows with equal ids follow
     each other in no set order.  Only the named columns are read.  An empty
-    table gives an empty table.
+    table gives an empty table.  Ids take the bits of the tokenizer's largest id,
+    or of ``vocabulary`` ids if that is given; an id that does not fit is an error.
     """
-    bits = max(1, int(vocabulary - 1).bit_length())
+    bits = id_bits(path, end_id) if vocabulary is None else max(1, int(vocabulary - 1).bit_length())
     file_ids, group = FILE_IDS, GROUP
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
