@@ -9,8 +9,10 @@ tokens, and only those rules are matched.  Rules without any literal token are
 keyed by the empty token, which every URL has.  Everything on the main path is
 DataFrame code.
 
-Rules are given as a list on the driver and travel with the plan as one constant
-map, ``MAX_RULES`` at a time.
+Tokens of the distinct URLs are joined with the index by key, so that a URL's work
+follows the rules it fetches and not their number.  The index is broadcast if
+counted small, and met by a shuffle otherwise.  Decisions meet the pages by host
+and path; URLs without a fitting rule have none.
 
 The verdict is that of the longest rule that fits, stars not counted; where none
 fits it is the one given as default.
@@ -23,14 +25,12 @@ wins, and block before allow.  Only the two named columns are read.
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules in one constant map; a rule takes under 1 kB.
-MAX_RULES = 20_000
+from .shared import BROADCAST_ROWS
 
 
 def host_of(url: Column) -> Column:
@@ -72,50 +72,36 @@ def compile_rules(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     return df.sparkSession.createDataFrame([rule_row(x) for x in dict.fromkeys(rules)], RULE_SCHEMA)
 
 
-def index_rules(parsed: DataFrame, rules: list[tuple[str, str, str]]) -> list[tuple[str, str, str, int, str]]:
-    """(rule, verdict, pattern, length, key) of each rule; key: its literal token that the fewest rows of ``parsed`` hold.
+def _met(left: DataFrame, right: DataFrame, rules: int, on: str, how: str = "inner") -> DataFrame:
+    """left joined with a table of at most a few rows for each of so many rules."""
+    return left.join(F.broadcast(right) if rules <= BROADCAST_ROWS // 10 else right, on, how)
 
-    Counts only tokens that rules hold, combined before the shuffle; what comes
-    back has one row per rule of the block, at most ``MAX_RULES``.
-    """
-    table = compile_rules(parsed, rules)
+
+def index_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(token, rule, verdict, pattern, length): each rule under that of its literal tokens which the fewest of ``urls`` (host, path) hold."""
+    table = compile_rules(urls, rules)
     literal = table.select(F.explode("tokens").alias("token")).distinct()
-    seen = parsed.select(F.explode("tokens").alias("token")).join(F.broadcast(literal), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = urls.select(F.explode(tokens_of(F.col("host"), F.col("path"))).alias("token"))
+    seen = _met(tokens, literal, len(rules), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = table.withColumn("token", F.explode("tokens")).join(seen, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    index = ranked.groupBy("rule", "verdict", "pattern", "length").agg(F.min_by("token", F.struct("n", "token")).alias("key"))
-    return [tuple(r) for r in index.collect()]
-
-
-def lookup_of(index: list[tuple[str, str, str, int, str]]) -> Column:
-    """The index as one constant map from token to its rules."""
-    by_key: dict[str, list[dict]] = {}
-    for rule, verdict, pattern, length, key in index:
-        by_key.setdefault(key, []).append({"rank": -length, "allows": int(verdict != "block"), "rule": rule, "verdict": verdict, "pattern": pattern})
-    return F.from_json(F.lit(json.dumps(by_key)), "map<string, array<struct<rank: int, allows: int, rule: string, verdict: string, pattern: string>>>")
+    return ranked.groupBy("rule", "verdict", "pattern", "length").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
 
 
-def candidates(tokens: Column, lookup: Column) -> Column:
-    """The rules that the tokens fetch."""
-    return F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(lookup, t)), lambda x: x.isNotNull()))
+def decisions(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(host, path, hit) of the distinct ``urls`` (host, path) that a rule fits; hit: the longest rule and its verdict."""
+    fetched = _met(urls.withColumn("token", F.explode(tokens_of(F.col("host"), F.col("path")))), index_rules(urls, rules), len(rules), "token")
+    fits = fetched.where(F.rlike(F.concat("host", F.lit("\x00"), "path"), F.col("pattern")))
+    hit = F.struct((-F.col("length")).alias("rank"), (F.col("verdict") != "block").alias("allows"), "rule", "verdict")
+    return fits.groupBy("host", "path").agg(F.min(hit).alias("hit"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule (null if none fits) and verdict.
 
-    Without a fitting rule the verdict is ``default``.  Rules beyond
-    ``MAX_RULES`` are matched in blocks of that many, in the same pass over the
-    pages.
+    Without a fitting rule the verdict is ``default``.
     """
     url = F.col("url")
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host_of(url).alias("host"), path_of(url).alias("path"))
-    parsed = parsed.withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
-    line = F.concat(F.col("host"), F.lit("\x00"), F.col("path"))
-    rules = list(dict.fromkeys(rules))
-    judged, hits = parsed, []
-    for at in range(0, len(rules), MAX_RULES):
-        lookup = lookup_of(index_rules(parsed, rules[at : at + MAX_RULES]))
-        fits = F.filter(candidates(F.col("tokens"), lookup), lambda r: F.rlike(line, r["pattern"]))
-        hits.append(f"hit{at}")
-        judged = judged.withColumn(hits[-1], F.array_min(fits))
-    hit = F.array_min(F.array(*map(F.col, hits))) if hits else F.lit(None).cast("struct<rule: string, verdict: string>")
-    return judged.withColumn("hit", hit).select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict"))
+    found = decisions(parsed.select("host", "path").distinct(), list(dict.fromkeys(rules)))
+    judged = parsed.join(found, ["host", "path"], "left")
+    return judged.select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict"))

@@ -207,12 +207,12 @@ def test_url_rules_with_stars_and_odd_rows(spark):
     assert got == sorted([(False, None, "com/get/*.exe", "block"), *[(True, 1, "ad*.com", "block")] * 2, (True, 3, "*/*/get.exe", "block"), (True, 4, None, "allow"), (True, 5, None, "allow"), (True, 6, "bad.y.com/get/", "allow")], key=str)
 
 
-def test_url_rules_in_blocks(spark, monkeypatch):
+def test_url_rules_met_by_a_shuffle(spark, monkeypatch):
     from hyperplane.llm import url_rules
 
     pages = spark.createDataFrame([(1, "http://a.org/es/1"), (2, "http://b.com/fr/2")], "page_id long, url string")
     whole = judge_urls(pages, registry.URL_RULES).collect()
-    monkeypatch.setattr(url_rules, "MAX_RULES", 2)
+    monkeypatch.setattr(url_rules, "BROADCAST_ROWS", 0)
     assert sorted(judge_urls(pages, registry.URL_RULES).collect()) == sorted(whole)
 
 
