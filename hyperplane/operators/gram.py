@@ -1,11 +1,15 @@
 """Kernel-matrix operators: sums and extremes over all pairs of two tables, in NumPy blocks.
 
 Vectors are arrays of doubles, or sparse: arrays of structs (idx, val) or maps
-from index to value.  The right side is packed into blocks of ``BLOCK_ROWS`` rows.  Up to
-``BROADCAST_BYTES`` it is sent to the workers, and each partition of the left
-side meets it without a shuffle.  Beyond, both sides are packed and pairs of
-blocks are joined, so no task holds more than two blocks; partial results are
-combined by id.
+from index to value.  Kernel values are taken in blocks of ``BLOCK_ROWS`` rows.  Up to
+``BROADCAST_BYTES`` the right side is sent to the workers, and each partition of
+the left side meets it without a shuffle.  Beyond, both sides meet in a grid of
+cells: a row of the left side is sent along one line of cells and a row of the
+right side down one column, which is the square root of the number of cells, and
+each cell is a task that holds its share of both sides.  The number of cells grows
+with the rows, so what is moved grows with their power of 1.5, until cells hold
+``CELL_ROWS`` of a side; beyond, more cells keep a task's memory bounded.  Partial
+results are combined by id.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from ..functions.sparse import matrix
 from ..functions.vectors import entries, is_sparse
 
 BLOCK_ROWS = 2048
+#: Rows of a side in one cell, at most on average.
+CELL_ROWS = 1 << 18
 BROADCAST_BYTES = 64 << 20
 
 
@@ -69,24 +75,34 @@ def against(left: DataFrame, right: DataFrame, kernel: Kernel, extra: list[str],
 
         return left.select("id", "x", *left_extra).mapInArrow(run, schema)
 
-    # Packed blocks of both sides meet pair by pair.
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                mine, other = (pa.Table.from_struct_array(x.values) for x in (a, b))
-                got = partial(columns_of(mine, left_extra), columns_of(other, extra))
-                yield pa.RecordBatch.from_arrays([mine.column("id").combine_chunks(), *map(pa.array, got)], ["id", *names])
+    def cell(mine: pa.Table, other: pa.Table) -> pa.Table:
+        # A side without rows comes without columns too.
+        theirs, out = columns_of(other, extra) if other.num_rows else {"id": np.zeros(0)}, []
+        for at in range(0, mine.num_rows, BLOCK_ROWS):
+            some = columns_of(mine.slice(at, BLOCK_ROWS).combine_chunks(), left_extra)
+            out.append(pa.table([pa.array(some["id"]), *map(pa.array, partial(some, theirs))], ["id", *names]))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64() if c == "id" else pa.float64()) for c in ["id", *names]})
 
-    blocks = _packed(left, left_extra, "a").join(_packed(right, extra, "b"))
-    parts = blocks.select("a_rows", "b_rows").repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(joined, schema)
+    parts = _in_cells(left.select("id", "x", *left_extra), right.select("id", "x", *extra), cell, schema)
     return parts.groupBy("id").agg(*(getattr(F, how)(n).alias(n) for n, (how, _) in results.items()))
 
 
-def _packed(df: DataFrame, extras: list[str], name: str) -> DataFrame:
-    """Rows of df in blocks of about BLOCK_ROWS."""
-    n = max(1, -(-df.count() // BLOCK_ROWS))
-    keyed = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name), F.struct("id", "x", *extras).alias("row"))
-    return keyed.groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows"))
+def _lines(n: int, m: int) -> tuple[int, int]:
+    """Lines and columns of the grid in which n rows meet m."""
+    side = int(np.ceil(np.sqrt(max(n, m) / BLOCK_ROWS)))
+    return tuple(max(1, -(-k // CELL_ROWS), min(side, -(-k // BLOCK_ROWS))) for k in (n, m))
+
+
+def _in_cells(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f of each cell's rows of both sides (id, ...)."""
+    lines, columns = _lines(left.count(), right.count())
+    line, column = F.pmod(F.xxhash64("id"), F.lit(lines)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int")
+    a = left.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda k: line * columns + k)))
+    b = right.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda k: k * columns + column)))
+    # Both sides can come from one table; names of their own keep them apart.
+    b = b.withColumnsRenamed({c: f"other_{c}" for c in b.columns})
+    plain = lambda z: z.rename_columns([c.removeprefix("other_") for c in z.column_names])
+    return a.groupBy("cell").cogroup(b.groupBy("other_cell")).applyInArrow(lambda x, z: f(x, plain(z)), schema)
 
 
 def row_sums(df: DataFrame, kernel: Kernel) -> DataFrame:
@@ -137,17 +153,17 @@ def most_similar(df: DataFrame, kernel: Kernel, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(mine_id, order.shape[1])[keep]), pa.array(ids[order].ravel()[keep]), pa.array(value.ravel()[keep])], ["id", "other", "k"])
 
     if theirs is None:
-        # Packed blocks meet pair by pair, as in ``against``; each gives n rows per row, and the best of all are taken after.
-        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                    mine, other = (pa.Table.from_struct_array(x.values) for x in (a, b))
-                    ids, x, to, z = mine.column("id").to_numpy(), matrix(mine.column("x")), other.column("id").to_numpy(), matrix(other.column("x"))
-                    for at in range(0, len(ids), 256):
-                        yield top(ids[at : at + 256], x[at : at + 256], to, z)
-
-        blocks = _packed(df, [], "a").join(_packed(df, [], "b")).select("a_rows", "b_rows").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return topn(blocks.mapInArrow(joined, "id long, other long, k double"), "id", n)
+        # In cells, as in ``against``: each gives n rows per row, and the best of all are taken after.
+        def cell(mine: pa.Table, other: pa.Table) -> pa.Table:
+            found = [pa.RecordBatch.from_pydict({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "k": pa.array([], pa.float64())})]
+            if mine.num_rows and other.num_rows:
+                ids, to = mine.column("id").to_numpy(), other.column("id").to_numpy()
+                x, z = matrix(mine.column("x")), matrix(other.column("x"))
+                found = [top(ids[at : at + 256], x[at : at + 256], to[b : b + BLOCK_ROWS], z[b : b + BLOCK_ROWS]) for at in range(0, len(ids), 256) for b in range(0, len(to), BLOCK_ROWS)]
+            return pa.Table.from_batches(found)
+
+        rows = df.select("id", "x")
+        return topn(_in_cells(rows, rows, cell, "id long, other long, k double"), "id", n)
     shared = df.sparkSession.sparkContext.broadcast(theirs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

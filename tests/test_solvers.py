@@ -59,14 +59,36 @@ def test_linear(problem, fit):
 
 
 def test_blocks_agree_with_broadcast(problem, monkeypatch):
-    """The join of packed blocks gives what the broadcast gives."""
+    """The grid of cells gives what the broadcast gives."""
     results = lambda: {r.id: (round(r.row_sum, 9), round(r.largest, 9)) for r in gram.row_sums(problem, K.RBF).collect()}
     want = results()
     near = lambda: sorted((r.id, r.rank, r.other) for r in gram.most_similar(problem, K.RBF, 3).collect())
     nearest = near()
     monkeypatch.setattr(gram, "BROADCAST_BYTES", 10)
-    monkeypatch.setattr(gram, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(gram, "BLOCK_ROWS", 20)
+    assert gram._lines(120, 120) == (3, 3)
     assert results() == want and near() == nearest
+    plan = gram.row_sums(problem, K.RBF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Cartesian", "NestedLoop", "RoundRobin", "SinglePartition")) and "CoGroup" in plan
+
+
+def test_cells_of_unequal_sides(spark, problem, monkeypatch):
+    """Few rows against many, none on one side, and cells that meet nothing."""
+    few = problem.where("id < 7")
+    want = {r.id: r.s for r in gram.against(few, problem, K.RBF, ["y"], {"s": ("sum", lambda k, a, b: k @ b["y"])}).collect()}
+    monkeypatch.setattr(gram, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(gram, "BLOCK_ROWS", 10)
+    got = {r.id: r.s for r in gram.against(few, problem, K.RBF, ["y"], {"s": ("sum", lambda k, a, b: k @ b["y"])}).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert gram.against(problem.limit(0), problem, K.RBF, [], {"s": ("max", lambda k, a, b: k.max(1))}).count() == 0
+
+
+def test_rows_moved_grow_by_less_than_pairs():
+    """Copies of rows that the grid sends: the power of 1.5 until cells are full, from where on a task's memory sets their number."""
+    moved = {n: n * sum(gram._lines(n, n)) for n in (10**5, 10**6, 10**7)}
+    assert moved[10**6] / moved[10**5] < 10**1.55 and moved[10**7] / moved[10**6] < 10**1.55
+    lines, columns = gram._lines(10**9, 10**5)
+    assert 10**9 / lines <= gram.CELL_ROWS and columns == 49
 
 
 def test_state_steps(problem):
