@@ -148,6 +148,19 @@ class Mahalanobis:
         return dot(x, F.transform(rows, lambda r: dot(r, z)))
 
 
+@dataclass(frozen=True)
+class Frobenius:
+    """Sum of products of two matrices, given as arrays of rows.  Blocks and solvers ask for one shape; columns give null where shapes differ."""
+
+    def block(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        if x.shape[1] != z.shape[1]:
+            raise ValueError("matrices of different shapes")
+        return x @ z.T
+
+    def expr(self, x: Column, z: Column, sparse: bool = False) -> Column:
+        return frobenius(x, z)
+
+
 LINEAR, RBF, POLY = Kernel("linear"), Kernel("rbf"), Kernel("poly")
 CHI2, NCHI2, EXPCHI2 = Kernel("chi2"), Kernel("nchi2"), Kernel("expchi2")
 ALL = (LINEAR, RBF, POLY, CHI2, NCHI2, EXPCHI2)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pairs of entries that are multiplied at a time.
 PAIRS = 1 << 22
@@ -121,14 +122,29 @@ class SparseRows:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray | SparseRows:
-    """Rows of a column of vectors: arrays of doubles of equal lengths, or sparse rows of (idx, val) structs or maps."""
+    """Rows of a column of vectors: arrays of doubles of equal lengths, sparse rows of (idx, val) structs or maps, or matrices
+    (arrays of arrays of doubles) of one shape, row by row."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_list(getattr(column.type, "value_type", pa.null())):
+        return _matrices(column)
     if pa.types.is_map(column.type) or pa.types.is_struct(getattr(column.type, "value_type", pa.null())):
         return SparseRows.of(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _matrices(column: pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 0))
+    lines = column.flatten()
+    # Lengths of a null matrix or line are null, which no shape has.
+    heights, widths = pc.list_value_length(column), pc.list_value_length(lines)
+    shapes = {*pc.unique(heights).to_pylist()}, {*pc.unique(widths).to_pylist()}
+    if any(len(s) > 1 or None in s for s in shapes):
+        raise ValueError(f"matrices of one shape are asked for, with no null among them; these have {sorted(shapes[0], key=str)} lines of {sorted(shapes[1], key=str)} values")
+    return lines.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def stacked(parts: list) -> np.ndarray | SparseRows:
     """Blocks of rows below each other."""
     if not isinstance(parts[0], SparseRows):

@@ -23,6 +23,12 @@ def is_sparse(df: DataFrame, x_col: str = "x") -> bool:
     return kind.startswith(("map<", "array<struct<"))
 
 
+def width(df: DataFrame, x_col: str = "x") -> Column:
+    """Values that a vector holds: of a matrix those of all its rows."""
+    nested = df.schema[x_col].dataType.simpleString().startswith("array<array<")
+    return F.size(F.flatten(x_col) if nested else F.col(x_col))
+
+
 def entries(df: DataFrame, x_col: str = "x") -> DataFrame:
     """df with maps from index to value as arrays of (idx, val); other vectors stay."""
     if not df.schema[x_col].dataType.simpleString().startswith("map<"):

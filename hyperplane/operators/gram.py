@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Kernel
 from ..functions.sparse import matrix
-from ..functions.vectors import entries, is_sparse
+from ..functions.vectors import entries, is_sparse, width
 
 BLOCK_ROWS = 2048
 #: Rows of a side in one cell, at most on average.
@@ -33,7 +33,7 @@ BROADCAST_BYTES = 64 << 20
 
 def fetched(df: DataFrame, columns: list[str]) -> dict[str, np.ndarray] | None:
     """Columns of a table of bounded size on the driver, sorted by id; None if it is larger than BROADCAST_BYTES."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size("x"), F.lit(0))).alias("d")).first()
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(width(df), F.lit(0))).alias("d")).first()
     if not row.n or (2 * row.d + row.n * len(columns)) * 8 > BROADCAST_BYTES:
         return None if row.n else {c: np.zeros((0, 0)) if c == "x" else np.zeros(0) for c in ["id", *columns]}
     t = df.select("id", *columns).toArrow().sort_by("id")

@@ -53,7 +53,7 @@ def _summed(df: DataFrame, f: Callable[..., np.ndarray], size: int) -> np.ndarra
     rows = df.mapInArrow(part, "total binary")
     if df.rdd.getNumPartitions() > 64:
         rows = rows.repartition(32).mapInArrow(joined, "total binary")
-    return np.sum([np.frombuffer(r.total) for r in rows.collect()], axis=0)
+    return np.sum([np.frombuffer(r.total) for r in rows.collect()] or [np.zeros(size)], axis=0)
 
 
 def _times(x: np.ndarray | SparseRows, w: np.ndarray) -> np.ndarray:

@@ -1,14 +1,14 @@
-"""Queries of steps over sparse columns, of the loss over all pairs, and of dual coordinate descent; registered beside the catalogue's."""
+"""Queries of steps over sparse columns, the loss over all pairs, dual coordinate descent, covariances and matrix rows; registered beside the catalogue's."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import gram, ranking
+from ..operators import covariance, gram, ranking, validation
 from ..operators import solver_steps as S
 from ..operators.dual_coordinate import fit_dual
-from ..operators.estimator import primal_scores
+from ..operators.estimator import KernelSVC, primal_scores
 from .catalogue import DIM, PAIR, SPARSE_V, C, ends, problem, query, rounded, sparse_problem, sql_round
 
 PAIRS = ", ".join(f"({sql_round(k.sql('a.x', 'b.x'))}) AS {k.name}" for k in K.ALL)
@@ -81,3 +81,57 @@ def _(spark, d):
     w = [r.w for r in S.weights_of(rows).orderBy("idx").collect()]
     off = max((abs(a - b) for a, b in zip(w, found.w, strict=False)), default=0.0)
     return rows.agg((F.min("alpha") >= 0).alias("box_ok"), F.lit(bool(off < 1e-6)).alias("weights_ok"), F.lit(bool(-1e-9 <= found.gap <= 1e-3 * abs(found.objective))).alias("gap_ok"), F.count(F.lit(1)).alias("n"))
+
+
+# Covariances and matrices.
+
+
+def cells(spark, matrix):
+    rows = [(i + 1, j + 1, float(matrix[i][j])) for i in range(DIM) for j in range(DIM)]
+    return spark.createDataFrame(rows, "i long, j long, value double").withColumn("value", rounded(F.col("value")))
+
+
+query("covariance_matrix", f"SELECT a.idx::bigint AS i, b.idx::bigint AS j, {sql_round('covar_samp(a.val, b.val)')} AS value FROM (SELECT id, i AS idx, x[i] AS val FROM v, (SELECT unnest(range(1, 65)) AS i)) a JOIN (SELECT id, i AS idx, x[i] AS val FROM v, (SELECT unnest(range(1, 65)) AS i)) b ON a.id = b.id GROUP BY a.idx, b.idx")(
+    lambda spark, d: cells(spark, covariance.covariance(problem(spark, d), DIM)[1])
+)
+
+
+@query("whitened_covariance", "SELECT a.i::bigint AS i, b.i::bigint AS j, (a.i = b.i)::int::double AS value FROM (SELECT unnest(range(1, 65)) AS i) a, (SELECT unnest(range(1, 65)) AS i) b")
+def _(spark, d):
+    """The covariance of rows whitened by the inverse of theirs: the unit matrix."""
+    p = problem(spark, d)
+    return cells(spark, covariance.covariance(covariance.whitened(p, covariance.fitted(p, DIM, 0.0)), DIM)[1])
+
+
+#: The kernel of two features by the closed inverse of their covariance.
+query(
+    "kernel_mahalanobis_fitted",
+    f"""WITH m AS (SELECT var_samp(x[1]) AS p, covar_samp(x[1], x[2]) AS q, var_samp(x[2]) AS r FROM v)
+SELECT a.id, {sql_round('(r * a.x[1] * b.x[1] - q * (a.x[1] * b.x[2] + a.x[2] * b.x[1]) + p * a.x[2] * b.x[2]) / (p * r - q * q)')} AS value FROM v a JOIN v b ON b.id = a.id + 1, m""",
+)(
+    lambda spark, d: (lambda p: p.join(p.select((F.col("id") - 1).alias("id"), F.col("x").alias("z")), "id").select("id", rounded(covariance.fitted(p, 2, 0.0).expr(F.col("x"), F.col("z"))).alias("value")))(
+        problem(spark, d).select("id", F.slice("x", 1, 2).alias("x"))
+    )
+)
+
+
+def squares(spark, d):
+    """The problem with x as a matrix of eight rows."""
+    return problem(spark, d).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("x", k * 8 + 1, 8)))
+
+
+query(
+    "score_dual_frobenius",
+    f"WITH c AS (SELECT a.id, sum(b.alpha * b.y * {K.LINEAR.sql('a.x', 'b.x')}) AS score FROM v a, v b GROUP BY a.id) SELECT id, {sql_round('score')} AS score, CASE WHEN score < 0 THEN -1 ELSE 1 END AS pred FROM c",
+)(lambda spark, d: gram.scores(p := squares(spark, d), S.support_vectors(p), K.Frobenius()).select("id", rounded(F.col("score")).alias("score"), "pred"))
+query("search_frobenius", None)(lambda spark, d: validation.search_c(squares(spark, d), lambda gamma: K.Frobenius(), 5, [0.125, 1.0]))
+
+
+@query("train_frobenius", "SELECT true AS equal, count(*) AS n FROM v")
+def _(spark, d):
+    """Whether training on matrices gives the support and alphas that the linear kernel gives on their values in a row."""
+    rows = squares(spark, d).select("id", "x", F.col("y").alias("label"))
+    flat = rows.withColumn("x", F.flatten("x"))
+    models = [KernelSVC(k, 0.1).fit(r).model.select("sv_id", F.round("alpha", 6).alias("alpha")) for k, r in ((K.Frobenius(), rows), (K.LINEAR, flat))]
+    off = models[0].join(models[1].withColumnRenamed("alpha", "other"), "sv_id", "full_outer").agg(F.count(F.when(~F.col("alpha").eqNullSafe(F.col("other")), 1)).alias("off"))
+    return rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(off)).select((F.col("off") == 0).alias("equal"), "n")
