@@ -3,13 +3,14 @@
 The objective is |w|**2 / 2 + sum C_i loss(y_i w.x_i), with the squared hinge
 (``l2``) or the hinge (``l1``).  For the squared hinge each iteration is one
 pass that sums, per partition, a vector as long as the number of features, for
-all classes at once; only those reach the driver.  The input is read once and
-kept for the passes.
+all classes at once; long ones are added up by ranges of features, so that one
+vector a class reaches the driver whatever the number of partitions.  The input is
+read once and kept for the passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,8 @@ from ..functions.sparse import SparseRows, matrix
 
 #: Cells of the curvature matrices of all classes up to which Newton steps are solved on the driver; beyond, by conjugate gradients.
 CURVATURE_CELLS = 1 << 20
+#: Values of a sum that travel together.
+RANGE = 1 << 16
 
 
 @dataclass
@@ -33,7 +36,11 @@ class LinearModel:
 
 
 def _summed(df: DataFrame, f: Callable[..., np.ndarray], size: int) -> np.ndarray:
-    """Sum of f(x, other columns) over partitions, through at most 32 groups of partial sums."""
+    """Sum of f(x, other columns) over partitions.
+
+    A sum longer than ``RANGE`` leaves its partition in packed ranges, without
+    those that are zero, which are added up by range: the driver gets each once.
+    """
     others = range(1, len(df.columns))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,19 +48,31 @@ def _summed(df: DataFrame, f: Callable[..., np.ndarray], size: int) -> np.ndarra
         for batch in batches:
             if batch.num_rows:
                 total += f(matrix(batch.column(0)), *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in others))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
+        yield from _ranges((at // RANGE, total[at : at + RANGE]) for at in range(0, size, RANGE))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
-
-    rows = df.mapInArrow(part, "total binary")
-    if df.rdd.getNumPartitions() > 64:
-        rows = rows.repartition(32).mapInArrow(joined, "total binary")
-    return np.sum([np.frombuffer(r.total) for r in rows.collect()] or [np.zeros(size)], axis=0)
+            for at, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(x.as_buffer())
+                totals[at] = totals[at] + values if at in totals else values.copy()
+        yield from _ranges(totals.items())
+
+    rows = df.mapInArrow(part, "at int, total binary")
+    if size > RANGE:
+        rows = rows.repartition(min(32, -(-size // RANGE)), "at").mapInArrow(joined, "at int, total binary")
+    elif df.rdd.getNumPartitions() > 64:
+        rows = rows.repartition(32).mapInArrow(joined, "at int, total binary")
+    out = np.zeros(size)
+    for r in rows.toLocalIterator() if size > RANGE else rows.collect():
+        out[r.at * RANGE : (r.at + 1) * RANGE] += np.frombuffer(r.total)
+    return out
+
+
+def _ranges(parts: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for at, values in parts:
+        if values.any():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["at", "total"])
 
 
 def _times(x: np.ndarray | SparseRows, w: np.ndarray) -> np.ndarray:
