@@ -2,7 +2,8 @@
 
 A text, with a space in front and spaces as ``▁``, falls into units: a run
 of ``▁`` and what follows up to the next one.  No piece crosses units, so
-the lattice of a text is a chain of unit lattices.  Pieces weigh by Zipf's law
+the lattice of a text is a chain of unit lattices.  Long units, as in texts without
+spaces, are cut further, at places that none of their pieces crosses.  Pieces weigh by Zipf's law
 of their merge rank; bytes stand in for characters that are no piece.
 
 For each distinct unit of a batch, backward sums over its lattice give the share
@@ -48,6 +49,8 @@ SPACE = "▁".encode()
 ZIPF_SHIFT, ZIPF_POWER = 2.7, 1.0
 SEED = 17
 PIECE_BYTES = 1 << 19
+#: Units above so many bytes are cut where no piece crosses; bytes looked at together, and the least length of a part.
+LONG, CUT_BYTES, PART = 512, 1 << 18, 24
 SCHEMA = "doc_id long, sample int, n_ids long, log_prob double, perturbed double, inclusion double, ids binary"
 
 
@@ -75,6 +78,7 @@ class Vocabulary:
                 usable.append((raw, i, -sp.get_score(i)))
         norm = np.log(sum((r + ZIPF_SHIFT) ** -ZIPF_POWER for _, _, r in usable))
         used = sorted({b for raw, _, _ in usable for b in raw})
+        self.longest = max((len(raw) for raw, _, _ in usable), default=1)
         self.cls = np.zeros(256, np.int64)
         self.cls[used] = np.arange(1, len(used) + 1)
         children: list[dict[int, int]] = [{}, {}]  # 0 is nowhere, 1 the root
@@ -109,6 +113,36 @@ class Vocabulary:
     def step(self, state: np.ndarray, byte_class: np.ndarray) -> np.ndarray:
         return self.next[np.minimum(state, self.inner) * self.width + byte_class]
 
+    def cut(self, unit: bytes) -> list[bytes]:
+        """A unit in parts that no piece crosses, so that its segmentations are theirs one after another; parts under ``PART`` bytes stay together."""
+        n, cuts, far = len(unit), [0], 0
+        raw = np.frombuffer(unit, np.uint8)
+        for a in range(0, n, CUT_BYTES):
+            b = min(a + CUT_BYTES, n)
+            cls = self.cls[raw[a : min(b + self.longest, n)]]
+            # The end of the longest piece that begins at each place.
+            end = np.arange(b - a)
+            row, state = end.copy(), np.ones(b - a, np.int64)
+            for k in range(self.longest):
+                state = self.step(state, cls[row + k])
+                whole = self.weight[state] > -np.inf
+                end[row[whole]] = row[whole] + k + 1
+                live = (state > 0) & (row + k + 1 < len(cls))
+                if not live.any():
+                    break
+                row, state = row[live], state[live]
+            reach = np.maximum(np.maximum.accumulate(end) + a, far)
+            far = int(reach[-1])
+            at = np.flatnonzero(reach <= np.arange(a + 1, b + 1)) + a + 1
+            # Characters stay whole.
+            at = at[(at == n) | (raw[np.minimum(at, n - 1)] & 0xC0 != 0x80)]
+            # Of the places in a stretch of PART bytes, the first.
+            new = np.ones(len(at), bool)
+            new[1:] = at[1:] // PART != at[:-1] // PART
+            cuts += at[new].tolist()
+        cuts = [c for c in cuts if c < n]
+        return [unit[x:y] for x, y in zip(cuts, [*cuts[1:], n], strict=True)]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids spell, without the space in front."""
         out = b"".join(map(self.spelled.__getitem__, ids.tolist())).replace(SPACE, b" ")
@@ -304,6 +338,8 @@ def sample(voc: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int, seed:
     put = number.setdefault
     for i, text in enumerate(texts):
         units = units_of(text)
+        if len(text) > LONG and max(map(len, units), default=0) > LONG:
+            units = [part for u in units for part in (voc.cut(u) if len(u) > LONG else (u,))]
         counts[i] = len(units)
         flat_units += [put(u, len(number)) for u in units]
     unit = np.array(flat_units, np.int64)
