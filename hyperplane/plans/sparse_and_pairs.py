@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import covariance, gram, ranking, validation
+from ..functions import vectors as V
+from ..operators import covariance, gram, ranking, similar, validation
 from ..operators import solver_steps as S
 from ..operators.dual_coordinate import fit_dual
 from ..operators.estimator import KernelSVC, primal_scores
@@ -135,3 +136,17 @@ def _(spark, d):
     models = [KernelSVC(k, 0.1).fit(r).model.select("sv_id", F.round("alpha", 6).alias("alpha")) for k, r in ((K.Frobenius(), rows), (K.LINEAR, flat))]
     off = models[0].join(models[1].withColumnRenamed("alpha", "other"), "sv_id", "full_outer").agg(F.count(F.when(~F.col("alpha").eqNullSafe(F.col("other")), 1)).alias("off"))
     return rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(off)).select((F.col("off") == 0).alias("equal"), "n")
+
+
+@query(
+    "topn_sparse",
+    f"""WITH e AS (SELECT l_orderkey AS id, l_partkey AS idx, sum(l_quantity)::double AS val FROM lineitem GROUP BY ALL),
+p AS (SELECT a.id, b.id AS other, sum(a.val * b.val) AS k FROM e a JOIN e b ON a.idx = b.idx AND a.id <> b.id GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(k, 9) DESC, other) AS rank FROM p)
+SELECT id, rank::int AS rank, other, {sql_round('k')} AS k FROM t WHERE rank <= 3""",
+    view=False,
+)
+def _(spark, d):
+    """Of each order, the three others that share most: vectors of quantities by part."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("idx")).agg(F.sum("l_quantity").alias("val"))
+    return similar.topn_sparse(V.sparse(lines), 3).select("id", "rank", "other", rounded(F.col("k")).alias("k"))
