@@ -75,7 +75,8 @@ class Kernel:
             return xz
         if self.name == "poly":
             return F.pow(self.gamma * xz + self.coef, F.lit(self.degree))
-        return F.exp(-self.gamma * F.greatest(F.lit(0.0), xx + zz - 2 * xz))
+        # greatest() passes over nulls, which null vectors give.
+        return F.when(xz.isNotNull(), F.exp(-self.gamma * F.greatest(F.lit(0.0), xx + zz - 2 * xz)))
 
     def _of_distance(self, distance: Column) -> Column:
         return 1 - 0.5 * distance if self.name == "chi2" else F.exp(-self.gamma * distance)

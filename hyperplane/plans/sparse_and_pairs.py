@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import vectors as V
+from ..functions.sql_functions import register
 from ..operators import covariance, gram, ranking, similar, validation
 from ..operators import solver_steps as S
 from ..operators.dual_coordinate import fit_dual
 from ..operators.estimator import KernelSVC, primal_scores
-from .catalogue import DIM, PAIR, SPARSE_V, C, ends, problem, query, rounded, sparse_problem, sql_round
+from .catalogue import DIM, PAIR, SPARSE_V, C, ends, neighbours, problem, query, rounded, sparse_problem, sql_round
 
 PAIRS = ", ".join(f"({sql_round(k.sql('a.x', 'b.x'))}) AS {k.name}" for k in K.ALL)
 
@@ -150,3 +151,11 @@ def _(spark, d):
     """Of each order, the three others that share most: vectors of quantities by part."""
     lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("idx")).agg(F.sum("l_quantity").alias("val"))
     return similar.topn_sparse(V.sparse(lines), 3).select("id", "rank", "other", rounded(F.col("k")).alias("k"))
+
+
+@query("sql_kernel_functions", "SELECT a.id, " + ", ".join(f"{sql_round(k.sql('a.x', 'b.x'))} AS {k.name}" for k in (K.LINEAR, K.RBF, K.POLY)) + " FROM v a JOIN v b ON b.id = a.id + 1")
+def _(spark, d):
+    """Kernels called by name in Spark's SQL."""
+    register(spark)
+    pairs = neighbours(problem(spark, d))
+    return pairs.selectExpr("id", *(f"round(kernel_{k.name}(x, z), 6) + 0D AS {k.name}" for k in (K.LINEAR, K.RBF, K.POLY)))
