@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 
 
+#: Columns that ranks and running sums put beside those of the rows for a while.
+RESERVED = ("_part", "_before", "_n")
+
+
 def _ranged(df: DataFrame, by: list) -> DataFrame:
     """df with ``_part``, the number of its range in the order of ``by``; a table, as ranges that are computed again may differ."""
+    if clash := set(RESERVED) & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} have names that are used here; rename them")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return stored(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()), "ranges")
 

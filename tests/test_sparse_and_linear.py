@@ -197,6 +197,8 @@ def test_ranks_of_hot_groups(spark):
     sums = {r.id: r.before for r in ranks.running(df, "id", {"v": "before"}).collect()}
     assert all(sums[i] == sum(k * 7 % 101 for k in range(i)) for i in range(0, 500, 37))
     assert ranks.ranked(df.limit(0), ["g"], ["id"], "place").count() == 0
+    with pytest.raises(ValueError):
+        ranks.ranked(df.withColumn("_part", F.lit(1)), ["g"], ["id"], "place")
 
 
 def test_folds_of_one_side(spark):
