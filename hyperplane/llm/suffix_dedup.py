@@ -6,14 +6,17 @@ equal windows have equal anchors at equal offsets.
 
 1. Copies of whole texts are one document; later ones are removed entirely.
 2. Anchors' hashes, 40 bits and a bucket each, are dealt to buckets that find
-   those of several documents, and say so to each of these documents.
+   those of several documents, and say so to each of these documents.  Of a hash
+   that many documents of one batch have, the bucket hears once a batch; these
+   documents are told by the batch.  A bucket hands on the documents of any other
+   hash that grows common as they come, so it holds few documents of a hash.
 3. Only windows of such anchors go on.  Those of one anchor in a row make one
    segment, dealt to a shard by the anchor's hash.
 4. A shard merges equal segments, builds the suffix array of the others by
    Larsson-Sadakane refinement, takes common prefixes by Kasai's method, and so
    finds classes of equal windows and the smallest document of each.
-5. Segments of a very common anchor are split over shards by document.  Such a
-   shard decides what is not its own first; its firsts leave in the order of
+5. Segments of a very common anchor are split over shards by document, into more
+   parts the more documents were known as each was told.  Such a shard decides what is not its own first; its firsts leave in the order of
    its suffix array, as sorted runs of windows, which are merged across shards
    by binary search, byte by byte.
 6. Removed ranges go back to their documents, and the rest is hashed.
@@ -45,9 +48,17 @@ K = 50
 Q = 24
 #: Segments of one anchor that a shard takes; above, the anchor is split by document.
 ANCHOR_ROWS = 4096
+#: Documents of a batch with one anchor from which on they don't go to its bucket.
+COMMON = 256
+#: Entries that a bucket takes in before it looks for common anchors among them.
+SETTLE = 1 << 22
+#: Bytes per anchor: of the grams of a window, about two in K - Q + 2 are the least of some window.
+ANCHOR_BYTES = (K - Q + 2) // 2
 #: Bytes of packed entries that a worker gathers before it deals them out.
 GATHER = 16 << 20
 _LOW57 = np.uint64((1 << 57) - 1)
+_LOW40 = np.uint64((1 << 40) - 1)
+_SPLIT = np.uint64(58)
 _LOW32 = np.uint64((1 << 32) - 1)
 
 
@@ -101,22 +112,62 @@ PACKED = "part int, kind int, data binary"
 _DOC = np.dtype([("doc", "<i8"), ("n", "<u2")])
 
 
-def _anchor_buckets(buckets: int):
-    """Anchors of documents (id, text): per bucket, documents with their numbers of anchors, and 40-bit hashes."""
+def _named(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes of grams as 40 bits below their bucket."""
+    h = h & _LOW57
+    return ((h // np.uint64(buckets)) & _LOW40) | ((h % np.uint64(buckets)) << np.uint64(40))
+
+
+def _parts_of(n: np.ndarray) -> np.ndarray:
+    """Into how many parts, as a power of two, anchors of n documents are split: two at least."""
+    return np.maximum(np.ceil(np.log2(np.maximum(n / ANCHOR_ROWS, 1))), 1).astype(np.uint64)
+
+
+def _common(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document), sorted and once each, of hashes that COMMON documents or more have."""
+    some = np.sort(h)
+    some = np.unique(some[: max(len(h) - COMMON + 1, 0)][some[COMMON - 1 :] == some[: max(len(h) - COMMON + 1, 0)]])
+    if not len(some):
+        return h[:0], d[:0]
+    mine = np.isin(h, some)
+    h, d = h[mine], d[mine]
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    # A document may have a hash many times.
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
+    h, d = h[new], d[new]
+    _, of, n = np.unique(h, return_inverse=True, return_counts=True)
+    return h[n[of] >= COMMON], d[n[of] >= COMMON]
+
+
+def _anchor_buckets(buckets: int, groups: int, total: int):
+    """Anchors of documents (id, text): per bucket, documents with their numbers of anchors, and 40-bit hashes (kind 0).
+
+    Common hashes of a batch: their names and how many of about ``total`` anchors they are (1), and what their documents are told (2).
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_h, held_d, size = [], [], 0
 
-        def deal() -> pa.RecordBatch:
+        def deal() -> Iterator[pa.RecordBatch]:
             h, d = np.concatenate(held_h), np.concatenate(held_d)
-            bucket = h % np.uint64(buckets)
-            rest = h // np.uint64(buckets)
+            held_h.clear(), held_d.clear()
+            common, told = _common(h, d)
+            if len(common):
+                name, of, n = np.unique(common, return_inverse=True, return_counts=True)
+                n = (n * max(1, total / len(h))).astype(np.uint64)
+                yield _rows(_blobs(name >> np.uint64(40), buckets, np.stack((name, n), 1)), 1)
+                table = np.stack((told.view(np.uint64), common | (_parts_of(n)[of] << _SPLIT)), 1)
+                yield _rows(_blobs(np.mod(told, groups), groups, table), 2)
+                rest = ~np.isin(h, name)
+                h, d = h[rest], d[rest]
+            bucket = h >> np.uint64(40)
             order = np.argsort(bucket.astype(np.uint32), kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             out = []
             for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 mine = order[cut[i] : cut[i + 1]]
-                docs, value = d[mine], rest[mine]
+                docs, value = d[mine], h[mine]
                 new = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
                 # Counts above 65535 take several entries.
                 n = np.diff(np.concatenate((new, [len(docs)])))
@@ -128,7 +179,7 @@ def _anchor_buckets(buckets: int):
                 low = (value & np.uint64(0xFFFFFFFF)).astype("<u4")
                 high = ((value >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
                 out.append((i, np.array([len(head), len(docs)], "<u4").tobytes() + head.tobytes() + low.tobytes() + high.tobytes()))
-            return _rows(out)
+            yield _rows(out)
 
         for batch in batches:
             buf, offs = flat(batch.column(1))
@@ -140,53 +191,115 @@ def _anchor_buckets(buckets: int):
                 doc = np.searchsorted(part_offs, start, "right") - 1
                 new = np.ones(len(at), bool)
                 new[1:] = at[1:] != at[:-1]
-                h = gram_hashes(part)[at[new]] & _LOW57
+                h = _named(gram_hashes(part)[at[new]], buckets)
                 held_h.append(h)
                 held_d.append(ids[lo:hi][doc[new]])
                 size += 16 * len(h)
             if size > GATHER:
-                yield deal()
-                held_h.clear(), held_d.clear()
+                yield from deal()
                 size = 0
         if size:
-            yield deal()
+            yield from deal()
 
     return emit
 
 
-def _repeated(buckets: int, groups: int):
+class _Bucket:
+    """Entries of buckets, by hash: documents of common hashes are given out as they come, those of others stay until the end."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+        self.least = SETTLE
+        #: Names of common hashes, sorted, and how many documents are known of each.
+        self.common = np.zeros(0, np.uint64)
+        self.known = np.zeros(0, np.uint64)
+
+    def add(self, h: np.ndarray, d: np.ndarray) -> None:
+        self.held.append((h, d))
+        self.size += len(h)
+
+    def tell(self, names: np.ndarray, n: np.ndarray) -> None:
+        """Hashes are common, with so many documents more."""
+        names, of = np.unique(np.concatenate((self.common, names)), return_inverse=True)
+        known = np.zeros(len(names), np.uint64)
+        np.add.at(known, of, np.concatenate((self.known, n)))
+        self.common, self.known = names, known
+
+    def settled(self, last: bool) -> np.ndarray:
+        """(document, hash with its split) of what is common by now; of all that several documents have, if nothing more comes."""
+        if not self.size:
+            return np.zeros((0, 2), np.uint64)
+        h, d = (np.concatenate([x[k] for x in self.held]) for k in (0, 1))
+        self.held.clear()
+        order = np.argsort(h)
+        h, d = h[order], d[order]
+        del order
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        n = np.diff(np.concatenate((first, [len(h)])))
+        keep = np.ones(len(h), bool)
+        grown = []
+        for i in np.flatnonzero(n > ANCHOR_ROWS).tolist():
+            a, b = int(first[i]), int(first[i] + n[i])
+            docs = np.unique(d[a:b])
+            d[a : a + len(docs)] = docs
+            keep[a + len(docs) : b] = False
+            if len(docs) > ANCHOR_ROWS:
+                grown.append(i)
+        names = h[first]
+        if len(self.common) or grown:
+            at = np.isin(names, self.common)
+            at[grown] = True
+            real = np.add.reduceat(keep, first, dtype=np.int64)
+            self.tell(names[at], real[at].astype(np.uint64))
+        common = np.isin(names, self.common)
+        split = np.zeros(len(names), np.uint64)
+        split[common] = _parts_of(self.known[np.searchsorted(self.common, names[common])])
+        give = common.copy()
+        if last:
+            give |= np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+        mine = np.repeat(give, n) & keep
+        out = np.stack((d[mine].view(np.uint64), (h | (np.repeat(split, n) << _SPLIT))[mine]), 1)
+        self.size = 0
+        if not last:
+            stay = ~np.repeat(give, n) & keep
+            self.add(h[stay], d[stay])
+            # As much again comes in before the next look, so that looks stay few.
+            self.least = self.size + max(SETTLE, self.size)
+        return out
+
+
+def _repeated(groups: int):
     """Of each bucket: (id, hash) of anchors that several documents have, dealt back by document; common ones say into how many parts they split."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs = [], []
+        bucket = _Bucket()
+
+        def told(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(table), 1 << 20):
+                part = table[a : a + (1 << 20)]
+                yield _rows(_blobs(np.mod(part[:, 0].view(np.int64), groups), groups, part))
+
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = data.as_buffer()
+                if kind == 2:
+                    yield _rows([(part, data.to_pybytes())])
+                    continue
+                if kind == 1:
+                    table = np.frombuffer(data, np.uint64).reshape(-1, 2)
+                    bucket.tell(table[:, 0], table[:, 1])
+                    continue
                 n_docs, n = np.frombuffer(data, "<u4", 2).tolist()
                 head = np.frombuffer(data, _DOC, n_docs, 8)
                 at = 8 + n_docs * _DOC.itemsize
                 low = np.frombuffer(data, "<u4", n, at).astype(np.uint64)
                 high = np.frombuffer(data, np.uint8, n, at + 4 * n).astype(np.uint64)
                 # The bucket goes above the 40 bits, so hashes of several buckets in a task stay apart.
-                hashes.append((low | (high << np.uint64(32))) + (np.uint64(bucket) << np.uint64(40)))
-                docs.append(np.repeat(head["doc"], head["n"]))
-        if not hashes:
-            return
-        h, d = np.concatenate(hashes), np.concatenate(docs)
-        hashes.clear(), docs.clear()
-        order = np.argsort(h)
-        h, d = h[order], d[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-        n = np.diff(np.concatenate((first, [len(h)])))
-        several = low != high
-        split = np.ceil(np.log2(np.maximum(n / ANCHOR_ROWS, 1))).astype(np.uint64)
-        keep = np.repeat(several, n)
-        word = (h | (np.repeat(split, n) << np.uint64(58)))[keep]
-        table = np.stack((d[keep].view(np.uint64), word), 1)
-        for a in range(0, len(table), 1 << 20):
-            part = table[a : a + (1 << 20)]
-            yield _rows(_blobs(np.mod(part[:, 0].view(np.int64), groups), groups, part))
+                bucket.add((low | (high << np.uint64(32))) + (np.uint64(part) << np.uint64(40)), np.repeat(head["doc"], head["n"]))
+                if bucket.size >= bucket.least:
+                    yield from told(bucket.settled(False))
+        yield from told(bucket.settled(True))
 
     return find
 
@@ -250,8 +363,7 @@ def _segments(buckets: int, shards: int):
                     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
                     first = np.flatnonzero(new)
                     last = np.concatenate((first[1:], [len(at)])) - 1
-                    h = gram_hashes(part)[at[first]] & _LOW57
-                    h = ((h // np.uint64(buckets)) & np.uint64((1 << 40) - 1)) + ((h % np.uint64(buckets)) << np.uint64(40))
+                    h = _named(gram_hashes(part)[at[first]], buckets)
                     own = ids[lo + doc[first]]
                     want = mix(mix(own.view(np.uint64)) ^ h)
                     pos = np.minimum(np.searchsorted(key, want), len(key) - 1)
@@ -565,8 +677,9 @@ class Removal:
         self.once = self.rows.where(f"doc_id is not null and octet_length(text) >= {K}").join(self.copies, "doc_id", "left_anti")
 
         buckets, groups, shards = min(2 * parts, 1 << 16), 4 * parts + 1, 4 * parts
-        dealt = self.once.mapInArrow(_anchor_buckets(buckets), PACKED).repartition(parts, "part")
-        answers = dealt.mapInArrow(_repeated(buckets, groups), PACKED)
+        total = (sized.agg(F.sum("n_bytes")).first()[0] or 0) // ANCHOR_BYTES
+        dealt = self.once.mapInArrow(_anchor_buckets(buckets, groups, total), PACKED).repartition(parts, "part")
+        answers = dealt.mapInArrow(_repeated(groups), PACKED)
         texts = self.once.select(F.pmod("doc_id", F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("text").cast("binary").alias("data"), "doc_id")
         both = answers.withColumn("doc_id", F.lit(0).cast("long")).unionByName(texts)
         sorted_ = both.repartition(parts, "part").sortWithinPartitions("part", "kind")
