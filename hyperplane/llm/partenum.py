@@ -73,6 +73,9 @@ SKETCH_BITS = (128, 1 << 16)
 GATHER = 500_000
 #: Sets of one signature among those from which on it is common: its members don't go to its bucket.
 COMMON = 512
+#: Signatures that a bucket takes in before it looks for common ones among them, and distinct sets that make one common there.
+SETTLE = 2_000_000
+GROWN = 8192
 #: Partitionings that a set tries before it signs empty subsets.
 SEEDS = 4
 _NODE = np.uint64((1 << 48) - 1)
@@ -315,13 +318,32 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = np.repeat(n > 2, n)
         yield rows(3, gid[more], member[more])
 
-    held, common, last = [], [], None
+    def grown(held: list[tuple[np.ndarray, np.ndarray]], common: list[np.uint64]) -> Iterator[pa.RecordBatch]:
+        """Members of signatures that have grown common in a bucket go on; those of the others stay, each set once."""
+        sig, node = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        held.clear()
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        del order
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[new], node[new]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        n = np.diff(np.concatenate((first, [len(sig)])))
+        go = (n >= GROWN) | np.isin(sig[first], np.array(common, np.uint64))
+        common += list(sig[first[go]])
+        go = np.repeat(go, n)
+        if go.any():
+            yield rows(4, mix(sig[go]), node[go])
+        held.append((sig[~go], node[~go]))
+
+    held, common, last, size, least = [], [], None, 0, SETTLE
     for batch in batches:
         for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if bucket != last:
                 if held:
                     yield from groups(held, common)
-                held, common, last = [], [], bucket
+                held, common, last, size, least = [], [], bucket, 0, SETTLE
             data = data.as_buffer()
             if kind == 1:
                 table = np.frombuffer(data, np.uint64).reshape(-1, 4)
@@ -334,6 +356,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 low, node = _unpacked(data)
                 held.append((np.uint64(bucket << 32) | low.astype(np.uint64), node))
+                size += len(low)
+                if size >= least:
+                    yield from grown(held, common)
+                    size = len(held[0][0])
+                    # As much again comes in before the next look, so that looks stay few.
+                    least = size + max(SETTLE, size)
     if held:
         yield from groups(held, common)
 

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hyperplane.llm import partenum, suffix_dedup
 from hyperplane.llm.components import components
@@ -41,9 +42,11 @@ def test_jaccard_components(docs, rows):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize(("common", "large", "broadcast"), [(512, 16, 500_000), (2, 16384, 0), (3, 8, 0)])
-def test_jaccard_large_groups(spark, monkeypatch, common, large, broadcast):
-    """Many distinct near copies of one text, and many texts that share half of theirs: groups dealt in blocks or cut again, and common signatures."""
+@pytest.mark.parametrize(("common", "large", "broadcast", "settle"), [(512, 16, 500_000, 1 << 20), (2, 16384, 0, 1 << 20), (3, 8, 0, 4), (512, 16384, 500_000, 2)])
+def test_jaccard_large_groups(spark, monkeypatch, common, large, broadcast, settle):
+    """Many distinct near copies of one text, and many texts that share half of theirs: groups dealt in blocks or cut again, and signatures that are common in a batch or grow common in a bucket."""
+    monkeypatch.setattr(partenum, "SETTLE", settle)
+    monkeypatch.setattr(partenum, "GROWN", 3)
     monkeypatch.setattr(partenum, "BLOCK", 16)
     monkeypatch.setattr(partenum, "COMMON", common)
     monkeypatch.setattr(partenum, "LARGE", large)
@@ -61,6 +64,28 @@ def test_jaccard_large_groups(spark, monkeypatch, common, large, broadcast):
     assert got == brute_components(rows)
 
 
+def test_a_bucket_hands_on_common_signatures(monkeypatch):
+    """100,000 sets with one signature that no batch finds common: they leave as they come, and the bucket's own groups stay as they are."""
+    monkeypatch.setattr(partenum, "SETTLE", 1000)
+    monkeypatch.setattr(partenum, "GROWN", 200)
+
+    def batches():
+        for step in range(2000):
+            sig = np.array([5] * 50 + [100 + step] * 2, np.uint32)
+            node = np.array([*range(step * 50, step * 50 + 50), 10**6 + step, 10**6 + step + 1], np.uint64)
+            data = partenum._packed(sig, node)
+            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["bucket", "kind", "data"])
+
+    largest, members, pairs = 0, set(), set()
+    for batch in partenum._grouped(batches()):
+        largest = max(largest, batch.num_rows)
+        for kind, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+            assert kind in (2, 4)
+            (members if kind == 4 else pairs).add((a, b))
+    assert len({a for a, _ in members}) == 1 and {b for _, b in members} == set(range(100_000))
+    assert pairs == {(10**6 + k, 10**6 + k + 1) for k in range(2000)} and largest < 10_000
+
+
 def test_jaccard_without_ids(spark):
     """Rows without an id link like others; a component takes the smallest id it has."""
     base = [f"b{i}" for i in range(40)]
