@@ -29,6 +29,8 @@ from .ranks import ranked, running
 
 #: Rows of the order whose pairs among each other are one task's.
 BLOCK = 1 << 14
+#: Rows of a range of the levels above, about.
+RANGE = 1 << 15
 
 
 def difference_pairs(df: DataFrame) -> DataFrame:
@@ -39,12 +41,45 @@ def difference_pairs(df: DataFrame) -> DataFrame:
     return pairs.select("i", "j", subtract(F.col("xi"), F.col("xj")).alias("x"), F.when(F.col("ri") >= F.col("rj"), 1).otherwise(-1).alias("y"))
 
 
+def _before(df: DataFrame, sums: dict[str, F.Column]) -> tuple[DataFrame, list]:
+    """(id, s_*, b_*, n_k, b_k) by id of df (id, rank, ...), and the ranks: ``sums`` of the id's rows and of all rows of smaller ids,
+    and how many of each have rank k; linear in the rows, for few ranks."""
+    ranks = sorted(r[0] for r in df.select("rank").distinct().collect() if r[0] is not None)
+    counts = {f"n_{k}": F.count(F.when(F.col("rank") == r, 1)) for k, r in enumerate(ranks)}
+    grouped = df.groupBy("id").agg(*(v.alias(f"s_{n}") for n, v in sums.items()), *(v.alias(n) for n, v in counts.items()))
+    return running(grouped, "id", {f"s_{n}": f"b_{n}" for n in sums} | {n: f"b{n[1:]}" for n in counts}, exact=False), ranks
+
+
+def _up_to(k: int) -> F.Column:
+    return sum((F.col(f"b_{i}") for i in range(k + 1)), F.lit(0.0))
+
+
 def pair_labels(df: DataFrame) -> DataFrame:
-    """(rank, n_pos, n_neg): labels of the pairs by the rank of their later row; only ids and ranks are joined."""
-    a = df.select(F.col("id").alias("i"), F.col("rank").alias("ri"))
-    b = df.select(F.col("id").alias("j"), F.col("rank").alias("rj"))
-    pairs = a.join(b, F.col("j") < F.col("i"))
-    return pairs.groupBy(F.col("ri").alias("rank")).agg(F.sum((F.col("ri") >= F.col("rj")).cast("long")).alias("n_pos"), F.sum((F.col("ri") < F.col("rj")).cast("long")).alias("n_neg"))
+    """(rank, n_pos, n_neg): labels of the pairs j < i of df (id, rank) by the rank of row i; running counts in order of id, without forming a pair."""
+    before, ranks = _before(df.select("id", "rank"), {"rows": F.count(F.lit(1))})
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n_{k}").alias("n"), _up_to(k).alias("pos"), (_up_to(len(ranks) - 1) - _up_to(k)).alias("neg")) for k in range(len(ranks))])
+    if not ranks:
+        return df.where("false").select("rank", F.lit(0).cast("long").alias("n_pos"), F.lit(0).cast("long").alias("n_neg"))
+    each = before.select(F.explode(kinds).alias("e")).select("e.*").where("n > 0 and pos + neg > 0")
+    names = F.array(*map(F.lit, ranks))[F.col("k")].cast(df.schema["rank"].dataType)
+    return each.groupBy("k").agg(F.sum(F.col("n") * F.col("pos")).cast("long").alias("n_pos"), F.sum(F.col("n") * F.col("neg")).cast("long").alias("n_neg")).select(names.alias("rank"), "n_pos", "n_neg")
+
+
+def pair_sums(df: DataFrame) -> DataFrame:
+    """(i, n, balance, first): of each id i of df (id, rank, value), over its pairs j < i, their number, the sum of their labels and
+    the sum of value_i - value_j; running sums in order of id, without forming a pair.
+
+    A row without a rank makes pairs labelled -1, one without a value no difference, as in ``difference_pairs``.
+    """
+    value = F.col("value").cast("double")
+    rows = df.select("id", "rank", F.when(value.isNotNull(), value).alias("value"))
+    sums = {"rows": F.count(F.lit(1)), "values": F.count("value"), "value": F.coalesce(F.sum("value"), F.lit(0.0))}
+    before, ranks = _before(rows, sums)
+    before = before.where("b_rows > 0")
+    pos = sum((F.col(f"n_{k}") * _up_to(k) for k in range(len(ranks))), F.lit(0.0))
+    pairs = F.col("s_rows") * F.col("b_rows")
+    first = F.when((F.col("s_values") > 0) & (F.col("b_values") > 0), F.col("s_value") * F.col("b_values") - F.col("s_values") * F.col("b_value"))
+    return before.select(F.col("id").alias("i"), pairs.cast("long").alias("n"), (2 * pos - pairs).cast("long").alias("balance"), first.alias("first"))
 
 
 def concordance(scored: DataFrame) -> DataFrame:
@@ -117,8 +152,9 @@ class PairLoss:
         self.dim, self.c, self.block = dim, c, block or BLOCK
         places = ranked(df.where("rank is not null").select("id", "x", "rank"), [], ["rank", "id"], "pos")
         self.rows = stored(places.select("pos", F.floor(F.col("pos") / self.block).cast("long").alias("block"), "x"), "rank-rows")
-        blocks = self.rows.agg(F.max("block")).first()[0]
-        self.levels = 0 if blocks is None else int(blocks).bit_length()
+        last = self.rows.agg(F.max("pos")).first()[0]
+        self.places = 0 if last is None else int(last) + 1
+        self.levels = 0 if last is None else int(last // self.block).bit_length()
 
     def at(self, w: np.ndarray, curvature: bool = False) -> tuple[float, np.ndarray, np.ndarray | None]:
         """(objective, gradient, curvature or None) at w."""
@@ -159,7 +195,8 @@ class PairLoss:
         rows = self.rows.select("pos", "block", "x").mapInArrow(scored, f"pos long, block long, x {kind}, s double").select("*", each)
         right = F.expr("(shiftright(block, level) & 1) = 1")
         rows = rows.select("level", F.expr("shiftright(block, level + 1)").alias("node"), right.alias("right"), F.when(right, F.col("s")).otherwise(F.col("s") + 1).alias("key"), "s", "x", "pos")
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Each range is one task's, with a row's sums over its partners: of bounded size, whatever the table.
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.levels * self.places // RANGE))
         # Equal scores, as all are at first, are dealt by place; their order does not matter, as such pairs have no loss.
         ranges = stored(rows.repartitionByRange(parts, "level", "node", "key", "pos").drop("pos").withColumn("part", F.spark_partition_id()), "rank-ranges")
 

@@ -31,8 +31,9 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> Data
     return ranged.withColumn(name, within).join(offsets, ["_part", *group]).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
 
 
-def running(df: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
-    """df with, for each (value, name) of ``sums``, the sum of the value over rows with smaller keys; keys differ."""
+def running(df: DataFrame, key: str, sums: dict[str, str], exact: bool = True) -> DataFrame:
+    """df with, for each (value, name) of ``sums``, the sum of the value over rows with smaller keys, as a long, or as a double if not
+    ``exact``; keys differ."""
     ranged = _ranged(df, [key])
     totals = ranged.groupBy("_part").agg(*(F.sum(v).alias(f"_{n}") for v, n in sums.items()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,4 +42,4 @@ def running(df: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
     w = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.select("*", *(F.coalesce(F.sum(v).over(w), F.lit(0)).alias(n) for v, n in sums.items()))
     out = inside.join(F.broadcast(offsets), "_part")
-    return out.select(*df.columns, *((F.col(n) + F.col(f"_{n}")).cast("long").alias(n) for n in sums.values()))
+    return out.select(*df.columns, *((F.col(n) + F.col(f"_{n}")).cast("long" if exact else "double").alias(n) for n in sums.values()))
