@@ -101,3 +101,22 @@ def test_kernel_rows_are_built_in_blocks(monkeypatch):
     monkeypatch.setattr(K.Kernel, "block", lambda self, a, b, squares=None, was=K.Kernel.block: largest.append(len(a)) or was(self, a, b, squares))
     smo.Rows(x, K.RBF)
     assert max(largest) == 64
+
+
+def test_blocks_give_a_start(spark, monkeypatch):
+    """A start from blocks ends at the same optimum, weights and rows that a problem leaves out included."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=3)], [1 if rng.random() < 0.5 else -1, 0 if i % 4 == 0 else (1 if i % 3 else -1)], 1.0 + i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y array<int>, weight double")
+    plain = decomposition.train_many(df, [K.RBF, K.LINEAR], [1.0, 0.1])
+    monkeypatch.setattr(decomposition, "START_ROWS", 60)
+    monkeypatch.setattr(decomposition, "BROADCAST_BYTES", 1 << 15)
+    begun = decomposition.train_many(df, [K.RBF, K.LINEAR], [1.0, 0.1])
+    np.testing.assert_allclose(begun.objective, plain.objective, atol=2e-2)
+    assert (begun.gap < 1e-3).all()
+    for r in begun.state.collect():
+        box = np.array([1.0, 0.1]) * r.weight
+        assert (np.array(r.alpha) >= 0).all() and (np.array(r.alpha) <= box + 1e-12).all()
+        assert r.y[1] != 0 or r.alpha[1] == 0
+    balance = np.sum([np.array(r.alpha) * np.array(r.y) for r in begun.state.collect()], 0)
+    np.testing.assert_allclose(balance, 0, atol=1e-9)
