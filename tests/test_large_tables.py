@@ -120,3 +120,12 @@ def test_blocks_give_a_start(spark, monkeypatch):
         assert r.y[1] != 0 or r.alpha[1] == 0
     balance = np.sum([np.array(r.alpha) * np.array(r.y) for r in begun.state.collect()], 0)
     np.testing.assert_allclose(balance, 0, atol=1e-9)
+
+
+def test_platt_looks_for_partners_in_one_kernel_row(monkeypatch):
+    """A row that no partner lets move takes its own kernel row, not one of each partner."""
+    x = np.random.default_rng(6).normal(size=(60, 3))
+    asked = []
+    monkeypatch.setattr(smo.Rows, "__getitem__", lambda self, i, was=smo.Rows.__getitem__: asked.append(i) or was(self, i))
+    assert (smo.solve_platt(x, np.ones(60), K.RBF, 1.0).alpha == 0).all()
+    assert len(asked) <= 5 * 60
