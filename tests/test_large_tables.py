@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hyperplane.functions import kernels as K
+from hyperplane.functions.sparse import SparseRows
 from hyperplane.operators import additive, decomposition, gram, ranking, smo
 
 
@@ -129,3 +130,22 @@ def test_platt_looks_for_partners_in_one_kernel_row(monkeypatch):
     monkeypatch.setattr(smo.Rows, "__getitem__", lambda self, i, was=smo.Rows.__getitem__: asked.append(i) or was(self, i))
     assert (smo.solve_platt(x, np.ones(60), K.RBF, 1.0).alpha == 0).all()
     assert len(asked) <= 5 * 60
+
+
+def test_sparse_chi_square_of_few_features_forms_no_entry_pairs(monkeypatch):
+    """Rows of few features go through dense blocks; rare features among many do not."""
+    rng = np.random.default_rng(8)
+
+    def rows(x):
+        return SparseRows(np.concatenate(([0], np.cumsum((x != 0).sum(1)))), np.nonzero(x)[1] + 1, x[x != 0])
+
+    x = rng.integers(0, 4, (40, 5)) / 10
+    for kernel in (K.CHI2, K.NCHI2, K.EXPCHI2):
+        want = kernel.block(x, x[:30])
+        with monkeypatch.context() as m:
+            m.setattr(SparseRows, "common", lambda *a: pytest.fail("pairs of entries were formed"))
+            np.testing.assert_allclose(kernel.block(rows(x), rows(x[:30])), want, rtol=1e-12, atol=1e-12)
+    rare = np.zeros((40, 500))
+    rare[np.arange(40), rng.integers(0, 500, 40)] = 1.0
+    assert rows(rare).dense_common(rows(rare)) is None and rows(x[:0]).dense_common(rows(x)) is None
+    np.testing.assert_allclose(K.NCHI2.block(rows(rare), rows(rare)), K.NCHI2.block(rare, rare))
