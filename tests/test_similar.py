@@ -52,3 +52,17 @@ def test_other_forms_and_edges(spark, data):
     assert similar.topn_sparse(df.limit(0), 2).count() == 0
     with pytest.raises(Exception, match="below 0"):
         similar.topn_sparse(spark.createDataFrame([(1, [(1, -1.0)])], "id long, x array<struct<idx:int,val:double>>"), 2).count()
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_turns_and_cut_lists(data, cut, monkeypatch):
+    """Turns hold a share of the pairs each; lists that are cut give the same sums."""
+    df, x = data
+    monkeypatch.setattr(similar, "TURN_PAIRS", 1)
+    monkeypatch.setattr(similar, "TURN_SHARE", 8)
+    monkeypatch.setattr(similar, "LIST_ROWS", 32 if cut else 1 << 14)
+    lists = similar._Lists.of(similar._bounded(df))
+    assert lists.turns > 2 and lists.pairs <= lists.turns * 8 * lists.entries and lists.chunks == (4 if cut else 1)
+    assert lists.table.agg(F.max(F.size("others"))).first()[0] <= (64 if cut else 150)
+    got = sorted((r.id, r["rank"], r.other, round(r.k, 9)) for r in similar.topn_sparse(df, 3).select("id", "other", "k", "rank").collect())
+    assert got == sorted((i, r, j, v) for i, j, v, r in brute(x, 3))
