@@ -1,6 +1,7 @@
 """Training over partitions: many problems at once, rows put to rest, validation and estimators beyond one task, linear searches."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hyperplane.functions import kernels as K
 from hyperplane.operators import decomposition, estimator, linear, smo, validation
@@ -115,3 +116,38 @@ def test_linear_search_in_shared_passes(spark, data, sparse):
                 w = np.linalg.solve(np.eye(4) + 2 * c * z.T @ z, 2 * c * z.T @ y[mine][active])
             right += int(((x[~mine] @ w > 0) == (y[~mine] > 0)).sum())
         assert n == 400 and abs(correct - right) <= 1
+
+
+def test_linear_passes_form_no_kernel_values(spark, data, monkeypatch):
+    """Decision values under the linear kernel move by the weighted sum of the rows that moved."""
+    df, x, y = data
+    best = smo.solve(x, y, K.LINEAR, 0.5, eps=1e-5)
+    problems = decomposition._Problems([K.LINEAR], [0.5], "second", 1e-3)
+    step = np.random.default_rng(1).normal(size=30)
+    change = decomposition._Change(np.arange(30), x[:30], np.arange(30), np.zeros(30, np.int64), np.full(30, 0.5), step)
+    names = ["id", "x", "alpha", "f"]
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(len(x)), "x": pa.array(list(x)), "alpha": pa.array([[0.0]] * len(x)), "f": pa.array([[1.0]] * len(x))})
+    with monkeypatch.context() as m:
+        m.setattr(K.Kernel, "block", lambda *a: pytest.fail("kernel values were formed"))
+        (out,) = problems.moved(change, names)(iter([batch]))
+    np.testing.assert_allclose(out.column("f").flatten().to_numpy(), 1 + x @ (x[:30].T @ step))
+    assert (out.column("alpha").flatten().to_numpy() == np.where(np.arange(len(x)) < 30, 0.5, 0)).all()
+    assert train(df, K.LINEAR, 0.5, working=100).objective == pytest.approx(best.objective, rel=1e-3)
+
+
+def test_passes_stay_in_tiles(data, monkeypatch):
+    """Blocks of kernel values are no larger than a core's cache holds, and order of the entries does not matter."""
+    _, x, _ = data
+    problems = decomposition._Problems([K.RBF, K.RBF], [1.0, 1.0], "second", 1e-3)
+    rng = np.random.default_rng(2)
+    at, p, step = rng.integers(0, len(x), 900), rng.integers(0, 2, 900), rng.normal(size=900)
+    change = decomposition._Change(np.arange(len(x)), x, at, p, np.zeros(900), step)
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(len(x)), "x": pa.array(list(x)), "alpha": pa.array([[0.0, 0.0]] * len(x)), "f": pa.array([[0.0, 0.0]] * len(x))})
+    want = np.zeros((len(x), 2))
+    np.add.at(want, (at, p), step)
+    want, sizes = K.RBF.block(x, x) @ want, []
+    monkeypatch.setattr(decomposition, "TILE", (64, 128))
+    monkeypatch.setattr(K.Kernel, "block", lambda self, a, b, squares=None, was=K.Kernel.block: sizes.append((len(a), len(b))) or was(self, a, b, squares))
+    (out,) = problems.moved(change, ["id", "f"], alphas=False)(iter([batch]))
+    np.testing.assert_allclose(np.array(out.column("f").to_pylist()), want, atol=1e-9)
+    assert max(sizes) == (64, 128)
