@@ -15,6 +15,9 @@ Every step is a join or a grouping by feature, row or pair.  Lists of a feature
 are cut at ``LIST_ROWS`` on average by the rows that they name, and travel to the
 rows that look them up as they are: pairs are formed where they are summed.
 
+Where lists are short (``SHORT_LIST``), all features are looked up at once, as bounds and
+completing would cost more than the pairs that they leave out.
+
 Rows look for theirs in turns, each of as many pairs as ``TURN_SHARE`` times the
 entries of the index, and let go of their shuffles after it: what is on disk at a
 time grows with the index, not with the pairs.
@@ -38,6 +41,8 @@ SEEDS = 2
 SLACK = 1e-9
 #: Rows of a piece of a feature's list on average, and pairs that a task sums.
 LIST_ROWS, TASK_PAIRS = 1 << 14, 1 << 20
+#: Rows that an entry meets on average, up to which bounds don't pay.
+SHORT_LIST = 200
 #: Pairs of a turn: a multiple of the index's entries, and at least so many.
 TURN_SHARE, TURN_PAIRS = 4, 20_000_000
 
@@ -108,6 +113,8 @@ def topn_sparse(df: DataFrame, n: int) -> DataFrame:
 def _turn(index: DataFrame, lists: _Lists, turn: int, n: int) -> DataFrame:
     """The result of the rows of a turn."""
     mine = index.where(F.pmod(F.hash("id"), F.lit(lists.turns)) == turn)
+    if lists.pairs <= SHORT_LIST * lists.entries:
+        return stored(topn(_partial(mine, lists).withColumnRenamed("part", "k"), "id", n), "similar")
     chosen = stored(_candidates(mine, n, lists), "similar-candidates")
     # What the features that were not looked up add.
     others = mine.join(chosen.groupBy("id").agg(F.first("upto").alias("upto")), "id").where("place > upto").select("id", "idx", "val")

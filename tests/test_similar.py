@@ -54,10 +54,13 @@ def test_other_forms_and_edges(spark, data):
         similar.topn_sparse(spark.createDataFrame([(1, [(1, -1.0)])], "id long, x array<struct<idx:int,val:double>>"), 2).count()
 
 
-@pytest.mark.parametrize("cut", [False, True])
-def test_turns_and_cut_lists(data, cut, monkeypatch):
-    """Turns hold a share of the pairs each; lists that are cut give the same sums."""
+@pytest.mark.parametrize(("cut", "short"), [(False, 0), (True, 0), (True, 200)])
+def test_turns_and_cut_lists(data, cut, short, monkeypatch):
+    """Turns hold a share of the pairs each; lists that are cut, and short ones without bounds, give the same sums."""
     df, x = data
+    monkeypatch.setattr(similar, "SHORT_LIST", short)
+    if short:
+        monkeypatch.setattr(similar, "_candidates", lambda *a: pytest.fail("bounds were taken"))
     monkeypatch.setattr(similar, "TURN_PAIRS", 1)
     monkeypatch.setattr(similar, "TURN_SHARE", 8)
     monkeypatch.setattr(similar, "LIST_ROWS", 32 if cut else 1 << 14)
