@@ -80,3 +80,43 @@ def test_copies_are_not_taken_pair_by_pair(monkeypatch):
     side.settle(side)
     np.testing.assert_allclose(side.best, 0, atol=1e-14)
     assert sum(taken) < len(x) ** 2 / 8
+
+
+def test_sums_of_exponential_chi_square_take_few_values(spark, monkeypatch):
+    """All pairs but those far from the mean are sums of features and of small remainders; blocks of kernel values are not formed."""
+    x = np.random.default_rng(3).dirichlet(np.full(24, 0.8), 1300)
+    x[600::7] = x[: len(x[600::7])] * (1 + np.random.default_rng(4).normal(0, 1e-3, (len(x[600::7]), 24)))
+    x[5::50] = x[5]
+    x /= x.sum(1, keepdims=True)
+    monkeypatch.setattr(chi_pairs, "LEAST_SUM_ROWS", 1000)
+    monkeypatch.setattr(chi_pairs, "LINE_ROWS", 200)
+    # Sums of one half with gamma 0.9: other gammas and row sums than of histograms.
+    for kernel, scale in ((K.EXPCHI2, 1.0), (K.Kernel("expchi2", 0.9), 0.5 * np.linspace(0.5, 1, 1300)[:, None])):
+        some = x * scale
+        with monkeypatch.context() as m:
+            m.setattr(gram, "against", lambda *a, **k: pytest.fail("blocks of kernel values were formed"))
+            got = {r.id: r for r in gram.row_sums(table(spark, some), kernel).collect()}
+        sums, most = brute(some, kernel)
+        assert len(got) == 1300
+        np.testing.assert_allclose([got[3 * i].row_sum for i in range(1300)], sums, rtol=0, atol=1e-7)
+        np.testing.assert_allclose([got[3 * i].largest for i in range(1300)], most, rtol=1e-12)
+
+
+def test_wide_exponents_go_by_blocks(spark):
+    df = table(spark, bars(40) * 100)
+    shape = chi_pairs.features(df, K.EXPCHI2)
+    assert not chi_pairs.sums_apply(K.EXPCHI2, chi_pairs.Features(shape.nodes, shape.turn, 1 << 20, shape.largest_sum))
+    assert chi_pairs.sums_apply(K.EXPCHI2, chi_pairs.Features(shape.nodes, shape.turn, 1 << 20, 1.0))
+    assert not chi_pairs.sums_apply(K.EXPCHI2, chi_pairs.Features(shape.nodes, shape.turn, 500, 1.0))
+    assert not chi_pairs.sums_apply(K.EXPCHI2, chi_pairs.Features(shape.nodes, shape.turn, 1 << 20, 1.0, 1000))
+    assert shape.width == 6
+
+
+def test_norms_of_empty_zero_and_missing_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from hyperplane.functions.vectors import histogram, normalized
+
+    df = spark.createDataFrame([(0, [3.0, -4.0]), (1, [0.0, 0.0]), (2, []), (3, None)], "id long, x array<double>")
+    got = {r.id: (r.a, r.b) for r in df.select("id", histogram(F.col("x")).alias("a"), normalized(F.col("x"), 2).alias("b")).collect()}
+    assert got == {0: ([3 / 7, 4 / 7], [0.6, -0.8]), 1: ([0.0, 0.0], [0.0, 0.0]), 2: ([], []), 3: (None, None)}
