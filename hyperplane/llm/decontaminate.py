@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textbatch import ALNUM_WORDS, LOWER, Words, flat, mix, pieces, spans
+from .textbatch import ALNUM_WORDS, LOWER, Words, flat, lean, mix, pieces, spans
 
 WINDOW = 13
 SHINGLE = 3
@@ -210,7 +210,7 @@ def _found(docs: DataFrame, block) -> DataFrame:
                 blobs = [np.stack((place[x:y], number[x:y])).astype("<i4").tobytes() if y > x else b"" for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(w.counts), pa.array(blobs, pa.binary())], ["doc_id", "text_hash", "n_words", "found"])
 
-    return docs.mapInArrow(scan, "doc_id long, text_hash long, n_words long, found binary")
+    return docs.mapInArrow(lean(scan), "doc_id long, text_hash long, n_words long, found binary")
 
 
 def _document_counts(found: DataFrame, n: int) -> np.ndarray:
@@ -226,7 +226,7 @@ def _document_counts(found: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["number", "n"])
 
     out = np.zeros(n, np.int64)
-    some = found.select("found").mapInArrow(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    some = found.select("found").mapInArrow(lean(count), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
     out[some.column("number").to_numpy()] = some.column("n").to_numpy()
     return out
 
@@ -255,7 +255,7 @@ def _judge(found: DataFrame, index) -> DataFrame:
                 hit_items.append(items)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hit_words, pa.list_(pa.int32())), pa.array(hit_items, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_words", "hit_words", "items"])
 
-    return found.mapInArrow(judge, "doc_id long, text_hash long, n_words long, hit_words array<int>, items array<long>")
+    return found.mapInArrow(lean(judge), "doc_id long, text_hash long, n_words long, hit_words array<int>, items array<long>")
 
 
 def sha256_of_items(items) -> F.Column:

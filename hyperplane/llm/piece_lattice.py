@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbatch import flat, mix, pieces
+from .textbatch import flat, lean, mix, pieces
 
 SPACE = "▁".encode()
 #: Zipf offset and exponent of piece weights by merge rank.
@@ -469,7 +469,7 @@ def encode_topk(docs: DataFrame, path: str, k: int = 2, seed: int = SEED, id_col
                 else:
                     yield out
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(encode, CHECKED if checked else SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(encode), CHECKED if checked else SCHEMA)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -480,4 +480,4 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield from _decoded(voc, batch)
 
-    return encoded.mapInArrow(spell, DECODED)
+    return encoded.mapInArrow(lean(spell), DECODED)

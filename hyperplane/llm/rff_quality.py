@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, written
-from .textbatch import SAME, Words, flat, pieces, spans
+from .textbatch import SAME, Words, flat, lean, pieces, spans
 
 FEATURES = 256
 GAMMA = 0.15
@@ -138,9 +138,9 @@ def _sums(df: DataFrame, part, size: int) -> np.ndarray:
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
 
-    partial = df.select("stats", "label", "fold").mapInArrow(within, "total binary")
+    partial = df.select("stats", "label", "fold").mapInArrow(lean(within), "total binary")
     groups = min(64, max(1, int(df.rdd.getNumPartitions() ** 0.5)))
-    rows = partial.repartition(groups).mapInArrow(over, "total binary").collect()
+    rows = partial.repartition(groups).mapInArrow(lean(over), "total binary").collect()
     return np.sum([np.frombuffer(r.total) for r in rows], 0) if rows else np.zeros(size)
 
 
@@ -209,7 +209,7 @@ def predict(model: dict, stats: np.ndarray) -> np.ndarray:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats) of each row."""
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(_measured, "doc_id long, stats binary")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(_measured), "doc_id long, stats binary")
 
 
 def score(measured: DataFrame, model: dict) -> DataFrame:
@@ -221,7 +221,7 @@ def score(measured: DataFrame, model: dict) -> DataFrame:
                 piece = batch.slice(at, 4096)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(predict(model, _unpack(piece.column(1))))], ["doc_id", "score"])
 
-    return measured.select("doc_id", "stats").mapInArrow(scored, "doc_id long, score double")
+    return measured.select("doc_id", "stats").mapInArrow(lean(scored), "doc_id long, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, held: int = 0) -> DataFrame:
@@ -249,4 +249,4 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 stats = statistics(part, part_offs).astype(np.float32).astype(np.float64)
                 yield batch.slice(lo, hi - lo).filter(pa.array(predict(model, stats) >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
