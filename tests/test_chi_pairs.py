@@ -120,3 +120,26 @@ def test_norms_of_empty_zero_and_missing_vectors(spark):
     df = spark.createDataFrame([(0, [3.0, -4.0]), (1, [0.0, 0.0]), (2, []), (3, None)], "id long, x array<double>")
     got = {r.id: (r.a, r.b) for r in df.select("id", histogram(F.col("x")).alias("a"), normalized(F.col("x"), 2).alias("b")).collect()}
     assert got == {0: ([3 / 7, 4 / 7], [0.6, -0.8]), 1: ([0.0, 0.0], [0.0, 0.0]), 2: ([], []), 3: (None, None)}
+
+
+def test_scores_of_exponential_chi_square_are_split(spark, monkeypatch):
+    x = bars(900)
+    rng = np.random.default_rng(2)
+    alpha, y = rng.integers(0, 3, 900) / 2, rng.choice([-1, 1], 900)
+    df = spark.createDataFrame([(3 * i, [float(v) for v in r], int(y[i]), float(alpha[i])) for i, r in enumerate(x)], "id long, x array<double>, y int, alpha double")
+    monkeypatch.setattr(chi_pairs, "LEAST_SUM_ROWS", 100)
+    monkeypatch.setattr(chi_pairs, "LINE_ROWS", 200)
+    plain = K.EXPCHI2.block(x, x) @ (alpha * y)
+    with monkeypatch.context() as m:
+        m.setattr(gram, "against", lambda *a, **k: pytest.fail("blocks of kernel values were formed"))
+        got = {r.id: r for r in gram.scores(df, df.where("alpha > 0"), K.EXPCHI2, 0.25).collect()}
+    np.testing.assert_allclose([got[3 * i].score for i in range(900)], plain - 0.25, atol=1e-6)
+    assert [got[3 * i].pred for i in range(900)] == np.where(plain < 0.25, -1, 1).tolist()
+    # Support rows that are few, others, or there twice go by blocks.
+    from pyspark.sql import functions as F
+
+    for support in (df.where("id < 30"), df.withColumn("id", F.col("id") + 1), df.unionByName(df)):
+        rows = support.collect()
+        z, w = np.array([r.x for r in rows]), np.array([r.alpha * r.y for r in rows])
+        got = {r.id: r.score for r in gram.scores(df, support, K.EXPCHI2).collect()}
+        np.testing.assert_allclose([got[3 * i] for i in range(900)], K.EXPCHI2.block(x, z) @ w, atol=1e-10)
