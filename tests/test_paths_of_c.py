@@ -62,3 +62,27 @@ def test_factor_in_panels(n, kind, off):
     m = rng.normal(size=(n, n))
     a, b = m @ m.T / n + np.eye(n), rng.normal(size=(n, 2))
     np.testing.assert_allclose(smo.substituted(smo.factor(a.astype(kind)), b.astype(kind)), np.linalg.solve(a, b), atol=off)
+
+
+def test_start_of_products_sends_out_no_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from hyperplane.operators import decomposition as D
+
+    x, y = noisy(900, 5)
+    df = spark.createDataFrame([(7 * i, [float(v) for v in r], int(s)) for i, (r, s) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y int")
+    rows = df.select("id", "x", F.array("y", -F.col("y"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("y"))).alias("y"))
+    monkeypatch.setattr(D, "START_ROWS", 300)
+    sent, of = [], D._Change.of.__func__
+    monkeypatch.setattr(D._Change, "of", classmethod(lambda cls, t, vectors=None: sent.append((t.num_rows, vectors)) or of(cls, t, vectors)))
+    for kernel in (Kernel("linear"), Kernel("rbf")):
+        sent.clear()
+        found = D.train_many(rows, [kernel] * 3, [1.0, 0.5, 2.0])
+        # Only the start gives vectors apart, once for all problems.
+        assert [v.num_rows for _, v in sent if v is not None] == ([] if kernel.name == "linear" else [900])
+        for p, (c, use) in enumerate([(1.0, slice(None)), (0.5, slice(None)), (2.0, slice(1, None, 2))]):
+            sign = -1 if p == 1 else 1
+            assert found.objective[p] == pytest.approx(smo.solve(x[use], sign * y[use], kernel, c).objective, rel=1e-3)
+        got = found.state.orderBy("id").toPandas()
+        alpha, sides, f = (np.array(got[k].tolist(), float) for k in ("alpha", "y", "f"))
+        np.testing.assert_allclose(f, kernel.block(x, x) @ (alpha * sides), atol=1e-8)
