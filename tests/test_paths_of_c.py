@@ -86,3 +86,19 @@ def test_start_of_products_sends_out_no_rows(spark, monkeypatch):
         got = found.state.orderBy("id").toPandas()
         alpha, sides, f = (np.array(got[k].tolist(), float) for k in ("alpha", "y", "f"))
         np.testing.assert_allclose(f, kernel.block(x, x) @ (alpha * sides), atol=1e-8)
+
+
+def test_a_model_is_trained_once(spark):
+    from hyperplane.operators.estimator import KernelSVC
+
+    x, y = noisy(60, 4)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(s)) for i, (r, s) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, label int")
+    fits = spark.sparkContext.accumulator(0)
+
+    def counted(*a, **k):
+        fits.add(1)
+        return smo.solve(*a, **k)
+
+    model = KernelSVC(Kernel("rbf"), 1.0, solver=counted).fit(df)
+    assert model.predict(df).count() == 60 and model.model.count() > 0
+    assert fits.value == 1
